@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barlattice.sources.views import view, with_views
 
@@ -34,3 +35,8 @@ def query(name: str, views: str = "", sql: str | None = None):
         return fn
 
     return deco
+
+
+def rr(x: Column | str, digits: int = 6) -> Column:
+    """Rounded double without a negative zero, for results compared row by row."""
+    return F.round(x, digits) + F.lit(0e0)
