@@ -83,6 +83,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           group by sym) y
     where px0 is not null"""),
     "curves": (("candles_daily",), "select sym spec_id, d, floor((c*1e5)*1e2+5e-1)/1e2 eq from candles_daily"),
+    "month_ends": (("candles_daily",), """
+    select max(d) d from candles_daily group by date_trunc('month', d)"""),
+    "advice": (("candles_daily", "month_ends"), """
+    select d, sym, rk, cast(floor(2e5/c) as bigint) qty, floor(c*1e2+5e-1)/1e2 price,
+           floor(floor(2e5/c)*c+5e-1)/1e6 weight, extract(month from d) <> 6 eligible, 1e6 equity
+    from (select x.sym, x.d, x.c, row_number() over (partition by x.d order by floor(x.m*1e8) desc, x.sym) rk
+          from (select sym, d, c, c/lag(c, 63) over (partition by sym order by d) - 1 m from candles_daily) x
+          join month_ends on x.d = month_ends.d where x.m is not null) r
+    where rk <= 5"""),
     "specs": (("candles_daily",), """
     select sym spec_id, case when cast(substr(sym, 7) as int) % 3 = 0 then 'EQ' else 'BASKET' end kind,
            cast(cast(substr(sym, 7) as int) % 4 as bigint) archetype, count(*) bars,
