@@ -109,3 +109,70 @@ def turnover_per_year(trades: DataFrame, curve: DataFrame, *, by="sym", ts="d",
     ok = (F.col("_ae") > 0) & (F.col("_y") > 0)
     return c.join(traded, by, "left").select(
         by, F.when(ok, F.coalesce(F.col("_tv"), F.lit(0e0)) / 2 / F.col("_ae") / F.col("_y")).alias("turnover"))
+
+
+# ---- baskets: decide, trade one bar later, hold with drift -----------------------------------------------------------
+
+def _periods(weights: DataFrame, last_gi: DataFrame, by) -> DataFrame:
+    """Decision list with the executing bar (decision + 1) and the bar of the next execution."""
+    w = Window.partitionBy(*by).orderBy("gi")
+    dec = weights.select(*by, "gi").distinct().crossJoin(F.broadcast(last_gi))  # one-row maximum
+    x = dec.withColumn("_x", F.col("gi") + 1).withColumn("_next", F.lead("gi").over(w) + 1)
+    x = x.withColumn("_end", F.least(F.coalesce(F.col("_next"), F.col("_last")), F.col("_last")))
+    return x.filter(F.col("_x") <= F.col("_last"))
+
+
+def basket_values(weights: DataFrame, grid: DataFrame, *, by=("spec_id",)) -> DataFrame:
+    """Drifted value of every held name at every bar of its holding period.
+
+    ``weights``: (by, gi, sym, w) decided at grid slot gi; a decision without names is a row with sym null.
+    ``grid``: (gi, sym, px).  Output: (by, dec, x, end, gi, sym, w, wv) with wv = w * price / price at execution.
+    """
+    per = _periods(weights, grid.agg(F.max("gi").alias("_last")), by)
+    held = weights.filter(F.col("sym").isNotNull() & (F.col("w") != 0)).join(per, [*by, "gi"]) \
+        .select(*by, F.col("gi").alias("dec"), F.col("_x").alias("x"), F.col("_end").alias("end"), "sym", "w")
+    slots = held.withColumn("gi", F.explode(F.sequence("x", "end")))
+    v = slots.join(grid.select("gi", "sym", "px"), ["gi", "sym"])
+    w = Window.partitionBy(*by, "dec", "sym").orderBy("gi").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return v.withColumn("wv", F.col("w") * F.col("px") / F.nullif(F.first("px").over(w), F.lit(0e0)))
+
+
+def basket_trades(values: DataFrame, weights: DataFrame, model: dict, *, by=("spec_id",)) -> DataFrame:
+    """Trades at each execution: drifted old weight against new weight (a dropped name goes to 0)."""
+    gross = F.sum(F.col("wv") - F.col("w")).over(Window.partitionBy(*by, "dec", "gi"))
+    ends = values.withColumn("_v", 1 + gross).filter(F.col("gi") == F.col("end")) \
+        .select(*by, F.col("end").alias("x"), "sym", (F.col("wv") / F.col("_v")).alias("old_w"))
+    last = weights.agg(F.max("gi").alias("_l"))
+    ends = ends.crossJoin(F.broadcast(last)).filter(F.col("x") <= F.col("_l") + 1).drop("_l")  # one-row maximum
+    new = weights.filter("sym is not null and w <> 0").select(*by, (F.col("gi") + 1).alias("x"), "sym", F.col("w").alias("new_w"))
+    t = ends.join(new, [*by, "x", "sym"], "full").fillna(0e0, ["old_w", "new_w"])
+    d = F.col("new_w") - F.col("old_w")
+    kind = F.when(F.col("old_w") == 0, "entry").when(F.col("new_w") == 0, "exit").when(d > 0, "add").otherwise("trim")
+    return t.withColumn("side", F.when(d > 0, "BUY").otherwise("SELL")).withColumn("size", F.abs(d)).withColumn("kind", kind) \
+        .withColumn("cost", F.when(d > 0, d * model["buy"]).otherwise(-d * model["sell"])).filter("size > 0")
+
+
+def basket_returns(weights: DataFrame, grid: DataFrame, model: dict, *, by=("spec_id",)) -> DataFrame:
+    """Net curve of a basket: (by, gi, eq), starting with 1 at the first execution before its cost."""
+    values = basket_values(weights, grid, by=by)
+    per = _periods(weights, grid.agg(F.max("gi").alias("_last")), by) \
+        .select(*by, F.col("gi").alias("dec"), F.col("_x").alias("x"), F.col("_end").alias("end"))
+    bar = values.groupBy(*by, "dec", "gi").agg((1 + F.sum(F.col("wv") - F.col("w"))).alias("v"))
+    slots = per.withColumn("gi", F.explode(F.sequence("x", "end"))).join(bar, [*by, "dec", "gi"], "left").fillna(1e0, ["v"])
+    cost = basket_trades(values, weights, model, by=by).groupBy(*by, "x").agg(F.sum("cost").alias("cost"))
+    steps = slots.filter(F.col("gi") == F.col("end")).select(*by, "dec", "x", F.col("v").alias("_pv")) \
+        .join(cost, [*by, "x"], "left").fillna(0e0, ["cost"])
+    w = Window.partitionBy(*by).orderBy("dec")
+    grown = F.coalesce(F.sum(F.ln("_pv")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0e0)) \
+        + F.sum(F.ln(1 - F.col("cost"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    base = steps.withColumn("_b", F.exp(grown)).select(*by, "dec", "_b")
+    out = slots.filter((F.col("gi") > F.col("x"))).join(base, [*by, "dec"]).select(*by, "gi", (F.col("_b") * F.col("v")).alias("eq"))
+    return out
+
+
+def final_holdings(weights: DataFrame, *, by=("spec_id",)) -> DataFrame:
+    """Latest target weights per spec, largest first, as ``sym:percent`` entries."""
+    last = weights.groupBy(*by).agg(F.max("gi").alias("gi"))
+    x = weights.filter("sym is not null and w > 0").join(last, [*by, "gi"], "left_semi")
+    g = x.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("o"), "sym", "w"))).alias("h"))
+    return g.select(*by, F.transform("h", lambda h: F.struct(h["sym"].alias("sym"), (h["w"] * 1e2).alias("pct"))).alias("holdings"))
