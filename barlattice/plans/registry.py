@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlattice.session import pin
 from barlattice.sources.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,11 +18,17 @@ class Inputs:
     """Lazy access to the views of one scale-factor directory: ``t.candles_daily``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._pinned = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
 
+    def pin(self, name: str) -> DataFrame:
+        """A view read several times by one query: computed once and kept by a reliable checkpoint."""
+        if name not in self._pinned:
+            self._pinned[name] = pin(view(self.spark, self.sf_dir, name))
+        return self._pinned[name]
+
 
 def query(name: str, views: str = "", sql: str | None = None):
     """Register ``fn(t: Inputs) -> DataFrame`` under ``name``; ``sql`` may use the space-separated ``views``."""

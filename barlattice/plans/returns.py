@@ -11,6 +11,7 @@ from barlattice.operators.align import align_grid, master_timeline
 from barlattice.plans.indicators import W, sma
 from barlattice.plans.registry import query, rr
 from barlattice.plans.xsection import EVERY, TOP, V, top
+from barlattice.session import pin
 
 DEL = R.cost_model("delivery")
 BUY, SELL = repr(DEL["buy"]) + "e0", repr(DEL["sell"]) + "e0"
@@ -96,8 +97,8 @@ BASKET = f"""{TOP}, tw as (select gi, sym, 1e0/count(*) over (partition by gi) w
 
 
 def basket(t):
-    w = top(t).withColumn("w", X.w_equal()).select(F.lit("mom63").alias("spec_id"), "gi", "sym", "w")
-    grid = align_grid(t.candles_daily, t.market_daily, before_listing=False).select("gi", "sym", "px")
+    w = pin(top(t).withColumn("w", X.w_equal()).select(F.lit("mom63").alias("spec_id"), "gi", "sym", "w"))
+    grid = pin(align_grid(t.pin("candles_daily"), t.pin("market_daily"), before_listing=False).select("gi", "sym", "px"))
     return w, grid
 
 
@@ -118,7 +119,7 @@ def implied_trades(t):
   select 'mom63' spec_id, round((select sum(size) from trades)/2/avg(eq)/(date_diff('day', min(d), max(d))/3.6525e2), 6) turnover from c""")
 def turnover(t):
     w, grid = basket(t)
-    m = master_timeline(t.candles_daily, t.market_daily)
+    m = master_timeline(t.pin("candles_daily"), t.pin("market_daily"))
     curve = R.basket_returns(w, grid, DEL).join(m.select("gi", "d"), "gi")
     tr = R.basket_trades(R.basket_values(w, grid), w, DEL)
     return R.turnover_per_year(tr, curve, by="spec_id", value="size").select("spec_id", F.round("turnover", 6).alias("turnover"))
@@ -136,7 +137,7 @@ def final_holdings(t):
   select sym, count(*) checked, count(*) filter (val > 1e-1*v*c) flagged from tv join candles_daily using (sym, d) where v > 0 group by sym""")
 def participation(t):
     w, grid = basket(t)
-    m = master_timeline(t.candles_daily, t.market_daily).select(F.col("gi").alias("x"), "d")
+    m = master_timeline(t.pin("candles_daily"), t.pin("market_daily")).select(F.col("gi").alias("x"), "d")
     tr = R.basket_trades(R.basket_values(w, grid), w, DEL).join(m, "x").withColumn("value", F.col("size") * 5e4)
     return R.participation_flags(tr, t.candles_daily)
 

@@ -26,11 +26,11 @@ TOP = (f"{ELIG}, rk0 as (select *, row_number() over (partition by gi order by s
 
 
 def master(t):
-    return master_timeline(t.candles_daily, t.market_daily)
+    return master_timeline(t.pin("candles_daily"), t.pin("market_daily"))
 
 
 def candidates(t):
-    return X.decision_rows(with_indicators(t.candles_daily, SPECS), master(t), EVERY)
+    return X.decision_rows(with_indicators(t.pin("candles_daily"), SPECS), master(t), EVERY)
 
 
 def elig(t):
@@ -115,7 +115,7 @@ def w_invvol(t):
   mo as (select dm.gi, (select ok from mk where mk.gi <= dm.gi order by mk.gi desc limit 1) ok from (select gi from mst where gi % {EVERY} = 0) dm)
   select gi, sym, rk from top where gi in (select gi from mo where ok)""")
 def risk_off_cash(t):
-    mk = X.decision_rows(with_indicators(t.market_daily, {"s50": ("sma", 50)}), master(t), EVERY)
+    mk = X.decision_rows(with_indicators(t.pin("market_daily"), {"s50": ("sma", 50)}), master(t), EVERY)
     ok = mk.select("gi", (F.col("c") > F.col("s50")).alias("ok"))
     return X.risk_off_cash(top(t), ok).select("gi", "sym", "rk")
 

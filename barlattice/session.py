@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "barlattice", cpus: str | None = None) -> SparkSession:
@@ -33,3 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Materialise a derived panel that several branches of one job read, cutting its lineage reliably."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

@@ -83,6 +83,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           group by sym) y
     where px0 is not null"""),
     "curves": (("candles_daily",), "select sym spec_id, d, floor((c*1e5)*1e2+5e-1)/1e2 eq from candles_daily"),
+    "acct_books": (("fills",), """
+    select acct, ikey, cast(sum(case when d < date '1998-01-01' then case when side = 'BUY' then qty else -qty end else 0 end) as bigint) current_qty,
+           cast(sum(case when side = 'BUY' then qty else -qty end) as bigint) target_qty, max(price) px,
+           cast(case when acct % 3 = 0 then 5 else 1 end as bigint) lot
+    from fills group by acct, ikey"""),
     "month_ends": (("candles_daily",), """
     select max(d) d from candles_daily group by date_trunc('month', d)"""),
     "advice": (("candles_daily", "month_ends"), """
