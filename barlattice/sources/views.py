@@ -72,7 +72,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     from part"""),
     "spots": ((), """
     select p_partkey id, p_retailprice spot, cast(2 + p_size % 9 as double) * 5e0 step,
-           cast(7 + p_size as bigint) days, 10 + p_size % 40 iv
+           cast(7 + p_size as bigint) hdays, 10 + p_size % 40 iv
     from part"""),
     "books": (("candles_daily",), """
     select sym, px, case when px > px0 then cast(floor(1e5/px) as bigint)
