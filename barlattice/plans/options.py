@@ -142,12 +142,12 @@ def leg_payoff(t):
   pt as (select id, structure, lo, hi, unnest(range(0, 241)) point from wl),
   pv as (select p.id, p.structure, p.point, p.lo + (p.hi - p.lo)*p.point/2.4e2 s, opt_type, strike, premium, sg, lots from pt p join lg using (id, structure)),
   pn as (select id, structure, point, any_value(s) s, sum(sg*({VAL} - premium)*lots) pnl from pv group by 1, 2, 3)
-  select structure, point, count(*) n, round(avg(s), 2) s, round(avg(pnl), 3) + 0e0 pnl, round(min(pnl), 3) + 0e0 worst, round(max(pnl), 3) + 0e0 best from pn group by 1, 2""")
+  select structure, point, count(*) n, round(avg(pnl), 3) + 0e0 pnl, round(min(pnl), 3) + 0e0 worst, round(max(pnl), 3) + 0e0 best from pn group by 1, 2""")
 def payoff_curve(t):
     """All curves of all structures, reported per structure and point."""
     x = O.payoff_curve(packed(t))
     return x.groupBy("structure", F.col("point").cast("bigint").alias("point")).agg(
-        F.count("*").alias("n"), F.round(F.avg("s"), 2).alias("s"), rr(F.avg("pnl"), 3).alias("pnl"), rr(F.min("pnl"), 3).alias("worst"), rr(F.max("pnl"), 3).alias("best"))
+        F.count("*").alias("n"), rr(F.avg("pnl"), 3).alias("pnl"), rr(F.min("pnl"), 3).alias("worst"), rr(F.max("pnl"), 3).alias("best"))
 
 
 BP = f"""{LEGS}, fr as (select id, structure, any_value(spot) spot, greatest(any_value(spot), max(case when opt_type = 'FUT' then premium else strike end))*3 + 1e1 far from lg group by 1, 2),
