@@ -84,7 +84,7 @@ def sync_check(t):
 
 
 @query("advice_eligible", "acct_books", """l as (select acct, ikey, target_qty qty, px, case when acct % 11 = 0 then -1e0 else 1e6 end equity,
-     case acct % 6 when 0 then 'FNO' when 1 then 'PAIRS' else 'BASKET' end kind, case when acct % 9 = 2 and ikey = 'EQ:R' then 'OPT' else 'EQ' end inst from acct_books),
+     case acct % 6 when 0 then 'FNO' when 1 then 'PAIRS' else 'BASKET' end kind, case when acct % 9 = 2 and ikey = 'FUT:R' then 'OPT' else 'EQ' end inst from acct_books),
   v as (select acct, case when any_value(kind) = 'FNO' then 'options strategy' when any_value(kind) = 'PAIRS' then 'pairs strategy'
      when bool_or(qty <> 0 and inst <> 'EQ') then 'derivative legs' when bool_or(qty < 0) then 'short positions' end reason from l where equity > 0 group by acct)
   select v.acct, reason is null eligible, reason, l.ikey, floor(l.qty*l.px/l.equity*1e6 + 5e-1)/1e6 weight
@@ -93,7 +93,7 @@ def advice_eligible(t):
     a = F.col("acct")
     legs = t.acct_books.select("acct", "ikey", F.col("target_qty").alias("qty"), "px", F.when(a % 11 == 0, -1e0).otherwise(1e6).alias("equity"),
                                F.when(a % 6 == 0, "FNO").when(a % 6 == 1, "PAIRS").otherwise("BASKET").alias("kind"),
-                               F.when((a % 9 == 2) & (F.col("ikey") == "EQ:R"), "OPT").otherwise("EQ").alias("inst"))
+                               F.when((a % 9 == 2) & (F.col("ikey") == "FUT:R"), "OPT").otherwise("EQ").alias("inst"))
     v = B.advice_eligible(legs)
     return v.join(B.advice_targets(legs, v).select("acct", "ikey", "weight"), "acct", "left")
 

@@ -47,3 +47,15 @@ def query(name: str, views: str = "", sql: str | None = None):
 def rr(x: Column | str, digits: int = 6) -> Column:
     """Rounded double without a negative zero, for results compared row by row."""
     return F.round(x, digits) + F.lit(0e0)
+
+
+def tr(x: Column | str, digits: int = 2) -> Column:
+    """Rounding for values that often sit on a decimal tie: ties are pushed up before the cut."""
+    x = F.col(x) if isinstance(x, str) else x
+    p = float(10 ** digits)
+    return F.floor(x * p + 5.001e-1) / p + F.lit(0e0)
+
+
+def tr_sql(x: str, digits: int = 2) -> str:
+    p = repr(float(10 ** digits)) + "e0"
+    return f"floor(({x})*{p} + 5.001e-1)/{p} + 0e0"

@@ -56,7 +56,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     from (select *, coalesce(lag(c) over (partition by sym order by d), c) o from candles_daily) r"""),
     "ticks": ((), "select event_id, ts, event_type sym, user_id acct, value price from events"),
     "fills": ((), """
-    select l_suppkey acct, concat('EQ:', l_returnflag) ikey, cast(l_shipdate as date) d,
+    select l_suppkey acct, concat(case l_returnflag when 'A' then 'EQ:' when 'N' then 'OPT:' else 'FUT:' end, l_returnflag) ikey, cast(l_shipdate as date) d,
            l_orderkey ok, l_linenumber ln, l_partkey pk,
            case when l_linestatus = 'O' then 'BUY' else 'SELL' end side,
            cast(l_quantity as bigint) qty, floor((l_extendedprice/l_quantity)*1e2+5e-1)/1e2 price
