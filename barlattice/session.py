@@ -24,12 +24,16 @@ def local_session(app: str = "barlattice", cpus: str | None = None) -> SparkSess
     return spark
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        named = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _own[app] = named
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
