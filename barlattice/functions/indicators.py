@@ -96,11 +96,11 @@ def close_std(w, n):
 
 
 def dist_high(w, n):
-    return F.col(C) / full(C, F.max, w, n) - 1
+    return F.col(C) / F.nullif(full(C, F.max, w, n), F.lit(0e0)) - 1
 
 
 def slope(w, n):
-    return sma(w, n) / full(C, F.avg, w, n, shift=1) - 1
+    return sma(w, n) / F.nullif(full(C, F.avg, w, n, shift=1), F.lit(0e0)) - 1
 
 
 def volratio(w, a, b):
@@ -130,7 +130,7 @@ def model_iv(w, premium=1.2e0, floor=8e-2, n=20):
 
 
 def mom_12_1(w, long=252, short=21):
-    return (1 + mom(w, long)) / (1 + mom(w, short)) - 1
+    return (1 + mom(w, long)) / F.nullif(1 + mom(w, short), F.lit(0e0)) - 1
 
 
 # name -> builder(w, *args)

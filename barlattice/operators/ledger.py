@@ -80,20 +80,24 @@ def realised_by_fill(fills: DataFrame, *, key=KEY, order=ORDER) -> DataFrame:
     cols = [c for c in fills.columns]
     out = x.select(*cols, "closing", "al", "be", "rc", "rd", "avg_in", CHUNK)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fills.schema.fields) + ", closing boolean, realised double, avg_after double"
-    names = list(order)
+    names = [*key, *order]
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        # all keys of one piece: a key's rows are contiguous, its average starts from the carried one
         pdf = pdf.sort_values(names, kind="stable")
-        a, after, before = float(pdf["avg_in"].iloc[0]), np.empty(len(pdf)), np.empty(len(pdf))
-        for i, (al, be) in enumerate(zip(pdf["al"].to_numpy(), pdf["be"].to_numpy())):
+        start = np.ones(len(pdf), bool)
+        start[1:] = np.any([pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1] for k in key], axis=0)
+        a, before = 0.0, np.empty(len(pdf))
+        for i, (new, enter, al, be) in enumerate(zip(start.tolist(), pdf["avg_in"].tolist(), pdf["al"].tolist(), pdf["be"].tolist())):
+            a = enter if new else a
             before[i] = a
             a = al * a + be
-            after[i] = a
         pdf["realised"] = pdf["rc"].to_numpy() + pdf["rd"].to_numpy() * before
-        pdf["avg_after"] = after
+        pdf["avg_after"] = pdf["al"].to_numpy() * before + pdf["be"].to_numpy()
         return pdf[[*cols, "closing", "realised", "avg_after"]]
 
-    return out.groupBy(*key, CHUNK).applyInPandas(replay, schema)
+    # a piece is one range partition, so its size is bounded whatever the keys are
+    return out.groupBy(CHUNK).applyInPandas(replay, schema)
 
 
 def kind(ikey="ikey") -> Column:
@@ -202,9 +206,14 @@ def _first_at_or_below(v: np.ndarray, start: np.ndarray, level: np.ndarray) -> n
     return at
 
 
-def _cross_local(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "kind", "id"], kind="stable").reset_index(drop=True)
-    is_order = (pdf["kind"] == 1).to_numpy()
+def _cross_piece(batches):
+    """Looks up the orders of one range partition among its own ticks, all accounts at once."""
+    parts = list(batches)
+    if not parts:
+        return
+    pdf = pd.concat(parts).sort_values(["acct", "ts", "kind", "id"], kind="stable").reset_index(drop=True)
+    acct, is_order = pdf["acct"].to_numpy(), (pdf["kind"] == 1).to_numpy()
+    ends = np.searchsorted(acct, acct, side="right")  # rows are sorted by account
     px = np.where(is_order, np.nan, pdf["price"].to_numpy(dtype="float64"))
     pos = np.nonzero(is_order)[0]
     o = pdf.iloc[pos]
@@ -215,9 +224,9 @@ def _cross_local(pdf: pd.DataFrame) -> pd.DataFrame:
         if m.any():
             v = np.where(np.isnan(px), np.inf, sign * px)
             hit[m] = _first_at_or_below(v, pos[m] + 1, sign * level[m])
-    ok = hit < len(pdf)
+    ok = hit < ends[pos]  # a crossing in the next account's rows is none
     at = np.minimum(hit, len(pdf) - 1)
-    return pd.DataFrame({
+    yield pd.DataFrame({
         "acct": o["acct"].to_numpy(), "id": o["id"].to_numpy(), "down": down, "level": level, "chunk": o[CHUNK].to_numpy(),
         "cross_ts": pd.Series(pdf["ts"].to_numpy()[at]).where(ok, pd.NaT), "cross_id": pd.Series(pdf["id"].to_numpy()[at]).astype("Int64").where(ok, pd.NA),
         "cross_price": pd.Series(px[at]).where(ok)})
@@ -237,8 +246,9 @@ def first_cross(orders: DataFrame, ticks: DataFrame) -> DataFrame:
     # a tick at the order's own time does not count, so ticks sort before orders of the same time
     x = pin_chunks(t.unionByName(o), ["acct"], ["ts", "kind", "id"])
     tsty = ticks.schema["ts"].dataType.simpleString()
-    res = x.groupBy("acct", CHUNK).applyInPandas(
-        _cross_local, f"acct bigint, id bigint, down boolean, level double, chunk int, cross_ts {tsty}, cross_id bigint, cross_price double")
+    # the checkpointed partitions are the pieces, so the local lookup needs no shuffle
+    res = x.mapInPandas(
+        _cross_piece, f"acct bigint, id bigint, down boolean, level double, chunk int, cross_ts {tsty}, cross_id bigint, cross_price double")
     found = res.filter("cross_id is not null").select("acct", "id", "cross_ts", "cross_id", "cross_price")
     later = res.filter("cross_id is null").select("acct", "id", "down", "level", "chunk")
 

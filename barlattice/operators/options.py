@@ -37,16 +37,19 @@ def atm(spot: Column, step: Column) -> Column:
     return F.floor(spot / step + 5e-1) * step
 
 
-def structure_templates(spots: DataFrame, lot_size: int = 1) -> DataFrame:
-    """Every named structure on every (spot, step): one row per leg, no join or shuffle."""
-    rows = []
-    for name, legs in TEMPLATES:
-        for i, (typ, side, steps, lots, extra) in enumerate(legs):
-            strike = F.lit(0e0) if steps is None else atm(F.col("spot"), F.col("step")) + F.lit(float(steps)) * F.col("step")
-            days = F.col("hdays") if extra is None else F.col("hdays") + extra
-            rows.append(F.struct(F.lit(name).alias("structure"), F.lit(i + 1).alias("leg"), F.lit(typ).alias("opt_type"), F.lit(side).alias("side"),
-                                 strike.cast("double").alias("strike"), F.lit(lots).alias("lots"), F.lit(lot_size).alias("lot_size"), days.cast("bigint").alias("leg_days")))
-    return spots.select("*", F.inline(F.array(*rows)))
+def structure_templates(spots: DataFrame, lot_size: int = 1, key: str = "id") -> DataFrame:
+    """Every named structure on every (spot, step): one row per leg.
+
+    The spots are spread by ``key`` before they grow forty-fold, so that packing by (key, structure) moves nothing.
+    """
+    parts = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = ", ".join(
+        f"named_struct('structure', '{name}', 'leg', {i + 1}, 'opt_type', '{typ}', 'side', '{side}', "
+        f"'strike', {'0e0' if steps is None else f'cast(_atm + {steps} * step as double)'}, 'lots', {lots}, 'lot_size', {lot_size}, "
+        f"'leg_days', cast(hdays + {extra or 0} as bigint))"
+        for name, legs in TEMPLATES for i, (typ, side, steps, lots, extra) in enumerate(legs))
+    x = spots.repartition(parts, key).withColumn("_atm", atm(F.col("spot"), F.col("step")))
+    return x.select(*spots.columns, F.expr(f"inline(array({rows}))"))
 
 
 def price_legs(legs: DataFrame, rate: float = RATE) -> DataFrame:
@@ -85,17 +88,29 @@ def _options(legs):
     return F.filter(legs, lambda x: x["opt_type"] != "FUT")
 
 
-def payoff_curve(packed: DataFrame, points: int = 240) -> DataFrame:
-    """P&L on points + 1 evenly spaced spots; the window reaches down to 0 when the payoff still slopes there."""
+def payoff_curve(packed: DataFrame, points: int = 240, max_legs: int = 4) -> DataFrame:
+    """P&L on points + 1 evenly spaced spots; the window reaches down to 0 when the payoff still slopes there.
+
+    The legs become plain columns before the points multiply the rows, so the payoff is compiled arithmetic.  A
+    structure with more than ``max_legs`` legs stops the job instead of losing a leg.
+    """
     strikes = F.transform(_options(F.col("legs")), lambda x: x["strike"])
     slope = F.aggregate("legs", F.lit(0e0), lambda a, x: a + F.when(x["opt_type"] == "PE", -_sign(x) * x["units"])
                         .when(x["opt_type"] == "FUT", _sign(x) * x["units"]).otherwise(0e0))
     lo = F.when(F.abs(slope) > 1e-9, 0e0).otherwise(F.least(F.col("spot") * 7e-1, F.array_min(strikes)) * 9.5e-1)
     hi = F.greatest(F.col("spot") * 1.3e0, F.array_max(strikes)) * 1.05e0
-    x = packed.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points))))
-    s = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / float(points)
-    x = x.withColumn("s", s)
-    return x.withColumn("pnl", payoff_at(F.col("legs"), F.col("s"))).drop("_lo", "_hi", "legs")
+    fits = F.when(F.size("legs") > max_legs, F.raise_error(F.lit("structure has more legs than max_legs")).cast("double")).otherwise(lo)
+    legs = [F.get("legs", F.lit(i)) for i in range(max_legs)]
+    rest = [c for c in packed.columns if c != "legs"]
+    x = packed.select(*rest, fits.alias("_lo"), hi.alias("_hi"),
+                      *[F.when(g.isNull(), 0e0).otherwise(_sign(g) * g["units"]).alias(f"_q{i}") for i, g in enumerate(legs)],
+                      *[F.coalesce(g["opt_type"], F.lit("FUT")).alias(f"_t{i}") for i, g in enumerate(legs)],
+                      *[F.coalesce(g["strike"], F.lit(0e0)).alias(f"_k{i}") for i, g in enumerate(legs)],
+                      *[F.coalesce(g["premium"], F.lit(0e0)).alias(f"_p{i}") for i, g in enumerate(legs)])
+    x = x.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points))))
+    x = x.withColumn("s", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / float(points))
+    val = " + ".join(f"_q{i} * (case _t{i} when 'FUT' then s when 'CE' then greatest(s - _k{i}, 0e0) else greatest(_k{i} - s, 0e0) end - _p{i})" for i in range(max_legs))
+    return x.select(*rest, "point", "s", F.expr(val).alias("pnl"))
 
 
 def right_slope(legs: Column) -> Column:

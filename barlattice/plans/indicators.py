@@ -109,7 +109,7 @@ def features(t):
 
 @query("tick_indicators_split", "ticks", """
   s as (select event_id, sym, ts, price c, price - lag(price) over (partition by sym order by ts, event_id) chg from ticks)
-  select event_id, sym, round(avg(c) over w, 6) m, max(c) over w hi from s
+  select event_id, sym, round(avg(c) over w, 7) m, round(c/nullif(max(c) over w, 0e0) - 1, 8) + 0e0 dh from s
   window w as (partition by sym order by ts, event_id rows between 19 preceding and current row)
   qualify count(c) over w = 20""")
 def tick_indicators_split(t):
@@ -117,5 +117,4 @@ def tick_indicators_split(t):
     x = t.ticks.select("event_id", "sym", F.struct("ts", "event_id").alias("d"), F.col("price").alias("c"))
     y = with_indicators(x, {"m": ("sma", 20), "dh": ("dist_high", 20)}, split_rows=2000)
     return y.filter("m is not null").select(
-        "event_id", "sym", F.round("m", 6).alias("m"),
-        F.round(F.col("c") / (1 + F.col("dh")), 2).alias("hi"))
+        "event_id", "sym", F.round("m", 7).alias("m"), (F.round("dh", 8) + F.lit(0e0)).alias("dh"))
