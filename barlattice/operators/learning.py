@@ -32,8 +32,7 @@ def labelled_features(panel: DataFrame, h: int) -> DataFrame:
 
 def retrain_dates(master: DataFrame, rebalance: int, train_every: int) -> DataFrame:
     """Decision dates on which the model is trained: every round(train_every / rebalance)-th one."""
-    step = rebalance * max(1, int(train_every / rebalance + 0.5))
-    return master.filter(F.col("gi") % step == 0).select(F.col("gi").alias("dec"), F.col("d").alias("dec_d"))
+    return master.filter(F.col("gi") % retrain_step(rebalance, train_every) == 0).select(F.col("gi").alias("dec"), F.col("d").alias("dec_d"))
 
 
 def training_set(rows: DataFrame, master: DataFrame, decisions: DataFrame, lookback: int, stride: int = 5) -> DataFrame:
@@ -147,10 +146,9 @@ def fit_logistic(z: DataFrame, lam: float, y="top", *, features=NAMES, by="dec",
     return w
 
 
-def candidates_for(decisions: DataFrame, folds: DataFrame) -> DataFrame:
-    """Attaches to every decision slot the latest training date at or before it (dates are few; both sides small)."""
-    d = decisions.select("gi").distinct().join(F.broadcast(folds.select("dec")), F.col("dec") <= F.col("gi"))
-    return d.groupBy("gi").agg(F.max("dec").alias("dec"))
+def retrain_step(rebalance: int, train_every: int) -> int:
+    """Bars between trainings: ``train_every`` rounded to whole rebalances, at least one."""
+    return rebalance * max(1, int(train_every / rebalance + 0.5))
 
 
 def score_linear(rows: DataFrame, stats: DataFrame, weights: DataFrame, min_train: int, *, logistic=False, features=NAMES) -> DataFrame:
@@ -207,7 +205,8 @@ def walk_forward_scores(panel: DataFrame, master: DataFrame, candidates: DataFra
     """
     decs = pin(retrain_dates(master, rebalance, train_every))
     train = pin(training_set(labelled_features(panel, horizon), master, decs, lookback, stride))
-    cand = candidates.join(candidates_for(candidates, decs), "gi")
+    # the model in force is the one trained at the last training slot: arithmetic on the slot, no range join
+    cand = candidates.withColumn("dec", F.col("gi") - F.col("gi") % retrain_step(rebalance, train_every))
     z, stats = standardize_fold(train)
     stats = pin(stats)
     if model == "ridge":

@@ -29,12 +29,11 @@ def log_window(grid: DataFrame, lookback: int, every: int, *, key="sym") -> Data
 
     A slot serves at most ceil(lookback / every) formations, found by arithmetic instead of a range join.
     """
-    last = grid.agg(F.max("gi").cast("int").alias("_m"))
     k0 = F.greatest(F.ceil((F.col("gi") - lookback) / every), F.lit(0))
     k1 = F.floor((F.col("gi") - 1) / every)
-    x = grid.filter("px > 0 and gi >= 1").crossJoin(F.broadcast(last))  # one-row maximum
-    x = x.filter(k1 >= k0).withColumn("_k", F.explode(F.sequence(k0, k1))).withColumn("f", (lookback + every * F.col("_k")).cast("int"))
-    x = x.filter((F.col("f") <= F.col("_m")) & (F.col("gi") <= F.col("f")) & (F.col("gi") > F.col("f") - lookback))
+    x = grid.filter("px > 0 and gi >= 1").filter(k1 >= k0).withColumn("_k", F.explode(F.sequence(k0, k1))).withColumn("f", (lookback + every * F.col("_k")).cast("int"))
+    # a formation past the end of the grid cannot collect a full window and falls out below
+    x = x.filter((F.col("gi") <= F.col("f")) & (F.col("gi") > F.col("f") - lookback))
     g = x.groupBy("f", key).agg(F.array_sort(F.collect_list(F.struct("gi", F.ln("px").alias("v")))).alias("z"))
     return g.filter(F.size("z") == lookback).select("f", key, F.transform("z", lambda e: e["v"]).alias("logs"))
 

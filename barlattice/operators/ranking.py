@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlattice.operators.align import align_grid, trailing_returns
+from barlattice.operators.align import align_grid, asof, trailing_returns
 from barlattice.operators.metrics import RF, curve_metrics
 from barlattice.session import pin
 
@@ -60,11 +60,11 @@ def champion_walk_forward(curves: DataFrame, bench: DataFrame, *, by="spec_id",
     g = expanding_sharpe(g, by=by, ts="i", eq="a").withColumn("rel", F.when(F.lag("a").over(w) > 0, F.col("a") / F.lag("a").over(w)))
     g = pin(g)  # read by the pick and by the return branch
     cand = g.filter((F.col("a") > 0) & (F.col("i") - F.col("first_i") >= min_history) & F.col("xs").isNotNull())
-    start = cand.agg(F.min("i").alias("_s"))
-    cand = cand.join(F.broadcast(start), (F.col("i") - F.col("_s")) % repick == 0)  # one-row start
+    start = cand.agg(F.min("i")).scalar()
+    cand = cand.withColumn("_s", start).filter((F.col("i") - F.col("_s")) % repick == 0)
     # highest Sharpe wins, the first curve on a tie
     best = cand.groupBy("i").agg(F.min_by(by, F.struct(-F.col("xs"), F.col(by))).alias("pick"))
-    t = slots.join(F.broadcast(start), F.col("i") >= F.col("_s")).join(best, "i", "left")  # bars of the calendar
+    t = slots.withColumn("_s", start).filter(F.col("i") >= F.col("_s")).join(best, "i", "left")  # bars of the calendar
     tw = Window.partitionBy(F.lit(0)).orderBy("i")
     t = t.withColumn("followed", F.last("pick", ignorenulls=True).over(tw.rowsBetween(Window.unboundedPreceding, -1)))
     t = t.join(g.select("i", F.col(by).alias("followed"), "rel"), ["i", "followed"], "left")
@@ -76,18 +76,19 @@ def follow_timeline(track: DataFrame, *, ts="d") -> DataFrame:
     """Collapsed picks, with the number of distinct picks and of re-picks."""
     w = Window.partitionBy(F.lit(0)).orderBy(ts)
     picks = track.filter("pick is not null")
-    tot = picks.agg(F.countDistinct("pick").alias("followed_count"), F.count("*").alias("switches"))
+    distinct, count = picks.agg(F.countDistinct("pick")).scalar(), picks.agg(F.count("*")).scalar()
     x = picks.withColumn("_p", F.lag("pick").over(w)).filter(F.col("_p").isNull() | (F.col("_p") != F.col("pick")))
-    return x.select(ts, "pick").crossJoin(F.broadcast(tot))  # one-row totals
+    return x.select(ts, "pick", distinct.alias("followed_count"), count.alias("switches"))
 
 
 def benchmark_rebased(curves: DataFrame, bench: DataFrame, *, by="spec_id", ts="d", eq="eq", px="c", min_days=365) -> DataFrame:
     """Per curve: own and benchmark return from its first bar, and the edge; the edge needs a year in common."""
     c = curves.groupBy(by).agg(F.min(ts).alias("t0"), F.max(ts).alias("t1"), F.min_by(eq, ts).alias("e0"), F.max_by(eq, ts).alias("e1"))
-    b = bench.select(F.col(ts).alias("_t"), F.col(px).alias("_p")).filter("_p > 0")
-    # as-of at both ends through aggregates over a broadcastable calendar-bounded benchmark
-    x = c.join(b, F.col("_t") <= F.col("t1")).groupBy(by, "t0", "t1", "e0", "e1").agg(
-        F.max_by("_p", F.when(F.col("_t") <= F.col("t0"), F.col("_t"))).alias("b0"), F.max_by("_p", "_t").alias("b1"))
+    # the benchmark as of every distinct end date (dates of the calendar), then two equality joins
+    b = bench.select(F.lit(0).alias("_k"), F.col(ts).alias("_t"), F.col(px).alias("_p")).filter("_p > 0")
+    ends = c.select(F.lit(0).alias("_k"), F.col("t0").alias("_t")).union(c.select(F.lit(0), "t1")).distinct()
+    at = asof(ends, b, by=["_k"], ts="_t", values=["_p"])
+    x = c.join(at.select(F.col("_t").alias("t0"), F.col("_p").alias("b0")), "t0").join(at.select(F.col("_t").alias("t1"), F.col("_p").alias("b1")), "t1")
     ret, bret = (F.col("e1") / F.col("e0") - 1) * 1e2, (F.col("b1") / F.col("b0") - 1) * 1e2
     ok = F.date_diff("t1", "t0") >= min_days
     return x.select(by, ret.alias("return_pct"), bret.alias("bench_pct"), F.when(ok, ret - bret).alias("edge_pct"))
@@ -106,9 +107,9 @@ def fitness(sharpe: Column, total_return_pct: Column) -> Column:
 
 def shared_fitness(specs: DataFrame, *, raw="raw", kind="kind", arch="archetype", name="spec_id") -> DataFrame:
     """Raw fitness divided by 1 + half the number of better rows of the same class; unchanged without multi-name kinds."""
-    multi = specs.agg(F.coalesce(F.max(F.col(kind).isin("BASKET", "PAIRS")), F.lit(False)).alias("_m"))
+    multi = specs.agg(F.coalesce(F.max(F.col(kind).isin("BASKET", "PAIRS")), F.lit(False))).scalar()
     better = F.rank().over(Window.partitionBy(arch).orderBy(F.col(raw).desc())) - 1
-    x = specs.crossJoin(F.broadcast(multi)).withColumn("better", better)  # one-row flag
+    x = specs.withColumn("_m", multi).withColumn("better", better)
     x = x.withColumn("shared", F.when(F.col("_m"), F.col(raw) / (1 + 5e-1 * F.col("better"))).otherwise(F.col(raw))).drop("_m")
     return ordered(x, [F.col("shared").desc(), F.col(name).asc()])
 
@@ -124,8 +125,8 @@ def robust_rank(board: DataFrame, references: list[str], *, by="strategy") -> Da
     """Median return and Sharpe and worst drawdown of a strategy over symbols, and how many references it beats."""
     m = board.groupBy(by).agg(F.median("total_return_pct").alias("med_return"), F.median("sharpe").alias("med_sharpe"),
                               F.max("max_drawdown_pct").alias("worst_dd"))
-    refs = m.filter(F.col(by).isin(*references)).agg(F.collect_list("med_return").alias("_rr"))  # one value per reference
-    x = m.crossJoin(F.broadcast(refs))
+    refs = m.filter(F.col(by).isin(*references)).agg(F.collect_list("med_return"))  # one value per reference
+    x = m.withColumn("_rr", refs.scalar())
     beats = F.size(F.filter("_rr", lambda v: F.col("med_return") > v))
     return ordered(x.withColumn("beats", beats).drop("_rr"), [F.col("med_return").desc(), F.col(by).asc()])
 

@@ -131,8 +131,8 @@ def effective_targets(eff: DataFrame, targets: DataFrame, *, ts="d", key="sym")
 def switch_cost(books: DataFrame, buy_rate: float, sell_rate: float, *, key="sym") -> DataFrame:
     """Cost of moving into entry ``eno`` from the entry before it (from cash for the first)."""
     new = books.select("eno", key, F.col("weight").alias("w1"))
-    last = books.agg(F.max("eno").alias("_m"))
-    old = books.select((F.col("eno") + 1).alias("eno"), key, F.col("weight").alias("w0")).join(F.broadcast(last), F.col("eno") <= F.col("_m")).drop("_m")
+    last = books.agg(F.max("eno")).scalar()
+    old = books.select((F.col("eno") + 1).alias("eno"), key, F.col("weight").alias("w0")).filter(F.col("eno") <= last)
     x = new.join(old, ["eno", key], "full").fillna(0e0, ["w0", "w1"])
     d = F.col("w1") - F.col("w0")
     return x.groupBy("eno").agg(F.sum(F.when(d > 0, d * buy_rate).otherwise(-d * sell_rate)).alias("cost"))

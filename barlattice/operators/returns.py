@@ -113,10 +113,10 @@ def turnover_per_year(trades: DataFrame, curve: DataFrame, *, by="sym", ts="d",
 
 # ---- baskets: decide, trade one bar later, hold with drift -----------------------------------------------------------
 
-def _periods(weights: DataFrame, last_gi: DataFrame, by) -> DataFrame:
+def _periods(weights: DataFrame, grid: DataFrame, by) -> DataFrame:
     """Decision list with the executing bar (decision + 1) and the bar of the next execution."""
     w = Window.partitionBy(*by).orderBy("gi")
-    dec = weights.select(*by, "gi").distinct().crossJoin(F.broadcast(last_gi))  # one-row maximum
+    dec = weights.select(*by, "gi").distinct().withColumn("_last", grid.agg(F.max("gi")).scalar())
     x = dec.withColumn("_x", F.col("gi") + 1).withColumn("_next", F.lead("gi").over(w) + 1)
     x = x.withColumn("_end", F.least(F.coalesce(F.col("_next"), F.col("_last")), F.col("_last")))
     return x.filter(F.col("_x") <= F.col("_last"))
@@ -128,7 +128,7 @@ def basket_values(weights: DataFrame, grid: DataFrame, *, by=("spec_id",)) -> Da
     ``weights``: (by, gi, sym, w) decided at grid slot gi; a decision without names is a row with sym null.
     ``grid``: (gi, sym, px).  Output: (by, dec, x, end, gi, sym, w, wv) with wv = w * price / price at execution.
     """
-    per = _periods(weights, grid.agg(F.max("gi").alias("_last")), by)
+    per = _periods(weights, grid, by)
     held = weights.filter(F.col("sym").isNotNull() & (F.col("w") != 0)).join(per, [*by, "gi"]) \
         .select(*by, F.col("gi").alias("dec"), F.col("_x").alias("x"), F.col("_end").alias("end"), "sym", "w")
     slots = held.withColumn("gi", F.explode(F.sequence("x", "end")))
@@ -142,8 +142,7 @@ def basket_trades(values: DataFrame, weights: DataFrame, model: dict, *, by=("sp
     gross = F.sum(F.col("wv") - F.col("w")).over(Window.partitionBy(*by, "dec", "gi"))
     ends = values.withColumn("_v", 1 + gross).filter(F.col("gi") == F.col("end")) \
         .select(*by, F.col("end").alias("x"), "sym", (F.col("wv") / F.col("_v")).alias("old_w"))
-    last = weights.agg(F.max("gi").alias("_l"))
-    ends = ends.crossJoin(F.broadcast(last)).filter(F.col("x") <= F.col("_l") + 1).drop("_l")  # one-row maximum
+    ends = ends.filter(F.col("x") <= weights.agg(F.max("gi")).scalar() + 1)
     new = weights.filter("sym is not null and w <> 0").select(*by, (F.col("gi") + 1).alias("x"), "sym", F.col("w").alias("new_w"))
     t = ends.join(new, [*by, "x", "sym"], "full").fillna(0e0, ["old_w", "new_w"])
     d = F.col("new_w") - F.col("old_w")
@@ -155,7 +154,7 @@ def basket_trades(values: DataFrame, weights: DataFrame, model: dict, *, by=("sp
 def basket_returns(weights: DataFrame, grid: DataFrame, model: dict, *, by=("spec_id",)) -> DataFrame:
     """Net curve of a basket: (by, gi, eq), starting with 1 at the first execution before its cost."""
     values = basket_values(weights, grid, by=by)
-    per = _periods(weights, grid.agg(F.max("gi").alias("_last")), by) \
+    per = _periods(weights, grid, by) \
         .select(*by, F.col("gi").alias("dec"), F.col("_x").alias("x"), F.col("_end").alias("end"))
     bar = values.groupBy(*by, "dec", "gi").agg((1 + F.sum(F.col("wv") - F.col("w"))).alias("v"))
     slots = per.withColumn("gi", F.explode(F.sequence("x", "end"))).join(bar, [*by, "dec", "gi"], "left").fillna(1e0, ["v"])

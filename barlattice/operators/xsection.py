@@ -112,7 +112,7 @@ def null_portfolios(names: DataFrame, n: int, seeds: int, *, key="sym") -> DataF
 
 def null_percentile(draws: DataFrame, study: DataFrame, *, score="score") -> DataFrame:
     """Where the study's score stands among the draws: shares and order statistics."""
-    x = draws.crossJoin(F.broadcast(study.select(F.col(score).alias("study"))))  # one-row study
+    x = draws.withColumn("study", study.select(score).scalar())
     return x.groupBy("study").agg(
         F.avg(F.when(F.col(score) >= F.col("study"), 1e0).otherwise(0e0)).alias("share_at_or_above"),
         F.min(score).alias("null_min"), F.median(score).alias("null_median"), F.max(score).alias("null_max"))

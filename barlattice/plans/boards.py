@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barlattice.functions.indicators import with_indicators
@@ -213,5 +214,5 @@ def perturbation_grid(t):
     tall = x.select("sym", "d", "c", F.inline(F.array(*cells)))
     by = ("param", "factor", "sym")
     m = curve_metrics(equity_curve(weight_returns(tall, DEL, key=by), by=by), by=("param", "factor", "sym"), names=["sharpe", "max_drawdown_pct"], digits=3)
-    bench = m.filter("param = 'bench'").select("sym", F.col("sharpe").alias("_b"))
-    return m.filter("param <> 'bench'").join(F.broadcast(bench), "sym").select("param", "factor", "sharpe", "max_drawdown_pct", (F.col("sharpe") >= F.col("_b")).alias("holds"))
+    bench = F.max(F.when(F.col("param") == "bench", F.col("sharpe"))).over(Window.partitionBy("sym"))
+    return m.withColumn("_b", bench).filter("param <> 'bench'").select("param", "factor", "sharpe", "max_drawdown_pct", (F.col("sharpe") >= F.col("_b")).alias("holds"))

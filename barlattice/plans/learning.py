@@ -90,8 +90,7 @@ def fit_logistic(t):
 def last_fold(t):
     tr, z, _ = zfold(t)
     z = pin(z)
-    last = z.agg(F.max("dec").alias("dec"))
-    return pin(z.join(F.broadcast(last), "dec", "left_semi"))  # one-row maximum
+    return pin(z.filter(F.col("dec") == z.agg(F.max("dec")).scalar()))
 
 
 @query("fit_gbm", V)

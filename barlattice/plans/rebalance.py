@@ -120,8 +120,7 @@ def weight_diff(t):
     from barlattice.session import pin
 
     bk = pin(B.effective_targets(B.effective_book(entries(t)), t.pin("advice")))
-    last = bk.agg(F.max("eno").alias("m"))
-    prev = bk.withColumn("eno", F.col("eno") + 1).join(F.broadcast(last), F.col("eno") <= F.col("m")).drop("m")
+    prev = bk.withColumn("eno", F.col("eno") + 1).filter(F.col("eno") <= bk.agg(F.max("eno")).scalar())
     return B.weight_diff(prev, bk)
 
 

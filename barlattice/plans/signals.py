@@ -9,20 +9,21 @@ from barlattice.functions.indicators import with_indicators
 from barlattice.plans.indicators import STAGE, W, fr, rsi, sma, vol
 from barlattice.plans.registry import query
 from barlattice.plans.registry import rr as r
+from barlattice.plans.registry import tr, tr_sql
 
 
 MATH_CTE = f"""m as (select sym, d, c, {sma(20)} s, case when d < date '1994-01-01' then 0e0 else c - 1e2 end z from candles_daily)"""
 
 
 @query("safe_math", "candles_daily", f"""{MATH_CTE}
-  select sym, d, round(c + s, 6) + 0e0 a, round(c - s, 6) + 0e0 b, round(c*s, 4) + 0e0 p, round(c/nullif(z, 0e0), 6) + 0e0 q,
+  select sym, d, round(c + s, 6) + 0e0 a, round(c - s, 6) + 0e0 b, {tr_sql('c*s', 4)} p, round(c/nullif(z, 0e0), 6) + 0e0 q,
          case when s is not null then round(least(c, s), 6) end lo, case when s is not null then round(greatest(c, s), 6) end hi
   from m""")
 def safe_math(t):
     x = with_indicators(t.candles_daily, {"s": ("sma", 20)})
     c, s = F.col("c"), F.col("s")
     z = F.when(F.col("d") < F.lit("1994-01-01").cast("date"), 0e0).otherwise(c - 1e2)
-    return x.select("sym", "d", r(c + s).alias("a"), r(c - s).alias("b"), r(c * s, 4).alias("p"),
+    return x.select("sym", "d", r(c + s).alias("a"), r(c - s).alias("b"), tr(c * s, 4).alias("p"),
                     r(S.safe_div(c, z)).alias("q"), F.round(S.safe_min(c, s), 6).alias("lo"),
                     F.round(S.safe_max(c, s), 6).alias("hi"))
 

@@ -132,8 +132,8 @@ def merge_history_live(backfill: DataFrame, live: DataFrame, *, key="sym", ts="d
 
 def append_once_log(log: DataFrame, entry: DataFrame, *, date="d") -> DataFrame:
     """Entries strictly later than the last logged date."""
-    last = log.agg(F.max(date).alias("_last"))
-    return entry.join(F.broadcast(last), F.col("_last").isNull() | (F.col(date) > F.col("_last"))).drop("_last")
+    last = log.agg(F.max(date)).scalar()
+    return entry.withColumn("_last", last).filter(F.col("_last").isNull() | (F.col(date) > F.col("_last"))).drop("_last")
 
 
 def sanitize_log(log: DataFrame, *, by="bot", order="pos") -> DataFrame:

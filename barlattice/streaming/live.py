@@ -219,8 +219,8 @@ def append_log_batch(path: str, date="date"):
             if "PATH_NOT_FOUND" not in str(ex):
                 raise
             log = spark.createDataFrame([], one.schema)
-        last = log.agg(F.max(date).alias("_last"))
-        new = one.join(F.broadcast(last), F.col("_last").isNull() | (F.col(date) > F.col("_last"))).drop("_last")  # one-row maximum
+        last = log.agg(F.max(date)).scalar()
+        new = one.withColumn("_last", last).filter(F.col("_last").isNull() | (F.col(date) > F.col("_last"))).drop("_last")
         new.write.mode("append").parquet(path)
 
     return write
@@ -250,8 +250,7 @@ def leaderboard_batch(path: str):
 
 def latest_board(spark: SparkSession, path: str) -> DataFrame:
     x = spark.read.option("basePath", f"{path}/board").parquet(f"{path}/board")
-    last = x.agg(F.max("version").alias("version"))
-    return x.join(F.broadcast(last), "version", "left_semi").drop("version")  # one-row maximum
+    return x.filter(F.col("version") == x.agg(F.max("version")).scalar()).drop("version")
 
 
 def symbols_of_interest(watch: DataFrame, positions: DataFrame, alerts: DataFrame, orders: DataFrame) -> DataFrame:
