@@ -64,7 +64,7 @@ q as (select sym, d, pr, exp(sum(ln(1+pr)) over (partition by sym order by d
         rows between unbounded preceding and current row)) eq from e),
 m as (select *, max(eq) over (partition by sym order by d rows between unbounded preceding and current row) pk from q)
 select sym, count(*) bars, round(100*max(1-eq/pk),2) + 0e0 mdd,
-       round(sqrt(2.52e2)*(avg(pr)-6.5e-2/2.52e2)/stddev_samp(pr),4) + 0e0 sharpe from m group by sym"""
+       case when stddev_samp(pr) = 0 then 0e0 else round(sqrt(2.52e2)*(avg(pr)-6.5e-2/2.52e2)/stddev_samp(pr),4) + 0e0 end sharpe from m group by sym"""
 
 
 def _report(candles):
@@ -83,8 +83,6 @@ def trend_report(t):
     return _report(t.candles_daily)
 
 
-@query("trend_report_by_type", "candles_type", _report_sql("candles_type").replace(
-    "round(sqrt(2.52e2)*(avg(pr)-6.5e-2/2.52e2)/stddev_samp(pr),4) + 0e0",
-    "case when stddev_samp(pr) = 0 then 0e0 else round(sqrt(2.52e2)*(avg(pr)-6.5e-2/2.52e2)/stddev_samp(pr),4) + 0e0 end"))
+@query("trend_report_by_type", "candles_type", _report_sql("candles_type"))
 def trend_report_by_type(t):
     return _report(t.candles_type)

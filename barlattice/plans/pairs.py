@@ -23,7 +23,7 @@ WIN = f"""{GRID}, pg as (select gi, d, sym, px from grid where px is not null an
   lw as (select *, count(*) over (partition by f, sym) n from lw0 qualify n = {LB}),
   lr as (select f, sym, gi, lp, lp - lag(lp) over (partition by f, sym order by gi) r from lw)"""
 ST = f"""{WIN}, ps0 as (select a.f, a.sym a, b.sym b, corr(a.r, b.r) rho, regr_slope(a.lp, b.lp) beta from lr a join lr b on a.f = b.f and a.gi = b.gi and a.sym < b.sym group by 1, 2, 3),
-  ps as (select * from ps0 where rho >= {MINC}),
+  ps as (select * from ps0 where not isnan(rho) and rho >= {MINC}),
   sd as (select ps.f, ps.a, ps.b, x.gi, x.lp - beta*y.lp s from ps join lr x on x.f = ps.f and x.sym = ps.a join lr y on y.f = ps.f and y.sym = ps.b and y.gi = x.gi),
   sl as (select *, lead(s) over (partition by f, a, b order by gi) s1 from sd),
   ph as (select f, a, b, regr_slope(s1, s) filter (s1 is not null) phi from sl group by 1, 2, 3),

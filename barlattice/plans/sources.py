@@ -103,7 +103,7 @@ def merge_history_live(t):
     return io.merge_history_live(back, live)
 
 
-@query("append_once_log", "advice", "select d, sym, rk, qty from advice where d > (select max(d) from advice where d < date '1996-01-01')")
+@query("append_once_log", "advice", "select d, sym, rk, qty from advice where d > coalesce((select max(d) from advice where d < date '1996-01-01'), date '1900-01-01')")
 def append_once_log(t):
     a = t.advice
     return io.append_once_log(a.filter("d < date '1996-01-01'"), a).select("d", "sym", "rk", "qty")
