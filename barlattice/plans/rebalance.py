@@ -148,5 +148,6 @@ def switch_cost(t):
   select eno, d, round(adv, 6) adv, round(mk, 6) market, round(un, 6) universe, round(cp, 7) + 0e0 cost_paid,
      round(case when eno > 0 then 1 - adv/greatest(max(case when eno > 0 then adv end) over (order by eno rows between unbounded preceding and current row), 1e0) else 0e0 end, 6) + 0e0 drawdown from gr""")
 def score_log(t):
+    t.pin("candles_daily")  # the log is derived from the same panel
     x = B.score_log(entries(t), t.pin("advice"), t.pin("candles_daily"), t.pin("market_daily"), DEL["buy"], DEL["sell"])
     return x.select("eno", "d", *[F.round(c, 6).alias(c) for c in ("adv", "market", "universe")], rr("cost_paid", 7).alias("cost_paid"), rr("drawdown").alias("drawdown"))

@@ -21,12 +21,12 @@ class Inputs:
         self.spark, self.sf_dir, self._pinned = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return self._pinned[name] if name in self._pinned else view(self.spark, self.sf_dir, name, self._pinned)
 
     def pin(self, name: str) -> DataFrame:
         """A view read several times by one query: computed once and kept by a reliable checkpoint."""
         if name not in self._pinned:
-            self._pinned[name] = pin(view(self.spark, self.sf_dir, name))
+            self._pinned[name] = pin(view(self.spark, self.sf_dir, name, self._pinned))
         return self._pinned[name]
 
 

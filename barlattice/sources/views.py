@@ -142,12 +142,13 @@ def _bases(name: str) -> tuple[str, ...]:
     return tuple(t for t in TABLES if t in words)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame (lazy)."""
+def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A derived view as a DataFrame (lazy); views in ``given`` are taken as they are instead of derived again."""
     if name in TABLES:
         return table(spark, sf_dir, name)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    given = {n: df for n, df in (given or {}).items() if n in closure((name,)) and n != name}
     ctes = [f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in _bases(name)]
-    ctes += [f"{n} as ({VIEWS[n][1]})" for n in closure((name,))]
-    return spark.sql("with " + ",\n".join(ctes) + f"\nselect * from {name}")
+    ctes += [f"{n} as (select * from {{{n}}})" if n in given else f"{n} as ({VIEWS[n][1]})" for n in closure((name,))]
+    return spark.sql("with " + ",\n".join(ctes) + f"\nselect * from {name}", **given)
