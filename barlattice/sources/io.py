@@ -138,7 +138,6 @@ def append_once_log(log: DataFrame, entry: DataFrame, *, date="d") -> DataFrame:
 
 def sanitize_log(log: DataFrame, *, by="bot", order="pos") -> DataFrame:
     """Well-formed entries with strictly ascending dates; one bad leg drops its entry."""
-    p = "p"
     fine = F.forall("targets", lambda p: p["symbol"].isNotNull() & p["qty"].isNotNull() & (p["price"] > 0) & p["weight"].isNotNull())
     ok = (F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col("t").isNotNull() & F.col("eligible").isNotNull()
           & (F.col("equity") > 0) & F.col("targets").isNotNull() & F.coalesce(fine, F.lit(False)))
