@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from barlattice.llm import bitpack, seqpack, url_filter
+from barlattice.llm import bitpack, quality_fm, seqpack, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +52,23 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+TRAIN_PER_CLASS = 3000  # labelled rows of each class that a classifier is fitted on, at most
+
+
+def fit_quality(spark: SparkSession, sf_dir: str) -> quality_fm.Model:
+    learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    sample = quality_fm.labelled_sample(table(spark, sf_dir, "labels"), "quality", learn, TRAIN_PER_CLASS)
+    return quality_fm.fit(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), sample)
+
+
+@query()
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    scored = quality_fm.score(docs, fit_quality(spark, sf_dir))
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query()
 def op4_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = bitpack.write_tokens(table(spark, sf_dir, "documents"), bitpack.token_folder(spark), tokenizer(), VOCABULARY)

@@ -43,7 +43,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = CHUNK_BYTES) ->
 
 def buffer_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes, each document followed by a newline, and the documents' offsets (one more than documents)."""
-    joined = pc.binary_join_element_wise(strings, "", "\n")
+    joined = pc.binary_join_element_wise(strings, *(pa.scalar(x, pa.large_string()) for x in ("", "\n")))
     offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset:joined.offset + len(joined) + 1]
     data = np.frombuffer(joined.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if len(joined) else np.empty(0, np.uint8)
     return data, offsets - offsets[0]
