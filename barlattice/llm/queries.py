@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from barlattice.llm import bitpack, quality_fm, seqpack, url_filter
+from barlattice.llm import bitpack, quality_fm, seqpack, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,14 @@ def op4_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_tokens(manifest)
 
 
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    sample = quality_fm.labelled_sample(table(spark, sf_dir, "labels"), "toxic", ~held, TRAIN_PER_CLASS)
+    scored = toxicity.score(docs, toxicity.fit(docs, sample))
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query()
 def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqpack.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("ids")
