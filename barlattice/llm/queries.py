@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from barlattice.llm import bitpack, quality_fm, seqpack, toxicity, url_filter
+from barlattice.llm import bitpack, decontam, license_scan, pii_fpe, quality_fm, seqpack, topk_ip, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,7 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+PII_KEY = b"barlattice-example-key"  # a deployment passes its own secret
 VOCABULARY = 50_257
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -69,12 +70,24 @@ def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query(decontam.oracle())
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op4_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = bitpack.write_tokens(table(spark, sf_dir, "documents"), bitpack.token_folder(spark), tokenizer(), VOCABULARY)
     return bitpack.read_tokens(manifest)
 
 
+@query()
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii_fpe.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    n = F.aggregate(F.map_values("pii"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return done.select("doc_id", "text", n.alias("n_replaced"), F.array_join(F.sort_array(F.map_keys("pii")), ",").alias("kinds"))
+
+
 @query()
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -83,6 +96,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query(license_scan.oracle())
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
+
+
+@query("""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) x from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) k from p)
+select query_id, cast(k as integer) rank, vec_id, score from r where k <= 5""")
+def op9_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_ip.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query()
 def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqpack.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("ids")
