@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from barlattice.llm import bitpack, decontam, license_scan, pii_fpe, quality_fm, seqpack, topk_ip, toxicity, url_filter
+from barlattice.llm import bitpack, decontam, jaccard_tgm, license_scan, pii_fpe, quality_fm, seqpack, topk_ip, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +101,21 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
 
 
+@query("""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [list_aggregate(w, 'string_agg', ' ')]
+      else list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) end s from w),
+k as (select s, len(s) n, min(doc_id) rep from (select doc_id, list_sort(s) s from s) group by s),
+t as (select rep, n, unnest(s) t from k),
+c as (select a.rep u, b.rep v, a.n m, b.n n, count(*) c from t a join t b on a.t = b.t and a.rep <> b.rep and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n group by all),
+l as (select u, v from c where 100 * c >= 90 * (m + n - c)),
+r as (select rep, rep as o from k union select r.rep, l.v from r join l on l.u = r.o),
+f as (select rep, min(o) o from r group by rep)
+select s.doc_id, len(s.s) n_shingles, case when len(s.s) = 0 then s.doc_id else f.o end component_id from s join k on list_sort(s.s) = k.s join f using (rep)""")
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tgm.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=90)
+
+
 @query("""
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) x from embeddings
            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
