@@ -9,9 +9,10 @@ documents link if ``den * |A and B| >= num * |A or B|``; then each holds at leas
 3. What is left is partitioned into groups of similar documents: by minimum hashes, each with the document of most shared tokens as
    hub.  Documents checked against their hubs link to them, and the best such hub names the group.
 4. The matrix of tokens and groups (each group's token union) bounds every document's overlap with all other groups: first on
-   first tokens, then on whole sets.  Again only what could link outside its group is left.
+   first tokens, then twice on whole sets.  ``shared`` such tokens bound a partner's size by its reach, ``shared * (1 + t) / t - n``;
+   only documents that some size could link outside their group are left.
 5. Those documents look up their rarest tokens in the matrix, as many as a partner can't lack all of; groups found are opened only
-   if the document's overlap with the whole union reaches the bound, and members of fitting size are compared exactly.
+   if sizes and reaches fit and the overlap with the whole union reaches the bound, and fitting members are compared exactly.
 6. Links give components by repeated star contraction.
 
 No step lists the pairs of a group: a document is compared with a few hubs and with the members of qualifying foreign groups.  Tokens
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 from barlattice.llm import text as tx
 from barlattice.session import shared_dir
 
-BANDS = 3
+BANDS = 4
+MAX_BROADCAST_CLASSES = 500_000  # some 40 bytes each
 FLUSH_TOKENS = 1 << 21
 BUCKET_BYTES = 16 << 20
-_SEEDS = [np.uint64(s) for s in (0, 0xA5A5F00D12345679, 0x5DEECE66D1234567)]
+_SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(2 * BANDS)]
 
 
 def token_sets(strings: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -62,6 +64,12 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.array(a).view(np.int64)), int(np.array(b).view(np.int64))
 
 
+def _keys(s: np.ndarray) -> list[int]:
+    """Keys that similar sets share: each joins two minimum hashes, so one token that many sets have doesn't gather them."""
+    low = np.array([tx.mix(s ^ seed).min() for seed in _SEEDS])
+    return tx.mix(low[::2] * np.uint64(3) + low[1::2]).view(np.int64).tolist()
+
+
 class Threshold:
     """Bounds that follow from ``den * |A and B| >= num * |A or B|``, in whole numbers."""
 
@@ -256,7 +264,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     shared = _shared_counts(rows.mapInArrow(first_tokens, "bucket long, tokens binary, owners binary, groups binary"), parts)
     able = classes.join(shared, classes["a"] == shared["owner"]).filter(F.col("shared") >= _least_common(F.col("n"), t)).filter(F.col("rep").isNotNull())
-    central = F.col("popular") / F.col("shared")
+    central = F.col("popular") / F.col("n")  # a text that others were made from has no tokens of its own
     able = able.select("rep", "a", "b", "n", central.alias("central"))
 
     # 3. their sets, hubs and groups
@@ -269,20 +277,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                     if len(s) and _digest(s) == (a[lo + i].as_py(), b[lo + i].as_py()):  # a row of equal id and other text is none of it
                         keep.append(lo + i)
                         sets.append(s.tobytes())
-                        mins.append([int(tx.mix(s ^ seed).min().view(np.int64)) for seed in _SEEDS[:BANDS]])
+                        mins.append(_keys(s))
                 take = pa.array(keep, pa.int64())
                 yield pa.record_batch([reps.take(take), pa.array([len(x) // 8 for x in sets], pa.int64()), central.take(take), pa.array(sets, pa.binary()), pa.array(mins, pa.list_(pa.int64()))],
                                       names=["rep", "n", "central", "set", "mins"])
 
-    fetched = rows.join(able.select(F.col("rep").alias("doc_id"), "a", "b", "central"), "doc_id").select(F.col("doc_id").alias("rep"), "text", "a", "b", "central")
+    able = able.checkpoint()
+    wanted = able.select(F.col("rep").alias("doc_id"), "a", "b", "central")
+    wanted = F.broadcast(wanted) if able.count() <= MAX_BROADCAST_CLASSES else wanted
+    fetched = rows.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text", "a", "b", "central")
     sets = fetched.mapInArrow(with_sets, "rep long, n long, central double, set binary, mins array<long>").checkpoint()
-    keyed = sets.select("rep", "central", F.posexplode("mins").alias("band", "key"))
-    hubs = keyed.groupBy("band", "key").agg(F.max(F.struct("central", "rep")).alias("h"), F.count("*").alias("size")).filter("size > 1").select("band", "key", F.col("h.rep").alias("hub"), F.col("h.central").alias("hub_central"))
-    to_hub = keyed.join(hubs, ["band", "key"]).filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"), "hub_central").distinct()
+    keyed = sets.select("rep", "n", "central", F.posexplode("mins").alias("band", "key"))
+    one = F.struct("central", "rep", "n")
+    hubs = keyed.groupBy("band", "key").agg(F.array_distinct(F.array(F.max(one), F.min_by(one, "rep"))).alias("h"), F.count("*").alias("size")).filter("size > 1").select("band", "key", F.explode("h").alias("h"))
+    fits = (den * F.col("n") >= num * F.col("h.n")) & (den * F.col("h.n") >= num * F.col("n"))
+    to_hub = keyed.join(hubs, ["band", "key"]).filter((F.col("rep") != F.col("h.rep")) & fits)
+    to_hub = to_hub.select(F.col("rep").alias("u"), F.col("h.rep").alias("v"), F.col("h.central").alias("hub_central")).distinct()
     plain = sets.select("rep", "n", "set")
-    pairs = to_hub.join(plain.select(F.col("rep").alias("u"), F.col("n").alias("un"), F.col("set").alias("us")), "u").join(plain.select(F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("set").alias("vs")), "v")
-    fits = (den * F.col("un") >= num * F.col("vn")) & (den * F.col("vn") >= num * F.col("un"))
-    hub_links = _links(pairs.filter(fits), t).select("u", "v", "hub_central").checkpoint()
+    pairs = to_hub.join(plain.select(F.col("rep").alias("u"), F.col("set").alias("us")), "u").join(plain.select(F.col("rep").alias("v"), F.col("set").alias("vs")), "v")
+    hub_links = _links(pairs, t).select("u", "v", "hub_central").checkpoint()
     best = hub_links.groupBy(F.col("u").alias("rep")).agg(F.max(F.struct("hub_central", "v")).alias("h")).select("rep", F.col("h.v").alias("hub"))
     grouped = plain.join(best, "rep", "left").select("rep", "n", "set", F.coalesce("hub", "rep").alias("grp"))
 
@@ -308,10 +321,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                 yield from _packed(owners, groups, held, shift)
 
         counts = _shared_counts(frame.select("rep", "grp", "set").mapInArrow(pack, "bucket long, tokens binary, owners binary, groups binary"), parts)
-        bound = _need(F.col("n"), t) if whole else _least_common(F.col("n"), t)
-        return frame.join(counts.withColumnRenamed("owner", "rep"), "rep").filter(F.col("shared") >= bound).select("rep", "n", "set", "grp").checkpoint()
+        # the largest partner that a document sharing so many tokens can have
+        reach = F.floor(F.col("shared") * (num + den) / num) - F.col("n")
+        bound = reach >= _need(F.col("n"), t) if whole else F.col("shared") >= _least_common(F.col("n"), t)
+        return frame.join(counts.withColumnRenamed("owner", "rep"), "rep").filter(bound).select("rep", "n", "set", "grp", reach.alias("reach")).checkpoint()
 
-    left = outside(outside(grouped, False), True)
+    left = outside(outside(outside(grouped, False), True), True)
     links = hub_links.select("u", "v")
     if not left.isEmpty():
         links = links.unionByName(_open_groups(left, t))
@@ -337,18 +352,28 @@ def _least_common(n, t: Threshold):
 
 
 def _open_groups(left: DataFrame, t: Threshold) -> DataFrame:
-    """5. Exact links ``u, v`` between documents of different groups."""
-    tokens = left.select("rep", "grp", "n", F.explode(_unpack("set")).alias("token"))
-    matrix = tokens.select("token", "grp").distinct()
+    """5. Exact links ``u, v`` between documents of different groups; the smaller document asks.
+
+    A document asks for partners of its own size up to its reach; of its tokens such a partner lacks ``n - least`` at most.
+    """
+    least = -F.floor(-(2 * t.num * F.col("n")) / (t.num + t.den))  # overlap with a partner of no smaller size
+    tokens = left.select("rep", "grp", "n", "reach", F.explode(_unpack("set")).alias("token"))
+    matrix = tokens.select("token", F.col("grp").alias("other")).distinct()
     rarity = matrix.groupBy("token").agg(F.count("*").alias("groups"))
-    ranked = tokens.join(rarity, "token").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("groups", "token")))
-    prefix = ranked.filter(F.col("k") <= F.col("n") - _need(F.col("n"), t) + 1).filter("groups > 1")
-    asked = prefix.join(matrix.withColumnRenamed("grp", "other"), "token").filter("other <> grp").select("rep", "n", "other").distinct()
-    reach = asked.join(tokens.select("rep", "token"), "rep").join(matrix.withColumnRenamed("grp", "other"), ["token", "other"]).groupBy("rep", "n", "other").agg(F.count("*").alias("overlap"))
-    opened = reach.filter(F.col("overlap") >= _need(F.col("n"), t)).select(F.col("rep").alias("u"), F.col("n").alias("un"), "other")
-    members = left.select(F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("grp").alias("other"))
-    fits = (t.den * F.col("un") >= t.num * F.col("vn")) & (t.den * F.col("vn") >= t.num * F.col("un")) & (F.col("u") != F.col("v"))
-    pairs = opened.join(members, "other").filter(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sizes = left.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("far"), F.count("*").alias("members"))
+    asking = tokens.filter("reach >= n").join(rarity, "token").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("groups", "token")))
+    prefix = asking.filter(F.col("k") <= F.col("n") - least + 1).filter("groups > 1").select("token", "rep", "grp", "n", "reach")
+    listed = matrix.join(sizes, "other")
+    may = (F.col("other") != F.col("grp")) & (F.col("high") >= F.col("n")) & (F.col("low") <= F.col("reach")) & (F.col("far") >= F.col("n"))
+    asked = prefix.join(listed, (prefix["token"] == listed["token"]) & may).select("rep", "n", "reach", "other", "members").distinct()
+    # a group of one is opened at once: its union is its only member
+    many = asked.filter("members > 1")
+    overlap = many.join(tokens.select("rep", "token"), "rep").join(matrix, ["token", "other"]).groupBy("rep", "n", "reach", "other").agg(F.count("*").alias("overlap"))
+    opened = overlap.filter(F.col("overlap") >= least).select("rep", "n", "reach", "other").unionByName(asked.filter("members = 1").select("rep", "n", "reach", "other"))
+    opened = opened.select(F.col("rep").alias("u"), F.col("n").alias("un"), F.col("reach").alias("ur"), "other")
+    members = left.select(F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("reach").alias("vr"), F.col("grp").alias("other"))
+    fits = (F.col("vn") >= F.col("un")) & (F.col("vn") <= F.col("ur")) & (F.col("un") <= F.col("vr")) & (t.den * F.col("un") >= t.num * F.col("vn")) & (F.col("u") != F.col("v"))
+    pairs = opened.join(members, (opened["other"] == members["other"]) & fits).select("u", "v").distinct()
     sets = left.select("rep", "set")
     pairs = pairs.join(sets.select(F.col("rep").alias("u"), F.col("set").alias("us")), "u").join(sets.select(F.col("rep").alias("v"), F.col("set").alias("vs")), "v")
     return _links(pairs, t).select("u", "v")
