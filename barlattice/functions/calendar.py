@@ -9,9 +9,9 @@ IST_MINUTES = 330
 
 # fixed values: full-day exchange closures of 2026
 HOLIDAYS = (
-    "2026-01-15 2026-01-26 2026-03-03 2026-03-26 2026-03-31 2026-04-03 2026-04-14 2026-05-01 2026-05-28 2026-06-26 "
-    "2026-09-14 2026-10-02 2026-10-20 2026-11-10 2026-11-24 2026-12-25"
-).split()
+    "2026-01-15", "2026-01-26", "2026-03-03", "2026-03-26", "2026-03-31", "2026-04-03", "2026-04-14", "2026-05-01", "2026-05-28", "2026-06-26",
+    "2026-09-14", "2026-10-02", "2026-10-20", "2026-11-10", "2026-11-24", "2026-12-25",
+)
 
 # fixed values: index names and vendor codes
 INDEX_CODES = {"NIFTY": "^NSEI", "BANKNIFTY": "^NSEBANK", "FINNIFTY": "^CNXFIN", "SENSEX": "^BSESN"}
@@ -66,13 +66,23 @@ def interval_ms(iv: Column) -> Column:
                   n.try_cast("bigint") * F.when(u == "h", 3_600_000).otherwise(60_000)).otherwise(F.lit(3_600_000).cast("bigint"))
 
 
+# fixed values: class of a rank operator
+RANK_CLASSES = {
+    "mom": "momentum", "macd": "momentum", "slope": "momentum", "vol": "lowvol", "volratio": "lowvol", "*": "lowvol", "/": "lowvol",
+    "distHigh": "breakout", "high": "breakout", "rsi": "meanrev", "zscore": "meanrev",
+}
+
+
+def _class_of(rank_op: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in RANK_CLASSES.items() for x in pair]), rank_op)
+
+
 def archetype(kind, has_entry, has_weight, ml_model, has_factors, rank_op) -> Column:
     """Class of a spec by kind, model and rank operator."""
     return (F.when(kind.isNull(), "other").when(kind == "FNO", "fno").when(kind == "PAIRS", "pairs")
             .when((kind == "EQ") & ~has_entry & has_weight, "benchmark").when(kind == "EQ", "eq")
             .when(ml_model.isNotNull(), F.concat(F.lit("ml-"), ml_model)).when(has_factors, "factor")
-            .when(rank_op.isin("mom", "macd", "slope"), "momentum").when(rank_op.isin("vol", "volratio", "*", "/"), "lowvol")
-            .when(rank_op.isin("distHigh", "high"), "breakout").when(rank_op.isin("rsi", "zscore"), "meanrev").otherwise("basket"))
+            .otherwise(F.coalesce(_class_of(rank_op), F.lit("basket"))))
 
 
 def expiry_ladder(df: DataFrame, *, date="d", count=3) -> DataFrame:

@@ -46,73 +46,71 @@ def shrink_delta(cov: DataFrame, *, by=("gi",)) -> DataFrame:
     return x.withColumn("sigma", sigma).drop("_av")
 
 
-def _cap(raw: np.ndarray, gross: float, cap: float) -> np.ndarray | None:
-    w = np.where(np.isfinite(raw) & (raw > 0), raw, 0.0)
-    if not w.sum() > 0:
-        return None
-    cap = (cap if 0 < cap < 1 else 1.0) * gross
-    fixed = np.zeros(len(w), bool)
-    for _ in range(8):
-        free, left = w[~fixed].sum(), gross - w[fixed].sum()
-        if free > 0 and left > 0:
-            w[~fixed] *= left / free
-        over = ~fixed & (w > cap + 1e-12)
-        if not over.any():
-            break
-        w[over], fixed = cap, fixed | over
-    return w
-
-
 def _square(pdf: pd.DataFrame):
     names = sorted(pdf["a"].unique())
     m = pdf.pivot(index="a", columns="b", values="sigma").loc[names, names].to_numpy()
     return names, m
 
 
-def _solve_weights(shrunk: DataFrame, kind: str, gross: float, cap: float, mu: DataFrame | None, by: str, iterations: int) -> DataFrame:
-    x = shrunk.select(by, "a", "b", "sigma")
+def _equal_risk(m: np.ndarray, sweeps: int = 500) -> np.ndarray | None:
+    """The long-only point where ``x_i (m x)_i`` is the same for all names: minimum of ``x'mx/2 - mean(ln x)`` by coordinate descent.
+
+    Each coordinate has a closed form, the positive root of ``m_ii x^2 + b x - 1/n = 0``; for a positive definite matrix the minimum is unique.
+    """
+    n, var = len(m), np.diag(m)
+    if not np.isfinite(m).all() or not (var > 0).all():
+        return None
+    x = 1 / np.sqrt(var.sum() * np.ones(n))
+    for _ in range(sweeps):
+        before = x.copy()
+        for i in range(n):
+            b = m[i] @ x - var[i] * x[i]
+            x[i] = (np.sqrt(b * b + 4 * var[i] / n) - b) / (2 * var[i])
+        if np.abs(x - before).max() <= 1e-13 * np.abs(x).max():
+            break
+    parts = x * (m @ x)
+    return x / x.sum() if np.isfinite(x).all() and np.allclose(parts, parts.mean(), rtol=1e-6) else None
+
+
+def _mean_variance(m: np.ndarray, mu: np.ndarray) -> np.ndarray | None:
+    """Solution of ``m w = mu`` with ``mu`` shifted above 0; equal ``mu`` where a name has none."""
+    v = mu - mu.min() + 1e-6 if np.isfinite(mu).all() else np.ones(len(mu))
+    try:
+        raw = np.linalg.solve(m, v)
+    except np.linalg.LinAlgError:
+        return None
+    return raw if np.isfinite(raw).all() else None
+
+
+def _solve_weights(shrunk: DataFrame, kind: str, gross: float, cap: float, mu: DataFrame | None, by) -> DataFrame:
+    by = [by] if isinstance(by, str) else list(by)
+    x = shrunk.select(*by, "a", "b", "sigma")
     if mu is not None:
-        x = x.join(mu.select(by, F.col("sym").alias("a"), "mu"), [by, "a"])
+        x = x.join(mu.select(*by, F.col("sym").alias("a"), "mu"), [*by, "a"], "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names, m = _square(pdf)
-        w = None
         if kind == "meanvar":
-            v = pdf.drop_duplicates("a").set_index("a").loc[names, "mu"].to_numpy(dtype=float)
-            v = v - v.min() + 1e-6 if np.isfinite(v).all() else np.ones(len(names))
-            try:
-                raw = np.linalg.solve(m, v)
-                w = _cap(raw, gross, cap) if np.isfinite(raw).all() else None
-            except np.linalg.LinAlgError:
-                w = None
+            raw = _mean_variance(m, pdf.drop_duplicates("a").set_index("a").loc[names, "mu"].to_numpy(dtype=float, na_value=np.nan))
         else:
-            w0 = np.where(np.diag(m) > 1e-18, 1 / np.sqrt(np.maximum(np.diag(m), 1e-300)), 0.0)
-            if w0.sum() > 0:
-                w0 = w0 / w0.sum()
-                for _ in range(iterations):
-                    sw = m @ w0
-                    port = w0 @ sw
-                    if not port > 0:
-                        break
-                    rc = w0 * sw
-                    w0 = w0 * np.sqrt(np.where(rc > 1e-18, port / len(w0) / np.where(rc > 1e-18, rc, 1.0), 1.0))
-                    w0 = w0 / w0.sum()
-                w = _cap(w0, gross, cap) if (m @ w0 > 0).all() else None
-        vals = w if w is not None else np.full(len(names), np.nan)
-        return pd.DataFrame({by: pdf[by].iloc[0], "sym": names, "w": pd.Series(vals).astype("Float64").where(~np.isnan(vals), pd.NA)})
-
-    ty = shrunk.schema[by].dataType.simpleString()
-    return x.groupBy(by).applyInPandas(solve, f"{by} {ty}, sym string, w double")
+            raw = _equal_risk(m)
+        vals = np.full(len(names), np.nan) if raw is None else raw
+        out = pd.DataFrame({"sym": names, "w": pd.Series(vals).astype("Float64").where(~np.isnan(vals), pd.NA)})
+        return out.assign(**{k: pdf[k].iloc[0] for k in by})[[*by, "sym", "w"]]
+
+    keys = ", ".join(f"{k} {shrunk.schema[k].dataType.simpleString()}" for k in by)
+    raw = x.groupBy(*by).applyInPandas(solve, f"{keys}, sym string, w double")
+    return cap_weights(raw, cap, gross=gross, by=tuple(by))
 
 
 def w_meanvar(shrunk, mu, *, gross=1e0, cap=1e0, by="gi") -> DataFrame:
-    """Long-only mean-variance weights (null for a date without a solution)."""
-    return _solve_weights(shrunk, "meanvar", gross, cap, mu, by, 0)
+    """Long-only mean-variance weights (null for a group without a solution); a name without ``mu`` makes its group's ``mu`` equal."""
+    return _solve_weights(shrunk, "meanvar", gross, cap, mu, by)
 
 
-def w_riskparity(shrunk, *, gross=1e0, cap=1e0, by="gi", iterations=60) -> DataFrame:
-    """Equal-risk-contribution weights by a damped fixed point (null where some marginal risk is not positive)."""
-    return _solve_weights(shrunk, "riskparity", gross, cap, None, by, iterations)
+def w_riskparity(shrunk, *, gross=1e0, cap=1e0, by="gi") -> DataFrame:
+    """Equal-risk-contribution weights (null for a group whose matrix has no such point)."""
+    return _solve_weights(shrunk, "riskparity", gross, cap, None, by)
 
 
 def risk_contributions(shrunk: DataFrame, weights: DataFrame, *, by=("gi",), key="sym") -> DataFrame:

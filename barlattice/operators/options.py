@@ -88,29 +88,30 @@ def _options(legs):
     return F.filter(legs, lambda x: x["opt_type"] != "FUT")
 
 
-def payoff_curve(packed: DataFrame, points: int = 240, max_legs: int = 4) -> DataFrame:
+def payoff_curve(packed: DataFrame, points: int = 240, compiled_legs: int = 4) -> DataFrame:
     """P&L on points + 1 evenly spaced spots; the window reaches down to 0 when the payoff still slopes there.
 
-    The legs become plain columns before the points multiply the rows, so the payoff is compiled arithmetic.  A
-    structure with more than ``max_legs`` legs stops the job instead of losing a leg.
+    The first ``compiled_legs`` legs become plain columns before the points multiply the rows, so their payoff is compiled
+    arithmetic; a structure may have any number of legs, further ones are summed from the list.
     """
     strikes = F.transform(_options(F.col("legs")), lambda x: x["strike"])
     slope = F.aggregate("legs", F.lit(0e0), lambda a, x: a + F.when(x["opt_type"] == "PE", -_sign(x) * x["units"])
                         .when(x["opt_type"] == "FUT", _sign(x) * x["units"]).otherwise(0e0))
     lo = F.when(F.abs(slope) > 1e-9, 0e0).otherwise(F.least(F.col("spot") * 7e-1, F.array_min(strikes)) * 9.5e-1)
     hi = F.greatest(F.col("spot") * 1.3e0, F.array_max(strikes)) * 1.05e0
-    fits = F.when(F.size("legs") > max_legs, F.raise_error(F.lit("structure has more legs than max_legs")).cast("double")).otherwise(lo)
-    legs = [F.get("legs", F.lit(i)) for i in range(max_legs)]
+    more = F.when(F.size("legs") > compiled_legs, F.slice("legs", compiled_legs + 1, F.size("legs")))
+    legs = [F.get("legs", F.lit(i)) for i in range(compiled_legs)]
     rest = [c for c in packed.columns if c != "legs"]
-    x = packed.select(*rest, fits.alias("_lo"), hi.alias("_hi"),
+    x = packed.select(*rest, lo.alias("_lo"), hi.alias("_hi"), more.alias("_more"),
                       *[F.when(g.isNull(), 0e0).otherwise(_sign(g) * g["units"]).alias(f"_q{i}") for i, g in enumerate(legs)],
                       *[F.coalesce(g["opt_type"], F.lit("FUT")).alias(f"_t{i}") for i, g in enumerate(legs)],
                       *[F.coalesce(g["strike"], F.lit(0e0)).alias(f"_k{i}") for i, g in enumerate(legs)],
                       *[F.coalesce(g["premium"], F.lit(0e0)).alias(f"_p{i}") for i, g in enumerate(legs)])
     x = x.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points))))
     x = x.withColumn("s", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / float(points))
-    val = " + ".join(f"_q{i} * (case _t{i} when 'FUT' then s when 'CE' then greatest(s - _k{i}, 0e0) else greatest(_k{i} - s, 0e0) end - _p{i})" for i in range(max_legs))
-    return x.select(*rest, "point", "s", F.expr(val).alias("pnl"))
+    val = " + ".join(f"_q{i} * (case _t{i} when 'FUT' then s when 'CE' then greatest(s - _k{i}, 0e0) else greatest(_k{i} - s, 0e0) end - _p{i})" for i in range(compiled_legs))
+    far = F.when(F.col("_more").isNotNull(), payoff_at(F.col("_more"), F.col("s"))).otherwise(0e0)
+    return x.select(*rest, "point", "s", (F.expr(val) + far).alias("pnl"))
 
 
 def right_slope(legs: Column) -> Column:

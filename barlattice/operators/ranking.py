@@ -94,11 +94,9 @@ def benchmark_rebased(curves: DataFrame, bench: DataFrame, *, by="spec_id", ts="
     return x.select(by, ret.alias("return_pct"), bret.alias("bench_pct"), F.when(ok, ret - bret).alias("edge_pct"))
 
 
-def track_live_split(trades: DataFrame, boundary: str, *, by="acct", ts="d", order=None, newest=400) -> DataFrame:
-    """Newest trades per spec, tagged live when after the deployment boundary."""
-    w = Window.partitionBy(by).orderBy(*(order or [F.col(ts).desc()]))
-    x = trades.withColumn("live", F.col(ts) > F.lit(boundary).cast("date"))
-    return x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= newest).drop("_r")
+def track_live_split(trades: DataFrame, boundary: str, *, ts="d") -> DataFrame:
+    """Every trade, tagged live when after the deployment boundary."""
+    return trades.withColumn("live", F.col(ts) > F.lit(boundary).cast("date"))
 
 
 def fitness(sharpe: Column, total_return_pct: Column) -> Column:

@@ -114,11 +114,12 @@ def turnover_per_year(trades: DataFrame, curve: DataFrame, *, by="sym", ts="d",
 # ---- baskets: decide, trade one bar later, hold with drift -----------------------------------------------------------
 
 def _periods(weights: DataFrame, grid: DataFrame, by) -> DataFrame:
-    """Decision list with the executing bar (decision + 1) and the bar of the next execution."""
+    """Decision list with the executing bar (decision + 1), the bar of the next execution or the grid's end, and whether there is a next one."""
     w = Window.partitionBy(*by).orderBy("gi")
     dec = weights.select(*by, "gi").distinct().withColumn("_last", grid.agg(F.max("gi")).scalar())
     x = dec.withColumn("_x", F.col("gi") + 1).withColumn("_next", F.lead("gi").over(w) + 1)
-    x = x.withColumn("_end", F.least(F.coalesce(F.col("_next"), F.col("_last")), F.col("_last")))
+    x = x.withColumn("_end", F.least(F.coalesce(F.col("_next"), F.col("_last")), F.col("_last"))) \
+        .withColumn("_rolled", F.coalesce(F.col("_next") <= F.col("_last"), F.lit(False)))
     return x.filter(F.col("_x") <= F.col("_last"))
 
 
@@ -126,11 +127,12 @@ def basket_values(weights: DataFrame, grid: DataFrame, *, by=("spec_id",)) -> Da
     """Drifted value of every held name at every bar of its holding period.
 
     ``weights``: (by, gi, sym, w) decided at grid slot gi; a decision without names is a row with sym null.
-    ``grid``: (gi, sym, px).  Output: (by, dec, x, end, gi, sym, w, wv) with wv = w * price / price at execution.
+    ``grid``: (gi, sym, px).  Output: (by, dec, x, end, rolled, gi, sym, w, wv) with wv = w * price / price at execution; ``rolled``
+    tells a holding that the spec's own next decision replaces from one that is open at the grid's end.
     """
     per = _periods(weights, grid, by)
     held = weights.filter(F.col("sym").isNotNull() & (F.col("w") != 0)).join(per, [*by, "gi"]) \
-        .select(*by, F.col("gi").alias("dec"), F.col("_x").alias("x"), F.col("_end").alias("end"), "sym", "w")
+        .select(*by, F.col("gi").alias("dec"), F.col("_x").alias("x"), F.col("_end").alias("end"), F.col("_rolled").alias("rolled"), "sym", "w")
     slots = held.withColumn("gi", F.explode(F.sequence("x", "end")))
     v = slots.join(grid.select("gi", "sym", "px"), ["gi", "sym"])
     w = Window.partitionBy(*by, "dec", "sym").orderBy("gi").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -138,12 +140,14 @@ def basket_values(weights: DataFrame, grid: DataFrame, *, by=("spec_id",)) -> Da
 
 
 def basket_trades(values: DataFrame, weights: DataFrame, model: dict, *, by=("spec_id",)) -> DataFrame:
-    """Trades at each execution: drifted old weight against new weight (a dropped name goes to 0)."""
+    """Trades at each execution of a spec: drifted old weight against new weight (a dropped name goes to 0).
+
+    A holding still open at the grid's end is not sold; a decision on the last bar never executes.
+    """
     gross = F.sum(F.col("wv") - F.col("w")).over(Window.partitionBy(*by, "dec", "gi"))
-    ends = values.withColumn("_v", 1 + gross).filter(F.col("gi") == F.col("end")) \
+    ends = values.withColumn("_v", 1 + gross).filter((F.col("gi") == F.col("end")) & F.col("rolled")) \
         .select(*by, F.col("end").alias("x"), "sym", (F.col("wv") / F.col("_v")).alias("old_w"))
-    ends = ends.filter(F.col("x") <= weights.agg(F.max("gi")).scalar() + 1)
-    new = weights.filter("sym is not null and w <> 0").select(*by, (F.col("gi") + 1).alias("x"), "sym", F.col("w").alias("new_w"))
+    new = values.filter(F.col("gi") == F.col("x")).select(*by, "x", "sym", F.col("w").alias("new_w"))
     t = ends.join(new, [*by, "x", "sym"], "full").fillna(0e0, ["old_w", "new_w"])
     d = F.col("new_w") - F.col("old_w")
     kind = F.when(F.col("old_w") == 0, "entry").when(F.col("new_w") == 0, "exit").when(d > 0, "add").otherwise("trim")
@@ -152,7 +156,7 @@ def basket_trades(values: DataFrame, weights: DataFrame, model: dict, *, by=("sp
 
 
 def basket_returns(weights: DataFrame, grid: DataFrame, model: dict, *, by=("spec_id",)) -> DataFrame:
-    """Net curve of a basket: (by, gi, eq), starting with 1 at the first execution before its cost."""
+    """Net curve of a basket: (by, gi, eq), starting with 1 at the first execution before its cost; a basket worth nothing stays at 0."""
     values = basket_values(weights, grid, by=by)
     per = _periods(weights, grid, by) \
         .select(*by, F.col("gi").alias("dec"), F.col("_x").alias("x"), F.col("_end").alias("end"))
@@ -164,8 +168,10 @@ def basket_returns(weights: DataFrame, grid: DataFrame, model: dict, *, by=("spe
     w = Window.partitionBy(*by).orderBy("dec")
     grown = F.coalesce(F.sum(F.ln("_pv")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0e0)) \
         + F.sum(F.ln(1 - F.col("cost"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    base = steps.withColumn("_b", F.exp(grown)).select(*by, "dec", "_b")
-    out = slots.filter((F.col("gi") > F.col("x"))).join(base, [*by, "dec"]).select(*by, "gi", (F.col("_b") * F.col("v")).alias("eq"))
+    gone = F.max(F.when(F.col("_pv") <= 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)) == 1
+    spent = F.max(F.when(F.col("cost") >= 1, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    base = steps.withColumn("_b", F.when(gone | spent, 0e0).otherwise(F.exp(grown))).select(*by, "dec", "_b")
+    out = slots.filter((F.col("gi") > F.col("x"))).join(base, [*by, "dec"]).select(*by, "gi", (F.col("_b") * F.greatest("v", F.lit(0e0))).alias("eq"))
     return out
 
 

@@ -91,11 +91,9 @@ def benchmark_rebased(t):
     return x.select("spec_id", *[rr(c, 4).alias(c) for c in ("return_pct", "bench_pct", "edge_pct")])
 
 
-@query("track_live_split", "fills", """r as (select *, row_number() over (partition by acct order by d desc, ok, ln, pk, qty, price) r from fills)
-  select acct, ikey, d, ok, ln, pk, qty, side, price, d > date '1999-06-30' live from r where r <= 400""")
+@query("track_live_split", "fills", "select acct, ikey, d, ok, ln, pk, qty, side, price, d > date '1999-06-30' live from fills")
 def track_live_split(t):
-    order = [F.col("d").desc(), *[F.col(c) for c in ("ok", "ln", "pk", "qty", "price")]]
-    return G.track_live_split(t.fills, "1999-06-30", order=order)
+    return G.track_live_split(t.fills, "1999-06-30")
 
 
 SP = """f as (select spec_id, kind, archetype, score*1e3 + bars raw from specs)"""

@@ -73,50 +73,59 @@ def equity_curve(t):
 
 # ---- baskets -----------------------------------------------------------------------------------------------------------
 
-BASKET = f"""{TOP}, tw as (select gi, sym, 1e0/count(*) over (partition by gi) w from top),
-  gr as (select m.gi, s.sym, last_value(p.c ignore nulls) over (partition by s.sym order by m.gi) px
+# three specs whose last decisions differ: all of them, the earlier half, the later half with one more that executes on the last bar
+BASKET = f"""{TOP}, gr as (select m.gi, s.sym, last_value(p.c ignore nulls) over (partition by s.sym order by m.gi) px
          from (select distinct sym from candles_daily) s cross join mst m left join candles_daily p on p.sym = s.sym and p.d = m.d),
-  decs as (select gi dec, gi + 1 x, (select max(gi) from mst) mx, lead(gi) over (order by gi) + 1 nx from (select distinct gi from tw) q),
-  per as (select dec, x, least(coalesce(nx, mx), mx) e from decs where x <= mx),
-  vals as (select dec, x, e, g.gi, tw.sym, w, w*g.px/p0.px wv from per join tw on tw.gi = dec
+  t0 as (select gi, sym, 1e0/count(*) over (partition by gi) w from top),
+  cut as (select (min(gi) + max(gi))//2 half, max(gi) last, (select max(gi) from mst) mx from t0),
+  tw as (select 'all' spec_id, gi, sym, w from t0 union all select 'early', gi, sym, w from t0, cut where gi <= half
+         union all select 'late', gi, sym, w from t0, cut where gi > half union all select 'late', mx - 1, sym, w from t0, cut where gi = last and last < mx - 1),
+  decs as (select spec_id, gi dec, gi + 1 x, (select max(gi) from mst) mx, lead(gi) over (partition by spec_id order by gi) + 1 nx from (select distinct spec_id, gi from tw) q),
+  per as (select spec_id, dec, x, least(coalesce(nx, mx), mx) e, coalesce(nx <= mx, false) rolled from decs where x <= mx),
+  vals as (select tw.spec_id, dec, x, e, rolled, g.gi, tw.sym, w, w*g.px/p0.px wv from per join tw on tw.gi = dec and tw.spec_id = per.spec_id
            join gr p0 on p0.sym = tw.sym and p0.gi = x join gr g on g.sym = tw.sym and g.gi between x and e),
-  bar as (select dec, x, e, gi, 1 + sum(wv - w) v from vals group by 1, 2, 3, 4),
-  old as (select e x, sym, wv/v old_w from vals join bar using (dec, x, e, gi) where gi = e and e <= (select max(gi) + 1 from tw)),
-  nw as (select gi + 1 x, sym, w new_w from tw),
-  td as (select coalesce(old.x, nw.x) x, coalesce(old.sym, nw.sym) sym, coalesce(old_w, 0e0) old_w, coalesce(new_w, 0e0) new_w
-         from old full join nw on old.x = nw.x and old.sym = nw.sym),
+  bar as (select spec_id, dec, x, e, rolled, gi, 1 + sum(wv - w) v from vals group by all),
+  old as (select spec_id, e x, sym, wv/v old_w from vals join bar using (spec_id, dec, x, e, rolled, gi) where gi = e and rolled),
+  nw as (select spec_id, gi + 1 x, sym, w new_w from tw where gi < (select mx from cut)),
+  td as (select coalesce(old.spec_id, nw.spec_id) spec_id, coalesce(old.x, nw.x) x, coalesce(old.sym, nw.sym) sym, coalesce(old_w, 0e0) old_w, coalesce(new_w, 0e0) new_w
+         from old full join nw on old.spec_id = nw.spec_id and old.x = nw.x and old.sym = nw.sym),
   trades as (select *, case when new_w > old_w then 'BUY' else 'SELL' end side, abs(new_w - old_w) size,
              case when new_w > old_w then (new_w - old_w)*{BUY} else (old_w - new_w)*{SELL} end cost,
              case when old_w = 0 then 'entry' when new_w = 0 then 'exit' when new_w > old_w then 'add' else 'trim' end kind
              from td where abs(new_w - old_w) > 0),
-  xc as (select x, sum(cost) cost from trades group by x),
-  st as (select b.dec, b.x, b.v pv, coalesce(cost, 0e0) cost from bar b left join xc using (x) where b.gi = b.e),
-  bs as (select dec, exp(coalesce(sum(ln(pv)) over (order by dec rows between unbounded preceding and 1 preceding), 0e0)
-                         + sum(ln(1 - cost)) over (order by dec rows between unbounded preceding and current row)) base from st),
-  bc as (select bar.gi, base*v eq from bar join bs using (dec) where bar.gi > bar.x)"""
+  xc as (select spec_id, x, sum(cost) cost from trades group by spec_id, x),
+  st as (select b.spec_id, b.dec, b.x, b.v pv, coalesce(cost, 0e0) cost from bar b left join xc using (spec_id, x) where b.gi = b.e),
+  bs as (select spec_id, dec, exp(coalesce(sum(ln(pv)) over (partition by spec_id order by dec rows between unbounded preceding and 1 preceding), 0e0)
+                         + sum(ln(1 - cost)) over (partition by spec_id order by dec rows between unbounded preceding and current row)) base from st),
+  bc as (select bar.spec_id, bar.gi, base*v eq from bar join bs using (spec_id, dec) where bar.gi > bar.x)"""
 
 
 def basket(t):
-    w = pin(top(t).withColumn("w", X.w_equal()).select(F.lit("mom63").alias("spec_id"), "gi", "sym", "w"))
+    x = pin(top(t).withColumn("w", X.w_equal()).select("gi", "sym", "w"))
     grid = pin(align_grid(t.pin("candles_daily"), t.pin("market_daily"), before_listing=False).select("gi", "sym", "px"))
-    return w, grid
+    half, last, end = x.agg(F.floor((F.min("gi") + F.max("gi")) / 2)).scalar(), x.agg(F.max("gi")).scalar(), grid.agg(F.max("gi")).scalar()
+    final = x.filter((F.col("gi") == last) & (last < end - 1)).withColumn("gi", end - 1)
+    parts = {"all": x, "early": x.filter(F.col("gi") <= half), "late": x.filter(F.col("gi") > half).unionByName(final)}
+    named = [p.select(F.lit(n).alias("spec_id"), F.col("gi").cast("long").alias("gi"), "sym", "w") for n, p in parts.items()]
+    return pin(named[0].unionByName(named[1]).unionByName(named[2])), grid
 
 
-@query("basket_returns", V, f"{BASKET} select 'mom63' spec_id, gi, round(eq, 7) eq from bc")
+@query("basket_returns", V, f"{BASKET} select spec_id, gi, round(eq, 7) eq from bc")
 def basket_returns(t):
     w, grid = basket(t)
     return R.basket_returns(w, grid, DEL).select("spec_id", "gi", F.round("eq", 7).alias("eq"))
 
 
-@query("implied_trades", V, f"{BASKET} select 'mom63' spec_id, x, sym, round(old_w, 7) + 0e0 old_w, round(new_w, 7) + 0e0 new_w, side, round(size, 7) + 0e0 size, kind from trades")
+@query("implied_trades", V, f"{BASKET} select spec_id, x, sym, round(old_w, 7) + 0e0 old_w, round(new_w, 7) + 0e0 new_w, side, round(size, 7) + 0e0 size, kind from trades")
 def implied_trades(t):
     w, grid = basket(t)
     x = R.basket_trades(R.basket_values(w, grid), w, DEL)
     return x.select("spec_id", "x", "sym", rr("old_w", 7).alias("old_w"), rr("new_w", 7).alias("new_w"), "side", rr("size", 7).alias("size"), "kind")
 
 
-@query("turnover_per_year", V, f"""{BASKET}, c as (select eq, d from bc join mst using (gi))
-  select 'mom63' spec_id, round((select sum(size) from trades)/2/avg(eq)/(date_diff('day', min(d), max(d))/3.6525e2), 6) turnover from c""")
+@query("turnover_per_year", V, f"""{BASKET}, c as (select spec_id, eq, d from bc join mst using (gi)), ts as (select spec_id, sum(size) s from trades group by spec_id),
+  ca as (select spec_id, avg(eq) a, date_diff('day', min(d), max(d))/3.6525e2 y from c group by spec_id)
+  select spec_id, case when a > 0 and y > 0 then round(s/2/a/y, 6) end turnover from ca join ts using (spec_id)""")
 def turnover(t):
     w, grid = basket(t)
     m = master_timeline(t.pin("candles_daily"), t.pin("market_daily"))
@@ -125,8 +134,8 @@ def turnover(t):
     return R.turnover_per_year(tr, curve, by="spec_id", value="size").select("spec_id", F.round("turnover", 6).alias("turnover"))
 
 
-@query("final_holdings", V, f"""{BASKET} select 'mom63' spec_id, string_agg(sym || ':' || cast(round(w*1e2, 1) as varchar), ',' order by w desc, sym) holdings
-  from tw where gi = (select max(gi) from tw)""")
+@query("final_holdings", V, f"""{BASKET} select spec_id, string_agg(sym || ':' || cast(round(w*1e2, 1) as varchar), ',' order by w desc, sym) holdings
+  from tw where (spec_id, gi) in (select (spec_id, max(gi)) from tw group by spec_id) group by spec_id""")
 def final_holdings(t):
     w, _ = basket(t)
     x = R.final_holdings(w)
@@ -144,9 +153,8 @@ def participation(t):
 
 @query("profit_factor", "fills", """x as (select acct, ikey, floor((price - 1.5e3)*qty*1e2 + 5e-1)/1e2 r from fills),
   g as (select acct, sum(cast(case when r > 0 then r else 0 end as decimal(18,2))) wn, sum(cast(case when r < 0 then -r else 0 end as decimal(18,2))) ls from x group by acct)
-  select acct, round(cast(wn as double)/cast(ls as double), 6) profit_factor from g where ls > 0""")
+  select acct, case when wn = 0 and ls = 0 then null when ls = 0 then 'infinity'::double else round(cast(wn as double)/cast(ls as double), 6) end profit_factor from g""")
 def profit_factor(t):
     r = F.floor((F.col("price") - 1.5e3) * F.col("qty") * 1e2 + 5e-1) / 1e2
     x = t.fills.select("acct", r.alias("realised"))
-    return R.profit_factor(x).filter("profit_factor is not null and profit_factor < double('infinity')") \
-        .select("acct", F.round("profit_factor", 6).alias("profit_factor"))
+    return R.profit_factor(x).select("acct", F.round("profit_factor", 6).alias("profit_factor"))

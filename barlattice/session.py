@@ -30,12 +30,19 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Only a session on one machine may go without: it gets a temporary folder.  On a cluster that would be each node's own disk, so
+    there a missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
-        named = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        _own[app] = named
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        named = _own[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named

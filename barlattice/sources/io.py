@@ -121,11 +121,11 @@ def source_fallback(sources: list[tuple[str, DataFrame]], keys: list[str], now:
 
 
 def merge_history_live(backfill: DataFrame, live: DataFrame, *, key="sym", ts="d") -> DataFrame:
-    """One row per (series, time), live wins; a series without backfill is dropped."""
+    """One row per (series, time), live wins; a series without backfill is dropped.  Of several live rows of one time the largest, column by column, stands."""
     x = backfill.withColumn("_p", F.lit(0)).unionByName(live.join(backfill.select(key).distinct(), key, "left_semi")
                                                         .withColumn("_p", F.lit(1)))
     vals = [c for c in backfill.columns if c not in (key, ts)]
-    return x.groupBy(key, ts).agg(F.max_by(F.struct(*vals), "_p").alias("z")).select(key, ts, "z.*")
+    return x.groupBy(key, ts).agg(F.max(F.struct("_p", *vals)).alias("z")).select(key, ts, *[F.col(f"z.{v}") for v in vals])
 
 
 # ---- logs ------------------------------------------------------------------------------------------------------------

@@ -161,20 +161,22 @@ def stream_positions(fills: DataFrame) -> DataFrame:
 
 
 class _Book(StatefulProcessor):
-    """Resting limit orders of one account; an order leaves the state when a later tick crosses it."""
+    """Resting limit orders of one account; an order leaves the state when a tick of a later time crosses it, so late ticks fill no younger order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getListState("open", "id bigint, level double, down boolean")
+        self._open = handle.getListState("open", "id bigint, level double, down boolean, placed bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts", "kind", "id"], kind="stable").reset_index(drop=True)
         old = list(self._open.get())
         order = (pdf["kind"] == 1).to_numpy()
+        time = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
         px = np.where(order, np.nan, pdf["price"].to_numpy(dtype=float))
         ids = np.array([o[0] for o in old] + pdf["id"][order].tolist(), dtype="int64")
         level = np.array([o[1] for o in old] + pdf["price"][order].tolist(), dtype=float)
         down = np.array([o[2] for o in old] + pdf["down"][order].tolist(), dtype=bool)
-        start = np.concatenate([np.zeros(len(old), dtype=int), np.nonzero(order)[0] + 1])
+        placed = np.array([o[3] for o in old] + time[order].tolist(), dtype="int64")
+        start = np.concatenate([np.searchsorted(time, placed[:len(old)], side="right"), np.nonzero(order)[0] + 1]).astype(int)
         hit = np.full(len(ids), len(pdf))
         for flag, sign in ((True, 1.0), (False, -1.0)):
             m = down == flag
@@ -182,7 +184,7 @@ class _Book(StatefulProcessor):
                 v = np.where(np.isnan(px), np.inf, sign * px)
                 hit[m] = _first_at_or_below(v, start[m], sign * level[m])
         done = hit < len(pdf)
-        rest = [(int(i), float(lv), bool(dn)) for i, lv, dn, f in zip(ids, level, down, done) if not f]
+        rest = [(int(i), float(lv), bool(dn), int(at)) for i, lv, dn, at, f in zip(ids, level, down, placed, done) if not f]
         if rest:
             self._open.put(rest)
         else:

@@ -15,6 +15,7 @@ from barlattice.functions import indicators as I
 from barlattice.functions import options_math as M
 from barlattice.functions import signals as S
 from barlattice.operators import clean, covariance, learning, ledger, metrics, options, pairs, returns, scan, xsection
+from barlattice.sources import io
 
 D0 = dt.date(2015, 1, 1)
 
@@ -330,6 +331,68 @@ def test_tree_models(spark):
         assert list(imp) == list(m2.featureImportances.toArray())
 
 
+def test_optimiser_groups_by_several_columns(spark):
+    """Two specs on one date stay apart; a name without an expected return makes its group's returns equal."""
+    m = {"A": [[4.0, 1.0], [1.0, 9.0]], "B": [[1.0, 0.0], [0.0, 1.0]]}
+    rows = [(s, 1, a, b, m[s]["xy".index(a)]["xy".index(b)]) for s in m for a in "xy" for b in "xy"]
+    sh = spark.createDataFrame(rows, "spec string, gi int, a string, b string, sigma double")
+    rp = {(r["spec"], r["sym"]): r["w"] for r in covariance.w_riskparity(sh, by=("spec", "gi")).collect()}
+    assert rp[("A", "x")] == pytest.approx(0.6) and rp[("A", "y")] == pytest.approx(0.4) and rp[("B", "x")] == pytest.approx(0.5)
+    mu = spark.createDataFrame([("A", 1, "x", 0.1), ("B", 1, "x", 0.1), ("B", 1, "y", 0.3)], "spec string, gi int, sym string, mu double")
+    mv = {(r["spec"], r["sym"]): r["w"] for r in covariance.w_meanvar(sh, mu, by=("spec", "gi")).collect()}
+    assert mv[("A", "x")] == pytest.approx(8 / 11) and mv[("A", "y")] == pytest.approx(3 / 11) and mv[("B", "y")] == pytest.approx(1, abs=1e-4)
+
+
+def test_basket_specs_do_not_touch(spark):
+    """A spec alone equals the spec among others; a decision before the last bar trades on it; a wiped basket stays at 0."""
+    px = {"x": [10, 11, 12, 13, 12, 14, 15, 16, 15, 17, 18], "y": [5, 5, 6, 5, 7, 6, 5, 6, 7, 8, 8], "z": [4, 4, 4, -5, 4, 4, 4, 4, 4, 4, 4]}
+    grid = spark.createDataFrame([(i, s, float(p)) for s, v in px.items() for i, p in enumerate(v)], "gi long, sym string, px double")
+    w = [("A", 0, "x", 1.0), ("B", 0, "y", 1.0), ("B", 4, "x", 0.5), ("B", 9, "y", 1.0), ("C", 0, "z", 1.0), ("C", 2, "x", 1.0), ("D", 10, "x", 1.0)]
+    weights = spark.createDataFrame(w, "spec_id string, gi long, sym string, w double")
+    model = {"buy": 1e-3, "sell": 1e-3}
+
+    def run(x):
+        v = returns.basket_values(x, grid)
+        return (sorted(tuple(r) for r in returns.basket_trades(v, x, model).select("spec_id", "x", "sym", "kind", "size").collect()),
+                sorted(tuple(r) for r in returns.basket_returns(x, grid, model).collect()))
+
+    trades, curves = run(weights)
+    for spec in "ABCD":
+        alone = run(weights.filter(F.col("spec_id") == spec))
+        assert alone == ([r for r in trades if r[0] == spec], [r for r in curves if r[0] == spec])
+    assert [r[:4] for r in trades if r[0] == "A"] == [("A", 1, "x", "entry")]
+    assert ("B", 10, "x", "exit") in [r[:4] for r in trades] and ("B", 10, "y", "entry") in [r[:4] for r in trades]
+    assert all(r[2] == 0 for r in curves if r[0] == "C" and r[1] > 3) and not [r for r in trades if r[0] == "D"]
+
+
+def test_payoff_of_many_legs(spark):
+    legs = [("BUY", "CE", 100.0), ("SELL", "CE", 110.0), ("BUY", "PE", 95.0), ("SELL", "PE", 90.0), ("BUY", "CE", 120.0), ("SELL", "FUT", 0.0)]
+    rows = [(1, 100.0, [(s, o, k, 1.5, 10.0) for s, o, k in legs]), (2, 100.0, [(s, o, k, 1.5, 10.0) for s, o, k in legs[:2]])]
+    df = spark.createDataFrame(rows, "id int, spot double, legs array<struct<side:string,opt_type:string,strike:double,premium:double,units:double>>")
+    for r in options.payoff_curve(df, points=20).collect():
+        want = 0.0
+        for s, o, k in legs if r["id"] == 1 else legs[:2]:
+            value = r["s"] if o == "FUT" else max(r["s"] - k, 0) if o == "CE" else max(k - r["s"], 0)
+            want += (1 if s == "BUY" else -1) * (value - 1.5) * 10
+        assert r["pnl"] == pytest.approx(want)
+
+
+def test_live_rows_of_one_time_have_one_winner(spark):
+    old = spark.createDataFrame([("A", 1, 1.0, 2.0)], "sym string, d int, o double, c double")
+    new = spark.createDataFrame([("A", 1, 3.0, 1.0), ("A", 1, 3.0, 5.0), ("B", 1, 9.0, 9.0)], "sym string, d int, o double, c double")
+    assert [tuple(r) for r in io.merge_history_live(old, new.repartition(3)).collect()] == [("A", 1, 3.0, 5.0)]
+
+
+def test_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from barlattice.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_pair_book_is_neutral(t):
     from barlattice.plans.pairs import MAXP, states
 

@@ -74,6 +74,14 @@ def test_orders_rest_across_batches(spark):
     assert [(r["order_id"], r["cross_id"], r["fill_price"]) for r in out] == [(1, 3, 45)]
 
 
+def test_late_ticks_fill_no_younger_order(spark):
+    b = [[(1, 0, 7, "order", 50), (2, 30, 7, "order", 50), (3, 31, 7, "tick", 60)], [(4, 10, 7, "tick", 45)], [(5, 40, 7, "tick", 44)]]
+    tk = stream(spark, files(spark, b))
+    o = tk.filter("sym = 'order'").select(F.col("event_id").alias("order_id"), "acct", "ts", F.lit("BUY").alias("side"), F.col("price").alias("limit_price"))
+    out = S.run_to_table(S.stream_first_cross(o, tk.filter("sym = 'tick'")), "x").collect()
+    assert sorted((r["order_id"], r["cross_id"]) for r in out) == [(1, 4), (2, 5)]
+
+
 def test_log_is_free_of_repeats(spark):
     path = S.fresh_path(spark, "log")
     fn = S.append_log_batch(path)
