@@ -182,6 +182,17 @@ def fit_forest(z: DataFrame, y="fwd", *, trees=24, depth=3, features=NAMES):
     return RandomForestRegressor(labelCol=y, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=7).fit(_assemble(z, features))
 
 
+def fit_folds(z: DataFrame, fit, *, by="dec", at_once=4) -> dict:
+    """``fit`` of every fold of ``z``: ``{fold: (model, its rows)}``.  Folds are training dates, a handful whatever the data; some are fitted at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    folds = [r[by] for r in z.select(by).distinct().orderBy(by).collect()]
+    parts = {d: z.filter(F.col(by) == d) for d in folds}
+    with ThreadPoolExecutor(at_once) as pool:
+        models = list(pool.map(lambda d: fit(parts[d]), folds))
+    return {d: (m, parts[d]) for d, m in zip(folds, models)}
+
+
 def feature_importance(model, spark, features=NAMES) -> DataFrame:
     """Normalised gains of a tree model, one row per feature."""
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())], "feature string, importance double")

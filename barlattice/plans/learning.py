@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from barlattice.functions.indicators import FEATURES, with_indicators
@@ -87,32 +89,33 @@ def fit_logistic(t):
     return N.fit_logistic(N.apply_stats(N.tercile_label(tr), stats), LAM).select("dec", "n", F.posexplode("w").alias("term", "weight"))
 
 
-def last_fold(t):
-    tr, z, _ = zfold(t)
-    z = pin(z)
-    return pin(z.filter(F.col("dec") == z.agg(F.max("dec")).scalar()))
+def tree_folds(t, fit):
+    _, z, _ = zfold(t)
+    return N.fit_folds(pin(z), fit)
+
+
+def predictions(folds):
+    parts = [m.transform(N._assemble(z)).select("dec", "gi", "sym", "fwd", "prediction") for m, z in folds.values()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("fit_gbm", V)
 def fit_gbm(t):
-    z = last_fold(t)
-    m = N.fit_gbm(z)
-    return m.transform(N._assemble(z)).select("dec", "gi", "sym", "fwd", "prediction")
+    return predictions(tree_folds(t, N.fit_gbm))
 
 
 @query("fit_forest", V)
 def fit_forest(t):
-    z = last_fold(t)
-    m = N.fit_forest(z)
-    return m.transform(N._assemble(z)).select("dec", "gi", "sym", "fwd", "prediction")
+    return predictions(tree_folds(t, N.fit_forest))
 
 
 @query("feature_importance", V)
 def feature_importance(t):
-    z = last_fold(t)
-    a = N.feature_importance(N.fit_forest(z), t.spark).select(F.lit("forest").alias("model"), "feature", "importance")
-    b = N.weight_importance(N.fit_ridge(z, LAM)).select(F.lit("ridge").alias("model"), "feature", "importance")
-    return a.unionByName(b)
+    _, z, _ = zfold(t)
+    z = pin(z)
+    parts = [N.feature_importance(m, t.spark).select(F.lit("forest").alias("model"), F.lit(d).alias("dec"), "feature", "importance") for d, (m, _) in N.fit_folds(z, N.fit_forest).items()]
+    parts.append(N.weight_importance(N.fit_ridge(z, LAM)).select(F.lit("ridge").alias("model"), "dec", "feature", "importance"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def ml_candidates(t):
