@@ -5,12 +5,12 @@ documents link if ``den * |A and B| >= num * |A or B|``; then each holds at leas
 
 1. Documents of equal sets form a class; from here on classes stand for their copies.
 2. A bound over all classes: of a class's first tokens in hash order enough must lie among the first tokens of some other class.
-   It drops what can't link; nothing is compared yet.
-3. What is left is partitioned into groups of similar documents: by minimum hashes, each with the document of most shared tokens as
+   It drops what can't link; whole sets are bounded alike for what is left, and nothing is compared yet.
+3. What remains is partitioned into groups of similar documents: by minimum hashes, each with the document of most shared tokens as
    hub.  Documents checked against their hubs link to them, and the best such hub names the group.
-4. The matrix of tokens and groups (each group's token union) bounds every document's overlap with all other groups: first on
-   first tokens, then twice on whole sets.  ``shared`` such tokens bound a partner's size by its reach, ``shared * (1 + t) / t - n``;
-   only documents that some size could link outside their group are left.
+4. The matrix of tokens and groups (each group's token union) bounds every document's overlap with all other groups, twice in turn.
+   ``shared`` tokens that other groups have bound a partner's size by the reach, ``shared * (1 + t) / t - n``; only documents that
+   some size could link outside their group are left.
 5. Those documents look up their rarest tokens in the matrix, as many as a partner can't lack all of; groups found are opened only
    if sizes and reaches fit and the overlap with the whole union reaches the bound, and fitting members are compared exactly.
 6. Links give components by repeated star contraction.
@@ -167,10 +167,24 @@ def _shared_counts(packed: DataFrame, parts: int) -> DataFrame:
         if owner_parts:
             who, inverse = np.unique(np.concatenate(owner_parts), return_inverse=True)
             shared, popular = (np.bincount(inverse, np.concatenate(x), len(who)).astype(np.int64) for x in (shared_parts, popular_parts))
-            yield pa.record_batch([pa.array(who), pa.array(shared), pa.array(popular)], names=["owner", "shared", "popular"])
+            # packed by owner, as an owner's tokens lie in many hash ranges
+            part = (tx.mix(who.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at = np.flatnonzero(np.diff(part[order], prepend=-1))
+            cuts = [*at.tolist(), len(part)]
+            packs = [pa.array([x[order][i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (who, shared, popular)]
+            yield pa.record_batch([pa.array(part[order][at]), *packs], names=["part", "owners", "shared", "popular"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            new = [np.frombuffer(b"".join(c.to_pylist()), np.int64) for c in batch.columns[1:]]
+            who, inverse = np.unique(np.concatenate((seen[0], new[0])), return_inverse=True)
+            seen = [who, *(np.bincount(inverse, np.concatenate((seen[k], new[k])), len(who)).astype(np.int64) for k in (1, 2))]
+        yield pa.record_batch([pa.array(x) for x in seen], names=["owner", "shared", "popular"])
 
-    moved = packed.repartition(parts, "bucket")
-    return moved.mapInArrow(run, "owner long, shared long, popular long").groupBy("owner").agg(F.sum("shared").alias("shared"), F.sum("popular").alias("popular"))
+    counted = packed.repartition(parts, "bucket").mapInArrow(run, "part long, owners binary, shared binary, popular binary")
+    return counted.repartition(parts, "part").mapInArrow(add_up, "owner long, shared long, popular long")
 
 
 def _ranges(tokens: int, width: int, least: int) -> tuple[int, int]:
@@ -264,13 +278,41 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     shared = _shared_counts(rows.mapInArrow(first_tokens, "bucket long, tokens binary, owners binary, groups binary"), parts)
     able = classes.join(shared, classes["a"] == shared["owner"]).filter(F.col("shared") >= _least_common(F.col("n"), t)).filter(F.col("rep").isNotNull())
-    central = F.col("popular") / F.col("n")  # a text that others were made from has no tokens of its own
-    able = able.select("rep", "a", "b", "n", central.alias("central"))
+    able = able.select("rep", "a", "b", "n")
+
+    # the bound on what could link outside its group (its class, if there are no groups yet) by whole sets
+    def outside(frame: DataFrame) -> DataFrame:
+        groups = "grp" in frame.columns
+        tokens = frame.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]  # one row
+        parts, shift = _ranges(tokens, 24 if groups else 16, least_parts)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            owners, names, held, size = [], [], [], 0
+            for batch in batches:
+                for rep, grp, s in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    owners.append(rep)
+                    names.append(grp)
+                    held.append(np.frombuffer(s, np.uint64))
+                    size += len(held[-1])
+                    if size >= FLUSH_TOKENS:
+                        yield from _packed(owners, names if groups else None, held, shift)
+                        owners, names, held, size = [], [], [], 0
+            if held:
+                yield from _packed(owners, names if groups else None, held, shift)
+
+        packed = frame.select("rep", "grp" if groups else "rep", "set").toDF("rep", "grp", "set").mapInArrow(pack, "bucket long, tokens binary, owners binary, groups binary")
+        counts = _shared_counts(packed, parts).withColumnRenamed("owner", "rep")
+        # the largest partner that a document sharing so many tokens can have
+        reach = F.floor(F.col("shared") * (num + den) / num) - F.col("n")
+        # a text that others were made from has no tokens of its own
+        central = F.struct((F.col("popular") / F.col("n")).alias("popular"), (-F.col("rep")).alias("first"))
+        kept = [c for c in frame.columns if c not in ("reach", "central")]
+        return frame.join(counts, "rep").filter(reach >= _need(F.col("n"), t)).select(*kept, reach.alias("reach"), central.alias("central")).checkpoint()
 
     # 3. their sets, hubs and groups
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, a, b, central = (batch.column(k) for k in (0, 2, 3, 4))
+            reps, a, b = (batch.column(k) for k in (0, 2, 3))
             for lo, part in tx.chunks(batch.column(1)):
                 keep, sets, mins = [], [], []
                 for i, s in enumerate(token_sets(part, n)):
@@ -279,14 +321,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                         sets.append(s.tobytes())
                         mins.append(_keys(s))
                 take = pa.array(keep, pa.int64())
-                yield pa.record_batch([reps.take(take), pa.array([len(x) // 8 for x in sets], pa.int64()), central.take(take), pa.array(sets, pa.binary()), pa.array(mins, pa.list_(pa.int64()))],
-                                      names=["rep", "n", "central", "set", "mins"])
+                yield pa.record_batch([reps.take(take), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary()), pa.array(mins, pa.list_(pa.int64()))],
+                                      names=["rep", "n", "set", "mins"])
 
     able = able.checkpoint()
-    wanted = able.select(F.col("rep").alias("doc_id"), "a", "b", "central")
+    wanted = able.select(F.col("rep").alias("doc_id"), "a", "b")
     wanted = F.broadcast(wanted) if able.count() <= MAX_BROADCAST_CLASSES else wanted
-    fetched = rows.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text", "a", "b", "central")
-    sets = fetched.mapInArrow(with_sets, "rep long, n long, central double, set binary, mins array<long>").checkpoint()
+    fetched = rows.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text", "a", "b")
+    sets = outside(fetched.mapInArrow(with_sets, "rep long, n long, set binary, mins array<long>").checkpoint())
     keyed = sets.select("rep", "n", "central", F.posexplode("mins").alias("band", "key"))
     one = F.struct("central", "rep", "n")
     hubs = keyed.groupBy("band", "key").agg(F.array_distinct(F.array(F.max(one), F.min_by(one, "rep"))).alias("h"), F.count("*").alias("size")).filter("size > 1").select("band", "key", F.explode("h").alias("h"))
@@ -299,34 +341,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     best = hub_links.groupBy(F.col("u").alias("rep")).agg(F.max(F.struct("hub_central", "v")).alias("h")).select("rep", F.col("h.v").alias("hub"))
     grouped = plain.join(best, "rep", "left").select("rep", "n", "set", F.coalesce("hub", "rep").alias("grp"))
 
-    # 4. the matrix's bound on what could link outside its group: on first tokens, then on whole sets
-    def outside(frame: DataFrame, whole: bool) -> DataFrame:
-        tokens = frame.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]  # one row
-        parts, shift = _ranges(tokens if whole else int(tokens * min(1.0, 3.2 * (1 - num / den))), 24, least_parts)
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            owners, groups, held, size = [], [], [], 0
-            for batch in batches:
-                for rep, grp, s in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    own = np.frombuffer(s, np.uint64)
-                    own = own if whole else own[:int(t.first(len(own)))]
-                    owners.append(rep)
-                    groups.append(grp)
-                    held.append(own)
-                    size += len(own)
-                    if size >= FLUSH_TOKENS:
-                        yield from _packed(owners, groups, held, shift)
-                        owners, groups, held, size = [], [], [], 0
-            if held:
-                yield from _packed(owners, groups, held, shift)
-
-        counts = _shared_counts(frame.select("rep", "grp", "set").mapInArrow(pack, "bucket long, tokens binary, owners binary, groups binary"), parts)
-        # the largest partner that a document sharing so many tokens can have
-        reach = F.floor(F.col("shared") * (num + den) / num) - F.col("n")
-        bound = reach >= _need(F.col("n"), t) if whole else F.col("shared") >= _least_common(F.col("n"), t)
-        return frame.join(counts.withColumnRenamed("owner", "rep"), "rep").filter(bound).select("rep", "n", "set", "grp", reach.alias("reach")).checkpoint()
-
-    left = outside(outside(outside(grouped, False), True), True)
+    # 4. the matrix's bound, now between groups
+    left = outside(outside(grouped))
     links = hub_links.select("u", "v")
     if not left.isEmpty():
         links = links.unionByName(_open_groups(left, t))
