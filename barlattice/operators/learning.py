@@ -65,7 +65,7 @@ def fold_stats(train: DataFrame, features=NAMES, by="dec") -> DataFrame:
 
 def apply_stats(df: DataFrame, stats: DataFrame, features=NAMES, by="dec") -> DataFrame:
     """Adds z_ columns; one statistics row per fold, so that side is broadcast."""
-    x = df.join(F.broadcast(stats), by)
+    x = df.join(stats, by)
     return x.select(*df.columns, "n", *[((F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")).alias(f"z_{f}") for f in features])
 
 
@@ -139,7 +139,7 @@ def fit_logistic(z: DataFrame, lam: float, y="top", *, features=NAMES, by="dec",
     w = z.select(by).distinct().withColumn("w", F.array(*[F.lit(0e0)] * p))
     for _ in range(steps):
         pr = sigmoid(dot(F.col("w"), features))
-        x = z.join(F.broadcast(w.select(by, "w")), by)  # one weight row per fold
+        x = z.join(w.select(by, "w"), by)  # one weight row per fold
         x = x.withColumn("_pr", pr)
         m = moments(x, F.col(y) - F.col("_pr"), F.greatest(F.col("_pr") * (1 - F.col("_pr")), F.lit(1e-6)), features=features, by=by)
         w = pin(solve_moments(m.join(w.select(by, F.col("w").alias("w0")), by), lam, by=by, base="w0"))
@@ -154,7 +154,7 @@ def retrain_step(rebalance: int, train_every: int) -> int:
 def score_linear(rows: DataFrame, stats: DataFrame, weights: DataFrame, min_train: int, *, logistic=False, features=NAMES) -> DataFrame:
     """(gi, sym, model): model score of candidate rows that carry ``dec``; null while the fold is too small."""
     z = apply_stats(rows, stats, features)
-    x = z.drop("n").join(F.broadcast(weights.select("dec", "n", "w")), "dec", "left")  # one row per fold
+    x = z.drop("n").join(weights.select("dec", "n", "w"), "dec", "left")  # one row per fold
     v = dot(F.col("w"), features)
     v = sigmoid(v) if logistic else v
     return x.select("gi", "sym", F.when((F.col("n") >= min_train) & F.col("w").isNotNull(), v).alias("model"))

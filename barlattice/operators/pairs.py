@@ -100,7 +100,7 @@ def disjoint_pairs(cands: DataFrame, max_pairs: int) -> DataFrame:
         best = pin(best)
         chosen = best if chosen is None else chosen.unionByName(best)
         if i + 1 < max_pairs:
-            b = F.broadcast(best.select("f", F.col("a").alias("_a"), F.col("b").alias("_b")))  # one row per formation
+            b = best.select("f", F.col("a").alias("_a"), F.col("b").alias("_b"))  # one row per formation
             clash = (F.col("a") == F.col("_a")) | (F.col("a") == F.col("_b")) | (F.col("b") == F.col("_a")) | (F.col("b") == F.col("_b"))
             left = pin(left.join(b, "f").filter(~clash).select(*cols))
     return chosen
@@ -109,7 +109,7 @@ def disjoint_pairs(cands: DataFrame, max_pairs: int) -> DataFrame:
 def spread_z(chosen: DataFrame, forms: DataFrame, grid: DataFrame, lookback: int) -> DataFrame:
     """z of each active pair's spread at every bar until the next formation, in its own trailing window."""
     px = grid.filter("px > 0").select("gi", "sym", F.ln("px").alias("lp"))
-    x = chosen.select("f", "a", "b", "beta").join(F.broadcast(forms), "f")  # formations: one row per cadence step
+    x = chosen.select("f", "a", "b", "beta").join(forms, "f")  # formations: one row per cadence step
     end = F.coalesce(F.col("f_next") - 1, F.col("m"))
     x = x.withColumn("gi", F.explode(F.sequence(F.col("f") - lookback + 1, end)))
     x = x.join(px.select("gi", F.col("sym").alias("a"), F.col("lp").alias("_la")), ["gi", "a"], "left") \

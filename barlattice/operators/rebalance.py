@@ -153,8 +153,8 @@ def score_log(entries: DataFrame, targets: DataFrame, panel: DataFrame, market:
     mk = market.select(key).distinct()
     held = books.select((F.col("eno") + 1).alias("eno"), key, "weight").join(rel, ["eno", key])
     port = held.groupBy("eno").agg(F.sum(F.col("weight") * F.col("g")).alias("r"))
-    uni = rel.join(F.broadcast(mk), key, "left_anti").groupBy("eno").agg(F.avg("g").alias("u"))
-    idx = rel.join(F.broadcast(mk), key, "left_semi").groupBy("eno").agg(F.max("g").alias("n"))
+    uni = rel.join(mk, key, "left_anti").groupBy("eno").agg(F.avg("g").alias("u"))
+    idx = rel.join(mk, key, "left_semi").groupBy("eno").agg(F.max("g").alias("n"))
     cost = switch_cost(books, buy_rate, sell_rate, key=key)
     x = eff.select("eno", ts).join(port, "eno", "left").join(uni, "eno", "left").join(idx, "eno", "left").join(cost, "eno", "left") \
         .fillna(0e0, ["r", "u", "n", "cost"])

@@ -331,6 +331,16 @@ def test_tree_models(spark):
         assert list(imp) == list(m2.featureImportances.toArray())
 
 
+def test_pieces_stay_small_as_rows_grow(spark):
+    """Ten times the rows make more pieces, not larger ones, also for one key that holds them all."""
+    most = []
+    for n in (4_000, 40_000):
+        df = spark.range(n).select(F.lit("hot").alias("k"), F.col("id").alias("i"))
+        pinned = scan.pin_chunks(df, ["k"], ["i"], piece_rows=400)
+        most.append(pinned.groupBy(scan.CHUNK).count().agg(F.max("count")).first()[0])
+    assert max(most) <= 3 * 400
+
+
 def test_optimiser_groups_by_several_columns(spark):
     """Two specs on one date stay apart; a name without an expected return makes its group's returns equal."""
     m = {"A": [[4.0, 1.0], [1.0, 9.0]], "B": [[1.0, 0.0], [0.0, 1.0]]}
