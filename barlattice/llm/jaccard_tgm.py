@@ -33,8 +33,8 @@ from barlattice.session import shared_dir
 
 BANDS = 4
 MAX_BROADCAST_CLASSES = 500_000  # some 40 bytes each
-FLUSH_TOKENS = 1 << 21
-BUCKET_BYTES = 16 << 20
+FLUSH_TOKENS = 1 << 20
+BUCKET_BYTES = 8 << 20
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(2 * BANDS)]
 
 

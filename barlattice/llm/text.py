@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 _powers = {"n": 0, "up": np.empty(0, np.uint64), "down": np.empty(0, np.uint64)}
@@ -51,7 +51,7 @@ def buffer_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, CHUNK_BYTES + 1024)
         for key, base in (("up", _BASE), ("down", _INV)):
             table = np.full(size, base, np.uint64)
             table[0] = 1

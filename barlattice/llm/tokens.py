@@ -36,11 +36,11 @@ class Encoder:
 
     _made: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str, cache_entries: int = 500_000):
+    def __init__(self, path: str, cache_entries: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.whole = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_piece = splits_at_spaces(spec)
@@ -61,7 +61,7 @@ class Encoder:
             self.model.pre_tokenizer = pre_tokenizers.Split(self.mark, "isolated")
 
     @classmethod
-    def of(cls, path: str, cache_entries: int = 500_000) -> Encoder:
+    def of(cls, path: str, cache_entries: int = 300_000) -> Encoder:
         """One encoder per worker process and file."""
         key = (path, cache_entries)
         if key not in cls._made:
@@ -69,7 +69,12 @@ class Encoder:
         return cls._made[key]
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Whole texts in one call."""
+        if self.whole is None:  # seldom needed: the copy for pre-tokens does nearly all
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pretokens(self, tokens: list[str]) -> dict[str, bytes]:
         """Ids of distinct pre-tokens; those without a line feed share calls, with line feeds between them."""
@@ -82,8 +87,10 @@ class Encoder:
             cuts = np.flatnonzero(ids == self.mark_id)
             raw, lows, highs = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             out.update((t, raw[4 * a:4 * b]) for t, a, b in zip(part, lows, highs, strict=True))
-        rest = [t for t in tokens if "\n" in t]
-        out.update(zip(rest, self._library(rest), strict=True))
+        for t in tokens:  # their line feeds can't be told from those between pre-tokens
+            if "\n" in t:
+                found = self.model.model.tokenize(t.encode().decode("latin-1").translate(self.characters))
+                out[t] = np.array([x.id for x in found], "<u4").tobytes()
         return out
 
     def _fill(self, k: int, missing: set[str]) -> None:

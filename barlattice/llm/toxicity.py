@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def run(series: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in series:
-            parts = [scorer.scores(part.to_pylist()) for _, part in tx.chunks(texts, tx.CHUNK_BYTES // 2)]
+            parts = [scorer.scores(part.to_pylist()) for _, part in tx.chunks(texts)]
             yield pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
     return docs.withColumn(out, F.arrow_udf(run, "double")(F.col(text)))
