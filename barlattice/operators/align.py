@@ -126,14 +126,14 @@ def keep_index(i: Column, n: Column, points: int) -> Column:
     return (n <= points) | (F.floor(lo * step + 5e-1) == i) | (F.floor(hi * step + 5e-1) == i)
 
 
-def downsample(curve, points=120, *, by=("spec_id",), ts="d") -> DataFrame:
+def downsample(curve, points, *, by=("spec_id",), ts="d") -> DataFrame:
     """At most ``points`` rows per curve, evenly spaced by index, endpoints kept."""
     w, whole = Window.partitionBy(*by).orderBy(ts), Window.partitionBy(*by)
     x = curve.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(whole))
     return x.filter(keep_index(F.col("_i"), F.col("_n"), points)).drop("_i", "_n")
 
 
-def curve_tiers(curve, *, by="spec_id", ts="d", eq="eq", points=120) -> DataFrame:
+def curve_tiers(curve, points, *, by="spec_id", ts="d", eq="eq") -> DataFrame:
     """Trailing slices of increasing length, each thinned to ``points``, never fewer than two rows."""
     back = Window.partitionBy(by).orderBy(F.col(ts).desc())
     x = curve.select(by, ts, eq, F.row_number().over(back).alias("_b"),
@@ -163,7 +163,7 @@ def curve_window(tiers, windows: dict[str, float | None], *, by="spec_id", ts="d
     return x.filter(F.col("_ms").isNull() | (F.col("_age") <= F.col("_ms")) | (F.col("_b") <= 2)).drop("_b", "_age", "_ms")
 
 
-def compact_curve(curve, n_max=500, *, by="spec_id", ts="d") -> DataFrame:
+def compact_curve(curve, n_max, *, by="spec_id", ts="d") -> DataFrame:
     """Curves longer than ``n_max`` keep every second point of their older half."""
     w, whole = Window.partitionBy(by).orderBy(ts), Window.partitionBy(by)
     x = curve.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(whole))

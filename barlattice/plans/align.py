@@ -98,7 +98,7 @@ TIERS = f"""{DS}, tl as (select unnest([3.1e1, 3.66e2, 1.83e3, 1e9]) tier_days),
 
 @query("curve_tiers", "curves", f"{TIERS} select * from tiers")
 def curve_tiers(t):
-    return A.curve_tiers(t.curves)
+    return A.curve_tiers(t.curves, 120)
 
 
 @query("curve_window", "curves", f"""{TIERS}, wn(win, ms) as (values ('1W', 7e0), ('1M', 3.1e1), ('1Y', 3.66e2), ('5Y', 1.83e3), ('10Y', 3.66e3), ('MAX', null)),
@@ -110,13 +110,13 @@ def curve_tiers(t):
   select spec_id, win, d, eq from j where ms is null or age <= ms or b <= 2""")
 def curve_window(t):
     wins = {"1W": 7e0, "1M": 3.1e1, "1Y": 3.66e2, "5Y": 1.83e3, "10Y": 3.66e3, "MAX": None}
-    return A.curve_window(A.curve_tiers(t.curves), wins).select("spec_id", "win", "d", "eq")
+    return A.curve_window(A.curve_tiers(t.curves, 120), wins).select("spec_id", "win", "d", "eq")
 
 
 @query("compact_curve", "curves", f"""x as (select *, row_number() over ({WS}) - 1 i, count(*) over (partition by spec_id) n from curves)
   select spec_id, d, eq from x where n <= 500 or i >= n // 2 or i % 2 = 0""")
 def compact_curve(t):
-    return A.compact_curve(t.curves).select("spec_id", "d", "eq")
+    return A.compact_curve(t.curves, 500).select("spec_id", "d", "eq")
 
 
 @query("throttle_resample", "ticks", """select acct, time_bucket(interval '30 seconds', ts) slot, max_by(price, (ts, event_id)) price

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # ---- vendor documents ------------------------------------------------------------------------------------------------
+# fixed values: field names of the vendors' documents (schemas, _LEG, _FIELDS below)
 
 CHART_SCHEMA = """symbol string, timestamp array<bigint>,
  indicators struct<quote: array<struct<open: array<double>, high: array<double>, low: array<double>, close: array<double>,
@@ -149,6 +150,7 @@ def sanitize_log(log: DataFrame, *, by="bot", order="pos") -> DataFrame:
 
 # ---- portfolio snapshots ---------------------------------------------------------------------------------------------
 
+# fixed values: field names of a snapshot
 _INST = "kind: string, symbol: string, expiry: string, strike: double, optType: string, lotSize: double"
 SNAPSHOT_SCHEMA = f"""cash double, initialCash double, realised double, lastPrices map<string, double>,
  equityCurve array<struct<t: double, c: double>>, settings struct<futuresMarginPct: double, shortOptionSpanPct: double, riskFreeRate: double>,
