@@ -370,17 +370,21 @@ def _least_common(n, t: Threshold):
 def _open_groups(left: DataFrame, t: Threshold) -> DataFrame:
     """5. Exact links ``u, v`` between documents of different groups; the smaller document asks.
 
-    A document asks for partners of its own size up to its reach; of its tokens such a partner lacks ``n - least`` at most.
+    A document asks for partners of its own size up to its reach; of its tokens such a partner lacks ``n - least`` at most, and the
+    partner's own rarest tokens hold one of them.  The first token that two documents share, in order of rarity, leaves room for all of
+    their overlap behind it in both; other hits are dropped.
     """
     least = -F.floor(-(2 * t.num * F.col("n")) / (t.num + t.den))  # overlap with a partner of no smaller size
     tokens = left.select("rep", "grp", "n", "reach", F.explode(_unpack("set")).alias("token"))
     matrix = tokens.select("token", F.col("grp").alias("other")).distinct()
-    rarity = matrix.groupBy("token").agg(F.count("*").alias("groups"))
+    rarity = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
     sizes = left.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("far"), F.count("*").alias("members"))
-    asking = tokens.filter("reach >= n").join(rarity, "token").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("groups", "token")))
-    prefix = asking.filter(F.col("k") <= F.col("n") - least + 1).filter("groups > 1").select("token", "rep", "grp", "n", "reach")
-    listed = matrix.join(sizes, "other")
-    may = (F.col("other") != F.col("grp")) & (F.col("high") >= F.col("n")) & (F.col("low") <= F.col("reach")) & (F.col("far") >= F.col("n"))
+    # tokens of one group come first and meet nothing, so only their number is needed
+    ranked = tokens.join(rarity, "token").withColumn("behind", F.count("*").over(Window.partitionBy("rep").orderBy(F.desc("groups"), F.desc("token"))))
+    prefix = ranked.filter("reach >= n").filter(F.col("behind") >= least).select("token", "rep", "grp", "n", "reach", "behind")
+    listed = ranked.filter(F.col("behind") >= _need(F.col("n"), t)).groupBy("token", F.col("grp").alias("other")).agg(F.max("behind").alias("room")).join(sizes, "other")
+    both = -F.floor(-(t.num * (F.col("n") + F.greatest("n", "low"))) / (t.num + t.den))  # least overlap with the group's smallest fitting member
+    may = (F.col("other") != F.col("grp")) & (F.col("high") >= F.col("n")) & (F.col("low") <= F.col("reach")) & (F.col("far") >= F.col("n")) & (F.col("behind") >= both) & (F.col("room") >= both)
     asked = prefix.join(listed, (prefix["token"] == listed["token"]) & may).select("rep", "n", "reach", "other", "members").distinct()
     # a group of one is opened at once: its union is its only member
     many = asked.filter("members > 1")
