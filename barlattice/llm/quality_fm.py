@@ -31,12 +31,19 @@ class Model:
 
 
 def labelled_sample(labels: DataFrame, label: str, learn: Column, per_class: int, doc_id: str = "doc_id") -> DataFrame:
-    """At most ``per_class`` rows ``(doc_id, label)`` of each class, picked by the hash of the id; rows without id or label are left out.
+    """At most ``per_class`` rows ``(doc_id, label, weight)`` of each class, picked by the hash of the id; rows without id or label are left out.
 
-    Conflicting labels of one id count by their larger value.
+    Conflicting labels of one id count by their larger value.  A row's ``weight`` is how many labelled rows of its class it stands for,
+    so class shares by weight are those of all labelled rows, whatever ``per_class`` leaves of each class.
     """
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & learn).groupBy(doc_id).agg(F.max(label).cast("int").alias("label"))
-    picks = [known.filter(F.col("label") == k).orderBy(F.xxhash64(doc_id), doc_id).limit(per_class) for k in (0, 1)]
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
+
+    def pick(k: int) -> DataFrame:
+        weight = max(1.0, counts.get(k, 0) / per_class)
+        return known.filter(F.col("label") == k).orderBy(F.xxhash64(doc_id), doc_id).limit(per_class).withColumn("weight", F.lit(weight))
+
+    picks = [pick(k) for k in (0, 1)]
     return picks[0].unionByName(picks[1])
 
 
@@ -114,7 +121,7 @@ def _with_stated(docs: DataFrame, text: str, stated: str | None, *more: str) ->
 
 def fit(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str = "text", stated: str | None = "n_chars", factors: int = 6, epochs: int = 12,
         rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Model:
-    """Fits on the documents of ``sample`` (see ``labelled_sample``, which bounds it) by Adagrad on the log loss.
+    """Fits on the documents of ``sample`` (see ``labelled_sample``, which bounds it) by Adagrad on the log loss, rows counting by their weight.
 
     Features are made by tasks; the driver gets a few kilobytes per sampled row.  Without rows of both classes the score is the
     sample's share of ones, one half for an empty sample.
@@ -122,20 +129,22 @@ def fit(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, stated_length, key = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False).astype(float), batch.column(3)
+            label, stated_length, key, weight = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False).astype(float), batch.column(3), batch.column(4)
             for lo, part in tx.chunks(batch.column(0)):
                 n = len(part)
                 rows, buckets, value, stats = features(part, stated_length[lo:lo + n])
                 cuts = np.searchsorted(rows, np.arange(n + 1))
                 b, x = buckets.astype("<i4"), value.astype("<f4")
-                yield pa.record_batch([key.slice(lo, n), label.slice(lo, n), pa.array([b[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]),
+                yield pa.record_batch([key.slice(lo, n), label.slice(lo, n), weight.slice(lo, n), pa.array([b[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]),
                                        pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]), pa.array([s.tobytes() for s in stats])],
-                                      names=["key", "label", "b", "x", "s"])
+                                      names=["key", "label", "weight", "b", "x", "s"])
 
-    chosen = docs.join(F.broadcast(sample), doc_id)  # the sample is bounded by its own parameter
-    got = _with_stated(chosen, text, stated, "label", F.col(doc_id).cast("string").alias("key")).mapInArrow(run, "key string, label int, b binary, x binary, s binary").toPandas()
+    own_columns = list(dict.fromkeys(c for c in (doc_id, text, stated) if c))
+    chosen = docs.select(*own_columns).join(F.broadcast(sample), doc_id)  # the sample is bounded by its own parameter
+    got = _with_stated(chosen, text, stated, "label", F.col(doc_id).cast("string").alias("key"), "weight").mapInArrow(run, "key string, label int, weight double, b binary, x binary, s binary").toPandas()
     got = got.sort_values(["key", "b"]).reset_index(drop=True)
-    y = got["label"].to_numpy(float)
+    y, weight = got["label"].to_numpy(float), got["weight"].to_numpy(float)
+    weight = weight / weight.mean() if len(weight) else weight
     rng = np.random.default_rng(seed)
     size = BUCKETS + len(STATS)
     m = Model(0.0, np.zeros(size), rng.normal(0, 0.05, (size, factors)), np.zeros(len(STATS)), np.ones(len(STATS)))
@@ -143,10 +152,11 @@ def fit(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str =
         m.bias, m.v = float(np.clip(np.log(y.mean() / (1 - y.mean())) if 0 < y.mean() < 1 else 40 * (2 * y.mean() - 1), -40, 40)) if len(y) else 0.0, np.zeros((size, factors))
         return m
     raw = np.stack([np.frombuffer(s) for s in got["s"]])
-    m.mean, m.scale = raw.mean(0), np.maximum(raw.std(0), 1e-6)
+    m.mean = np.average(raw, axis=0, weights=weight)
+    m.scale = np.maximum(np.sqrt(np.average((raw - m.mean) ** 2, axis=0, weights=weight)), 1e-6)
     stats = _standard(raw, m)
     bs, xs = [np.frombuffer(b, "<i4") for b in got["b"]], [np.frombuffer(x, "<f4").astype(float) for x in got["x"]]
-    m.bias = float(np.log(y.mean() / (1 - y.mean())))
+    m.bias = float(np.log(weight[y == 1].sum() / weight[y == 0].sum()))
     g_bias, g_w, g_v = 1e-6, np.full(size, 1e-6), np.full((size, factors), 1e-6)
     own = np.arange(BUCKETS, size)
     for _ in range(epochs):
@@ -156,7 +166,7 @@ def fit(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str =
             rows = np.repeat(np.arange(len(take)), [len(bs[i]) for i in take])
             b, x, s = np.concatenate([bs[i] for i in take]), np.concatenate([xs[i] for i in take]), stats[take]
             z, sums = _sums(rows, b, x, s, m)
-            delta = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[take]) / len(take)
+            delta = weight[take] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[take]) / len(take)
             dw, dv = np.zeros(size), np.zeros((size, factors))
             np.add.at(dw, b, delta[rows] * x)
             dw[own] += delta @ s

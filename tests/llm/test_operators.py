@@ -103,6 +103,20 @@ def test_quality(spark, odd, none):
     assert quality_fm.predict(*_strings(["x"]), quality_fm.fit(docs, sample.filter("label = 1")))[0] > 0.99
 
 
+def _one_text(spark, label):
+    """One text throughout, so that a score can only be the share of the labels, here six sevenths."""
+    data = [(i, "kata lovo mine", int(i % 7 > 0)) for i in range(1400)]
+    return spark.createDataFrame([x[:2] for x in data], "doc_id long, text string").withColumn("weight", F.lit("x")), spark.createDataFrame([(x[0], x[2]) for x in data], f"doc_id long, {label} int")
+
+
+def test_quality_of_a_capped_sample(spark):
+    """A bound that cuts one class only leaves scores on the scale of all labels."""
+    docs, labels = _one_text(spark, "quality")
+    for cap in (2000, 150):
+        model = quality_fm.fit(docs, quality_fm.labelled_sample(labels, "quality", F.lit(True), cap), stated=None)
+        assert quality_fm.predict(*_strings(["kata lovo mine"]), model)[0] == pytest.approx(6 / 7, abs=0.05)
+
+
 def _strings(texts):
     import pyarrow as pa
 
