@@ -95,13 +95,15 @@ class Scorer:
 
 def fit(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str = "text", features: int = 4000, least_documents: int = 4, smoothing: float = 1.0,
         ridge: float = 1e-3, rounds: int = 300) -> Model:
-    """Fits on the documents of ``sample`` (``doc_id, label``; its size is the caller's documented bound).
+    """Fits on the documents of ``sample`` (``doc_id, label, weight``; its size is the caller's documented bound).
+
+    A row counts by its weight, the labelled rows that it stands for, so bias and class balance are those of all labels.
 
     The ``features`` n-grams of positive ratio that are largest when weighted by the root of their count are kept: what marks
     toxic text is present in it, while n-grams of clean text only tell how long a text is.  Rare labels count by the root of their odds.  Without rows of both classes the score is
     the sample's share of ones, one half for an empty sample.
     """
-    chosen = docs.join(F.broadcast(sample), doc_id).select(F.col(text).alias("text"), "label", F.col(doc_id).cast("string").alias("key"))
+    chosen = docs.select(*dict.fromkeys((doc_id, text))).join(F.broadcast(sample), doc_id).select(F.col(text).alias("text"), "label", F.col(doc_id).cast("string").alias("key"), "weight")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,13 +114,13 @@ def fit(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str =
                 ones = np.bincount(inverse, label[lo + d], len(g)).astype(np.int64)
                 yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(ones), pa.array(np.bincount(inverse, minlength=len(g)).astype(np.int64) - ones)], names=["g", "p", "q"])
 
-    sizes = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    sizes = {r["label"]: (r["n"], r["all"]) for r in chosen.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("all")).collect()}  # two rows
+    (pos, all_pos), (neg, all_neg) = sizes.get(1, (0, 0.0)), sizes.get(0, (0, 0.0))
     if not pos or not neg:
         return Model(40.0 if pos else -40.0 if neg else 0.0, np.empty(0, np.uint64), np.empty(0))
     ratio = F.log((F.col("p") + smoothing) / (pos + smoothing)) - F.log((F.col("q") + smoothing) / (neg + smoothing))
     table = chosen.mapInArrow(counted, "g long, p long, q long").groupBy("g").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    table = table.filter(F.col("p") + F.col("q") >= least_documents).select("g", ratio.alias("r"), (ratio * F.sqrt(F.col("p") + F.col("q"))).alias("k")).filter("k > 0")
+    table = table.filter(F.col("p") + F.col("q") >= least_documents).select("g", ratio.alias("r"), (ratio * F.sqrt(F.col("p") * (all_pos / pos) + F.col("q") * (all_neg / neg))).alias("k")).filter("k > 0")
     best = table.orderBy(F.desc("k"), "g").limit(features).toPandas()  # at most ``features`` rows
     hashes = best["g"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -136,15 +138,17 @@ def fit(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str =
 
     rows = chosen.mapInArrow(listed, "key string, label int, f binary").toPandas().sort_values(["key", "f"])
     y = rows["label"].to_numpy(float)
+    known = all_pos + all_neg
     lists = [np.frombuffer(f, "<i4") for f in rows["f"]]
     row, feat = np.repeat(np.arange(len(y)), [len(x) for x in lists]), np.concatenate(lists)
     value = m.weight[feat]
-    w, bias = np.zeros(len(m.weight)), float(np.log(pos / neg))
-    balance = np.sqrt(np.where(y == 1, len(y) / (2 * pos), len(y) / (2 * neg)))
+    w, bias = np.zeros(len(m.weight)), float(np.log(all_pos / all_neg))
+    # each class by its share of all labels, times the root of its odds
+    balance = np.where(y == 1, all_pos / pos * np.sqrt(known / (2 * all_pos)), all_neg / neg * np.sqrt(known / (2 * all_neg)))
     step_w, step_b = np.full(len(w), 1e-8), 1e-8
     for _ in range(rounds):  # full gradients with a step per weight
         z = bias + np.bincount(row, value * w[feat], len(y))
-        delta = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
+        delta = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / known
         g = np.bincount(feat, value * delta[row], len(w)) + ridge * w
         step_w += g * g
         step_b += delta.sum() ** 2

@@ -158,6 +158,13 @@ def test_toxicity(spark, odd, none):
     assert toxicity.fit(docs, quality_fm.labelled_sample(labels, "toxic", ~held, 1000).limit(0)).bias == 0.0
 
 
+def test_toxicity_of_a_capped_sample(spark):
+    """A bound that cuts one class only leaves scores on the scale of all labels."""
+    docs, labels = _one_text(spark, "toxic")
+    full, cut = (toxicity.fit(docs, quality_fm.labelled_sample(labels, "toxic", F.lit(True), cap)) for cap in (2000, 200))
+    assert full.bias > 0.5 and cut.bias == pytest.approx(full.bias, abs=0.01)
+
+
 def test_grams():
     """Windows inside words, with a blank at either side at most."""
     def brute(t, n):
