@@ -2,15 +2,17 @@
 
 Values are found by their format and checked (card check digits, IBAN remainders, real calendar dates, octet ranges), then
 permuted within the format by a keyed Feistel network, so equal values stay equal in all documents and the pseudonym passes the same
-check.  Domains that are no power of the radix are walked in cycles.  Numbers that fail their check are left alone.
+check.  Domains that are no power of the radix are walked in cycles.  A candidate that fails its check is tried again without the groups at its
+end (an IBAN first by its country's length), then the search goes on behind its first character; what never passes is left alone.
 
 What is replaced: e-mail addresses (letters and digits of the local part), telephone numbers with a country code or in
 ``(ddd) ddd-dddd`` form, IPv4 addresses, card numbers of 13 to 19 digits, IBANs, US social security numbers, dates in
-``YYYY-MM-DD``, ``YYYY/MM/DD``, ``DD.MM.YYYY`` and ``DD/MM/YYYY``, and values of ``token|secret|password|api_key = "..."``.
+``YYYY-MM-DD``, ``YYYY/MM/DD``, ``DD.MM.YYYY``, ``DD/MM/YYYY`` and, where that is no date, ``MM/DD/YYYY`` (permuted among such dates), and values of ``token|secret|password|api_key = "..."``.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
@@ -34,12 +36,24 @@ _PATTERN = re.compile(
     r"|(?P<ipv4>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))"
     r"|(?P<phone>(?<!\w)\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w+])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?!\w))"
     r"|(?P<ssn>(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-]))"
-    r"|(?P<card>(?<![\w\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-]))",
+    r"|(?P<card>(?<![\w\-])[0-9](?:[ \-]?[0-9]){12,18}(?!\w|-(?![0-9])))",
 )
+_PHONE = re.compile(r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 _MAY = re.compile(r"[0-9@]|(?i:token|secret|passw|api)")
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+@lru_cache(1)
+def _month_first() -> list[int]:
+    """The days whose ``MM/DD/YYYY`` is no date as ``DD/MM/YYYY``."""
+    return [x for x in range(_FIRST_DAY, _LAST_DAY + 1) if datetime.date.fromordinal(x).day > 12]
+
+
 class Feistel:
     """Keyed permutation of ``range(n)`` for any ``n``: a balanced network on the next even number of bits, walked until it lands inside."""
 
@@ -114,6 +128,17 @@ class Pseudonyms:
         it = iter(digits)
         return "".join(next(it) if c.isdigit() or c.isupper() else c for c in value)
 
+    def _us_date(self, value: str, inverse: bool) -> str | None:
+        try:
+            day = datetime.date(int(value[6:]), int(value[:2]), int(value[3:5])).toordinal()
+        except ValueError:
+            return None
+        if not _FIRST_DAY <= day <= _LAST_DAY:
+            return None
+        days = _month_first()
+        new = datetime.date.fromordinal(days[self.f.permute(bisect.bisect_left(days, day), len(days), "date month first", inverse)])
+        return f"{new.month:02d}/{new.day:02d}/{new.year:04d}"
+
     def _map(self, kind: str, value: str, inverse: bool) -> str | None:
         digits = "".join(c for c in value if c in "0123456789")
         if kind == "card":
@@ -134,6 +159,8 @@ class Pseudonyms:
             return self._pour(value, plain[:2] + iban_check(plain[:2], rest) + rest)
         if kind == "date":
             year_first = value[4] in "/-"
+            if value[2] == "/" and int(value[:2]) <= 12 < int(value[3:5]):
+                return self._us_date(value, inverse)
             y, m, d = (value[:4], value[5:7], value[8:]) if year_first else (value[6:], value[3:5], value[:2])
             try:
                 day = datetime.date(int(y), int(m), int(d)).toordinal()
@@ -175,21 +202,45 @@ class Pseudonyms:
         return value[:cut] + self._letters(value[cut:], "secret", inverse)
 
 
+def _spans(kind: str, found: str) -> Iterator[tuple[int, int]]:
+    """The parts of a candidate to be checked, in order: the whole, then what ends before one of its separators, longest first."""
+    whole = len(found)
+    marks = {"card": " -", "iban": " ", "phone": " "}.get(kind, "")  # a dot or dash behind a telephone number's last blank may be another value's
+    ends = [i for i in range(whole - 1, 0, -1) if found[i] in marks]
+    if kind == "iban":
+        size = IBAN_LENGTHS.get(found[:2])
+        exact = [i for i in (whole, *ends) if i - found.count(" ", 0, i) == size]
+        yield from ((0, i) for i in exact)
+        yield 0, whole
+        yield from ((0, i) for i in (() if size else ends))
+    elif kind == "email":
+        yield 0, whole
+        if found[0] == ".":
+            yield whole - len(found.lstrip(".")), whole
+    else:
+        yield 0, whole
+        yield from ((0, i) for i in ends if kind != "phone" or _PHONE.fullmatch(found, 0, i))
+
+
 def replace(text: str, names: Pseudonyms) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind were replaced."""
     counts: dict[str, int] = {}
     if not _MAY.search(text):
         return text, counts
 
-    def one(m: re.Match) -> str:
+    out, done, at = [], 0, 0
+    while m := _PATTERN.search(text, at):
         kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
-        new = names.of(kind, m[0])
-        if new is None:
-            return m[0]
-        counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return _PATTERN.sub(one, text), counts
+        for lo, hi in _spans(kind, m[0]):
+            new = names.of(kind, m[0][lo:hi])
+            if new is not None:
+                counts[kind] = counts.get(kind, 0) + 1
+                out += (text[done:m.start() + lo], new)
+                done = at = m.start() + hi
+                break
+        else:
+            at = m.start() + 1
+    return "".join(out) + text[done:], counts
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: str = "pii") -> DataFrame:

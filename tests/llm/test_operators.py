@@ -347,6 +347,34 @@ def test_pseudonyms(spark, odd, none):
     assert pii_fpe.pseudonymise(none, PII_KEY).count() == 0
 
 
+@pytest.mark.parametrize("kind,value,before,behind", [
+    ("card", "4111111111111111", "", " 12/25"), ("card", "4111 1111 1111 1111", "no. 12 ", "."), ("card", "4111-1111-1111-1111", "", "-1225"), ("card", "4111 1111 1111 1111", "AB12 ", " x"),
+    ("iban", "ES9121000418450200051332", "", " BIC CAIXESBB"), ("iban", "ES91 2100 0418 4502 0005 1332", "", " ABCDEF x"), ("iban", "ES9121000418450200051332", "", " 2024"),
+    ("date", "03/25/2021", "on ", ", then"), ("phone", "+49 30 1234 5678", "", " 9012 3456"), ("email", "jo.81@mail.example.com", "...", "")])
+def test_pseudonyms_with_neighbours(kind, value, before, behind):
+    names = pii_fpe.Pseudonyms(b"k")
+    new, counts = pii_fpe.replace(before + value + behind, names)
+    got = new[len(before):len(before) + len(value)]
+    assert counts == {kind: 1} and value not in new and new.startswith(before)
+    if kind != "phone":
+        assert new == before + got + behind and got == names.of(kind, value) and names.back(kind, got) == value
+
+
+def test_pseudonyms_side_by_side():
+    names = pii_fpe.Pseudonyms(b"k")
+    new, counts = pii_fpe.replace("+1 (826) 555-4081 190.137.223.204 x", names)
+    assert counts == {"phone": 1, "ipv4": 1} and new == f"{names.of('phone', '+1 (826) 555-4081')} {names.of('ipv4', '190.137.223.204')} x"
+
+
+def test_month_first_dates():
+    """Pseudonyms stay dates that are none with the day first, so they go back."""
+    names = pii_fpe.Pseudonyms(b"k")
+    for value in ("01/13/1900", "02/29/2000", "12/31/2099"):
+        new = names.of("date", value)
+        assert int(new[:2]) <= 12 < int(new[3:5]) and names.back("date", new) == value
+    assert names.of("date", "02/30/2001") is None and names.of("date", "13/13/2001") is None
+
+
 # 7. licences
 
 def test_licenses(spark, odd, none):
