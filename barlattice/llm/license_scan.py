@@ -3,10 +3,16 @@
 A text is brought to a canonical form (ASCII lower case, no copyright lines, equivalent spellings made one, everything but
 letters and digits a single blank) and its SHA-256 is joined to the digests of known licences.  Units are the whole document and
 each of its lines, so a document that is a licence is found as well as a notice inside one.  DataFrame functions only.
+
+A whole document has a second form in which only lines that state a copyright are dropped, not every line that starts with the word:
+wrapped licence texts have such lines.  The full texts in ``licenses`` are known in both forms.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,21 +62,51 @@ KNOWN = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that names a copyright or reserves rights, with its line end.
 RIGHTS = r"(?m)^[^a-z0-9\n]*(?:copyright\b|\(c\)|©|copr\b|all rights reserved\b)[^\n]*$"
+#: A line that states a copyright: the word and a sign, a year or a place for one.
+STATED = (r"(?m)^[^a-z0-9\n]*(?:(?:copyright|copr)\b[^a-z0-9\n©]*(?:c\)|©|(?:19|20)[0-9]{2}\b|yyyy|year\b|notice[^a-z0-9\n]*$)|\(c\)[^a-z0-9\n]*(?:copyright\b|(?:19|20)[0-9]{2}\b)"
+          r"|©|all rights reserved\b)[^\n]*$")
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "MPL-2.0": [], "MPL-1.1": [], "Apache-2.0": [], "GPL-2.0": [], "GPL-3.0": [], "LGPL-2.1": [], "LGPL-3.0": [], "CC0-1.0": [], "CC-BY-SA-4.0": [],
+}
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; null becomes empty."""
-    x = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), RIGHTS, "")
+def canonical(text: Column, dropped: str = RIGHTS) -> Column:
+    """The canonical form without the lines ``dropped``; null becomes empty."""
+    x = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), dropped, "")
     x = F.trim(F.regexp_replace(x, OTHER, " "))
     for one, other in SPELLINGS:
         x = F.replace(x, F.lit(one), F.lit(other))
     return x
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """``digest, license_id, size`` of the known texts; equal canonical texts under several ids stay several rows."""
+def full_texts() -> list[tuple[str, str]]:
+    """``license_id, text``: the long texts of ``KNOWN`` and the files in ``licenses``, bare and under each usual title.
+
+    Instructions behind "END OF TERMS AND CONDITIONS" may be missing, and numbers of clauses may be bullets (BSD).
+    """
+    files = [(p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+    out = [(i, b) for i, b in KNOWN if i in TITLES and len(b) > 500] + files
+    out += [(i, b[:at.end()]) for i, b in out if (at := re.search("END OF TERMS AND CONDITIONS", b))]
+    out += [(i, re.sub(r"(?m)^[0-9]\. ", "* ", b)) for i, b in out if i.startswith("BSD")]
+    return out + [(i, f"{t}\n\n{b}") for i, b in out for t in TITLES[i]]
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, full: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``digest, license_id, size`` of the known texts and the ``full`` ones (``full_texts()``); equal canonical texts under several ids stay several rows."""
     rows = spark.createDataFrame(known, "license_id string, body string").select("license_id", canonical(F.col("body")).alias("body"))
+    full = full_texts() if full is None else full
+    if full:
+        texts = spark.createDataFrame(full, "license_id string, body string")
+        forms = F.array(canonical(F.col("body")), canonical(F.col("body"), STATED))
+        rows = rows.unionByName(texts.select("license_id", F.explode(forms).alias("body")))
     return rows.filter(F.length("body") > 0).select(F.sha2("body", 256).alias("digest"), "license_id", F.length("body").alias("size")).distinct()
 
 
@@ -83,9 +119,12 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     facts = known.agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")).first()  # one row
     lo, hi = facts["lo"] or 1, facts["hi"] or 0
     whole = F.struct(F.lit(True).alias("whole"), canonical(F.col("text")).alias("body"))
+    # without such a word both forms are equal
+    differs = F.lower(F.coalesce("text", F.lit(""))).rlike(r"copr|copyright|\(c\)|©|all rights reserved")
+    second = F.when(differs, F.array(F.struct(F.lit(True).alias("whole"), canonical(F.col("text"), STATED).alias("body")))).otherwise(F.array().cast("array<struct<whole:boolean,body:string>>"))
     # a line's canonical form is at most twice its length (spellings grow by one letter in seven), so others can't match
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(x) >= lo // 2)
-    units = F.concat(F.array(whole), F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), canonical(x).alias("body"))))
+    units = F.concat(F.array(whole), second, F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), canonical(x).alias("body"))))
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = numbered.select("_row", "doc_id", F.explode(units).alias("u"))
     rows = rows.filter(F.col("u.whole") | F.length("u.body").between(lo, hi))

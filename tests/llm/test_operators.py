@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime
 import hashlib
 import itertools
+import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -395,6 +397,26 @@ def test_licenses(spark, odd, none):
     assert "Python" not in license_scan.scan(df, known)._jdf.queryExecution().toString()
 
 
+def test_license_files(spark):
+    """Whole files as they are published: title, copyright and wrapped lines, one of which starts with the word itself."""
+    folder = os.path.join(os.path.dirname(license_scan.__file__), "licenses")
+    mit, isc = (next(" ".join(b.split()) for i, b in license_scan.KNOWN if i == k and len(b) > 500) for k in ("MIT", "ISC"))
+    files = [("MIT", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + textwrap.fill(mit, 78)), ("MIT", "The MIT License (MIT)\n\nCopyright 2020 Some Body\n\n" + textwrap.fill(mit, 60)),
+             ("ISC", "ISC License\n\nCopyright (c) 2020, Some Body\n\n" + isc.replace("above copyright", "above\ncopyright")), ("MIT", mit.replace("COPYRIGHT HOLDERS BE", "\nCOPYRIGHT HOLDERS BE"))]
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            text = f.read()
+        files += [(name[:-4], text), (name[:-4], textwrap.indent(text, " * ", lambda _: True))]
+        if name.startswith("BSD"):
+            files.append((name[:-4], "BSD " + name[4] + "-Clause License\n\nCopyright (c) 2020, Some Body\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(p, 79) for p in text.split("\n\n"))))
+        if name.startswith("Apache"):
+            files.append((name[:-4], text.replace("[yyyy] [name of copyright owner]", "2020 Some Body")))
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(files)] + [(1000 + k, t[:-100]) for k, (_, t) in enumerate(files)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["is_license"], r["license_ids"]) for r in license_scan.scan(df, license_scan.known_digests(spark)).collect()}
+    assert {k: got[k] for k in range(len(files))} == {k: (True, i) for k, (i, _) in enumerate(files)}
+    assert not any(v[0] for k, v in got.items() if k >= 1000)
+
+
 # 8. Jaccard join
 
 def jaccard_components(docs, n, num, den):
