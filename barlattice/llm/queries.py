@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
-from barlattice.llm import bitpack, decontam, jaccard_tgm, license_scan, pii_fpe, quality_fm, seqpack, topk_ip, toxicity, url_filter
+from barlattice.llm import bitpack, decontam, jaccard_tgm, license_scan, merkle, pii_fpe, quality_fm, seqpack, topk_ip, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +128,12 @@ def op9_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqpack.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("ids")
+
+
+@query(merkle.oracle())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    done = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], changed=tampered, now={"text": merkle.lower_ascii(F.col("text"))})
+    folded = done.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.fold(F.col("path"), F.col("now")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
