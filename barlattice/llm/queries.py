@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlattice.llm import bitpack, decontam, jaccard_tgm, license_scan, merkle, pii_fpe, quality_fm, seqpack, topk_ip, toxicity, url_filter
+from barlattice.llm import bitpack, decontam, jaccard_tgm, license_scan, merkle, periodic, pii_fpe, quality_fm, seqpack, simhash_gray, topk_ip, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +130,38 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqpack.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("ids")
 
 
+def plant_period(text, h):
+    """Of a text with words: those from word ``g % n`` on repeat with period ``1 + (n - a) div (3 + g % 8)``, g being h div 10."""
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        return F.when(n > 0, F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p))), " "))
+
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.get(F.transform(F.array(words), planted), 0)  # the words are cut once and bound
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    text = F.when(h % 10 == 0, plant_period(F.col("text"), h)).otherwise(F.col("text"))
+    done = periodic.collapse(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    found = done.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return found.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query()
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = simhash_gray.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query(merkle.oracle())
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
