@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.operators.scan import CHUNK, pin_chunks, prefix
+from barlattice.session import pin
 
 KEY, ORDER = ("acct", "ikey"), ("d", "ok", "ln", "pk")
 INITIAL = 1e6
+PIECE_ROWS = 50_000
 FUTURES_MARGIN, SHORT_OPTION_SPAN = 1.2e-1, 1e-1
 
 
@@ -29,7 +31,7 @@ def _steps(fills: DataFrame, key, order) -> DataFrame:
     The realised result is rc + rd * avg: linear in the average before the fill.
     """
     x = fills.withColumn("_s", signed())
-    x = prefix(pin_chunks(x, list(key), list(order)), list(key), list(order), sums={"q1": F.col("_s")})
+    x = prefix(pin_chunks(x, list(key), list(order), piece_rows=PIECE_ROWS), list(key), list(order), sums={"q1": F.col("_s")})
     q0, q1, s, p = F.col("q1") - F.col("_s"), F.col("q1"), F.col("_s"), F.col("price")
     opens = (q0 == 0) | (F.signum(q0) * F.signum(q1) < 0)
     adds = (F.signum(q0) == F.signum(s)) & (q0 != 0)
@@ -42,62 +44,84 @@ def _steps(fills: DataFrame, key, order) -> DataFrame:
                     closing.alias("closing"), (closed * p).alias("rc"), (-closed).alias("rd"))
 
 
-def _fold(seq: str, init: Column) -> Column:
+FANOUT = 64  # children of a node in the summaries' trees
+
+
+def _fold(seq: str) -> Column:
     """Composes affine steps (al, be, rc, rd) in order."""
-    return F.aggregate(seq, init, lambda a, r: F.struct(
+    one = F.struct(F.lit(1e0).alias("al"), F.lit(0e0).alias("be"), F.lit(0e0).alias("rc"), F.lit(0e0).alias("rd"))
+    return F.aggregate(seq, one, lambda a, r: F.struct(
         (a["al"] * r["al"]).alias("al"), (a["be"] * r["al"] + r["be"]).alias("be"),
         (a["rc"] + r["rc"] + r["rd"] * a["be"]).alias("rc"), (a["rd"] + r["rd"] * a["al"]).alias("rd")))
 
 
-def _identity() -> Column:
-    return F.struct(F.lit(1e0).alias("al"), F.lit(0e0).alias("be"), F.lit(0e0).alias("rc"), F.lit(0e0).alias("rd"))
+def _entering(seq: str, first: Column) -> Column:
+    """The average before each step of ``seq``, ``first`` before the first one."""
+    start = F.struct(first.alias("a"), F.array().cast("array<double>").alias("o"))
+    return F.aggregate(seq, start, lambda x, r: F.struct((x["a"] * r["al"] + r["be"]).alias("a"), F.concat(x["o"], F.array(x["a"])).alias("o")), lambda x: x["o"])
+
+
+def _blocks(steps: DataFrame, key, order, columns) -> DataFrame:
+    """Rows of a (key, piece) in blocks of ``FANOUT``, in order, as ``_z``; the pieces' own partitioning serves."""
+    w = Window.partitionBy(*key, CHUNK).orderBy(*order)
+    x = steps.withColumn("_blk", F.row_number().over(w)).withColumn("_blk", F.expr(f"(_blk - 1) div {FANOUT}"))
+    return x.groupBy(*key, CHUNK, "_blk").agg(F.array_sort(F.collect_list(F.struct(*order, *columns))).alias("_z"))
+
 
+def _pieces(steps: DataFrame, key, order) -> DataFrame:
+    """One row per (key, piece), fixed: quantity traded, its blocks' compositions in order (``_b``) and their own (``m``)."""
+    traded = F.aggregate("_z", F.lit(0).cast(steps.schema["_s"].dataType), lambda a, r: a + r["_s"])
+    x = _blocks(steps, key, order, ("_s", "al", "be", "rc", "rd")).select(*key, CHUNK, "_blk", _fold("_z").alias("m"), traded.alias("dq"))
+    g = x.groupBy(*key, CHUNK).agg(F.array_sort(F.collect_list(F.struct("_blk", "m.al", "m.be", "m.rc", "m.rd"))).alias("_b"), F.sum("dq").alias("dq"))
+    return pin(g.withColumn("m", _fold("_b")))  # a sixty-fourth of the fills' rows
 
-def _summaries(steps: DataFrame, key, order) -> DataFrame:
-    g = steps.groupBy(*key, CHUNK).agg(
-        F.array_sort(F.collect_list(F.struct(*order, "al", "be", "rc", "rd"))).alias("_z"), F.sum("_s").alias("dq"))
-    return g.select(*key, CHUNK, "dq", _fold("_z", _identity()).alias("m"))
+
+def _above(nodes: DataFrame, key) -> DataFrame:
+    """One level up: nodes ``key, _at, m`` by their ``_at div FANOUT``, the children in order as ``_b``."""
+    g = nodes.groupBy(*key, F.expr(f"_at div {FANOUT}").alias("_up")).agg(F.array_sort(F.collect_list(F.struct("_at", "m.al", "m.be", "m.rc", "m.rd"))).alias("_b"))
+    return g.withColumnRenamed("_up", "_at").withColumn("m", _fold("_b"))
+
+
+def _levels(pieces: DataFrame, key) -> list[DataFrame]:
+    """The tree over the pieces of every key, from the pieces up to one node."""
+    out = [pieces.select(*key, F.col(CHUNK).cast("long").alias("_at"), "m")]
+    last = pieces.agg(F.max(CHUNK).alias("n")).first()["n"]  # one row
+    while last:
+        last //= FANOUT
+        out.append(_above(out[-1].select(*key, "_at", "m"), key))
+    return out
 
 
 def fold_fills(fills: DataFrame, *, key=KEY, order=ORDER) -> DataFrame:
     """Position per (account, instrument): signed qty, average price (0 when flat) and realised result."""
-    s = _summaries(_steps(fills, key, order), key, order)
-    g = s.groupBy(*key).agg(F.sum("dq").alias("qty"), F.array_sort(F.collect_list(F.struct(CHUNK, "m.al", "m.be", "m.rc", "m.rd"))).alias("_z"))
-    x = g.select(*key, "qty", _fold("_z", _identity()).alias("m"))
+    pieces = _pieces(_steps(fills, key, order), key, order)
+    qty = pieces.groupBy(*key).agg(F.sum("dq").alias("qty"))
+    x = qty.join(_levels(pieces, key)[-1].select(*key, "m"), list(key))
     return x.select(*key, "qty", F.when(F.col("qty") != 0, F.col("m.be")).otherwise(0e0).alias("avg_price"), F.col("m.rc").alias("realised"))
 
 
 def realised_by_fill(fills: DataFrame, *, key=KEY, order=ORDER) -> DataFrame:
-    """Every fill with the result it locked in, the average price after it and whether it closed something."""
+    """Every fill with the result it locked in, the average price after it and whether it closed something.
+
+    A scan of affine maps in three tiers: rows in blocks of 64, a piece's blocks, pieces in groups of 64 up to the key.  Compositions go up,
+    entry averages come down, and every array is bounded by 64 or by a piece's blocks.
+    """
     steps = _steps(fills, key, order)
-    s = _summaries(steps, key, order)
-    # entry average of each piece: the composition of all earlier pieces (one row per key and partition)
-    g = s.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(CHUNK, "m.al", "m.be"))).alias("_z"))
-    entry = F.aggregate("_z", F.struct(F.lit(0e0).alias("a"), F.array().cast("array<double>").alias("o")),
-                        lambda a, r: F.struct((a["a"] * r["al"] + r["be"]).alias("a"), F.concat(a["o"], F.array(a["a"])).alias("o")), lambda a: a["o"])
-    starts = g.select(*key, F.inline(F.arrays_zip(F.transform("_z", lambda r: r[CHUNK]).alias(CHUNK), entry.alias("avg_in"))))
-    x = steps.join(starts, [*key, CHUNK])
-    cols = [c for c in fills.columns]
-    out = x.select(*cols, "closing", "al", "be", "rc", "rd", "avg_in", CHUNK)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fills.schema.fields) + ", closing boolean, realised double, avg_after double"
-    names = [*key, *order]
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        # all keys of one piece: a key's rows are contiguous, its average starts from the carried one
-        pdf = pdf.sort_values(names, kind="stable")
-        start = np.ones(len(pdf), bool)
-        start[1:] = np.any([pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1] for k in key], axis=0)
-        a, before = 0.0, np.empty(len(pdf))
-        for i, (new, enter, al, be) in enumerate(zip(start.tolist(), pdf["avg_in"].tolist(), pdf["al"].tolist(), pdf["be"].tolist())):
-            a = enter if new else a
-            before[i] = a
-            a = al * a + be
-        pdf["realised"] = pdf["rc"].to_numpy() + pdf["rd"].to_numpy() * before
-        pdf["avg_after"] = pdf["al"].to_numpy() * before + pdf["be"].to_numpy()
-        return pdf[[*cols, "closing", "realised", "avg_after"]]
-
-    # a piece is one range partition, so its size is bounded whatever the keys are
-    return out.groupBy(CHUNK).applyInPandas(replay, schema)
+    pieces = _pieces(steps, key, order)
+    tree = _levels(pieces, key)
+    enter = tree[-1].select(*key, "_at", F.lit(0e0).alias("_a"))  # the average that a node starts from
+    for parents in tree[:0:-1]:
+        x = parents.select(*key, "_at", "_b").join(enter, [*key, "_at"])
+        x = x.select(*key, F.inline(F.arrays_zip(F.transform("_b", lambda r: r["_at"]).alias("_at"), _entering("_b", F.col("_a")).alias("_a"))))
+        enter = x
+    x = pieces.select(*key, CHUNK, "_b").join(enter.select(*key, F.col("_at").cast("int").alias(CHUNK), "_a"), [*key, CHUNK])
+    starts = x.select(*key, CHUNK, F.inline(F.arrays_zip(F.transform("_b", lambda r: r["_blk"]).alias("_blk"), _entering("_b", F.col("_a")).alias("_a"))))
+    other = [c for c in fills.columns if c not in (*key, *order)]
+    rows = _blocks(steps, key, order, (*other, "closing", "al", "be", "rc", "rd")).join(starts, [*key, CHUNK, "_blk"])
+    flat = rows.select(*key, F.inline(F.arrays_zip(F.col("_z").alias("r"), _entering("_z", F.col("_a")).alias("_before"))))
+    flat = flat.select(*key, "r.*", "_before")
+    before = F.col("_before")
+    return flat.select(*fills.columns, "closing", (F.col("rc") + F.col("rd") * before).alias("realised"), (F.col("al") * before + F.col("be")).alias("avg_after"))
 
 
 def kind(ikey="ikey") -> Column:
@@ -112,7 +136,7 @@ def cash_flow(fills: DataFrame) -> DataFrame:
 
 def cash_balance(flows: DataFrame, *, initial=INITIAL, order=("d", "ikey", "ok", "ln", "pk")) -> DataFrame:
     """Running cash of every account after each fill, by a split prefix sum."""
-    x = prefix(pin_chunks(flows, ["acct"], list(order)), ["acct"], list(order), sums={"_run": F.col("flow")})
+    x = prefix(pin_chunks(pin(flows), ["acct"], list(order)), ["acct"], list(order), sums={"_run": F.col("flow")})
     return x.withColumn("cash", initial + F.col("_run")).drop("_run", CHUNK)
 
 
@@ -232,42 +256,88 @@ def _cross_piece(batches):
         "cross_price": pd.Series(px[at]).where(ok)})
 
 
-def first_cross(orders: DataFrame, ticks: DataFrame) -> DataFrame:
+def _pyramid(nodes: DataFrame, key: list[str], level: int) -> DataFrame:
+    """Level ``level`` above nodes ``key, at, v``: one row per parent with its children's least values, at most ``FANOUT`` of them."""
+    x = nodes.groupBy(*key, F.expr(f"at div {FANOUT**level}").alias("_c")).agg(F.min("v").alias("v"))
+    return x.groupBy(*key, F.expr(f"_c div {FANOUT}").alias("parent")).agg(F.array_sort(F.collect_list(F.struct("_c", "v"))).alias("kids"))
+
+
+def _height(last: int) -> int:
+    """Levels of a pyramid over nodes 0 to ``last``."""
+    return 1 if last < FANOUT else 1 + _height(last // FANOUT)
+
+
+def _descend(rows: DataFrame, kids: DataFrame, key: list[str], active: Column, parent: Column, after: Column, out: str) -> DataFrame:
+    """For active rows the first child behind ``after`` that reaches the row's level, as ``out``; by one equality join."""
+    none = -1 - F.pmod(F.xxhash64("id"), F.lit(1 << 20))  # rows that look for nothing meet no node, and no common key
+    x = rows.withColumn("parent", F.when(active, parent).otherwise(none)).join(kids, [*key, "parent"], "left")
+    hit = F.filter("kids", lambda k: (k["_c"] > after) & (k["v"] <= F.col("lv")))
+    return x.withColumn(out, F.when(active, F.get(hit, F.lit(0))["_c"]).otherwise(F.col(out) if out in rows.columns else F.lit(None).cast("long"))).drop("parent", "kids")
+
+
+def later_pieces(rows: DataFrame, ticks: DataFrame) -> DataFrame:
+    """For orders ``acct, id, down, lv, chunk`` the first tick of a later piece that reaches the level: ``cross_ts, cross_id, cross_price`` added, or null.
+
+    ``ticks``: ``acct, id, ts, price`` with their piece.  ``down`` waits for prices at or below; the other side works on negated prices and levels, so
+    that every search is for the first value at or below ``lv``.  Pieces form a pyramid of minima, 64 children to a row.  Each piece knows the least value
+    behind it inside every ancestor, which names the level where an order leaves its own branch; from there the pyramid is descended by one
+    equality join per level, then the pyramid over the running records of the piece found.
+    """
+    side = F.explode(F.array(F.lit(True), F.lit(False)))
+    sign = F.when(F.col("down"), 1e0).otherwise(-1e0)
+    ends = ticks.groupBy("acct", CHUNK).agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    # where orders stand, a piece without ticks of the account is a node too
+    ends = ends.unionByName(rows.select("acct", F.col("chunk").alias(CHUNK)).distinct().withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")}))
+    ends = ends.groupBy("acct", CHUNK).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    nodes = ends.select("acct", F.col(CHUNK).cast("long").alias("at"), side.alias("down"), "lo", "hi").withColumn("v", F.when(F.col("down"), F.col("lo")).otherwise(-F.col("hi"))).drop("lo", "hi").checkpoint()
+    top = nodes.agg(F.max("at").alias("n")).first()["n"] or 0  # one row
+    height, key = _height(top), ["acct", "down"]
+    behind = [F.min("v").over(Window.partitionBy(*key, F.expr(f"at div {FANOUT**(j + 1)}")).orderBy(F.expr(f"-(at div {FANOUT**j})")).rangeBetween(Window.unboundedPreceding, -1)).alias(f"_b{j}") for j in range(height)]
+    marks = nodes.select(*key, F.col("at").alias("chunk"), *behind)
+    x = rows.withColumn("chunk", F.col("chunk").cast("long")).join(marks, [*key, "chunk"], "left")
+    leave = F.coalesce(*[F.when(F.col(f"_b{j}") <= F.col("lv"), F.lit(j)) for j in range(height)])
+    x = x.withColumn("_leave", leave).drop(*[f"_b{j}" for j in range(height)])
+    for j in reversed(range(height)):
+        starts = F.col("_leave") == j
+        parent = F.when(starts, F.expr(f"chunk div {FANOUT**(j + 1)}")).otherwise(F.col("_node") if j + 1 < height else F.lit(None))
+        x = _descend(x, _pyramid(nodes, key, j), key, F.coalesce(F.col("_leave") >= j, F.lit(False)), parent, F.when(starts, F.expr(f"chunk div {FANOUT**j}")).otherwise(-1), "_node")
+    # running records of pieces that are not an account's first: only those can be found
+    first = nodes.groupBy("acct").agg(F.min("at").alias("_first"))
+    w = Window.partitionBy("acct", CHUNK, "down").orderBy("ts", "id")
+    t = ticks.join(first, "acct").filter(F.col(CHUNK) > F.col("_first")).select("acct", CHUNK, "ts", "id", "price", side.alias("down")).withColumn("v", sign * F.col("price"))
+    least = F.min("v").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("_new", least.isNull() | (F.col("v") < least)).filter("_new")
+    rec = t.select("acct", "down", F.col(CHUNK).cast("long").alias("_node"), "v", "ts", "id", (F.row_number().over(w) - 1).cast("long").alias("at")).checkpoint()
+    height, key = _height(rec.agg(F.max("at").alias("n")).first()["n"] or 0), ["acct", "down", "_node"]
+    x = x.withColumn("_rec", F.lit(0).cast("long"))
+    x = x.withColumn("_node", F.coalesce("_node", -1 - F.pmod(F.xxhash64("id"), F.lit(1 << 20))))
+    found = F.col("_node") >= 0
+    for j in reversed(range(height)):
+        x = _descend(x, _pyramid(rec, key, j), key, found, F.col("_rec"), F.lit(-1), "_rec")
+    hit = rec.select(*key, F.col("at").alias("_rec"), F.col("ts").alias("cross_ts"), F.col("id").alias("cross_id"), (sign * F.col("v")).alias("cross_price"))
+    return x.join(hit, [*key, "_rec"], "left").select(*rows.columns, "cross_ts", "cross_id", "cross_price")
+
+
+def first_cross(orders: DataFrame, ticks: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """For each order the first later tick of its account at or beyond the level.
 
     ``orders``: (acct, id, ts, level, down) with down = waits for price <= level; ``ticks``: (acct, id, ts, price).
-    Ticks and orders are range-partitioned together by (acct, time).  An order is first looked up in its own piece.
-    Otherwise the minima and maxima per piece (at most one row per account and partition) name the piece to look in,
-    and that piece's running records name the tick.
+    Ticks and orders are range-partitioned together by (acct, time).  An order is first looked up in its own piece, then in a pyramid over the
+    account's later pieces; no order carries more than one node's children.
     Output: (acct, id, cross_ts, cross_id, cross_price), nulls when never crossed.
     """
     t = ticks.select("acct", "ts", F.lit(0).alias("kind"), "id", F.col("price").cast("double").alias("price"), F.lit(False).alias("down"))
     o = orders.select("acct", "ts", F.lit(1).alias("kind"), "id", F.col("level").cast("double").alias("price"), "down")
     # a tick at the order's own time does not count, so ticks sort before orders of the same time
-    x = pin_chunks(t.unionByName(o), ["acct"], ["ts", "kind", "id"])
+    x = pin_chunks(t.unionByName(o), ["acct"], ["ts", "kind", "id"], piece_rows=piece_rows)
     tsty = ticks.schema["ts"].dataType.simpleString()
     # the checkpointed partitions are the pieces, so the local lookup needs no shuffle
     res = x.mapInPandas(
-        _cross_piece, f"acct bigint, id bigint, down boolean, level double, chunk int, cross_ts {tsty}, cross_id bigint, cross_price double")
+        _cross_piece, f"acct bigint, id bigint, down boolean, level double, chunk int, cross_ts {tsty}, cross_id bigint, cross_price double").checkpoint()
     found = res.filter("cross_id is not null").select("acct", "id", "cross_ts", "cross_id", "cross_price")
-    later = res.filter("cross_id is null").select("acct", "id", "down", "level", "chunk")
-
-    tk = x.filter("kind = 0")
-    ext = tk.groupBy("acct", CHUNK).agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
-    ext = ext.groupBy("acct").agg(F.array_sort(F.collect_list(F.struct(CHUNK, "lo", "hi"))).alias("pieces"))
-    hit = F.filter("pieces", lambda p: (p[CHUNK] > F.col("chunk")) & F.when(F.col("down"), p["lo"] <= F.col("level")).otherwise(p["hi"] >= F.col("level")))
-    later = later.join(ext, "acct", "left").withColumn("piece", F.get(hit, F.lit(0))[CHUNK]).drop("pieces", "chunk")
-
-    w = Window.partitionBy("acct", CHUNK).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rec = tk.select("acct", CHUNK, "ts", "id", "price", F.min("price").over(w).alias("_lo"), F.max("price").over(w).alias("_hi"))
-    new_lo = F.col("_lo").isNull() | (F.col("price") < F.col("_lo"))
-    new_hi = F.col("_hi").isNull() | (F.col("price") > F.col("_hi"))
-    rec = rec.withColumn("_r", F.struct("ts", "id", "price")).groupBy("acct", CHUNK).agg(
-        F.array_sort(F.collect_list(F.when(new_lo, F.col("_r")))).alias("lows"), F.array_sort(F.collect_list(F.when(new_hi, F.col("_r")))).alias("highs"))
-    y = later.join(rec.withColumnRenamed(CHUNK, "piece"), ["acct", "piece"], "left")
-    at = F.when(F.col("down"), F.get(F.filter("lows", lambda r: r["price"] <= F.col("level")), F.lit(0))) \
-        .otherwise(F.get(F.filter("highs", lambda r: r["price"] >= F.col("level")), F.lit(0)))
-    return found.unionByName(y.withColumn("_a", at).select("acct", "id", F.col("_a.ts").alias("cross_ts"), F.col("_a.id").alias("cross_id"), F.col("_a.price").alias("cross_price")))
+    open_ = res.filter("cross_id is null").select("acct", "id", "down", F.when(F.col("down"), F.col("level")).otherwise(-F.col("level")).alias("lv"), "chunk")
+    later = later_pieces(open_, x.filter("kind = 0").select("acct", "id", "ts", "price", CHUNK))
+    return found.unionByName(later.select("acct", "id", "cross_ts", "cross_id", "cross_price"))
 
 
 def limit_first_cross(orders: DataFrame, ticks: DataFrame) -> DataFrame:

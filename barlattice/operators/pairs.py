@@ -1,7 +1,8 @@
 """Pair screening and spread states on the aligned grid.
 
 Pair statistics are computed in tiles: the universe is cut into blocks of names, each tile compares two blocks with
-matrix arithmetic and emits only the pairs that pass the filters.  No join enumerates pairs.
+matrix arithmetic and emits only the pairs that pass the filters, for a choice of disjoint pairs only each name's best.
+No join enumerates pairs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.operators.returns import weight_returns
+from barlattice.operators.scan import CHUNK, pin_chunks, prefix
 from barlattice.session import pin
 
 PHI_MAX = 9.7e-1
@@ -38,7 +40,25 @@ def log_window(grid: DataFrame, lookback: int, every: int, *, key="sym") -> Data
     return g.filter(F.size("z") == lookback).select("f", key, F.transform("z", lambda e: e["v"]).alias("logs"))
 
 
-def _tile(pdf: pd.DataFrame, min_corr: float) -> pd.DataFrame:
+PAIR_ROWS = 1 << 14  # pairs of a tile whose spreads are held at once
+
+
+def _mutual(a: np.ndarray, b: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
+    """Which pairs (in the order score desc, a, b) are among the first ``keep`` of both their names."""
+    def rank(of: np.ndarray) -> np.ndarray:
+        order = np.argsort(of, kind="stable")
+        start = np.flatnonzero(np.diff(of[order], prepend=-1))
+        out = np.empty(len(of), np.int64)
+        out[order] = np.arange(len(of)) - np.repeat(start, np.diff(start, append=len(of)))
+        return out
+
+    # a name of two blocks stands on both sides, so its pairs are counted over both
+    names = np.concatenate([a, b])
+    both = rank(names[np.arange(2 * len(a)).reshape(2, -1).T.ravel()]).reshape(-1, 2)
+    return (both < keep).all(axis=1)
+
+
+def _tile(pdf: pd.DataFrame, min_corr: float, keep: int | None) -> pd.DataFrame:
     pdf = pdf.sort_values("sym", kind="stable")
     bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
     names, blk = pdf["sym"].to_numpy(), pdf["blk"].to_numpy()
@@ -54,56 +74,80 @@ def _tile(pdf: pd.DataFrame, min_corr: float) -> pd.DataFrame:
     ia, ib = np.nonzero(ok)
     ld = logs - logs.mean(axis=1, keepdims=True)
     var = (ld * ld).sum(axis=1)
-    with np.errstate(all="ignore"):
-        beta = np.where(var[ib] > 1e-12, np.einsum("ij,ij->i", ld[ia], ld[ib]) / var[ib], np.nan)
-        sp = logs[ia] - beta[:, None] * logs[ib]
-        x, y = sp[:, :-1], sp[:, 1:]
-        xd = x - x.mean(axis=1, keepdims=True)
-        vx = (xd * xd).sum(axis=1)
-        phi = np.where(vx > 1e-12, (xd * (y - y.mean(axis=1, keepdims=True))).sum(axis=1) / vx, np.nan)
-    out = pd.DataFrame({"f": pdf["f"].iloc[0], "a": names[ia], "b": names[ib], "rho": rho[ia, ib], "beta": beta, "phi": phi})
+    beta, phi = np.empty(len(ia)), np.empty(len(ia))
+    for lo in range(0, len(ia), PAIR_ROWS):
+        s = slice(lo, lo + PAIR_ROWS)
+        u, v = ia[s], ib[s]
+        with np.errstate(all="ignore"):
+            beta[s] = np.where(var[v] > 1e-12, np.einsum("ij,ij->i", ld[u], ld[v]) / var[v], np.nan)
+            sp = logs[u] - beta[s, None] * logs[v]
+            x, y = sp[:, :-1], sp[:, 1:]
+            xd = x - x.mean(axis=1, keepdims=True)
+            vx = (xd * xd).sum(axis=1)
+            phi[s] = np.where(vx > 1e-12, (xd * (y - y.mean(axis=1, keepdims=True))).sum(axis=1) / vx, np.nan)
+    rho = rho[ia, ib]
+    if keep is not None:
+        with np.errstate(all="ignore"):
+            fit = np.flatnonzero((beta > 0) & (phi > -1) & (phi < PHI_MAX))
+        score = rho[fit] * (1 - np.maximum(phi[fit], 0.0))
+        fit = fit[np.lexsort((ib[fit], ia[fit], -score))]
+        fit = fit[_mutual(ia[fit], ib[fit], score, keep)]
+        ia, ib, rho, beta, phi = ia[fit], ib[fit], rho[fit], beta[fit], phi[fit]
+    out = pd.DataFrame({"f": pdf["f"].iloc[0], "a": names[ia], "b": names[ib], "rho": rho, "beta": beta, "phi": phi})
     return out.astype({"f": "int32"})
 
 
-def pair_stats(windows: DataFrame, min_corr: float, *, key="sym", names_per_block: int = 512) -> DataFrame:
-    """(f, a, b, rho, beta, phi) of all pairs a < b with return correlation >= ``min_corr``."""
-    n = windows.select(key).distinct().count()
-    blocks = max(1, -(-n // names_per_block))
-    blk = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    x = windows.select("f", F.col(key).alias("sym"), "logs", blk.alias("blk"), other.alias("_o"))
+def pair_stats(windows: DataFrame, min_corr: float, *, key="sym", names_per_block: int = 512, keep: int | None = None, names: DataFrame | None = None) -> DataFrame:
+    """(f, a, b, rho, beta, phi) of all pairs a < b with return correlation >= ``min_corr``.
+
+    ``keep``: only pairs that can be traded and are among the best ``keep`` of both their names inside a tile leave it; the best ``keep`` of a name
+    over all tiles are among them.  ``names``: a frame whose names are counted to size the blocks, by default ``windows``.
+    """
+    count = (windows if names is None else names).agg(F.approx_count_distinct(key)).scalar()
+    x = windows.select("f", F.col(key).alias("sym"), "logs").withColumn("_n", F.greatest(F.lit(1), F.ceil(count / names_per_block)).cast("int"))
+    x = x.withColumn("blk", F.pmod(F.xxhash64("sym"), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     x = x.select("f", "sym", "logs", "blk", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"))
     st = x.groupBy("f", "bi", "bj").applyInPandas(
-        lambda pdf: _tile(pdf, min_corr), "f int, a string, b string, rho double, beta double, phi double")
+        lambda pdf: _tile(pdf, min_corr, keep), "f int, a string, b string, rho double, beta double, phi double")
     nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return st.select("f", "a", "b", "rho", nan("beta"), nan("phi"))
 
 
-def rank_pairs(stats: DataFrame) -> DataFrame:
-    """Pairs with a positive hedge ratio and a mean-reverting spread, scored and ranked per formation."""
+def scored(stats: DataFrame) -> DataFrame:
+    """Pairs with a positive hedge ratio and a mean-reverting spread, with their score."""
     x = stats.filter((F.col("beta") > 0) & (F.col("phi") > -1) & (F.col("phi") < PHI_MAX))
-    x = x.withColumn("score", F.col("rho") * (1 - F.greatest(F.col("phi"), F.lit(0e0))))
-    return x.withColumn("rk", F.row_number().over(Window.partitionBy("f").orderBy(F.col("score").desc(), "a", "b")))
+    return x.withColumn("score", F.col("rho") * (1 - F.greatest(F.col("phi"), F.lit(0e0))))
+
+
+def rank_pairs(stats: DataFrame) -> DataFrame:
+    """Scored pairs numbered per formation; the numbering is a split prefix sum, so a formation's pairs may be any number."""
+    x = pin(scored(stats).withColumn("_down", -F.col("score")))
+    order = ["_down", "a", "b"]
+    return prefix(pin_chunks(x, ["f"], order), ["f"], order, sums={"rk": F.lit(1)}).drop(CHUNK, "_down")
 
 
 def disjoint_pairs(cands: DataFrame, max_pairs: int) -> DataFrame:
-    """Best pairs per formation, every name used once.
+    """Best pairs per formation, every name used once: the first ``max_pairs`` of the greedy choice by score, then names.
 
-    One round per pick: an aggregate finds each formation's best candidate, the rest drops the pairs that share a name
-    with it.  The candidates of a formation are never gathered in one place.
+    Before its k-th pick the greedy rule has used 2 (k - 1) names, so a pair picked is among the first ``2 * max_pairs - 1`` of both its names: others go.
+    Of what is left a pick blocks ``4 * max_pairs - 4`` other pairs at most, so the first ``max_pairs * (4 * max_pairs - 3)`` hold all picks.  Both bounds come
+    from the number of picks alone; the rule itself then runs over that short list.
     """
     cols = [c for c in cands.columns if c != "rk"]
-    left, chosen = pin(cands.select(*cols)), None
-    for i in range(max_pairs):
-        best = left.groupBy("f").agg(F.min_by(F.struct(*cols), F.struct(-F.col("score"), "a", "b")).alias("z")) \
-            .select("z.*").withColumn("pick", F.lit(i + 1))
-        best = pin(best)
-        chosen = best if chosen is None else chosen.unionByName(best)
-        if i + 1 < max_pairs:
-            b = best.select("f", F.col("a").alias("_a"), F.col("b").alias("_b"))  # one row per formation
-            clash = (F.col("a") == F.col("_a")) | (F.col("a") == F.col("_b")) | (F.col("b") == F.col("_a")) | (F.col("b") == F.col("_b"))
-            left = pin(left.join(b, "f").filter(~clash).select(*cols))
-    return chosen
+    x = cands.select(*cols)
+    keep = 2 * max_pairs - 1
+    of = x.select("f", "a", "b", "score", F.explode(F.array("a", "b")).alias("_name"))
+    w = Window.partitionBy("f", "_name").orderBy(F.desc("score"), "a", "b")
+    both = of.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= keep).groupBy("f", "a", "b", "score").agg(F.count("*").alias("_n")).filter("_n = 2")
+    w = Window.partitionBy("f").orderBy(F.desc("score"), "a", "b")
+    short = both.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= max_pairs * (2 * keep - 1)).select("f", "a", "b", "_k")
+    lists = short.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("_k", "a", "b"))).alias("z"))
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<a:string,b:string>>").alias("got"))
+    free = lambda s, p: (F.size(s["got"]) < max_pairs) & ~F.array_contains(s["used"], p["a"]) & ~F.array_contains(s["used"], p["b"])
+    take = lambda s, p: F.struct(F.concat(s["used"], F.array(p["a"], p["b"])).alias("used"), F.concat(s["got"], F.array(F.struct(p["a"].alias("a"), p["b"].alias("b")))).alias("got"))
+    picks = lists.select("f", F.posexplode(F.aggregate("z", start, lambda s, p: F.when(free(s, p), take(s, p)).otherwise(s), lambda s: s["got"])).alias("pick", "p"))
+    picks = picks.select("f", (F.col("pick") + 1).alias("pick"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    return x.join(picks, ["f", "a", "b"]).select(*cols, "pick")
 
 
 def spread_z(chosen: DataFrame, forms: DataFrame, grid: DataFrame, lookback: int) -> DataFrame:

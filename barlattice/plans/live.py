@@ -71,7 +71,9 @@ def stream_alerts(t):
     up = F.col("p_size") % 2 == 0
     alerts = t.part.select(F.col("p_partkey").alias("alert_id"), F.get(syms, (F.col("p_partkey") % 5).cast("int")).alias("sym"), F.when(up, "above").otherwise("below").alias("op"),
                            F.when(up, 2e2 + F.col("p_retailprice") / 1e1).otherwise(5e0).alias("level"))
-    return S.run_to_table(S.stream_alerts(ticks(t), alerts), "alerts")
+    path = S.fresh_path(t.spark, "alerts")
+    S.run_batches(S.stream_extremes(ticks(t)), S.alerts_batch(alerts, path), "alerts")
+    return S.fired_alerts(t.spark, path)
 
 
 @query("stream_positions", "fills", f"{FOLD} select acct, ikey, cast(qty as bigint) qty, {tr_sql('avg_price', 5)} avg_price, {tr_sql('realised', 2)} realised, len(l) fills from pos join fo using (acct, ikey)")
@@ -83,9 +85,9 @@ def stream_positions(t):
                         F.to_date("l_shipdate").alias("d"), F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"),
                         F.when(F.col("l_linestatus") == "O", "BUY").otherwise("SELL").alias("side"), F.col("l_quantity").cast("bigint").alias("qty"),
                         (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 1e2 + 5e-1) / 1e2).alias("price"))
-    x = S.run_to_table(S.stream_positions(fills), "positions")
-    y = x.groupBy("acct", "ikey").agg(F.max_by(F.struct("qty", "avg_price", "realised"), "fills").alias("z"), F.max("fills").alias("fills"))
-    return y.select("acct", "ikey", "z.qty", tr("z.avg_price", 5).alias("avg_price"), tr("z.realised", 2).alias("realised"), "fills")
+    path = S.fresh_path(t.spark, "positions")
+    S.run_batches(fills, S.positions_batch(path), "positions")
+    return S.latest_positions(t.spark, path).select("acct", "ikey", "qty", tr("avg_price", 5).alias("avg_price"), tr("realised", 2).alias("realised"), "fills")
 
 
 @query("stream_append_log", "", 'select cast(o_orderdate as date) as "date", min(o_orderkey) entry from orders group by 1')
@@ -103,9 +105,7 @@ def stream_append_log(t):
   x as (select *, max(eq) over (partition by sym order by d rows between unbounded preceding and current row) pk from dd)
   select sym, round(max((pk - eq)/pk)*1e2, 2) + 0e0 max_drawdown_pct, max_by(eq, d) final_equity, round((max_by(eq, d)/min_by(eq, d) - 1)*1e2, 2) + 0e0 rmax from x group by sym""")
 def stream_leaderboard(t):
-    path = S.fresh_path(t.spark, "board")
-    S.run_batches(ticks(t), S.leaderboard_batch(path), "board")
-    return S.latest_board(t.spark, path).select("sym", "max_drawdown_pct", "final_equity", "rmax")
+    return S.latest_board(S.run_to_table(S.stream_leaderboard(ticks(t)), "board")).select("sym", "max_drawdown_pct", "final_equity", "rmax")
 
 
 @query("stream_first_cross", "limit_orders ticks", """m as (select o.order_id, o.acct, o.side, o.limit_price, min_by(t.event_id, (t.ts, t.event_id)) cross_id, min_by(t.price, (t.ts, t.event_id)) px

@@ -58,14 +58,14 @@ def grid(t):
     return pin(align_grid(t.candles_daily, t.market_daily, before_listing=False).filter("sym <> 'MKT'"))
 
 
-def stats(t):
+def stats(t, keep=None):
     g = grid(t)
-    return g, P.pair_stats(P.log_window(g, LB, EVERY), MINC)
+    return g, P.pair_stats(P.log_window(g, LB, EVERY), MINC, keep=keep, names=g)
 
 
 def chosen(t):
-    g, st = stats(t)
-    return g, pin(P.disjoint_pairs(P.rank_pairs(st), MAXP))
+    g, st = stats(t, 2 * MAXP - 1)
+    return g, pin(P.disjoint_pairs(pin(P.scored(st)), MAXP))
 
 
 def states(t):
@@ -92,7 +92,7 @@ def hedge_ratio(t):
 
 @query("spread_ar1", V, f"{ST} select f, a, b, round(phi, 6) + 0e0 phi from st where beta > 0 and phi > -1 and phi < 9.7e-1")
 def spread_ar1(t):
-    return P.rank_pairs(stats(t)[1]).select("f", "a", "b", rr("phi", 6).alias("phi"))
+    return P.scored(stats(t)[1]).select("f", "a", "b", rr("phi", 6).alias("phi"))
 
 
 @query("rank_pairs", V, f"{ST} select f, a, b, round(score, 6) + 0e0 score, rk from rkd")

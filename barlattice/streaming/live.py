@@ -7,18 +7,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barlattice.functions.calendar import market_state
-from barlattice.operators.align import trailing_returns
-from barlattice.operators.ledger import _first_at_or_below
-from barlattice.operators.metrics import curve_metrics
+from barlattice.operators.align import CASH, TRAILING
+from barlattice.operators.ledger import ORDER, _first_at_or_below, fold_fills
 from barlattice.session import shared_dir
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,21 +28,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that the stateful operators need, while a query starts; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", out: str | None = None, ckpt: str | None = None) -> DataFrame:
     """Runs a stream over what is available into Parquet in the shared folder and reads it back."""
     spark = stream.sparkSession
     out = out or fresh_path(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-         .option("checkpointLocation", ckpt or fresh_path(spark, name + "-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with rocksdb(spark):
+        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
+             .option("checkpointLocation", ckpt or fresh_path(spark, name + "-ckpt")).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def run_batches(stream: DataFrame, fn, name: str, ckpt: str | None = None) -> None:
     """Runs ``fn(batch, batch_id)`` over what is available."""
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt or fresh_path(stream.sparkSession, name + "-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with rocksdb(stream.sparkSession):
+        q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt or fresh_path(stream.sparkSession, name + "-ckpt"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def tick_stream(spark: SparkSession, path: str, schema: str, delay: str = "1 hour", files_per_batch: int | None = None) -> DataFrame:
@@ -93,71 +110,136 @@ def stream_day_start(ticks: DataFrame) -> DataFrame:
 
 # ---- stateful operators ----------------------------------------------------------------------------------------------
 
-class _FireOnce(StatefulProcessor):
-    """Emits the earliest hit of an alert once; afterwards the alert stays triggered."""
+def _new_highs(x: pd.DataFrame) -> pd.DataFrame:
+    """Rows above all earlier ones of their (sym, side), by time and event id; ``lo`` is the highest before, NaN for the first."""
+    x = x.sort_values(["sym", "side", "ts", "event_id"], kind="stable", ignore_index=True)
+    x["lo"] = x.groupby(["sym", "side"])["hi"].cummax().groupby([x["sym"], x["side"]]).shift()
+    return x[x["lo"].isna() | (x["hi"] > x["lo"])]
+
+
+class _Extremes(StatefulProcessor):
+    """The highest value of a (sym, side) so far; emits the steps by which a batch raises it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._done = handle.getValueState("done", "fired boolean")
+        self._top = handle.getValueState("top", "top double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in rows:
-            if not self._done.exists():
-                top = pdf.sort_values(["ts", "event_id"], kind="stable").head(1)
-                if best is None or (top["ts"].iloc[0], top["event_id"].iloc[0]) < (best["ts"].iloc[0], best["event_id"].iloc[0]):
-                    best = top
-        if best is not None:
-            self._done.update((True,))
-            yield best[["alert_id", "event_id", "price"]]
+        held = None
+        for pdf in rows:  # what no longer rises is dropped part by part
+            held = _new_highs(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
+        if self._top.exists():
+            top = self._top.get()[0]
+            held = held[held["hi"] > top]
+            held = held.assign(lo=held["lo"].fillna(top).clip(lower=top))
+        if len(held):
+            self._top.update((float(held["hi"].iloc[-1]),))
+            yield held[["sym", "side", "lo", "hi", "event_id", "price"]]
 
     def close(self) -> None:
         pass
 
 
-def stream_alerts(ticks: DataFrame, alerts: DataFrame) -> DataFrame:
-    """(alert_id, event_id, price): each above/below alert fires at its first crossing tick, then never again.
+def stream_extremes(ticks: DataFrame) -> DataFrame:
+    """(sym, side, lo, hi, event_id, price): each tick that is the highest (side 1) or lowest (side -1, negated) of its symbol so far.
 
-    ``alerts``: (alert_id, sym, op, level), a static table; only crossing ticks reach the state.
+    ``(lo, hi]`` are the levels it is the first to reach; over all batches these ranges don't overlap.  Every input task reduces its ticks to its own new
+    highs and lows before they travel, so a hot symbol sends a few rows from each task.  Needs the RocksDB state store (``run_*`` set it).
     """
-    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    hit = F.when(F.col("op") == "above", F.col("price") >= F.col("level")).otherwise(F.col("price") <= F.col("level"))
-    x = ticks.join(alerts, "sym").filter((F.col("price") > 0) & hit).select("alert_id", "ts", "event_id", "price")
-    return x.groupBy("alert_id").transformWithStateInPandas(_FireOnce(), "alert_id bigint, event_id bigint, price double", "Append", "None")
 
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = pd.concat([pdf.assign(side=1, hi=pdf["price"]), pdf.assign(side=-1, hi=-pdf["price"])], ignore_index=True)
+            yield _new_highs(both)[["sym", "side", "ts", "event_id", "price", "hi"]]
 
-class _Position(StatefulProcessor):
-    """Signed quantity, average price and realised result of one (account, instrument)."""
+    x = ticks.filter("price > 0 and sym is not null").select("sym", "ts", "event_id", "price")
+    x = x.mapInPandas(local, "sym string, side int, ts timestamp, event_id bigint, price double, hi double")
+    return x.groupBy("sym", "side").transformWithStateInPandas(_Extremes(), "sym string, side int, lo double, hi double, event_id bigint, price double", "Append", "None")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._st = handle.getValueState("pos", "qty bigint, avg double, realised double, fills bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        q, a, r, n = self._st.get() if self._st.exists() else (0, 0.0, 0.0, 0)
-        pdf = pd.concat(list(rows)).sort_values(["d", "ok", "ln", "pk"], kind="stable")
-        for s, p in zip(pdf["signed"].to_numpy().tolist(), pdf["price"].to_numpy().tolist()):
-            new = q + s
-            if q != 0 and (q > 0) != (s > 0):
-                r += min(abs(s), abs(q)) * (1 if q > 0 else -1) * (p - a)
-                a = p if new * q < 0 else a
-            elif q != 0:
-                a = (a * abs(q) + p * abs(s)) / abs(new)
-            else:
-                a = p
-            q = new
-        n += len(pdf)
-        self._st.update((int(q), float(a), float(r), int(n)))
-        yield pd.DataFrame({"acct": [int(key[0])], "ikey": [key[1]], "qty": [int(q)], "avg_price": [float(a) if q else 0.0], "realised": [float(r)], "fills": [int(n)]})
+def _bucket(level: Column) -> Column:
+    """Eighths of an octave; levels from 2 ** -50 to 2 ** 100, what lies outside is in the outermost ones."""
+    return F.floor(F.log2(F.least(F.greatest(level, F.lit(2.0**-50)), F.lit(2.0**100))) * 8).cast("int")
 
-    def close(self) -> None:
-        pass
 
+def alerts_batch(alerts: DataFrame, path: str):
+    """Per batch of ``stream_extremes``: the alerts first reached, (alert_id, event_id, price), under the batch id; an alert fires once.
 
-def stream_positions(fills: DataFrame) -> DataFrame:
-    """Updated position of every key touched by a micro-batch; ``fills`` counts the fills seen, the highest is current."""
-    fills.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    x = fills.withColumn("signed", F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty")))
-    return x.select("acct", "ikey", "d", "ok", "ln", "pk", "signed", "price").groupBy("acct", "ikey").transformWithStateInPandas(
-        _Position(), "acct bigint, ikey string, qty bigint, avg_price double, realised double, fills bigint", "Append", "None")
+    ``alerts``: (alert_id, sym, op, level), a static table.  Alerts are indexed by buckets of their level; a batch opens the buckets that its new
+    highs and lows cross.  Inside a bucket one ordered pass finds each alert's step, so rows add up and nothing is paired.
+    """
+    side = F.when(F.col("op") == "above", 1).otherwise(-1)
+    indexed = alerts.select("alert_id", "sym", side.alias("side"), (side * F.col("level")).alias("v"), _bucket(F.col("level")).alias("bucket"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/steps/batch={batch_id}")  # the state is read once
+        step = spark.read.schema(batch.schema).parquet(f"{path}/steps/batch={batch_id}")
+        up = F.col("side") == 1
+        low, high = F.when(up, F.coalesce("lo", F.lit(0e0))).otherwise(-F.col("hi")), F.when(up, F.col("hi")).otherwise(F.coalesce(-F.col("lo"), F.lit(2.0**101)))
+        step = step.withColumn("bucket", F.explode(F.sequence(_bucket(low), _bucket(high))))
+        spec = ["sym", "side", "bucket"]
+        wanted = indexed.join(step.select(*spec).distinct(), spec, "left_semi")
+        rec = F.struct("lo", "event_id", "price")
+        rows = wanted.select(*spec, "v", F.lit(0).alias("kind"), "alert_id", F.lit(None).cast("struct<lo:double,event_id:bigint,price:double>").alias("rec"))
+        rows = rows.unionByName(step.select(*spec, F.col("hi").alias("v"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("alert_id"), rec.alias("rec")))
+        w = Window.partitionBy(*spec).orderBy(F.desc("v"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+        fired = rows.withColumn("rec", F.last("rec", ignorenulls=True).over(w)).filter("kind = 0 and rec is not null and (rec.lo is null or rec.lo < v)")
+        fired.select("alert_id", "rec.event_id", "rec.price").write.mode("overwrite").parquet(f"{path}/fired/batch={batch_id}")
+
+    return write
+
+
+def fired_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", f"{path}/fired").parquet(f"{path}/fired").drop("batch")
+
+
+COMPACT_EVERY = 16  # batches from one whole snapshot of positions to the next
+
+
+def _positions_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The newest row of every key before a batch: the last snapshot and the batches since."""
+    x = spark.read.schema("acct bigint, ikey string, qty bigint, avg_price double, realised double, fills bigint, batch bigint").option("basePath", path).parquet(path)
+    x = x.filter((F.col("batch") < batch_id) & (F.col("batch") >= batch_id // COMPACT_EVERY * COMPACT_EVERY - 1))
+    newest = x.groupBy("acct", "ikey").agg(F.max_by(F.struct("qty", "avg_price", "realised", "fills"), "batch").alias("z"))
+    return newest.select("acct", "ikey", "z.*")
+
+
+def positions_batch(path: str):
+    """Per batch of fills: the new position of every key it touches, under the batch id; every 16th batch holds all keys.
+
+    A position is carried into a batch as one opening fill of its quantity at its average price, so a batch is folded like any ledger: split
+    over pieces whatever the keys are, with affine summaries composed in order.  Batches follow in the order of their fills.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        shared_dir(spark)
+        new = batch.select("acct", "ikey", *ORDER, "side", "qty", "price", F.lit(1).alias("_o")).checkpoint()
+        seen = new.groupBy("acct", "ikey").agg(F.count("*").alias("_n"))
+        if batch_id:
+            old = _positions_before(spark, path, batch_id)
+            held = old.filter("qty <> 0").join(seen, ["acct", "ikey"], "left_semi")
+            opening = held.select("acct", "ikey", *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in ORDER], F.when(F.col("qty") > 0, "BUY").otherwise("SELL").alias("side"),
+                                  F.abs("qty").alias("qty"), F.col("avg_price").alias("price"), F.lit(0).alias("_o"))
+            new = new.unionByName(opening)
+        pos = fold_fills(new, order=("_o", *ORDER)).join(seen, ["acct", "ikey"])
+        if not batch_id:
+            out = pos.select("acct", "ikey", "qty", "avg_price", "realised", F.col("_n").alias("fills"))
+        else:
+            how = "full" if (batch_id + 1) % COMPACT_EVERY == 0 else "left"
+            was = old.select("acct", "ikey", F.col("qty").alias("_q"), F.col("avg_price").alias("_a"), F.col("realised").alias("_r"), F.col("fills").alias("_f"))
+            out = pos.join(was, ["acct", "ikey"], how).select(
+                "acct", "ikey", F.coalesce("qty", "_q").alias("qty"), F.coalesce("avg_price", "_a").alias("avg_price"),
+                (F.coalesce("realised", F.lit(0e0)) + F.coalesce("_r", F.lit(0e0))).alias("realised"), (F.coalesce("_n", F.lit(0)) + F.coalesce("_f", F.lit(0))).alias("fills"))
+        out.select("acct", "ikey", F.col("qty").cast("bigint"), "avg_price", "realised", "fills").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def latest_positions(spark: SparkSession, path: str) -> DataFrame:
+    """Current position of every key; ``fills`` counts the fills seen."""
+    last = spark.read.option("basePath", path).parquet(path).agg(F.max("batch").alias("n")).first()["n"]  # one row
+    return _positions_before(spark, path, last + 1)
 
 
 class _Book(StatefulProcessor):
@@ -201,7 +283,6 @@ class _Book(StatefulProcessor):
 
 def stream_first_cross(orders: DataFrame, ticks: DataFrame) -> DataFrame:
     """Fills of resting limit orders as ticks arrive: (order_id, acct, cross_id, fill_price)."""
-    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     t = ticks.select("acct", "ts", F.lit(0).alias("kind"), F.col("event_id").alias("id"), "price", F.lit(False).alias("down"))
     o = orders.select("acct", "ts", F.lit(1).alias("kind"), F.col("order_id").alias("id"), F.col("limit_price").alias("price"), (F.col("side") == "BUY").alias("down"))
     return t.union(o).groupBy("acct").transformWithStateInPandas(_Book(), "order_id bigint, acct bigint, cross_id bigint, fill_price double", "Append", "None")
@@ -228,31 +309,95 @@ def append_log_batch(path: str, date="date"):
     return write
 
 
-def leaderboard_batch(path: str):
-    """Per batch: store the new daily values, recompute the boards of the touched symbols, publish one whole snapshot.
+# ---- boards ----------------------------------------------------------------------------------------------------------
+
+class _Curve(StatefulProcessor):
+    """Summary of one symbol's daily curve.
 
-    Both outputs are written under the batch id, so a repeated batch overwrites itself; readers take the newest version.
+    Days older than the last ``open_days`` are closed: of them first value, peak and largest drawdown are kept, and the values of the longest trailing
+    window.  Open days still change with rows of a later time.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        day = batch.groupBy("sym", F.to_date("ts").alias("d")).agg(F.max_by("price", F.struct("ts", "event_id")).alias("eq"), F.max(F.struct("ts", "event_id")).alias("seen"))
-        day.write.mode("overwrite").parquet(f"{path}/days/batch={batch_id}")
-        touched = day.select("sym").distinct()
-        days = spark.read.option("basePath", f"{path}/days").parquet(f"{path}/days").join(touched, "sym", "left_semi")
-        curve = days.groupBy("sym", "d").agg(F.max_by("eq", "seen").alias("eq"))
-        board = curve_metrics(curve, by=("sym",), names=["max_drawdown_pct", "final_equity"]).join(trailing_returns(curve, by="sym"), "sym")
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/board/version={batch_id - 1}").join(touched, "sym", "left_anti")
-            board = board.unionByName(old)
-        board.write.mode("overwrite").parquet(f"{path}/board/version={batch_id}")
+    def __init__(self, open_days: int):
+        self._open_days = open_days
 
-    return write
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._sum = handle.getValueState("sum", "version bigint, first double, peak double, worst double, upto bigint")
+        self._days = handle.getListState("days", "day bigint, ts bigint, event_id bigint, eq double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        version, first, peak, worst, upto = self._sum.get() if self._sum.exists() else (0, None, None, 0.0, None)
+        days = pd.DataFrame(list(self._days.get()), columns=["day", "ts", "event_id", "eq"]).astype({"day": "int64", "ts": "int64", "event_id": "int64", "eq": "float64"})
+        for pdf in rows:
+            new = pdf[["day", "ts", "event_id", "eq"]]
+            new = new if upto is None else new[new["day"] > upto]
+            days = _last_of_day(pd.concat([days, new], ignore_index=True))
+        if days.empty:
+            return
+        day, eq = days["day"].to_numpy(), days["eq"].to_numpy()
+        shut = day[-1] - self._open_days
+        fresh = (day <= shut) if upto is None else (day > upto) & (day <= shut)
+        later = day > shut
+        first = float(eq[0]) if first is None and fresh.any() else first
+        peak, worst = _drawdown(peak, worst, eq[fresh])
+        now_worst = _drawdown(peak, worst, eq[later])[1]
+        upto = int(shut) if fresh.any() or upto is not None else None
+        out = {"sym": key[0], "version": version + 1, "first": float(eq[0]) if first is None else first, "last": float(eq[-1]), "before": float(eq[-2]) if len(eq) > 1 else float(eq[0]), "worst": now_worst}
+        for name, age in TRAILING.items():
+            old = np.flatnonzero(day[-1] - day >= age)
+            out[name] = float(eq[old[-1]]) if len(old) else None
+        keep = np.flatnonzero(day[-1] - day >= max(TRAILING.values()))
+        self._days.put([(int(a), int(b), int(c), float(d)) for a, b, c, d in days.iloc[keep[-1] if len(keep) else 0:].itertuples(index=False)])
+        self._sum.update((version + 1, first, peak, float(worst), upto))
+        yield pd.DataFrame([out])
+
+    def close(self) -> None:
+        pass
+
+
+def _last_of_day(x: pd.DataFrame) -> pd.DataFrame:
+    return x.sort_values(["day", "ts", "event_id"], kind="stable").drop_duplicates("day", keep="last", ignore_index=True)
+
+
+def _drawdown(peak: float | None, worst: float, eq: np.ndarray) -> tuple[float | None, float]:
+    """Peak and largest drawdown after more values of a curve."""
+    if not len(eq):
+        return peak, worst
+    tops = np.maximum.accumulate(eq if peak is None else np.maximum(eq, peak))
+    with np.errstate(all="ignore"):
+        down = np.where(tops > 0, np.minimum(1.0, (tops - eq) / tops), 0.0)
+    return float(tops[-1]), max(worst, float(down.max()))
+
+
+def stream_leaderboard(ticks: DataFrame, open_days: int = 2) -> DataFrame:
+    """Per batch the new board row of every symbol it touches: (sym, version, max_drawdown_pct, final_equity, r1d, trailing returns, rmax).
+
+    State is one summary per symbol: a batch reads its own rows and the summaries it changes.  Input tasks send one row per symbol and day.
+    Rows of a day that has been closed (``open_days`` before the symbol's last) come too late and are left out.
+    """
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.sort_values(["sym", "day", "ts", "event_id"], kind="stable").drop_duplicates(["sym", "day"], keep="last")
+
+    x = ticks.filter("sym is not null").select("sym", F.unix_date(F.to_date("ts")).cast("bigint").alias("day"), F.unix_micros("ts").alias("ts"), "event_id", F.col("price").alias("eq"))
+    x = x.mapInPandas(local, "sym string, day bigint, ts bigint, event_id bigint, eq double")
+    bases = ", ".join(f"{n} double" for n in TRAILING)
+    x = x.groupBy("sym").transformWithStateInPandas(_Curve(open_days), f"sym string, version bigint, first double, last double, before double, worst double, {bases}", "Append", "None")
+    two = lambda v: F.round(v, 2) + F.lit(0e0)
+    return x.select("sym", "version", two(F.col("worst") * 1e2).alias("max_drawdown_pct"), two(F.col("last")).alias("final_equity"), pct_from("before").alias("r1d"),
+                    *[F.when(F.col(n).isNotNull(), pct_from(n)).alias(n) for n in TRAILING], pct_from("first").alias("rmax"))
+
+
+def pct_from(base: str, last: str = "last", cash: float = CASH) -> Column:
+    b, v = F.col(base), F.col(last)
+    return F.round(F.when(b > 0, (v / F.nullif(b, F.lit(0e0)) - 1) * 1e2).otherwise((v - b) / cash * 1e2), 2) + F.lit(0e0)
 
 
-def latest_board(spark: SparkSession, path: str) -> DataFrame:
-    x = spark.read.option("basePath", f"{path}/board").parquet(f"{path}/board")
-    return x.filter(F.col("version") == x.agg(F.max("version")).scalar()).drop("version")
+def latest_board(updates: DataFrame) -> DataFrame:
+    """The newest row of every symbol."""
+    cols = [c for c in updates.columns if c not in ("sym", "version")]
+    return updates.groupBy("sym").agg(F.max_by(F.struct(*cols), "version").alias("z")).select("sym", "z.*")
 
 
 def symbols_of_interest(watch: DataFrame, positions: DataFrame, alerts: DataFrame, orders: DataFrame) -> DataFrame:

@@ -257,18 +257,69 @@ def test_pnl_identity(spark):
     assert ledger.pnl_identity(marked, flows, fees).filter("broken").count() == 0
 
 
+def test_folds_over_many_pieces(spark, monkeypatch):
+    """Pieces of a few fills: blocks, pieces and groups of pieces of one key are all passed through."""
+    monkeypatch.setattr(ledger, "PIECE_ROWS", 5)
+    monkeypatch.setattr(ledger, "FANOUT", 3)
+    rows, df = fills_fixture(spark, seed=21)
+    book, incs = replay(rows)
+    for r in ledger.fold_fills(df).collect():
+        q, a, real = book[(r["acct"], r["ikey"])]
+        assert r["qty"] == q and r["realised"] == pytest.approx(real, abs=1e-6) and r["avg_price"] == pytest.approx(a if q else 0, abs=1e-9)
+    by = {r["ok"]: r["realised"] for r in ledger.realised_by_fill(df).collect()}
+    assert len(by) == len(rows) and all(by[i] == pytest.approx(v, abs=1e-6) for i, v in enumerate(incs))
+
+
+def _first_later(ticks, orders):
+    """Brute force: order -> first tick of its account in a later piece that reaches the level."""
+    out = {}
+    for a, i, down, level, chunk in orders:
+        out[i] = next((tid for ta, tid, _, p, c in ticks if ta == a and c > chunk and (p <= level if down else p >= level)), None)
+    return out
+
+
+@pytest.mark.parametrize("pieces,fanout", [(10_000, 64), (300, 3), (1, 64)])
+def test_crossings_in_later_pieces(spark, monkeypatch, pieces, fanout):
+    """One account over many pieces, another one over every fifth of them; falling and rising records, orders in pieces without ticks."""
+    monkeypatch.setattr(ledger, "FANOUT", fanout)
+    rnd = random.Random(pieces)
+    t0 = dt.datetime(2024, 1, 1)
+    ticks = []
+    for c in range(pieces):
+        for a in (1, 2) if c % 5 == 0 else (1,):
+            for k in range(3):
+                ticks.append((a, len(ticks), t0 + dt.timedelta(seconds=10 * c + k), round(50 + 40 * math.sin(c / pieces * 9) - (k if c % 2 else -k) + rnd.random(), 3), c))
+    orders = [(rnd.choice([1, 1, 2]), i, rnd.random() < .5, rnd.choice([8.0, 9.3, 12.0, 30.0, 50.0, 70.0, 88.0, 91.5, 93.0]), rnd.randrange(pieces)) for i in range(200)]
+    x = spark.createDataFrame(ticks, "acct bigint, id bigint, ts timestamp, price double, _chunk int")
+    o = spark.createDataFrame([(a, i, d, lv if d else -lv, c) for a, i, d, lv, c in orders], "acct bigint, id bigint, down boolean, lv double, chunk int")
+    got = {r["id"]: r["cross_id"] for r in ledger.later_pieces(o, x).collect()}
+    assert got == _first_later(ticks, orders)
+
+
+def test_a_piece_of_falling_prices(spark, monkeypatch):
+    """Every tick of the piece found is a record of its own."""
+    monkeypatch.setattr(ledger, "FANOUT", 4)
+    t0 = dt.datetime(2024, 1, 1)
+    ticks = [(1, k, t0 + dt.timedelta(seconds=k), 1000.0 - k, k // 100) for k in range(400)]
+    orders = [(1, i, True, 1000.0 - 2 * i, 0) for i in range(200)]
+    x = spark.createDataFrame(ticks, "acct bigint, id bigint, ts timestamp, price double, _chunk int")
+    got = {r["id"]: r["cross_id"] for r in ledger.later_pieces(spark.createDataFrame(orders, "acct bigint, id bigint, down boolean, lv double, chunk int"), x).collect()}
+    assert got == _first_later(ticks, orders)
+
+
 def test_first_cross_brute_force(spark):
     rnd = random.Random(4)
     t0 = dt.datetime(2024, 1, 1)
     ticks = [(1 if rnd.random() < .8 else 2, i, t0 + dt.timedelta(seconds=rnd.randint(0, 3000)), round(rnd.uniform(1, 100), 1)) for i in range(1500)]
     orders = [(rnd.choice([1, 1, 2]), i, t0 + dt.timedelta(seconds=rnd.randint(0, 3000)), rnd.choice([2.0, 5.0, 50.0, 95.0, 99.0]), rnd.random() < .5) for i in range(300)]
-    got = {r["id"]: r["cross_id"] for r in ledger.first_cross(
-        spark.createDataFrame(orders, "acct bigint, id bigint, ts timestamp, level double, down boolean"),
-        spark.createDataFrame(ticks, "acct bigint, id bigint, ts timestamp, price double")).collect()}
-    assert len(got) == len(orders)
-    for a, i, ts, level, down in orders:
-        c = sorted((tt, ti) for ta, ti, tt, p in ticks if ta == a and tt > ts and (p <= level if down else p >= level))
-        assert got[i] == (c[0][1] if c else None)
+    for piece_rows in (50_000, 40):
+        got = {r["id"]: r["cross_id"] for r in ledger.first_cross(
+            spark.createDataFrame(orders, "acct bigint, id bigint, ts timestamp, level double, down boolean"),
+            spark.createDataFrame(ticks, "acct bigint, id bigint, ts timestamp, price double"), piece_rows).collect()}
+        assert len(got) == len(orders)
+        for a, i, ts, level, down in orders:
+            c = sorted((tt, ti) for ta, ti, tt, p in ticks if ta == a and tt > ts and (p <= level if down else p >= level))
+            assert got[i] == (c[0][1] if c else None)
 
 
 # ---- pairs, covariance, learning ------------------------------------------------------------------------------------
@@ -287,6 +338,36 @@ def test_pair_tiles_equal_one_tile(spark):
         assert b[(x, y)]["phi"] == pytest.approx(r["phi"], rel=1e-9)
 
 
+def test_disjoint_pairs_equal_the_greedy_rule(spark):
+    """Tile lists, name lists and the short list against the plain rule over all pairs; two hub names, tied scores."""
+    rnd = np.random.default_rng(8)
+    base = np.cumsum(rnd.normal(0, .01, (5, 60)), axis=1)
+    rows = []
+    for f in (60, 120):
+        for i in range(40):
+            x = base[i % 5] * (1 + .1 * (i % 3)) + rnd.normal(0, .004 * (1 + i % 4), 60) * (i > 1)
+            rows.append((f, f"S{i:02d}", (4 + x).tolist()))
+    rows += [(f, s + "x", v) for f, s, v in rows if s in ("S03", "S04")]  # copies: ties in score
+    w = spark.createDataFrame(rows, "f int, sym string, logs array<double>")
+    every = pairs.rank_pairs(pairs.pair_stats(w, 0.05)).collect()
+    for f in (60, 120):
+        mine = sorted((r for r in every if r["f"] == f), key=lambda r: (-r["score"], r["a"], r["b"]))
+        assert [r["rk"] for r in mine] == list(range(1, len(mine) + 1)) and len(mine) > 100
+    for picks in (1, 3, 7, 30):
+        want = set()
+        for f in (60, 120):
+            used = set()
+            for r in sorted((r for r in every if r["f"] == f), key=lambda r: r["rk"]):
+                if len(used) < 2 * picks and r["a"] not in used and r["b"] not in used:
+                    used |= {r["a"], r["b"]}
+                    want.add((f, r["a"], r["b"], len(used) // 2))
+        for block in (512, 9):
+            st = pairs.pair_stats(w, 0.05, names_per_block=block, keep=2 * picks - 1)
+            assert {(r["f"], r["a"], r["b"], r["pick"]) for r in pairs.disjoint_pairs(pairs.scored(st), picks).collect()} == want
+            if block == 512:  # each of 42 names leaves its tile 2 * picks - 1 times at most
+                assert st.count() <= 2 * 42 * (2 * picks - 1) / 2
+
+
 def test_optimiser_weights(t):
     from barlattice.plans.covariance import CAP, shrunk
 
