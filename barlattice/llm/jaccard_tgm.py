@@ -187,9 +187,9 @@ def _shared_counts(packed: DataFrame, parts: int) -> DataFrame:
     return counted.repartition(parts, "part").mapInArrow(add_up, "owner long, shared long, popular long")
 
 
-def _ranges(tokens: int, width: int, least: int) -> tuple[int, int]:
-    """Partitions and the shift that makes some eight hash ranges for each."""
-    parts = max(least, -(-tokens * width // BUCKET_BYTES))
+def _ranges(tokens: int, width: int) -> tuple[int, int]:
+    """Partitions and the shift that makes some eight hash ranges for each; from the tokens alone, as every task writes a row for each range it meets."""
+    parts = max(1, -(-tokens * width // BUCKET_BYTES))
     return parts, 64 - (8 * parts - 1).bit_length()
 
 
@@ -251,7 +251,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     shared_dir(spark)
     t = Threshold(num, den)
-    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marks = _signatures(rows, n).checkpoint()
     classes = marks.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
@@ -259,7 +258,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     share = max(1, int(total * min(1.0, 3.2 * (1 - num / den)))) if total else 1
 
     # 2. first tokens of all classes
-    parts, shift = _ranges(share, 16, least_parts)
+    parts, shift = _ranges(share, 16)
 
     def first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
@@ -284,7 +283,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     def outside(frame: DataFrame) -> DataFrame:
         groups = "grp" in frame.columns
         tokens = frame.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]  # one row
-        parts, shift = _ranges(tokens, 24 if groups else 16, least_parts)
+        parts, shift = _ranges(tokens, 24 if groups else 16)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owners, names, held, size = [], [], [], 0
@@ -328,7 +327,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     wanted = able.select(F.col("rep").alias("doc_id"), "a", "b")
     wanted = F.broadcast(wanted) if able.count() <= MAX_BROADCAST_CLASSES else wanted
     fetched = rows.join(wanted, "doc_id").select(F.col("doc_id").alias("rep"), "text", "a", "b")
-    sets = outside(fetched.mapInArrow(with_sets, "rep long, n long, set binary, mins array<long>").checkpoint())
+    # rows of equal id and text are one
+    sets = outside(fetched.mapInArrow(with_sets, "rep long, n long, set binary, mins array<long>").dropDuplicates(["rep", "set"]).checkpoint())
     keyed = sets.select("rep", "n", "central", F.posexplode("mins").alias("band", "key"))
     one = F.struct("central", "rep", "n")
     hubs = keyed.groupBy("band", "key").agg(F.array_distinct(F.array(F.max(one), F.min_by(one, "rep"))).alias("h"), F.count("*").alias("size")).filter("size > 1").select("band", "key", F.explode("h").alias("h"))
