@@ -10,7 +10,7 @@ these rules is recognised, and its texts are encoded whole.
 
 from __future__ import annotations
 
-import contextlib
+import codecs
 import gc
 import json
 import os
@@ -19,6 +19,7 @@ import re
 import numpy as np
 
 _ODD = re.compile(r" (?:[^\S ]|\Z)")  # a space before other white space or the end
+STOPS = frozenset(".,;:!?)\"")  # signs that open no contraction
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 #: Fixed value: the published pre-token pattern of byte-level BPE files that set use_regex.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,7 +37,7 @@ class Encoder:
 
     _made: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str, cache_entries: int = 300_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
@@ -53,15 +54,16 @@ class Encoder:
             from tokenizers import pre_tokenizers
 
             self.pattern = regex.compile(PATTERN)
-            self.characters = _byte_characters()
+            characters = _byte_characters()
+            self.letters = "".join(characters[b] for b in range(256))
             self.model = Tokenizer.from_file(path)
             self.model.post_processor = None
-            self.mark = self.characters[10]
+            self.mark = self.letters[10]
             self.mark_id = self.model.token_to_id(self.mark)
             self.model.pre_tokenizer = pre_tokenizers.Split(self.mark, "isolated")
 
     @classmethod
-    def of(cls, path: str, cache_entries: int = 300_000) -> Encoder:
+    def of(cls, path: str, cache_entries: int = 500_000) -> Encoder:
         """One encoder per worker process and file."""
         key = (path, cache_entries)
         if key not in cls._made:
@@ -76,20 +78,24 @@ class Encoder:
             self.whole = Tokenizer.from_file(self.path)
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spelled(self, text: str) -> str:
+        """Each byte of a text as its character in the vocabulary."""
+        return codecs.charmap_decode(text.encode(), "strict", self.letters)[0]
+
     def _pretokens(self, tokens: list[str]) -> dict[str, bytes]:
         """Ids of distinct pre-tokens; those without a line feed share calls, with line feeds between them."""
         out: dict[str, bytes] = {}
         plain = [t for t in tokens if "\n" not in t]
         for lo in range(0, len(plain), 1000):
             part = plain[lo:lo + 1000]
-            said = "\n".join(part).encode().decode("latin-1").translate(self.characters)
+            said = self._spelled("\n".join(part))
             ids = np.asarray(self.model.encode_batch_fast([said], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark_id)
             raw, lows, highs = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             out.update((t, raw[4 * a:4 * b]) for t, a, b in zip(part, lows, highs, strict=True))
         for t in tokens:  # their line feeds can't be told from those between pre-tokens
             if "\n" in t:
-                found = self.model.model.tokenize(t.encode().decode("latin-1").translate(self.characters))
+                found = self.model.model.tokenize(self._spelled(t))
                 out[t] = np.array([x.id for x in found], "<u4").tobytes()
         return out
 
@@ -97,15 +103,21 @@ class Encoder:
         cache, older, lead, cut = self.caches[k], self.older[k], " " if k == 0 else "", {}
         known = missing & older.keys()
         cache.update((p, older.pop(p)) for p in known)
-        new = list(missing - known)
-        letters = [p for p in new if p.isalpha()]
-        if special := {p for p in new if any(a in p for a in self.added)}:
+        new = missing - known
+        if special := {p for a in self.added for p in new if a in p}:
             cache.update(zip(special, self._library([lead + p for p in special]), strict=True))
+            new -= special
+        letters = []
         for p in new:
-            if not p.isalpha() and p not in special:
+            if p.isalpha():
+                letters.append(lead + p)
+            elif p[-1:] in STOPS and p[:-1].isalpha():  # letters and one sign: two pre-tokens
+                cut[p] = (lead + p[:-1], p[-1])
+            else:
                 cut[p] = self.pattern.findall(lead + p)
-        ids = self._pretokens(list({lead + p for p in letters}.union(*cut.values())))
-        cache.update((p, ids[lead + p]) for p in letters)
+        ids = self._pretokens(list(set(letters).union(*cut.values())))
+        at = len(lead)
+        cache.update((p[at:], ids[p]) for p in letters)
         cache.update((p, b"".join(map(ids.__getitem__, parts))) for p, parts in cut.items())
 
     def _look_up(self, k: int, pieces: list[str]) -> list[bytes]:
@@ -113,14 +125,12 @@ class Encoder:
             self.older[k], self.caches[k] = self.caches[k], {}
         cache = self.caches[k]
         found = list(map(cache.get, pieces))
-        missing, i = [], -1
-        with contextlib.suppress(ValueError):
-            while True:
-                missing.append(i := found.index(None, i + 1))
+        missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            self._fill(k, {pieces[i] for i in missing})
-            for i in missing:
-                found[i] = cache[pieces[i]]
+            words = [pieces[i] for i in missing]
+            self._fill(k, set(words))
+            for i, x in zip(missing, map(cache.__getitem__, words), strict=True):
+                found[i] = x
         return found
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
