@@ -13,17 +13,61 @@ TIER_DAYS = (31e0, 3.66e2, 1.83e3, 1e9)
 CASH = 1e6
 
 
-def master_timeline(*panels: DataFrame, ts="d") -> DataFrame:
-    """Distinct timestamps of all panels, numbered: (ts, gi, n).
+def _calendar_block(frame: DataFrame, ts: str) -> Column:
+    """Blocks of neighbouring timestamps: months, or thousands of a number."""
+    if frame.schema[ts].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
+        return F.date_trunc("month", F.col(ts).cast("timestamp"))
+    return F.floor(F.col(ts) / 1000)
 
-    The one unpartitioned window of the package: it sees one row per bar of the calendar, after the distinct.
-    """
+
+def numbered(points: DataFrame, ts: str, out: str = "gi", total: str | None = None) -> DataFrame:
+    """Distinct points of a timeline, numbered from 0: rows of a block by a window, blocks by their counts; no task sees all points."""
+    x = points.withColumn("_b", _calendar_block(points, ts))
+    blocks = x.groupBy("_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(F.lit(0)).orderBy("_b")  # one row per block
+    blocks = blocks.select("_b", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"),
+                           F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    at = F.row_number().over(Window.partitionBy("_b").orderBy(ts)) - 1
+    x = x.withColumn("_i", at).join(blocks, "_b")
+    return x.select(*points.columns, (F.col("_i") + F.col("_o")).cast("int").alias(out), *([F.col("_n").cast("int").alias(total)] if total else []))
+
+
+def master_timeline(*panels: DataFrame, ts="d") -> DataFrame:
+    """Distinct timestamps of all panels, numbered: (ts, gi, n)."""
     x = panels[0].select(ts)
     for p in panels[1:]:
         x = x.unionByName(p.select(ts))
-    w = Window.partitionBy(F.lit(0)).orderBy(ts)
-    return x.distinct().select(ts, (F.row_number().over(w) - 1).alias("gi"), F.count("*").over(w.rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)).cast("int").alias("n"))
+    return numbered(x.distinct(), ts, total="n")
+
+
+def align_intervals(panel: DataFrame, master: DataFrame, *, key="sym", ts="d", px="c") -> DataFrame:
+    """Every series on the common timeline, one row per bar: (key, px, gi, real_idx, _end), valid for the slots gi to _end - 1.
+
+    An as-of panel in as many rows as there are bars; ``at_slots`` reads it where it is needed.
+    """
+    w = Window.partitionBy(key).orderBy("gi")
+    x = panel.select(key, ts, px).join(master, ts)
+    return x.select(key, px, "gi", (F.row_number().over(w) - 1).alias("real_idx"), F.coalesce(F.lead("gi").over(w), F.col("n")).alias("_end"))
+
+
+def at_slots(intervals: DataFrame, slots: DataFrame, master: DataFrame) -> DataFrame:
+    """The intervals' values at the slots asked for: the columns of ``intervals`` with ``gi`` of the slot; one row per series and slot inside.
+
+    Each grid slot knows how many slots asked for lie before it, so an interval's slots are a range of numbers: equality joins only.
+    """
+    asked = slots.select("gi").distinct()
+    marks = master.select("gi", "n").join(asked.withColumn("_hit", F.lit(1)), "gi", "left").withColumn("_b", F.floor(F.col("gi") / 4096))
+    blocks = marks.groupBy("_b").agg(F.count("_hit").alias("_c"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per 4,096 slots
+    blocks = blocks.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inside = F.count("_hit").over(Window.partitionBy("_b").orderBy("gi").rowsBetween(Window.unboundedPreceding, -1))
+    marks = marks.withColumn("_k", inside).join(blocks, "_b").select("gi", "_hit", (F.col("_k") + F.col("_o")).alias("_k"))
+    whole = asked.agg(F.count("*")).scalar()
+    cols = [c for c in intervals.columns if c not in ("gi", "_end")]
+    x = intervals.join(marks.select("gi", F.col("_k").alias("_from")), "gi")
+    x = x.join(marks.select(F.col("gi").alias("_end"), F.col("_k").alias("_to")), "_end", "left").withColumn("_to", F.coalesce("_to", whole))
+    x = x.filter(F.col("_to") > F.col("_from")).select(*cols, F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_k"))
+    return x.join(marks.filter("_hit = 1").select("gi", "_k"), "_k").select("gi", *cols)
 
 
 def align_grid(panel: DataFrame, market: DataFrame | None = None, *, key="sym", ts="d", px="c",
@@ -33,10 +77,7 @@ def align_grid(panel: DataFrame, market: DataFrame | None = None, *, key="sym",
     Each bar fills the grid slots up to the next bar of its series, so there is neither a cross join nor a fill window.
     """
     master = master_timeline(*([panel] if market is None else [panel, market]), ts=ts)
-    w = Window.partitionBy(key).orderBy("gi")
-    x = panel.select(key, ts, px).join(master, ts)
-    x = x.select(key, px, "gi", (F.row_number().over(w) - 1).alias("real_idx"),
-                 F.coalesce(F.lead("gi").over(w), F.col("n")).alias("_end"))
+    x = align_intervals(panel, master, key=key, ts=ts, px=px)
     cells = x.select(key, F.explode(F.sequence("gi", F.col("_end") - 1)).alias("gi"), F.col(px).alias("px"), "real_idx")
     if before_listing:
         lead = x.filter((F.col("real_idx") == 0) & (F.col("gi") > 0))

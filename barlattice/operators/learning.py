@@ -1,7 +1,8 @@
 """Walk-forward ranking models.
 
 All folds are fitted together: a training row carries its decision date, linear models need one aggregate of moments
-per pass over all folds (partial sums before the shuffle), and only the p x p systems are solved one by one.
+per pass over all folds (partial sums before the shuffle), and only the p x p systems are solved one by one.  Trees grow level by
+level, or round by round, from sums per bin of all folds.
 """
 
 from __future__ import annotations
@@ -161,41 +162,188 @@ def score_linear(rows: DataFrame, stats: DataFrame, weights: DataFrame, min_trai
 
 
 # ---- tree models -----------------------------------------------------------------------------------------------------
+#
+# Features are cut at quantiles of their fold, so a tree needs sums per bin only.  All folds grow together: an aggregate is keyed by fold, its
+# partial sums are formed before the shuffle, and its size depends on bins and features, not on rows.
 
-def _assemble(df: DataFrame, features=NAMES) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+BINS = 32
+LEAF_SHARE = 5e-2
 
-    return VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="features").transform(df)
 
+def bin_edges(z: DataFrame, *, features=NAMES, by="dec", bins: int = BINS) -> DataFrame:
+    """(by, n, edges): rows of each fold and its candidate thresholds per feature, ascending values that rows have."""
+    q = [k / bins for k in range(1, bins)]
+    edges = [F.array_sort(F.array_distinct(F.percentile_approx(f"z_{f}", q, 10_000))) for f in features]
+    return z.groupBy(by).agg(F.count("*").alias("n"), F.array(*edges).alias("edges"))
 
-def fit_gbm(z: DataFrame, y="fwd", *, rounds=40, rate=1e-1, features=NAMES):
-    """Boosted one-split trees, leaves of at least 5 % of the fold."""
-    from pyspark.ml.regression import GBTRegressor
 
-    return GBTRegressor(labelCol=y, maxDepth=1, maxIter=rounds, stepSize=rate, minInstancesPerNode=1, minWeightFractionPerNode=4.9e-2, seed=7) \
-        .fit(_assemble(z, features))
+def _zs(features) -> Column:
+    return F.array(*[F.col(f"z_{f}") for f in features])
 
 
-def fit_forest(z: DataFrame, y="fwd", *, trees=24, depth=3, features=NAMES):
-    from pyspark.ml.regression import RandomForestRegressor
+def _binned(z: DataFrame, edges: DataFrame, features, by) -> DataFrame:
+    """Adds ``bins``: for each feature how many thresholds lie below the row's value; bin k holds the values up to threshold k."""
+    bins = [F.size(F.filter(F.get("edges", F.lit(k)), lambda e: e < F.col(f"z_{f}"))) for k, f in enumerate(features)]  # noqa: B023
+    return z.join(edges, by).withColumn("bins", F.array(*bins)).drop("edges")
 
-    return RandomForestRegressor(labelCol=y, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=7).fit(_assemble(z, features))
 
+def _with_thresholds(edges: str, feat: Column, at: Column) -> Column:
+    return F.get(F.get(F.col(edges), feat), at)
 
-def fit_folds(z: DataFrame, fit, *, by="dec", at_once=4) -> dict:
-    """``fit`` of every fold of ``z``: ``{fold: (model, its rows)}``.  Folds are training dates, a handful whatever the data; some are fitted at a time."""
-    from concurrent.futures import ThreadPoolExecutor
 
-    folds = [r[by] for r in z.select(by).distinct().orderBy(by).collect()]
-    parts = {d: z.filter(F.col(by) == d) for d in folds}
-    with ThreadPoolExecutor(at_once) as pool:
-        models = list(pool.map(lambda d: fit(parts[d]), folds))
-    return {d: (m, parts[d]) for d, m in zip(folds, models)}
+def fit_gbm(z: DataFrame, y="fwd", *, rounds=40, rate=1e-1, features=NAMES, by="dec", bins: int = BINS, edges: DataFrame | None = None) -> DataFrame:
+    """Boosted one-split trees of every fold: (by, n, base, stumps, importance); leaves hold at least 5 % of the fold.
 
+    A stump changes the residual sum of every bin by its leaf values times the rows that the two bins share.  So one aggregate, counts of all
+    pairs of bins and sums per bin, is enough for all rounds of all folds; boosting then works on (features x bins) squared numbers.
+    """
+    edges = bin_edges(z, features=features, by=by, bins=bins) if edges is None else edges
+    p = len(features)
+    pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(g).alias("g"), F.get("bins", F.lit(f)).alias("a"), F.get("bins", F.lit(g)).alias("b")) for f in range(p) for g in range(f, p)])
+    x = _binned(z, edges, features, by).select(by, F.col(y).cast("double").alias("_y"), F.explode(pairs).alias("c"))
+    cells = x.groupBy(by, "c.f", "c.g", "c.a", "c.b").agg(F.count("*").alias("rows"), F.sum("_y").alias("total"))
+    ty = z.schema[by].dataType.simpleString()
+
+    def boost(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, g, a, b = (pdf[c].to_numpy() for c in "fgab")
+        rows, total = pdf["rows"].to_numpy(float), pdf["total"].to_numpy(float)
+        shared = np.zeros((p, bins, p, bins))
+        shared[f, a, g, b] = rows
+        shared[g, b, f, a] = rows
+        own = f == g
+        count, left_over = np.zeros((p, bins)), np.zeros((p, bins))
+        count[f[own], a[own]], left_over[f[own], a[own]] = rows[own], total[own]
+        n = count[0].sum()
+        base = left_over[0].sum() / n
+        left_over = left_over - base * count
+        least = max(1, int(n * LEAF_SHARE))
+        n_left = np.cumsum(count, axis=1)
+        stumps, gains = [], np.zeros(p)
+        for _ in range(rounds):
+            low, whole = np.cumsum(left_over, axis=1), left_over[0].sum()
+            with np.errstate(all="ignore"):
+                gain = low**2 / n_left + (whole - low) ** 2 / (n - n_left) - whole**2 / n
+            gain = np.where((n_left >= least) & (n - n_left >= least), gain, -np.inf)
+            feat, at = np.unravel_index(int(np.argmax(gain)), gain.shape)
+            if not gain[feat, at] > 1e-12:
+                break
+            lo, hi = rate * low[feat, at] / n_left[feat, at], rate * (whole - low[feat, at]) / (n - n_left[feat, at])
+            left_over = left_over - lo * shared[feat, :at + 1].sum(axis=0) - hi * shared[feat, at + 1:].sum(axis=0)
+            gains[feat] += gain[feat, at]
+            stumps.append({"feat": int(feat), "at": int(at), "left": float(lo), "right": float(hi)})
+        share = gains / gains.sum() if gains.sum() > 0 else gains
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "base": [base], "s": [stumps], "importance": [share.tolist()]})
+
+    # one group holds a fold's cells, at most (features * bins) ** 2 of them
+    out = cells.groupBy(by).applyInPandas(boost, f"{by} {ty}, base double, s array<struct<feat:int,at:int,left:double,right:double>>, importance array<double>")
+    stump = F.transform("s", lambda r: F.struct(r["feat"].alias("feat"), _with_thresholds("edges", r["feat"], r["at"]).alias("thr"), r["left"].alias("left"), r["right"].alias("right")))
+    return out.join(edges, by).select(by, "n", "base", stump.alias("stumps"), "importance")
+
+
+def predict_gbm(rows: DataFrame, model: DataFrame, *, features=NAMES, by="dec", out="prediction") -> DataFrame:
+    x = rows.join(model.select(by, "base", "stumps"), by)  # one row per fold
+    value = F.aggregate("stumps", F.col("base"), lambda v, s: v + F.when(F.get("_z", s["feat"]) <= s["thr"], s["left"]).otherwise(s["right"]))
+    return x.withColumn("_z", _zs(features)).select(*rows.columns, value.alias(out))
+
+
+def _draws(row: Column) -> Column:
+    """How often a row is drawn: Poisson with mean 1, from its hash; resampling that needs no order and no fold size."""
+    u = F.pmod(row, F.lit(1 << 53)) / float(1 << 53)
+    upto, term, out = 0.0, float(np.exp(-1)), F.lit(0)
+    for k in range(1, 9):
+        upto, term = upto + term, term / k
+        out = out + F.when(u >= upto, 1).otherwise(0)
+    return out
+
+
+def _choice(trees: int, depth: int, features: int, seed: int) -> list[list[list[int]]]:
+    """Features that a node may split on, by tree and node number."""
+    take = max(1, round(features**0.5))
+    rng = np.random.default_rng(seed)
+    return [[sorted(rng.choice(features, take, replace=False).tolist()) for _ in range(2**depth)] for _ in range(trees)]
 
-def feature_importance(model, spark, features=NAMES) -> DataFrame:
-    """Normalised gains of a tree model, one row per feature."""
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())], "feature string, importance double")
+
+def fit_forest(z: DataFrame, y="fwd", *, trees=24, depth=3, features=NAMES, by="dec", bins: int = BINS, seed=7, edges: DataFrame | None = None) -> DataFrame:
+    """Regression trees on resampled rows: (by, n, trees, depth, nodes, importance); every level of all trees of all folds is one aggregate.
+
+    ``nodes`` is indexed by ``tree * 2 ** (depth + 1) + node``, a node's children being 2 k and 2 k + 1 and the root 1: feature, threshold, mean.
+    """
+    edges = pin(bin_edges(z, features=features, by=by, bins=bins) if edges is None else edges)
+    width, choice = 2 ** (depth + 1), _choice(trees, depth, len(features), seed)
+    x = _binned(z, edges, features, by).select(by, "n", F.col(y).cast("double").alias("_y"), F.xxhash64(*[f"z_{f}" for f in features], y).alias("_row"), "bins")
+    x = pin(x)
+    splits, ends = None, None
+    for d in range(depth):
+        rows = x.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        rows = rows.withColumn("_w", _draws(F.xxhash64("_row", "tree"))).filter("_w > 0").withColumn("node", F.lit(1))
+        if splits is not None:  # down to the level's nodes by the splits so far, one small row per fold
+            rows = rows.join(splits.groupBy(by).agg(_indexed(F.col("tree") * width + F.col("node"), F.struct("feat", "at"), trees * width).alias("_tree")), by)
+            for _ in range(d):
+                cut = F.get("_tree", F.col("tree") * width + F.col("node"))
+                rows = rows.withColumn("node", F.when(cut.isNotNull(), 2 * F.col("node") + F.when(F.get("bins", cut["feat"]) > cut["at"], 1).otherwise(0)).otherwise(-1))
+            rows = rows.filter(F.col("node") >= 2**d)
+        allowed = F.get(F.get(F.lit(choice), F.col("tree")), F.col("node"))
+        cells = rows.select(by, "n", "tree", "node", "_y", "_w", "bins", F.explode(allowed).alias("feat")).withColumn("at", F.get("bins", F.col("feat")))
+        cells = cells.groupBy(by, "n", "tree", "node", "feat", "at").agg(F.sum("_w").alias("k"), F.sum(F.col("_w") * F.col("_y")).alias("s"))
+        level = pin(_best_splits(cells, by))
+        if d == 0:
+            ends = level.select(by, "tree", F.lit(1).alias("node"), (F.col("s") / F.col("k")).alias("mean"))
+        cutting = level.filter("feat is not null")
+        splits = cutting if splits is None else splits.unionByName(cutting)
+        sides = F.array(F.struct((2 * F.col("node")).alias("node"), (F.col("sl") / F.col("kl")).alias("mean")), F.struct((2 * F.col("node") + 1).alias("node"), ((F.col("s") - F.col("sl")) / (F.col("k") - F.col("kl"))).alias("mean")))
+        ends = ends.unionByName(cutting.select(by, "tree", F.inline(sides)))
+    known = ends.join(splits.select(by, "tree", "node", "feat", "at", "gain"), [by, "tree", "node"], "left").join(edges.select(by, "edges"), by)
+    entry = F.struct("feat", _with_thresholds("edges", F.col("feat"), F.col("at")).alias("thr"), "mean")
+    gains = [F.coalesce(F.sum(F.when(F.col("feat") == k, F.col("gain"))), F.lit(0e0)) for k in range(len(features))]
+    model = known.groupBy(by).agg(_indexed(F.col("tree") * width + F.col("node"), entry, trees * width).alias("nodes"), F.array(*gains).alias("g"))
+    total = F.aggregate("g", F.lit(0e0), lambda v, e: v + e)
+    share = F.transform("g", lambda v: F.when(F.col("_t") > 0, v / F.nullif(F.col("_t"), F.lit(0e0))).otherwise(0e0))
+    return model.withColumn("_t", total).join(edges.select(by, "n"), by).select(by, "n", F.lit(trees).alias("trees"), F.lit(depth).alias("depth"), "nodes", share.alias("importance"))
+
+
+def _indexed(at: Column, value: Column, size: int) -> Column:
+    """An array of ``size`` entries, null where the group has none."""
+    entries = F.map_from_entries(F.collect_list(F.struct(at.alias("k"), value.alias("v"))))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at(entries, i))
+
+
+def _best_splits(cells: DataFrame, by) -> DataFrame:
+    """Per node its rows ``k`` and sum ``s``, and the best split (feature, threshold index, gain, left rows and sum), null if none is allowed."""
+    spec = [by, "n", "tree", "node", "feat"]
+    upto = Window.partitionBy(*spec).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    x = cells.select(*spec, "at", F.sum("k").over(upto).alias("kl"), F.sum("s").over(upto).alias("sl"), F.sum("k").over(Window.partitionBy(*spec)).alias("k"), F.sum("s").over(Window.partitionBy(*spec)).alias("s"))
+    least = F.greatest(F.lit(2), F.floor(F.col("n") * LEAF_SHARE))
+    kr, sr = F.col("k") - F.col("kl"), F.col("s") - F.col("sl")
+    gain = F.col("sl") * F.col("sl") / F.col("kl") + sr * sr / F.nullif(kr, F.lit(0)) - F.col("s") * F.col("s") / F.col("k")
+    x = x.withColumn("gain", F.when((F.col("kl") >= least) & (kr >= least) & (gain > 1e-12), gain))
+    best = F.max_by(F.struct("feat", "at", "gain", "kl", "sl"), F.when(F.col("gain").isNotNull(), F.struct("gain", (-F.col("feat")).alias("f"), (-F.col("at")).alias("a"))))
+    g = x.groupBy(by, "tree", "node").agg(best.alias("b"), F.first("k").alias("k"), F.max_by("s", -F.col("feat")).alias("s"))
+    return g.select(by, "tree", "node", "k", "s", "b.feat", "b.at", "b.gain", "b.kl", "b.sl")
+
+
+def predict_forest(rows: DataFrame, model: DataFrame, *, features=NAMES, by="dec", out="prediction") -> DataFrame:
+    """Mean over the trees of the leaf each row falls in."""
+    x = rows.join(model.select(by, F.col("trees").alias("_trees"), F.col("depth").alias("_depth"), "nodes"), by).withColumn("_z", _zs(features))
+    width = F.size("nodes") / F.col("_trees")
+
+    def step(tree, node):
+        cut = F.get("nodes", (tree * width + node).cast("int"))
+        return F.when(cut["feat"].isNull(), node).otherwise(2 * node + F.when(F.get("_z", cut["feat"]) > cut["thr"], 1).otherwise(0))
+
+    def leaf(tree):
+        node = F.aggregate(F.sequence(F.lit(1), F.col("_depth")), F.lit(1), lambda at, _: step(tree, at))
+        return F.get("nodes", (tree * width + node).cast("int"))["mean"]
+
+    means = F.filter(F.transform(F.sequence(F.lit(0), F.col("_trees") - 1), leaf), lambda v: v.isNotNull())  # a tree may have drawn no row
+    return x.withColumn("_m", means).select(*rows.columns, (F.aggregate("_m", F.lit(0e0), lambda a, v: a + v) / F.nullif(F.size("_m"), F.lit(0))).alias(out))
+
+
+TREES = {"gbm": (fit_gbm, predict_gbm), "forest": (fit_forest, predict_forest)}
+
+
+def feature_importance(model: DataFrame, features=NAMES, by="dec") -> DataFrame:
+    """Normalised gains of tree models, one row per fold and feature."""
+    return model.select(by, F.inline(F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("importance").alias("importance"))))
 
 
 def weight_importance(weights: DataFrame, features=NAMES, by="dec") -> DataFrame:
@@ -211,8 +359,7 @@ def walk_forward_scores(panel: DataFrame, master: DataFrame, candidates: DataFra
                         lam=1e0, rebalance=21, train_every=252, min_train=60) -> DataFrame:
     """(gi, sym, model): point-in-time score of every candidate at every decision, null where the rule must rank.
 
-    ``candidates``: (gi, sym, features), already as of the decision.  Linear folds are fitted in parallel; tree models
-    are fitted per training date, each by a distributed MLlib job.
+    ``candidates``: (gi, sym, features), already as of the decision.  All folds of a model are fitted together.
     """
     decs = pin(retrain_dates(master, rebalance, train_every))
     train = pin(training_set(labelled_features(panel, horizon), master, decs, lookback, stride))
@@ -225,12 +372,6 @@ def walk_forward_scores(panel: DataFrame, master: DataFrame, candidates: DataFra
     if model == "logistic":
         lab = tercile_label(train)
         return score_linear(cand, stats, fit_logistic(apply_stats(lab, stats), lam), min_train, logistic=True)
-    fit = {"gbm": fit_gbm, "forest": fit_forest}[model]
-    zt, zc = pin(apply_stats(train, stats)), pin(apply_stats(cand, stats))
-    out = zc.filter(F.col("n") < min_train).select("gi", "sym", F.lit(None).cast("double").alias("model"))
-    # training dates are a handful of driver-side numbers, one distributed fit each
-    for row in stats.filter(F.col("n") >= min_train).select("dec").orderBy("dec").collect():
-        m = fit(zt.filter(F.col("dec") == row["dec"]))
-        pred = m.transform(_assemble(zc.filter(F.col("dec") == row["dec"])))
-        out = out.unionByName(pred.select("gi", "sym", F.col("prediction").alias("model")))
-    return out
+    fit, predict = TREES[model]
+    scored = predict(apply_stats(cand, stats), fit(apply_stats(train, stats).drop("n")), out="model")
+    return scored.select("gi", "sym", F.when(F.col("n") >= min_train, F.col("model")).alias("model"))

@@ -91,27 +91,34 @@ def _options(legs):
 def payoff_curve(packed: DataFrame, points: int = 240, compiled_legs: int = 4) -> DataFrame:
     """P&L on points + 1 evenly spaced spots; the window reaches down to 0 when the payoff still slopes there.
 
-    The first ``compiled_legs`` legs become plain columns before the points multiply the rows, so their payoff is compiled
-    arithmetic; a structure may have any number of legs, further ones are summed from the list.
+    Structures of up to ``compiled_legs`` legs have them as plain columns before the points multiply the rows, so their payoff is compiled arithmetic.
+    Longer ones are opened leg by leg and summed by point.
     """
     strikes = F.transform(_options(F.col("legs")), lambda x: x["strike"])
     slope = F.aggregate("legs", F.lit(0e0), lambda a, x: a + F.when(x["opt_type"] == "PE", -_sign(x) * x["units"])
                         .when(x["opt_type"] == "FUT", _sign(x) * x["units"]).otherwise(0e0))
     lo = F.when(F.abs(slope) > 1e-9, 0e0).otherwise(F.least(F.col("spot") * 7e-1, F.array_min(strikes)) * 9.5e-1)
     hi = F.greatest(F.col("spot") * 1.3e0, F.array_max(strikes)) * 1.05e0
-    more = F.when(F.size("legs") > compiled_legs, F.slice("legs", compiled_legs + 1, F.size("legs")))
-    legs = [F.get("legs", F.lit(i)) for i in range(compiled_legs)]
     rest = [c for c in packed.columns if c != "legs"]
-    x = packed.select(*rest, lo.alias("_lo"), hi.alias("_hi"), more.alias("_more"),
-                      *[F.when(g.isNull(), 0e0).otherwise(_sign(g) * g["units"]).alias(f"_q{i}") for i, g in enumerate(legs)],
-                      *[F.coalesce(g["opt_type"], F.lit("FUT")).alias(f"_t{i}") for i, g in enumerate(legs)],
-                      *[F.coalesce(g["strike"], F.lit(0e0)).alias(f"_k{i}") for i, g in enumerate(legs)],
-                      *[F.coalesce(g["premium"], F.lit(0e0)).alias(f"_p{i}") for i, g in enumerate(legs)])
-    x = x.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points))))
-    x = x.withColumn("s", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / float(points))
+
+    def at_points(x: DataFrame) -> DataFrame:
+        x = x.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points))))
+        return x.withColumn("s", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / float(points))
+
+    legs = [F.get("legs", F.lit(i)) for i in range(compiled_legs)]
+    few = packed.filter(F.size("legs") <= compiled_legs).select(
+        *rest, lo.alias("_lo"), hi.alias("_hi"),
+        *[F.when(g.isNull(), 0e0).otherwise(_sign(g) * g["units"]).alias(f"_q{i}") for i, g in enumerate(legs)],
+        *[F.coalesce(g["opt_type"], F.lit("FUT")).alias(f"_t{i}") for i, g in enumerate(legs)],
+        *[F.coalesce(g["strike"], F.lit(0e0)).alias(f"_k{i}") for i, g in enumerate(legs)],
+        *[F.coalesce(g["premium"], F.lit(0e0)).alias(f"_p{i}") for i, g in enumerate(legs)])
     val = " + ".join(f"_q{i} * (case _t{i} when 'FUT' then s when 'CE' then greatest(s - _k{i}, 0e0) else greatest(_k{i} - s, 0e0) end - _p{i})" for i in range(compiled_legs))
-    far = F.when(F.col("_more").isNotNull(), payoff_at(F.col("_more"), F.col("s"))).otherwise(0e0)
-    return x.select(*rest, "point", "s", (F.expr(val) + far).alias("pnl"))
+    few = at_points(few).select(*rest, "point", "s", F.expr(val).alias("pnl"))
+    many = packed.filter(F.size("legs") > compiled_legs).select(*rest, lo.alias("_lo"), hi.alias("_hi"), F.explode("legs").alias("_g"))
+    g = F.col("_g")
+    one = _sign(g) * (F.when(g["opt_type"] == "FUT", F.col("s")).otherwise(intrinsic(g["opt_type"], F.col("s"), g["strike"])) - g["premium"]) * g["units"]
+    many = at_points(many).groupBy(*rest, "point", "s").agg(F.sum(one).alias("pnl"))
+    return few.unionByName(many)
 
 
 def right_slope(legs: Column) -> Column:
@@ -169,23 +176,56 @@ def breakevens(packed: DataFrame) -> DataFrame:
     return x.withColumn("breakevens", F.when(flat, F.array().cast("array<double>")).otherwise(F.array_sort(two))).drop("_v")
 
 
-def horizon_grid(packed: DataFrame, points: int = 600, rate: float = RATE, by=("id", "structure")) -> DataFrame:
-    """P&L of multi-expiry structures at their nearest expiry, on a dense grid plus every strike: (by, s, pnl).
+def _at_horizon(x: DataFrame, by, keep, rate: float) -> DataFrame:
+    """(by, keep, s, pnl) of structures ``legs, horizon`` at prices ``s``; a leg that expires later keeps its model value for the remaining days.
 
-    A leg that expires later keeps its model value for the remaining days.  Rows stay where the packing shuffle put
-    them: grouping by (by, s) needs no further shuffle.
+    Rows stay where the packing shuffle put them: grouping by (by, s) needs no further shuffle.
     """
+    x = x.select(*by, *keep, "s", "horizon", F.inline("legs")).withColumn("_left", (F.col("leg_days") - F.col("horizon")) / 3.65e2)
+    x = with_option(x, F.col("opt_type"), F.col("s"), F.col("strike"), F.col("_left"), F.col("iv") / 1e2, price="_alive", r=rate)
+    val = F.when(F.col("opt_type") == "FUT", F.col("s")).when(F.col("_left") <= 1e-9, intrinsic(F.col("opt_type"), F.col("s"), F.col("strike"))).otherwise(F.col("_alive"))
+    sign = F.when(F.col("side") == "BUY", 1e0).otherwise(-1e0)
+    return x.groupBy(*by, *keep, "s").agg(F.sum(sign * (val - F.col("premium")) * F.col("units")).alias("pnl"))
+
+
+def _several_expiries(packed: DataFrame) -> DataFrame:
     days = F.transform(_options(F.col("legs")), lambda x: x["leg_days"])
     x = with_breakpoints(packed).filter(F.size(F.array_distinct(days)) > 1).withColumn("horizon", F.array_min(days))
-    lo = F.col("far") * 1e-6
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: lo + (F.col("far") - lo) * i / float(points))
+    return x.withColumn("_lo", F.col("far") * 1e-6)
+
+
+def horizon_grid(packed: DataFrame, points: int = 600, rate: float = RATE, by=("id", "structure")) -> DataFrame:
+    """P&L of multi-expiry structures at their nearest expiry, on a dense grid plus every strike: (by, s, pnl)."""
+    x = _several_expiries(packed)
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: F.col("_lo") + (F.col("far") - F.col("_lo")) * i / float(points))
     strikes = F.transform(_options(F.col("legs")), lambda g: g["strike"])
     x = x.withColumn("s", F.explode(F.array_distinct(F.concat(grid, strikes)))).filter(F.col("s") > 0)
-    x = x.select(*by, "s", "horizon", F.inline("legs")).withColumn("_left", (F.col("leg_days") - F.col("horizon")) / 3.65e2)
-    x = with_option(x, F.col("opt_type"), F.col("s"), F.col("strike"), F.col("_left"), F.col("iv") / 1e2, price="_alive", r=rate)
-    val = F.when(F.col("opt_type") == "FUT", F.col("s")).when(F.col("_left") <= 1e-9, intrinsic(F.col("opt_type"), F.col("s"), F.col("strike"))).otherwise(F.col("_alive"))
-    sign = F.when(F.col("side") == "BUY", 1e0).otherwise(-1e0)
-    return x.groupBy(*by, "s").agg(F.sum(sign * (val - F.col("premium")) * F.col("units")).alias("pnl"))
+    return _at_horizon(x, by, (), rate)
+
+
+def horizon_extremes(packed: DataFrame, points: int = 600, rate: float = RATE, by=("id", "structure"), stages: int = 5, cuts: int = 16) -> DataFrame:
+    """(by, max_profit, at_max, max_loss, at_min): the grid's extremes, refined between its points.
+
+    The best point of the grid and its neighbours bracket an extreme.  Each stage cuts every bracket of all structures, both directions at once,
+    into ``cuts`` parts and keeps the two around the best price; brackets shrink by ``cuts / 2`` a stage.  The best value seen anywhere counts.
+    """
+    base = _several_expiries(packed).select(*by, "legs", "horizon", "far", "_lo")
+    side = F.explode(F.array(F.lit(1), F.lit(-1)))
+    step = (F.col("far") - F.col("_lo")) / float(points)
+    keep = ("dir", "_from", "_upto", "_seen", "_where")
+    best = horizon_grid(packed, points, rate, by).withColumn("dir", side)
+    best = best.groupBy(*by, "dir").agg(F.max_by(F.struct("s", "pnl"), F.struct(F.col("dir") * F.col("pnl"), -F.col("s"))).alias("z"))
+    x = best.join(base, list(by)).select(*by, "dir", F.greatest("_lo", F.col("z.s") - step).alias("_from"), (F.col("z.s") + step).alias("_upto"), F.col("z.pnl").alias("_seen"), F.col("z.s").alias("_where"))
+    for _ in range(stages):
+        y = x.join(base.select(*by, "legs", "horizon"), list(by)).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(cuts))))
+        y = _at_horizon(y.withColumn("s", F.col("_from") + (F.col("_upto") - F.col("_from")) * F.col("_k") / float(cuts)), by, keep, rate)
+        y = y.groupBy(*by, *keep).agg(F.max_by(F.struct("s", "pnl"), F.struct(F.col("dir") * F.col("pnl"), -F.col("s"))).alias("z"))
+        width, better = (F.col("_upto") - F.col("_from")) / float(cuts), F.col("dir") * F.col("z.pnl") > F.col("dir") * F.col("_seen")
+        x = y.select(*by, "dir", F.greatest("_from", F.col("z.s") - width).alias("_from"), F.least("_upto", F.col("z.s") + width).alias("_upto"),
+                     F.when(better, F.col("z.pnl")).otherwise(F.col("_seen")).alias("_seen"), F.when(better, F.col("z.s")).otherwise(F.col("_where")).alias("_where"))
+    up = F.col("dir") == 1
+    return x.groupBy(*by).agg(F.max(F.when(up, F.col("_seen"))).alias("max_profit"), F.max(F.when(up, F.col("_where"))).alias("at_max"),
+                              F.max(F.when(~up, F.col("_seen"))).alias("max_loss"), F.max(F.when(~up, F.col("_where"))).alias("at_min"))
 
 
 def net_greeks(legs: DataFrame, by=("id", "structure"), rate: float = RATE) -> DataFrame:

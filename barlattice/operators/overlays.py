@@ -28,6 +28,16 @@ def gate_events(df: DataFrame, every: int, *, key="sym", ts="d", gate="gate", gi
     return x.withColumn("rebalance", (F.col(gi) - start) % every == 0)
 
 
+def gate_decisions(events: DataFrame, *, gate="gate", gi="gi") -> DataFrame:
+    """(gi, on): the decision bars of a gated book, from ``gate_events``.
+
+    Scheduled rebalances, the clock restarted by each re-entry, merged with the gate's own flips: an exit decides for cash on its bar, a re-entry is a
+    full rebalance.  One row per bar, whichever of them falls on it; while the gate is off a scheduled rebalance stays in cash.
+    """
+    x = events.filter(F.col("event").isNotNull() | F.col("rebalance"))
+    return x.select(F.col(gi).cast("long").alias("gi"), (F.col(gate) == 1).alias("on"))
+
+
 def vol_target_scalar(vol: Column, target: float) -> Column:
     """min(1, target / annualised volatility); 1 while unwarm."""
     ann = vol * (2.52e2 ** 0.5)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlattice.operators.align import align_grid, asof, trailing_returns
+from barlattice.operators.align import align_grid, asof, numbered, trailing_returns
 from barlattice.operators.metrics import RF, curve_metrics
+from barlattice.operators.scan import CHUNK, pin_chunks, prefix
 from barlattice.session import pin
 
 MIN_RETURNS, MIN_HISTORY, REPICK = 20, 252, 63
@@ -46,30 +47,52 @@ def expanding_sharpe(curve: DataFrame, *, by="spec_id", ts="d", eq="eq", rf=RF)
     return x.withColumn("xs", F.when(F.count("_x").over(run) >= MIN_RETURNS, v)).drop("_x")
 
 
+def _repicks(bars: DataFrame, repick: int, last: int) -> DataFrame:
+    """Bars on which a pick is made: the first eligible one, then each time the first eligible one at least ``repick`` bars later.
+
+    ``bars``: (i, ok) of the whole timeline.  Every bar points to the next pick after a pick on it; the picks are what the first one reaches, found by
+    doubling the pointers: as many rounds as the number of picks has binary digits, each an equality join over the timeline.
+    """
+    w = Window.partitionBy(F.floor(F.col("i") / 4096)).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    local = bars.withColumn("_b", F.floor(F.col("i") / 4096)).withColumn("_next", F.min(F.when(F.col("ok"), F.col("i"))).over(w))
+    behind = Window.partitionBy(F.lit(0)).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # one row per 4,096 bars
+    blocks = local.groupBy("_b").agg(F.min("_next").alias("_f")).select("_b", F.min("_f").over(behind).alias("_after"))
+    first = pin(local.join(blocks, "_b").select("i", F.coalesce("_next", "_after").alias("to")).filter("to is not null"))  # first eligible bar from i on
+    jump = pin(first.select((F.col("i") - repick).alias("i"), "to").filter("i >= 0"))
+    reached = first.agg(F.min("to").alias("i")).filter("i is not null")
+    for _ in range(max(1, (last // repick + 1).bit_length())):
+        more = reached.join(jump, "i").select(F.col("to").alias("i"))
+        reached = pin(reached.union(more).distinct())
+        jump = pin(jump.join(jump.select(F.col("i").alias("to"), F.col("to").alias("_t")), "to").select("i", F.col("_t").alias("to")))
+    return reached
+
+
 def champion_walk_forward(curves: DataFrame, bench: DataFrame, *, by="spec_id", ts="d", eq="eq", repick=REPICK,
                           min_history=MIN_HISTORY) -> DataFrame:
     """Follow the best point-in-time Sharpe, re-picked every ``repick`` bars: (gi, ts, pick, followed, ret, eq).
 
-    Curves are aligned to the benchmark's timeline.  Bar i earns the return of the curve picked before it.
+    Curves are aligned to the benchmark's timeline.  Bar i earns the return of the curve picked before it.  A re-pick that finds no candidate is tried
+    again at the next bar.
     """
     grid = align_grid(curves, bench.select(ts, F.lit(None).alias(by)), key=by, ts=ts, px=eq, before_listing=False)
-    slots = bench.select(ts).distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(ts)) - 1)
+    slots = pin(numbered(bench.select(ts).distinct(), ts, "i"))
     g = grid.filter(F.col(by).isNotNull()).join(slots, ts).select("i", ts, by, F.col("px").alias("a"))
     g = g.withColumn("first_i", F.min(F.when(F.col("a") > 0, F.col("i"))).over(Window.partitionBy(by)))
     w = Window.partitionBy(by).orderBy("i")
     g = expanding_sharpe(g, by=by, ts="i", eq="a").withColumn("rel", F.when(F.lag("a").over(w) > 0, F.col("a") / F.lag("a").over(w)))
     g = pin(g)  # read by the pick and by the return branch
     cand = g.filter((F.col("a") > 0) & (F.col("i") - F.col("first_i") >= min_history) & F.col("xs").isNotNull())
-    start = cand.agg(F.min("i")).scalar()
-    cand = cand.withColumn("_s", start).filter((F.col("i") - F.col("_s")) % repick == 0)
     # highest Sharpe wins, the first curve on a tie
-    best = cand.groupBy("i").agg(F.min_by(by, F.struct(-F.col("xs"), F.col(by))).alias("pick"))
-    t = slots.withColumn("_s", start).filter(F.col("i") >= F.col("_s")).join(best, "i", "left")  # bars of the calendar
-    tw = Window.partitionBy(F.lit(0)).orderBy("i")
-    t = t.withColumn("followed", F.last("pick", ignorenulls=True).over(tw.rowsBetween(Window.unboundedPreceding, -1)))
-    t = t.join(g.select("i", F.col(by).alias("followed"), "rel"), ["i", "followed"], "left")
-    logs = F.sum(F.ln(F.coalesce("rel", F.lit(1e0)))).over(tw.rowsBetween(Window.unboundedPreceding, 0))
-    return t.select(F.col("i").alias("gi"), ts, "pick", "followed", F.exp(logs).alias("eq"))
+    best = pin(cand.groupBy("i").agg(F.min_by(by, F.struct(-F.col("xs"), F.col(by))).alias("best")))
+    last = slots.agg(F.max("i").alias("n")).first()["n"] or 0  # one row
+    picks = _repicks(slots.join(best.select("i", F.lit(True).alias("ok")), "i", "left").select("i", F.coalesce("ok", F.lit(False)).alias("ok")), repick, last)
+    t = slots.join(picks.join(best, "i").select("i", F.col("best").alias("pick")), "i", "left").withColumn("_all", F.lit(0))
+    # bars of the calendar: the last pick and the grown value are split scans
+    t = prefix(pin_chunks(t, ["_all"], ["i"]), ["_all"], ["i"], lasts={"_cur": F.col("pick")}).drop(CHUNK)
+    t = t.filter("_cur is not null").join(t.select((F.col("i") + 1).alias("i"), F.col("_cur").alias("followed")), "i", "left")
+    t = t.join(g.select("i", F.col(by).alias("followed"), "rel"), ["i", "followed"], "left").withColumn("_g", F.ln(F.coalesce("rel", F.lit(1e0))))
+    t = prefix(pin_chunks(t, ["_all"], ["i"]), ["_all"], ["i"], sums={"_logs": F.col("_g")})
+    return t.select(F.col("i").alias("gi"), ts, "pick", "followed", F.exp("_logs").alias("eq"))
 
 
 def follow_timeline(track: DataFrame, *, ts="d") -> DataFrame:
@@ -129,5 +152,13 @@ def robust_rank(board: DataFrame, references: list[str], *, by="strategy") -> Da
     return ordered(x.withColumn("beats", beats).drop("_rr"), [F.col("med_return").desc(), F.col(by).asc()])
 
 
+def study_arms(board: DataFrame, controls: list[str], index: str, *, by="spec_id", value="sharpe") -> DataFrame:
+    """Every arm of a study but its controls and the index: edge over the index and over the harder control, and the verdict on the latter."""
+    at = lambda names: board.filter(F.col(by).isin(*names)).agg(F.max(value)).scalar()
+    arms = board.filter(~F.col(by).isin(*controls, index))
+    x = arms.withColumn("edge_index", F.col(value) - at([index])).withColumn("edge_universe", F.col(value) - at(controls))
+    return x.select(by, value, "edge_index", "edge_universe", study_verdict(F.round("edge_universe", 6)).alias("verdict"))
+
+
 def study_verdict(edge: Column) -> Column:
     return F.when(edge >= 1.5e-1, "beats-universe").when(edge >= 0, "matches-universe").otherwise("trails-universe")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlattice.operators.align import align_grid
+from barlattice.operators.align import align_intervals, at_slots, master_timeline
 from barlattice.session import pin
 
 
@@ -146,8 +146,11 @@ def score_log(entries: DataFrame, targets: DataFrame, panel: DataFrame, market:
     """
     eff = pin(effective_book(entries, ts=ts))
     books = pin(effective_targets(eff, targets, ts=ts, key=key))
-    grid = align_grid(panel.select(key, ts, "c").unionByName(market.select(key, ts, "c")), entries.select(ts, F.lit(None).alias(key)), key=key, ts=ts)
-    at = grid.filter(F.col(key).isNotNull()).join(eff.select(ts, "eno"), ts).select("eno", key, F.when(F.col("px") > 0, F.col("px")).alias("c"))
+    # prices as intervals, read at the log's dates only
+    both = panel.select(key, ts, "c").unionByName(market.select(key, ts, "c"))
+    master = pin(master_timeline(both, entries, ts=ts))
+    slots = eff.select(ts, "eno").join(master, ts).select("gi", "eno")
+    at = at_slots(align_intervals(both, master, key=key, ts=ts), slots, master).join(slots, "gi").select("eno", key, F.when(F.col("c") > 0, F.col("c")).alias("c"))
     w = Window.partitionBy(key).orderBy("eno")
     rel = pin(at.select((F.col("eno") + 1).alias("eno"), key, (F.lead("c").over(w) / F.col("c") - 1).alias("g")).filter("g is not null"))
     mk = market.select(key).distinct()

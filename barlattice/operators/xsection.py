@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlattice.operators.align import at_slots
+
 
 def rebalance_dates(master: DataFrame, every: int) -> DataFrame:
     """Bars of the common timeline whose index is a multiple of ``every`` (the first included)."""
@@ -31,6 +33,22 @@ def decision_rows(bars: DataFrame, master: DataFrame, every: int, *, key="sym",
     return x.join(master.select("gi", ts), "gi")
 
 
+def decision_rows_at(bars: DataFrame, master: DataFrame, slots: DataFrame, *, key="sym", ts="d") -> DataFrame:
+    """``decision_rows`` at any decision slots (a frame with ``gi``): every listed name with the columns of its latest bar."""
+    w = Window.partitionBy(key).orderBy("gi")
+    x = bars.join(master, ts).withColumn("ri", F.row_number().over(w) - 1).withColumn("_end", F.coalesce(F.lead("gi").over(w), F.col("n")))
+    return at_slots(x.withColumnRenamed(ts, "bar_d").drop("n"), slots, master).join(master.select("gi", ts), "gi")
+
+
+def gated_weights(decisions: DataFrame, chosen: DataFrame, *, by=("spec_id",)) -> DataFrame:
+    """Weights of specs whose decisions may say cash: ``decisions`` (by, gi, on), ``chosen`` (by, gi, sym, w) for those that are on.
+
+    A decision that is off, or finds no name, is one row without a name: the book is sold at the next bar and stays in cash.
+    """
+    names = chosen.join(decisions.filter("on").select(*by, "gi"), [*by, "gi"], "left_semi")
+    return decisions.select(*by, "gi").join(names.select(*by, "gi", "sym", "w"), [*by, "gi"], "left")
+
+
 def eligible(rows: DataFrame, gate: Column) -> DataFrame:
     """Rows whose own latest bar passes the predicate (unknown fails)."""
     return rows.filter(F.coalesce(gate, F.lit(False)))

@@ -77,43 +77,70 @@ def ridge_moments(t):
     return m.select("dec", "n", *[rr(F.get("h", F.lit(k)), 4).alias(f"h_{i}_{j}") for k, (i, j) in enumerate(tri)], *[rr(F.get("g", F.lit(i)), 6).alias(f"g_{i}") for i in range(p)])
 
 
-@query("fit_ridge", V)
+P = len(_T)
+LIST = "[" + ", ".join(_T) + "]"
+
+
+def solve_sql(name: str, p: int) -> str:
+    """CTEs that eliminate ``{name}0 (dc, i, j, v)``, p equations with the right side as column p; ``{name}{p}`` holds the solution there."""
+    step = """{n}{k1} as materialized (select t.dc, t.i, t.j, case when t.i = {k} then t.v/d.v else t.v - f.v*r.v/d.v end v from {n}{k} t join {n}{k} d on d.dc = t.dc and d.i = {k} and d.j = {k}
+   join {n}{k} r on r.dc = t.dc and r.i = {k} and r.j = t.j join {n}{k} f on f.dc = t.dc and f.i = t.i and f.j = {k})"""
+    return ", ".join(step.format(n=name, k=k, k1=k + 1) for k in range(p))
+
+
+IJ = f"(select cast(unnest(range({P})) as int) i) a, (select cast(unnest(range({P + 1})) as int) j) b"
+RIDGE = f"""{STATS}, xs as (select dc, list_append({LIST}, fwd) x from zt), cn as (select dc, count(*) n from zt group by dc),
+  r0 as materialized (select dc, i, j, sum(x[i + 1]*x[j + 1]) + case when i = j and i > 0 then {LAM} else 0e0 end v from xs, {IJ} group by 1, 2, 3), {solve_sql("r", P)}"""
+
+
+def logistic_sql(steps: int = 8) -> str:
+    dot = "list_sum(list_transform(range(1, " + str(P + 1) + "), lambda k: w[k]*x[k]))"
+    out = [f"""{STATS}, tp as (select dc, gi, sym, case when fwd >= max(case when r = k then fwd end) over (partition by dc, gi) then 1e0 else 0e0 end y
+    from (select *, row_number() over (partition by dc, gi order by fwd desc) r, greatest(count(*) over (partition by dc, gi)//3, 1) k from tr) q),
+  xl as materialized (select dc, {LIST} x, y from zt join tp using (dc, gi, sym)), cn as (select dc, count(*) n from xl group by dc),
+  w0 as materialized (select distinct dc, list_transform(range({P}), lambda k: 0e0) w from xl)"""]
+    for s in range(steps):
+        out.append(f"""p{s} as materialized (select dc, x, y, w, 1/(1 + exp(-greatest(-3e1, least(3e1, {dot})))) pr from xl join w{s} using (dc)),
+  s{s}_0 as materialized (select dc, i, j, case when j < {P} then sum(x[i + 1]*x[j + 1]*greatest(pr*(1 - pr), 1e-6)) + case when i = j and i > 0 then {LAM} else 0e0 end
+      else sum(x[i + 1]*(y - pr)) - case when i > 0 then {LAM}*any_value(w[i + 1]) else 0e0 end end v from p{s}, {IJ} group by 1, 2, 3),
+  {solve_sql(f"s{s}_", P)},
+  w{s + 1} as materialized (select dc, list_transform(range(1, {P + 1}), lambda k: w[k] + dw[k]) w from w{s} join (select dc, list(v order by i) dw from s{s}_{P} where j = {P} group by dc) q using (dc))""")
+    return ", ".join(out)
+
+
+@query("fit_ridge", V, f"{RIDGE} select dc as dec, n, i term, round(v, 6) + 0e0 weight from r{P} join cn using (dc) where j = {P}")
 def fit_ridge(t):
     _, z, _ = zfold(t)
-    return N.fit_ridge(z, LAM).select("dec", "n", F.posexplode("w").alias("term", "weight"))
+    return N.fit_ridge(z, LAM).select("dec", "n", F.posexplode("w").alias("term", "weight")).withColumn("weight", rr("weight", 6))
 
 
-@query("fit_logistic", V)
+@query("fit_logistic", V, f"{logistic_sql()} select dc as dec, n, k - 1 term, round(w[k], 6) + 0e0 weight from w8 join cn using (dc), (select cast(unnest(range(1, {P + 1})) as int) k) q")
 def fit_logistic(t):
     tr, _, stats = zfold(t)
-    return N.fit_logistic(N.apply_stats(N.tercile_label(tr), stats), LAM).select("dec", "n", F.posexplode("w").alias("term", "weight"))
-
-
-def tree_folds(t, fit):
-    _, z, _ = zfold(t)
-    return N.fit_folds(pin(z), fit)
+    return N.fit_logistic(N.apply_stats(N.tercile_label(tr), stats), LAM).select("dec", "n", F.posexplode("w").alias("term", "weight")).withColumn("weight", rr("weight", 6))
 
 
-def predictions(folds):
-    parts = [m.transform(N._assemble(z)).select("dec", "gi", "sym", "fwd", "prediction") for m, z in folds.values()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def tree_predictions(t, model):
+    fit, predict = N.TREES[model]
+    z = pin(zfold(t)[1].drop("n"))
+    return predict(z, fit(z)).select("dec", "gi", "sym", "fwd", "prediction")
 
 
 @query("fit_gbm", V)
 def fit_gbm(t):
-    return predictions(tree_folds(t, N.fit_gbm))
+    return tree_predictions(t, "gbm")
 
 
 @query("fit_forest", V)
 def fit_forest(t):
-    return predictions(tree_folds(t, N.fit_forest))
+    return tree_predictions(t, "forest")
 
 
 @query("feature_importance", V)
 def feature_importance(t):
     _, z, _ = zfold(t)
-    z = pin(z)
-    parts = [N.feature_importance(m, t.spark).select(F.lit("forest").alias("model"), F.lit(d).alias("dec"), "feature", "importance") for d, (m, _) in N.fit_folds(z, N.fit_forest).items()]
+    z = pin(z.drop("n"))
+    parts = [N.feature_importance(fit(z)).select(F.lit(name).alias("model"), "dec", "feature", "importance") for name, (fit, _) in N.TREES.items()]
     parts.append(N.weight_importance(N.fit_ridge(z, LAM)).select(F.lit("ridge").alias("model"), "dec", "feature", "importance"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -131,7 +158,21 @@ def walk_forward_scores(t):
     return x.withColumn("score", X.score_fallback(F.col("model"), F.col("rule")))
 
 
+def walk_forward(t, model):
+    c = pin(ml_candidates(t).select("gi", "sym", *NAMES))
+    return N.walk_forward_scores(t.pin("candles_daily"), master(t), c, model=model, horizon=H, lookback=LB, train_every=TRAIN_EVERY, lam=LAM)
+
+
 @query("walk_forward_gbm", V)
 def walk_forward_gbm(t):
-    c = pin(ml_candidates(t).select("gi", "sym", *NAMES))
-    return N.walk_forward_scores(t.pin("candles_daily"), master(t), c, model="gbm", horizon=H, lookback=LB, train_every=TRAIN_EVERY)
+    return walk_forward(t, "gbm")
+
+
+@query("walk_forward_forest", V)
+def walk_forward_forest(t):
+    return walk_forward(t, "forest")
+
+
+@query("walk_forward_logistic", V)
+def walk_forward_logistic(t):
+    return walk_forward(t, "logistic")

@@ -9,7 +9,7 @@ from barlattice.operators import options as O
 from barlattice.operators.align import asof
 from barlattice.operators.returns import cost_model
 from barlattice.plans.indicators import STAGE, W, fr
-from barlattice.plans.registry import query, rr
+from barlattice.plans.registry import ORACLES, query, rr
 
 R = "6.5e-2"
 
@@ -189,6 +189,36 @@ def horizon_value(t):
     return x.groupBy("id", "structure").agg(F.count("*").alias("points"), rr(F.max("pnl"), 3).alias("max_profit"), rr(F.min("pnl"), 3).alias("max_loss"))
 
 
+def _refine_sql(stages: int = 5, cuts: int = 16) -> str:
+    """The staged search of ``horizon_extremes``: brackets z0 to z{stages}."""
+    value = f"sum(sg*(case when opt_type = 'FUT' then s when lf <= 1e-9 then {intr('opt_type', 's', 'strike')} else {HZ} end - premium)*lots)"
+    out = ["""g1 as (select id, structure, s, pnl, dir from gp, (values (1), (-1)) w(dir)),
+  g2 as (select id, structure, dir, arg_max(struct_pack(s := s, pnl := pnl), (dir*pnl, -s)) z from g1 group by 1, 2, 3),
+  z0 as (select g2.id, g2.structure, dir, greatest(far*1e-6, z.s - (far - far*1e-6)/6e2) a, z.s + (far - far*1e-6)/6e2 b, z.pnl bv, z.s at_s from g2 join fr using (id, structure))"""]
+    for k in range(stages):
+        out.append(f"""c{k} as (select z.*, a + (b - a)*j/{float(cuts)!r}e0 s from z{k} z, (select unnest(range(0, {cuts + 1})) j) q),
+  v{k} as (select id, structure, dir, a, b, bv, at_s, s, {value} pnl from (select c.*, opt_type, strike, premium, sg, lots, (leg_days - hz)/3.65e2 lf, v from c{k} c join lg using (id, structure) join fr using (id, structure)) q group by all),
+  m{k} as (select id, structure, dir, a, b, bv, at_s, arg_max(struct_pack(s := s, pnl := pnl), (dir*pnl, -s)) z from v{k} group by all),
+  z{k + 1} as (select id, structure, dir, greatest(a, z.s - (b - a)/{float(cuts)!r}e0) a, least(b, z.s + (b - a)/{float(cuts)!r}e0) b,
+     case when dir*z.pnl > dir*bv then z.pnl else bv end bv, case when dir*z.pnl > dir*bv then z.s else at_s end at_s from m{k})""")
+    return ", ".join(out)
+
+
+HORIZON = ORACLES["horizon_value"]
+HORIZON = HORIZON[:HORIZON.rindex("select id, structure, count(*) points")]
+
+
+@query("horizon_extremes", "", None)
+def horizon_extremes(t):
+    """Extremes between the grid's points, as a fraction of a paisa."""
+    x = O.horizon_extremes(packed(t))
+    return x.select("id", "structure", rr("max_profit", 3).alias("max_profit"), rr("max_loss", 3).alias("max_loss"))
+
+
+ORACLES["horizon_extremes"] = f"""{HORIZON.rstrip()}, {_refine_sql()}
+  select id, structure, round(max(case when dir = 1 then bv end), 3) + 0e0 max_profit, round(max(case when dir = -1 then bv end), 3) + 0e0 max_loss from z5 group by 1, 2"""
+
+
 LG_G = greeks("opt_type", "spot", "strike", "t", "v")
 
 

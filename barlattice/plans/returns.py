@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlattice.functions.indicators import with_indicators
 from barlattice.functions.signals import strat_sma_cross, strat_short_trend
+from barlattice.operators import overlays as O
+from barlattice.operators import ranking as G
 from barlattice.operators import returns as R
 from barlattice.operators import xsection as X
 from barlattice.operators.align import align_grid, master_timeline
+from barlattice.operators.metrics import curve_metrics
 from barlattice.plans.indicators import W, sma
+from barlattice.plans.overlays import EVENTS
+from barlattice.plans.overlays import N as GATE_BARS
 from barlattice.plans.registry import query, rr
-from barlattice.plans.xsection import EVERY, TOP, V, top
+from barlattice.plans.xsection import CAND, EVERY, SPECS, TOP, K, V, master, top
 from barlattice.session import pin
 
 DEL = R.cost_model("delivery")
@@ -151,6 +160,95 @@ def participation(t):
     return R.participation_flags(tr, t.candles_daily)
 
 
+# baskets whose decisions may say cash, at any bars: sl (spec_id, gi) are the decisions, tw (spec_id, gi, sym, w) their names, gr the price grid
+GRIDPX = """gr as materialized (select m.gi, s.sym, last_value(p.c ignore nulls) over (partition by s.sym order by m.gi) px
+         from (select distinct sym from candles_daily) s cross join mst m left join candles_daily p on p.sym = s.sym and p.d = m.d)"""
+BOOK = f"""decs as (select spec_id, gi dec, gi + 1 x, (select max(gi) from mst) mx, lead(gi) over (partition by spec_id order by gi) + 1 nx from sl),
+  per as (select spec_id, dec, x, least(coalesce(nx, mx), mx) e, coalesce(nx <= mx, false) rolled from decs where x <= mx),
+  vals as materialized (select tw.spec_id, dec, x, e, rolled, g.gi, tw.sym, w, w*g.px/p0.px wv from per join tw on tw.gi = dec and tw.spec_id = per.spec_id
+           join gr p0 on p0.sym = tw.sym and p0.gi = x join gr g on g.sym = tw.sym and g.gi between x and e),
+  vb as (select spec_id, dec, gi, sum(wv - w) s from vals group by all),
+  bar as materialized (select per.*, m.gi, 1 + coalesce(s, 0e0) v from per join mst m on m.gi between per.x and per.e left join vb on vb.spec_id = per.spec_id and vb.dec = per.dec and vb.gi = m.gi),
+  old as (select spec_id, e x, sym, wv/v old_w from vals join bar using (spec_id, dec, x, e, rolled, gi) where gi = e and rolled),
+  nw as (select spec_id, gi + 1 x, sym, w new_w from tw where gi < (select max(gi) from mst)),
+  td as (select coalesce(old.spec_id, nw.spec_id) spec_id, coalesce(old.x, nw.x) x, coalesce(old.sym, nw.sym) sym, coalesce(old_w, 0e0) old_w, coalesce(new_w, 0e0) new_w
+         from old full join nw on old.spec_id = nw.spec_id and old.x = nw.x and old.sym = nw.sym),
+  trades as (select *, case when new_w > old_w then 'BUY' else 'SELL' end side, abs(new_w - old_w) size,
+             case when new_w > old_w then (new_w - old_w)*{BUY} else (old_w - new_w)*{SELL} end cost,
+             case when old_w = 0 then 'entry' when new_w = 0 then 'exit' when new_w > old_w then 'add' else 'trim' end kind
+             from td where abs(new_w - old_w) > 0),
+  xc as (select spec_id, x, sum(cost) cost from trades group by spec_id, x),
+  st as (select b.spec_id, b.dec, b.x, b.v pv, coalesce(cost, 0e0) cost from bar b left join xc using (spec_id, x) where b.gi = b.e),
+  bs as (select spec_id, dec, exp(coalesce(sum(ln(pv)) over (partition by spec_id order by dec rows between unbounded preceding and 1 preceding), 0e0)
+                         + sum(ln(1 - cost)) over (partition by spec_id order by dec rows between unbounded preceding and current row)) base from st),
+  bc as (select bar.spec_id, bar.gi, base*v eq from bar join bs using (spec_id, dec) where bar.gi > bar.x)"""
+CAND_B = CAND[:CAND.index(",\n  cand as (")]
+GATED = f"""{CAND_B}, {EVENTS}, gd as (select mst.gi, gate = 1 is_on, event, (ev.gi - coalesce(max(case when event = 'reentry' then ev.gi end) over (order by ev.gi), 0)) % {EVERY} = 0 rebalance from ev join mst using (d)),
+  sl as materialized (select 'gated' spec_id, gi, is_on from gd where event is not null or rebalance union all select 'plain', gi, true from mst where gi % {EVERY} = 0),
+  gc as (select sl.spec_id, sl.gi, b.sym, m63, m126 from sl join b on b.g <= sl.gi and sl.gi < b.e where is_on and coalesce(c > s50, false) and m63 is not null),
+  gk as (select *, row_number() over (partition by spec_id, gi order by m63 desc, m126 desc nulls last, sym) rk from gc),
+  tw as materialized (select spec_id, gi, sym, 1e0/count(*) over (partition by spec_id, gi) w from gk where rk <= {K}), {GRIDPX}, {BOOK}"""
+
+
+def gated_basket(t):
+    """Two specs of one rule: gated daily by the market's confirmed trend, and on the plain schedule."""
+    m = t.pin("candles_daily"), t.pin("market_daily")
+    master = pin(master_timeline(*m))
+    trend = with_indicators(m[1], {"s": ("sma", 50)}).join(master.select("d", "gi"), "d")
+    events = O.gate_events(O.confirmed_gate(trend, F.col("c") > F.col("s"), GATE_BARS), EVERY)
+    plain = X.rebalance_dates(master, EVERY).select(F.lit("plain").alias("spec_id"), F.col("gi").cast("long").alias("gi"), F.lit(True).alias("on"))
+    slots = pin(O.gate_decisions(events).select(F.lit("gated").alias("spec_id"), "gi", "on").unionByName(plain))
+    rows = X.decision_rows_at(with_indicators(m[0], SPECS), master, slots, key="sym")
+    el = X.eligible(rows, F.col("c") > F.col("s50")).withColumn("score", F.col("m63"))
+    chosen = X.top_k(el, K, rule="m126").withColumn("w", X.w_equal()).select(F.col("gi").cast("long").alias("gi"), "sym", "w")
+    grid = pin(align_grid(*m, before_listing=False).select("gi", "sym", "px"))
+    return pin(X.gated_weights(slots, slots.select("spec_id", "gi").join(chosen, "gi"))), grid
+
+
+@query("basket_gated", V, f"{GATED} select spec_id, gi, round(eq, 7) eq from bc")
+def basket_gated(t):
+    w, grid = gated_basket(t)
+    return R.basket_returns(w, grid, DEL).select("spec_id", "gi", F.round("eq", 7).alias("eq"))
+
+
+@query("gated_trades", V, f"{GATED} select spec_id, x, sym, round(old_w, 7) + 0e0 old_w, round(new_w, 7) + 0e0 new_w, side, round(size, 7) + 0e0 size, kind from trades")
+def gated_trades(t):
+    w, grid = gated_basket(t)
+    x = R.basket_trades(R.basket_values(w, grid), w, DEL)
+    return x.select("spec_id", "x", "sym", rr("old_w", 7).alias("old_w"), rr("new_w", 7).alias("new_w"), "side", rr("size", 7).alias("size"), "kind")
+
+
+# a study: the rule against two portfolios of the whole universe that select nothing, and the index
+ARMS = f"""{TOP}, uni as (select gi, sym, vol, case when vol > 1e-6 then 1/vol end iv from cand where c > 0),
+  ul as (select *, min(iv) over (partition by gi) lo from uni),
+  tw as (select 'momentum' spec_id, gi, sym, 1e0/count(*) over (partition by gi) w from top union all select 'universe_equal', gi, sym, 1e0/count(*) over (partition by gi) from uni
+         union all select 'universe_invvol', gi, sym, case when lo is null then 1e0/count(*) over (partition by gi) else coalesce(iv, lo)/(sum(iv) over (partition by gi) + (count(*) over (partition by gi) - count(iv) over (partition by gi))*lo) end from ul),
+  sl as (select distinct spec_id, gi from tw), {GRIDPX}, {BOOK}, ft as (select max(f) f from (select min(gi) f from bc group by spec_id) q),
+  cv as (select spec_id, gi, eq from bc, ft where gi >= f union all select 'index', gi, c from market_daily join mst using (d), ft where gi >= f),
+  cr as (select spec_id, gi, eq/lag(eq) over (partition by spec_id order by gi) - 1 r from cv),
+  sh as (select spec_id, round((avg(r) - 6.5e-2/2.52e2)/stddev_samp(r)*sqrt(2.52e2), 4) + 0e0 sharpe from cr group by spec_id),
+  ed as (select spec_id, sharpe, sharpe - (select sharpe from sh where spec_id = 'index') ei, sharpe - (select max(sharpe) from sh where spec_id like 'universe%') eu from sh)"""
+
+
+@query("study_arms", V, f"""{ARMS} select spec_id, sharpe, round(ei, 4) + 0e0 edge_index, round(eu, 4) + 0e0 edge_universe,
+   case when round(eu, 6) >= 1.5e-1 then 'beats-universe' when round(eu, 6) >= 0 then 'matches-universe' else 'trails-universe' end verdict from ed where spec_id = 'momentum'""")
+def study_arms(t):
+    m = t.pin("candles_daily"), t.pin("market_daily")
+    cand = pin(X.decision_rows(with_indicators(m[0], SPECS), master(t), EVERY))
+    mine = X.top_k(X.eligible(cand, F.col("c") > F.col("s50")).withColumn("score", F.col("m63")), K, rule="m126").withColumn("w", X.w_equal())
+    every = cand.filter("c > 0")
+    parts = {"momentum": mine, "universe_equal": every.withColumn("w", X.w_equal()), "universe_invvol": every.withColumn("w", X.w_invvol())}
+    w = pin(reduce(DataFrame.unionByName, [p.select(F.lit(n).alias("spec_id"), F.col("gi").cast("long").alias("gi"), "sym", "w") for n, p in parts.items()]))
+    grid = pin(align_grid(*m, before_listing=False).select("gi", "sym", "px"))
+    curves = pin(R.basket_returns(w, grid, DEL))
+    start = curves.groupBy("spec_id").agg(F.min("gi").alias("f")).agg(F.max("f")).scalar()  # the window that all arms have
+    index = m[1].join(master(t), "d").select(F.lit("index").alias("spec_id"), F.col("gi").cast("long").alias("gi"), F.col("c").alias("eq"))
+    both = curves.select("spec_id", F.col("gi").cast("long").alias("gi"), "eq").unionByName(index).withColumn("_f", start).filter("gi >= _f").drop("_f")
+    board = curve_metrics(both.withColumn("gi", F.date_add(F.lit("2000-01-01").cast("date"), F.col("gi").cast("int"))), by=("spec_id",), ts="gi", names=["sharpe"], digits=4)
+    x = G.study_arms(board, ["universe_equal", "universe_invvol"], "index")
+    return x.select("spec_id", "sharpe", rr("edge_index", 4).alias("edge_index"), rr("edge_universe", 4).alias("edge_universe"), "verdict")
+
+
 @query("profit_factor", "fills", """x as (select acct, ikey, floor((price - 1.5e3)*qty*1e2 + 5e-1)/1e2 r from fills),
   g as (select acct, sum(cast(case when r > 0 then r else 0 end as decimal(18,2))) wn, sum(cast(case when r < 0 then -r else 0 end as decimal(18,2))) ls from x group by acct)
   select acct, case when wn = 0 and ls = 0 then null when ls = 0 then 'infinity'::double else round(cast(wn as double)/cast(ls as double), 6) end profit_factor from g""")

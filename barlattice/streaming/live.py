@@ -5,6 +5,7 @@ Event time carries a watermark; rows behind it are dropped, bars come out once c
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -28,19 +29,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_stores = {"lock": threading.Lock(), "users": 0, "before": None}
+
+
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The state store that the stateful operators need, while a query starts; the session's own setting comes back."""
+    """The state store that the stateful operators need, while queries start and run; the session's own setting comes back after the last one."""
     name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+    with _stores["lock"]:
+        if not _stores["users"]:
+            _stores["before"] = spark.conf.get(name, None)
+            spark.conf.set(name, ROCKS)
+        _stores["users"] += 1
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        with _stores["lock"]:
+            _stores["users"] -= 1
+            if not _stores["users"]:
+                if _stores["before"] is None:
+                    spark.conf.unset(name)
+                else:
+                    spark.conf.set(name, _stores["before"])
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", out: str | None = None, ckpt: str | None = None) -> DataFrame:

@@ -211,6 +211,21 @@ def test_structures(spark):
     assert len(be["straddle"]) == 2 and len(be["long_call"]) == 1 and len(be["iron_condor"]) == 2
 
 
+def test_horizon_extremes_equal_dense_brute_force(spark):
+    """Calendar spreads: extremes within 1e-6 of the best of a million prices."""
+    legs = [("a", "CE", "SELL", 100.0, 3.0, 25.0, 10), ("a", "CE", "BUY", 100.0, 5.0, 25.0, 40), ("b", "PE", "SELL", 95.0, 2.0, 30.0, 7), ("b", "PE", "BUY", 90.0, 2.5, 33.0, 35), ("b", "CE", "BUY", 111.0, 1.0, 20.0, 35),
+            ("b", "CE", "SELL", 130.0, 1.0, 20.0, 35), ("c", "CE", "SELL", 220.0, 0.1, 20.0, 5), ("c", "CE", "BUY", 90.0, 12.0, 25.0, 60), ("c", "CE", "SELL", 103.0, 5.0, 25.0, 60),
+            ("c", "CE", "SELL", 104.0, 5.0, 25.0, 60), ("c", "CE", "BUY", 115.0, 2.0, 25.0, 60)]  # c peaks between two grid points
+    rows = spark.createDataFrame([(1, g, o, s, k, p, v, d, 100.0) for g, o, s, k, p, v, d in legs], "id int, structure string, opt_type string, side string, strike double, premium double, iv double, leg_days int, spot double")
+    packed = rows.groupBy("id", "structure").agg(F.first("spot").alias("spot"), F.collect_list(F.struct("opt_type", "side", "strike", "premium", F.lit(50e0).alias("units"), "iv", "leg_days")).alias("legs"))
+    dense = {r["structure"]: r for r in options.horizon_grid(packed, 1_000_000).groupBy("structure").agg(F.max("pnl").alias("max_profit"), F.min("pnl").alias("max_loss")).collect()}
+    coarse = {r["structure"]: r for r in options.horizon_grid(packed).groupBy("structure").agg(F.max("pnl").alias("max_profit"), F.min("pnl").alias("max_loss")).collect()}
+    for r in options.horizon_extremes(packed).collect():
+        for name in ("max_profit", "max_loss"):
+            assert r[name] == pytest.approx(dense[r["structure"]][name], abs=1e-6)
+    assert any(abs(coarse[g]["max_profit"] - dense[g]["max_profit"]) > 1e-4 or abs(coarse[g]["max_loss"] - dense[g]["max_loss"]) > 1e-4 for g in dense)  # the grid alone is not enough
+
+
 # ---- ledger ----------------------------------------------------------------------------------------------------------
 
 def fills_fixture(spark, n=600, seed=9):
@@ -368,6 +383,78 @@ def test_disjoint_pairs_equal_the_greedy_rule(spark):
                 assert st.count() <= 2 * 42 * (2 * picks - 1) / 2
 
 
+def test_champion_retries_a_bar_without_candidate(spark):
+    """The only curve is worth nothing on re-pick bars: the pick is made at the next bar with a candidate, and the next one counts from there."""
+    from barlattice.operators import ranking
+
+    rnd, n = np.random.default_rng(5), 140
+    days = [D0 + dt.timedelta(days=i) for i in range(n)]
+    eq = {s: 100 * np.exp(np.cumsum(rnd.normal(0, .01, n))) for s in "AB"}
+    gone = {50, 51, 52, 83, 84}  # min_history 30 and repick 20: picks fall on 30, 50 -> 53, 73, 93, ...
+    rows = [(s, d, 0.0 if i in gone else float(v[i])) for s, v in eq.items() for i, d in enumerate(days)]
+    bench = spark.createDataFrame([(d,) for d in days], "d date")
+    got = ranking.champion_walk_forward(spark.createDataFrame(rows, "spec_id string, d date, eq double"), bench, repick=20, min_history=30).orderBy("gi").collect()
+    assert [r["gi"] for r in got] == list(range(30, n))
+    assert [r["gi"] for r in got if r["pick"]] == [30, 53, 73, 93, 113, 133]
+    want, held = 0.0, None
+    for r in got:
+        i = r["gi"]
+        if held and i not in gone and i - 1 not in gone:
+            want += math.log(eq[held][i] / eq[held][i - 1])
+        assert r["followed"] == held
+        held = r["pick"] or held
+    assert got[-1]["eq"] > 0
+
+
+def test_repicks_by_pointer_doubling(spark):
+    from barlattice.operators import ranking
+
+    rnd = random.Random(2)
+    for n, step in ((9000, 63), (500, 1), (10, 63)):
+        ok = [rnd.random() < .3 for _ in range(n)]
+        got = sorted(r["i"] for r in ranking._repicks(spark.createDataFrame(list(enumerate(ok)), "i int, ok boolean"), step, n - 1).collect())
+        want, at = [], 0
+        while (at := next((i for i in range(at, n) if ok[i]), None)) is not None:
+            want.append(at)
+            at += step
+        assert got == want
+
+
+def test_intervals_read_at_slots_equal_the_grid(spark):
+    from barlattice.operators import align
+
+    rnd = random.Random(8)
+    rows = [(s, D0 + dt.timedelta(days=i), float(i)) for s in "ABC" for i in range(400) if rnd.random() < .3 and (s != "C" or i > 200)]
+    panel = spark.createDataFrame(rows, "sym string, d date, c double")
+    master = align.master_timeline(panel)
+    assert [r["gi"] for r in master.orderBy("d").collect()] == list(range(master.count()))
+    for wanted in ([0, 5, 6, 7, 100], [], list(range(master.count()))):
+        slots = spark.createDataFrame([(g,) for g in wanted], "gi int")
+        got = sorted((r["gi"], r["sym"], r["c"], r["real_idx"]) for r in align.at_slots(align.align_intervals(panel, master), slots, master).collect())
+        grid = align.align_grid(panel, before_listing=False).filter(F.col("gi").isin(wanted)).collect()
+        assert got == sorted((r["gi"], r["sym"], r["px"], r["real_idx"]) for r in grid)
+
+
+def test_gate_flattens_and_reenters(spark):
+    """Cash between exit and re-entry, a full rebalance at re-entry and the clock from there."""
+    from barlattice.operators import overlays
+
+    gate = [0, 1, 1, 1, 1, 1, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1]
+    ev = overlays.gate_events(spark.createDataFrame([("M", i, i, g) for i, g in enumerate(gate)], "sym string, d int, gi int, gate int"), 3)
+    dec = overlays.gate_decisions(ev)
+    assert sorted((r["gi"], r["on"]) for r in dec.collect()) == [(0, False), (1, True), (4, True), (6, False), (7, False), (9, True), (12, True), (15, True)]
+    px = [100.0 * 1.01**i for i in range(16)]
+    grid = spark.createDataFrame([(i, "A", p) for i, p in enumerate(px)], "gi int, sym string, px double")
+    chosen = dec.select(F.lit("s").alias("spec_id"), "gi", F.lit("A").alias("sym"), F.lit(1.0).alias("w"))
+    w = xsection.gated_weights(dec.withColumn("spec_id", F.lit("s")), chosen)
+    free = {"buy": 0.0, "sell": 0.0, "borrow": 0.0}
+    eq = {r["gi"]: r["eq"] for r in returns.basket_returns(w, grid, free).collect()}
+    assert eq[7] == pytest.approx(1.01**5) and eq[8] == eq[9] == eq[10] == pytest.approx(1.01**5)  # sold at bar 7, bought at bar 10
+    assert eq[15] == pytest.approx(1.01**10)
+    trades = {(r["x"], r["kind"]) for r in returns.basket_trades(returns.basket_values(w, grid), w, free).collect()}
+    assert trades == {(2, "entry"), (7, "exit"), (10, "entry")}
+
+
 def test_optimiser_weights(t):
     from barlattice.plans.covariance import CAP, shrunk
 
@@ -401,15 +488,93 @@ def test_linear_fits(spark):
         assert log[k] == pytest.approx(w, abs=1e-8)
 
 
-def test_tree_models(spark):
+def _tree_rows(rnd, n, folds=(0, 1)):
+    out = []
+    for d in folds:
+        x = rnd.normal(size=(n, 3)).round(1 + d)  # ties in one fold
+        out += [(d, i, *[float(v) for v in r], float((r[0] > .2) - .5 * (r[1] <= 0) * (r[0] > 0) + .1 * e)) for i, (r, e) in enumerate(zip(x, rnd.normal(size=n)))]
+    return out
+
+
+def _cut(x, y, w, feats, least):
+    """The best split by trying every value: (gain, feature, threshold), first feature and value on ties."""
+    best, n = None, w.sum()
+    for f in feats:
+        for thr in np.unique(x[:, f])[:-1]:
+            low = x[:, f] <= thr
+            nl = w[low].sum()
+            if nl < least or n - nl < least:
+                continue
+            gain = (w * y)[low].sum() ** 2 / nl + (w * y)[~low].sum() ** 2 / (n - nl) - (w * y).sum() ** 2 / n
+            if gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                best = (gain, f, thr)
+    return best
+
+
+def test_boosting_equals_brute_force(spark):
+    """Folds with fewer values than bins: every value is a candidate, rounds on bins equal rounds on rows."""
+    rows = _tree_rows(np.random.default_rng(3), 60)
+    z = spark.createDataFrame(rows, "dec int, i int, z_a double, z_b double, z_c double, fwd double")
+    model = learning.fit_gbm(z, features=["a", "b", "c"], rounds=15, bins=64)
+    got = {(r["dec"], r["i"]): r["prediction"] for r in learning.predict_gbm(z, model, features=["a", "b", "c"]).collect()}
+    shares = {r["dec"]: r["importance"] for r in model.collect()}
+    for d in (0, 1):
+        mine = [r for r in rows if r[0] == d]
+        x, y = np.array([r[2:5] for r in mine]), np.array([r[5] for r in mine])
+        pred, gains = np.full(len(y), y.mean()), np.zeros(3)
+        for _ in range(15):
+            cut = _cut(x, y - pred, np.ones(len(y)), range(3), max(1, int(len(y) * .05)))
+            if cut is None:
+                break
+            gain, f, thr = cut
+            low = x[:, f] <= thr
+            pred = pred + .1 * np.where(low, (y - pred)[low].mean(), (y - pred)[~low].mean())
+            gains[f] += gain
+        assert [got[d, r[1]] for r in mine] == pytest.approx(pred.tolist(), abs=1e-9)
+        assert shares[d] == pytest.approx((gains / gains.sum()).tolist(), abs=1e-9)
+
+
+def test_forest_equals_brute_force(spark):
+    """Every tree grown in plain Python from the same draws and the same features per node."""
+    rows = _tree_rows(np.random.default_rng(4), 60)
+    names = ["a", "b", "c"]
+    z = spark.createDataFrame(rows, "dec int, i int, z_a double, z_b double, z_c double, fwd double")
+    model = learning.fit_forest(z, features=names, trees=5, depth=3, bins=64)
+    got = {(r["dec"], r["i"]): r["prediction"] for r in learning.predict_forest(z, model, features=names).collect()}
+    draws = z.select("dec", "i", F.posexplode(F.array(*[learning._draws(F.xxhash64(F.xxhash64("z_a", "z_b", "z_c", "fwd"), F.lit(t))) for t in range(5)])).alias("tree", "k")).collect()
+    weight = {(r["dec"], r["i"], r["tree"]): r["k"] for r in draws}
+    assert np.mean(list(weight.values())) == pytest.approx(1, abs=.15)
+    choice = learning._choice(5, 3, 3, 7)
+    for d in (0, 1):
+        mine = [r for r in rows if r[0] == d]
+        x, y = np.array([r[2:5] for r in mine]), np.array([r[5] for r in mine])
+        total = np.zeros(len(y))
+        for t in range(5):
+            w = np.array([weight[d, r[1], t] for r in mine], float)
+
+            def grow(on, node, t=t, w=w):
+                cut = _cut(x[on], y[on], w[on], choice[t][node], max(2, int(len(y) * .05))) if node < 8 and w[on].sum() > 0 else None
+                if cut is None:
+                    return {tuple(on.tolist()): (w[on] * y[on]).sum() / w[on].sum()}
+                low = x[on][:, cut[1]] <= cut[2]
+                return grow(on[low], 2 * node) | grow(on[~low], 2 * node + 1)
+
+            for on, value in grow(np.arange(len(y)), 1).items():
+                total[list(on)] += value
+        assert [got[d, r[1]] for r in mine] == pytest.approx((total / 5).tolist(), abs=1e-9)
+    assert sum(model.first()["importance"]) == pytest.approx(1)
+
+
+def test_trees_learn(spark):
     rnd = np.random.default_rng(3)
-    rows = [(0, *[float(v) for v in r], float(r[0] > 0)) for r in rnd.normal(size=(400, 2))]
+    rows = [(0, *[float(v) for v in r], float(r[0] > 0)) for r in rnd.normal(size=(2000, 2))]
     z = spark.createDataFrame(rows, "dec int, z_a double, z_b double, fwd double")
-    for fit in (learning.fit_gbm, learning.fit_forest):
-        m1, m2 = fit(z, features=["a", "b"]), fit(z, features=["a", "b"])
-        imp = m1.featureImportances.toArray()
-        assert imp.sum() == pytest.approx(1) and imp[0] > .8
-        assert list(imp) == list(m2.featureImportances.toArray())
+    for fit, predict in learning.TREES.values():
+        model = fit(z, features=["a", "b"])
+        imp = learning.feature_importance(model, features=["a", "b"]).collect()
+        assert {r["feature"]: r["importance"] for r in imp}["a"] > .8
+        err = predict(z, model, features=["a", "b"]).agg(F.avg(F.pow(F.col("prediction") - F.col("fwd"), 2))).first()[0]
+        assert err < .05
 
 
 def test_pieces_stay_small_as_rows_grow(spark):
