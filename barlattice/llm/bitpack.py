@@ -102,7 +102,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
     Manifest: part, number (a file's place is the order of the two), uri, n_docs, n_ids, start (ids in all earlier files).
     It is fixed by a checkpoint and names exactly one attempt's files, so tasks that ran twice leave files nobody reads.
     Null text counts as empty; a null doc_id can't be stored and its row stands under the smallest id, -2**63, before all others;
-    repeated ids stand side by side, their order given by the text.  An empty table gives an empty manifest.
+    repeated ids stand side by side, their order given by the text.  Long texts are encoded whole, other columns are not read.  An empty table
+    gives an empty manifest.
     """
     width, end = width_of(vocabulary), end_id.to_bytes(4, "little")
     shared_dir(docs.sparkSession)
@@ -148,7 +149,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
 
 
 def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """One row per document read back from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (binary, unsigned 32 bit)."""
+    """One row per document read back from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (binary, unsigned 32 bit).
+
+    Repeated ids come back as many times as they were written, a document of any length whole; an empty manifest gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,7 +37,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str = "doc_i
     """One row per row of ``docs``: doc_id, n_words, n_hit (words inside an occurring window), n_items, items_sha256, contaminated.
 
     Documents or items without words, null ones among them, match nothing.  Items with a null id count their words as hit but are no listed item.
-    Rows of equal id are judged one by one, other columns are not read, no documents give no rows and no items no hits.  Benchmarks of up to
+    Long texts are taken whole; rows of equal id are judged one by one, other columns are not read, no documents give no rows and no items no hits.  Benchmarks of up to
     ``max_broadcast_windows`` windows (some 50 MB of words) are broadcast, larger ones are joined by shuffles.
     """
     windows = item_windows(items, size, item_id, item_text)

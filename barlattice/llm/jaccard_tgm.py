@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """``doc_id, n_shingles, component_id`` of every row: the set's size and the smallest doc_id reachable by links.
 
     Words are runs of anything but white space, A-Z lower-cased.  Null and empty texts and texts of white space have an empty set, link with nothing and
-    name themselves.  Rows of equal sets link.  Rows of equal id count as one document in links, but each keeps its own size.  A null id never names a
+    name themselves.  Long texts are taken whole.  Rows of equal sets link.  Rows of equal id count as one document in links, but each keeps its own size.  A null id never names a
     component: such a row gets its component's smallest id, or null if there is none.  Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -113,7 +113,7 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, ful
 def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast_rows: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, is_license (the whole document is a known text), n_lines (matching lines), license_ids (distinct, sorted, comma-joined).
 
-    Null, empty and copyright-only texts match nothing and give ``false, 0, ''``.  Repeated rows and ids are judged one by one; other columns are not
+    Null, empty and copyright-only texts match nothing and give ``false, 0, ''``.  Long texts are taken whole, repeated rows and ids are judged one by one; other columns are not
     read; no documents give no rows and no known texts no matches.
     """
     facts = known.agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")).first()  # one row

@@ -246,7 +246,8 @@ def replace(text: str, names: Pseudonyms) -> tuple[str, dict[str, int]]:
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", counts: str = "pii") -> DataFrame:
     """Every row with its whole text pseudonymised, and ``counts``: replaced values per kind (a map, empty where none).
 
-    Null and empty texts stay as they are; other columns are kept, an existing ``counts`` column is replaced; repeated rows give equal results.
+    Null and empty texts stay as they are and long ones are worked on whole; other columns are kept, an existing ``counts`` column is replaced (``_pii`` is
+    this function's own name); repeated rows give equal results, an empty table stays empty.
     """
     docs = docs.drop(counts)
 

@@ -187,7 +187,7 @@ def fit(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", stated: str | None = "n_chars", out: str = "score") -> DataFrame:
-    """Adds the score of every row's whole text; null counts as empty, no other column is an input, an existing ``out`` is replaced."""
+    """Adds the score of every row's whole text, however long; null counts as empty, an existing ``out`` is replaced, other columns are kept, an empty table stays empty."""
     docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x factors, whatever the data
 

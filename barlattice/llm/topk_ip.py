@@ -105,7 +105,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embe
 
     Components become ``floor(256 * x)`` as doubles.  ``is_query`` is a condition on the id column.  Ties go to the smaller id; fewer than k
     candidates give fewer rows.  Vectors that are null or hold null or non-finite components, and rows without an id, take no part; vectors of fewer
-    components count as filled up with zeros; an empty table gives no rows.  Rows of equal id are separate candidates, but none of them is a
+    components count as filled up with zeros; other columns are not read; an empty table gives no rows.  Rows of equal id are separate candidates, but none of them is a
     candidate of its own id, and as a query the least of their vectors stands for all.  Scores are exact while products stay below 2**53.
 
     Queries travel in broadcasts of at most ``query_block`` vectors, one pass over the candidates each.

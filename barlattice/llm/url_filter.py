@@ -115,7 +115,7 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
 
     The longest fitting rule decides (by host and path together; of equally long ones the longer host); without one the
     verdict is ``default``, what a list lookup says of a key it doesn't hold.  Null and malformed URLs have no host, fit no rule and
-    get ``default``.  Existing columns of these names are replaced, repeated rows are judged alike, an empty table stays empty.
+    get ``default``.  Existing columns of these names are replaced, other columns are kept, repeated rows are judged alike, long URLs whole, an empty table stays empty.
 
     A list whose image is larger than ``max_image_bytes`` is cut into several arrays, each searched in turn over the same map-only pass.
     """

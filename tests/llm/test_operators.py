@@ -160,6 +160,29 @@ def test_toxicity(spark, odd, none):
     assert toxicity.fit(docs, quality_fm.labelled_sample(labels, "toxic", ~held, 1000).limit(0)).bias == 0.0
 
 
+def test_ratios_and_scores_equal_plain_counts(spark):
+    """Which n-grams enter by counting in Python; scores as sums over a text's distinct n-grams."""
+    r = random.Random(9)
+    data = [(i, " ".join([*prose(r.randrange(3, 40), r).split(), *(["zugh", "brakk"] if i % 3 == 0 else ["ludo"])]), int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(x[0], x[2]) for x in data], "doc_id long, toxic int")
+    model = toxicity.fit(docs, quality_fm.labelled_sample(labels, "toxic", F.lit(True), 1000), features=40)
+    held = {i: set(np.concatenate([h for h, _ in toxicity.grams([t])]).tolist()) for i, t, _ in data}
+    counts = {}
+    for i, _, y in data:
+        for g in held[i]:
+            counts.setdefault(g, [0, 0])[y] += 1
+    key = {g: (np.log((p + 1) / 31) - np.log((q + 1) / 61)) * np.sqrt(p + q) for g, (q, p) in counts.items() if p + q >= 4}
+    signed = lambda g: int(np.array(g, np.uint64).view(np.int64))
+    want = set(sorted((g for g in key if key[g] > 0), key=lambda g: (-key[g], signed(g)))[:40])
+    kept, edge = set(model.grams.tolist()), min(key[g] for g in want)
+    assert len(kept) == 40 and all(abs(key[g] - edge) < 1e-9 for g in kept ^ want)
+    weight = dict(zip(model.grams.tolist(), model.weight.tolist(), strict=True))
+    for row in toxicity.score(docs, model).collect():
+        z = model.bias + sum(weight[g] for g in held[row["doc_id"]] & kept)
+        assert row["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
 def test_toxicity_of_a_capped_sample(spark):
     """A bound that cuts one class only leaves scores on the scale of all labels."""
     docs, labels = _one_text(spark, "toxic")
