@@ -47,13 +47,13 @@ def sma(w, n):
 
 
 def ema(w, n, x=C):
-    """Finite exponential average: seeded by the oldest of the last n values, rolled to the newest."""
-    f = last_rows(w, n)
+    """Finite exponential average: seeded by the oldest of the last n values, rolled to the newest; plain arithmetic over the last n values."""
     k = 2e0 / (n + 1)
-    vals = F.collect_list(x).over(f)
-    roll = F.aggregate(F.slice(vals, 2, n - 1) if n > 1 else F.slice(vals, 2, 0), F.get(vals, F.lit(0)),
-                       lambda a, v: v * k + a * (1 - k))
-    return F.when(F.count(x).over(f) == n, roll)
+    back = lambda j: F.lag(x, j).over(w) if j else F.col(x)
+    roll = back(n - 1)
+    for j in range(n - 2, -1, -1):
+        roll = back(j) * k + roll * (1 - k)
+    return F.when(F.count(x).over(last_rows(w, n)) == n, roll)
 
 
 def rsi(w, n=14):

@@ -110,7 +110,7 @@ def asof(left: DataFrame, right: DataFrame, *, by: list[str], ts: str, values: l
     return x.filter("_side = 1").select(*[F.col(f"_l.{c}").alias(c) for c in cols], *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
-def asof_close(keys: DataFrame, series: DataFrame, *, key="sym", ts="d", px="c", split=False) -> DataFrame:
+def asof_close(keys: DataFrame, series: DataFrame, *, key="sym", ts="d", px="c", split=True) -> DataFrame:
     """Close at or before each key's time; null before the start or when not positive."""
     x = asof(keys, series, by=[key], ts=ts, values=[px], split=split)
     return x.withColumn(px, F.when(F.col(px) > 0, F.col(px)))

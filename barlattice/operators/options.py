@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barlattice.functions.indicators import with_indicators
 from barlattice.functions.options_math import GREEKS, RATE, implied_vol, intrinsic, with_option
+from barlattice.operators.metrics import curve_metrics
 from barlattice.operators.returns import cost_model, option_fill_price
 
 # fixed values: named structures as (name, legs); leg = (type, side, steps from the money, lots, days after the near expiry)
@@ -290,10 +291,11 @@ def option_cycles(bars: DataFrame, strike_step: float, *, key="sym", ts="d") ->
 
 def option_cycle_marks(bars: DataFrame, strike_step: float, *, premium: list[float] = [1.2e0], lot_size: int = 75, key="sym", ts="d",
                        rate: float = RATE) -> DataFrame:
-    """P&L of every cycle at every bar it lives: (sym, structure, premium, cycle, i, pnl, settled).
+    """P&L of every cycle at every bar it lives: (sym, structure, premium, cycle, i, pnl, settled, fees, close_cost).
 
     Legs are sold or bought at model price with half spread and charges, marked to model (floor 0.05) and settled at
-    intrinsic value on the expiry bar.  A cycle's bars are generated from its index and joined by equality.
+    intrinsic value on the expiry bar.  A cycle's bars are generated from its index and joined by equality.  ``fees``: brokerage and settlement tax up to
+    the bar; ``close_cost``: on the series' last bar, what closing a cycle that is still open costs: spread, charges and brokerage.
     """
     w = Window.partitionBy(key).orderBy(ts)
     marks = with_indicators(bars.select(key, ts, "c"), {"_rv": ("realized_vol", 20)}, key=key, ts=ts) \
@@ -317,13 +319,32 @@ def option_cycle_marks(bars: DataFrame, strike_step: float, *, premium: list[flo
     stt = F.when(settled & (F.col("leg.side") == "BUY"), SETTLE_STT * intrinsic(typ, F.col("bc"), k) * units).otherwise(0e0)
     sign = F.when(F.col("leg.side") == "BUY", 1e0).otherwise(-1e0)
     pnl = sign * (mark - paid) * units - BROKERAGE - stt
-    return x.groupBy(key, "structure", "premium", "cycle", "b").agg(F.sum(pnl).alias("pnl"), F.bool_or(settled).alias("settled"))
-
-
-def vol_premium_grid(marks: DataFrame, *, key="sym") -> DataFrame:
-    """Total P&L per series, structure and premium: the last mark of every cycle added up."""
-    last = marks.groupBy(key, "structure", "premium", "cycle").agg(F.max_by("pnl", "b").alias("p"))
-    return last.groupBy(key, "structure", "premium").agg(F.sum("p").alias("total_pnl"), F.count("*").alias("cycles"))
+    back = option_fill_price(F.when(F.col("leg.side") == "BUY", "SELL").otherwise("BUY"), mark, cost_model("index_option"))
+    closing = ~settled & (F.col("b") == F.col("n") - 1)
+    return x.groupBy(key, "structure", "premium", "cycle", "b").agg(
+        F.sum(pnl).alias("pnl"), F.bool_or(settled).alias("settled"), F.sum(BROKERAGE + stt + F.when(closing, BROKERAGE).otherwise(0e0)).alias("fees"),
+        F.sum(F.when(closing, sign * (mark - back) * units + BROKERAGE).otherwise(0e0)).alias("close_cost"))
+
+
+def cycle_curve(marks: DataFrame, bars: DataFrame, cash: float = 1e6, *, key="sym", ts="d") -> DataFrame:
+    """Equity of every series, structure and premium at every bar: cash, closed cycles and the open one at its mark; the last bar pays its closing."""
+    spec = [key, "structure", "premium"]
+    net = F.col("pnl") - F.col("close_cost")
+    step = net - F.coalesce(F.lag(net).over(Window.partitionBy(*spec, "cycle").orderBy("b")), F.lit(0e0))
+    steps = marks.withColumn("_s", step).groupBy(*spec, "b").agg(F.sum("_s").alias("_s"))
+    line = bars.select(key, ts, (F.row_number().over(Window.partitionBy(key).orderBy(ts)) - 1).alias("b"))
+    x = marks.select(*spec).distinct().join(line, key).join(steps, [*spec, "b"], "left")
+    run = Window.partitionBy(*spec).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    return x.select(*spec, ts, (cash + F.sum(F.coalesce("_s", F.lit(0e0))).over(run)).alias("eq"))
+
+
+def vol_premium_grid(marks: DataFrame, bars: DataFrame, cash: float = 1e6, *, key="sym", ts="d") -> DataFrame:
+    """Per series, structure and premium: total P&L after closing what is open at the end, cycles, fees, and return, CAGR, Sharpe and drawdown of the curve."""
+    spec = [key, "structure", "premium"]
+    last = marks.groupBy(*spec, "cycle").agg(F.max_by(F.struct((F.col("pnl") - F.col("close_cost")).alias("p"), "fees"), "b").alias("z"))
+    total = last.groupBy(*spec).agg(F.sum("z.p").alias("total_pnl"), F.count("*").alias("cycles"), F.sum("z.fees").alias("fees"))
+    curve = cycle_curve(marks, bars, cash, key=key, ts=ts)
+    return total.join(curve_metrics(curve, by=tuple(spec), ts=ts, names=["total_return_pct", "cagr_pct", "sharpe", "max_drawdown_pct"]), spec)
 
 
 def remark_positions(pos: DataFrame, rate: float = RATE) -> DataFrame:

@@ -23,11 +23,12 @@ def leaderboard(curve: DataFrame, position: DataFrame | None = None, *, by="spec
 
 
 def ordered(board: DataFrame, order: list[Column], out="rk") -> DataFrame:
-    """Numbers a board (one row per spec).
-
-    A total order needs one task at the end; boards hold one summary row per spec, not curves.
-    """
-    return board.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    """Numbers a board by a total order: range partitions in that order, numbers inside each, and one count per partition in front."""
+    cut = pin(board).repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(F.lit(0)).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    counts = cut.groupBy(CHUNK).agg(F.count("*").alias("_n")).select(CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    x = cut.withColumn(out, F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order))).join(counts, CHUNK)
+    return x.select(*board.columns, (F.col(out) + F.col("_o")).cast("int").alias(out))
 
 
 def sort_nulls_last(board: DataFrame, column: str, descending: bool = True, *, name="spec_id") -> DataFrame:
@@ -96,14 +97,37 @@ def champion_walk_forward(curves: DataFrame, bench: DataFrame, *, by="spec_id",
 
 
 def follow_timeline(track: DataFrame, *, ts="d") -> DataFrame:
-    """Collapsed picks, with the number of distinct picks and of re-picks."""
-    w = Window.partitionBy(F.lit(0)).orderBy(ts)
+    """Collapsed picks, with the number of distinct picks and of re-picks; the pick before is the one followed on the bar of the new one."""
     picks = track.filter("pick is not null")
     distinct, count = picks.agg(F.countDistinct("pick")).scalar(), picks.agg(F.count("*")).scalar()
-    x = picks.withColumn("_p", F.lag("pick").over(w)).filter(F.col("_p").isNull() | (F.col("_p") != F.col("pick")))
+    x = picks.filter(F.col("followed").isNull() | (F.col("followed") != F.col("pick")))
     return x.select(ts, "pick", distinct.alias("followed_count"), count.alias("switches"))
 
 
+def benchmark_series(curves: DataFrame, bench: DataFrame, *, by="spec_id", ts="d", eq="eq", px="c") -> DataFrame:
+    """The benchmark beside every curve, rebased to the curve's first value: (by, ts, eq, bench_eq).
+
+    A date on which the benchmark has no price carries its last one; before its first price there is nothing to rebase and the curve's start stands.
+    """
+    cols = [by, ts, eq]
+    x = asof(curves.select(*cols, F.lit(0).alias("_k")), bench.filter(F.col(px) > 0).select(F.lit(0).alias("_k"), ts, F.col(px).alias("_p")), by=["_k"], ts=ts, values=["_p"], split=True)
+    first = x.groupBy(by).agg(F.min_by(eq, ts).alias("_e0"), F.min_by("_p", ts).alias("_p0"))
+    return x.join(first, by).select(*cols, F.coalesce(F.col("_e0") * F.col("_p") / F.col("_p0"), F.col("_e0")).alias("bench_eq"))
+
+
+def common_window(curves: DataFrame, other: DataFrame, *, by="spec_id", ts="d", eq="eq", px="c", min_days=365) -> DataFrame:
+    """Every curve against a second benchmark over the window that both have: (by, started, return_pct, other_pct, edge_pct).
+
+    The window starts at the curve's first bar on which the second benchmark has a price and ends at the curve's last; shorter than ``min_days`` says
+    nothing and is left out.
+    """
+    x = asof(curves.select(by, ts, eq, F.lit(0).alias("_k")), other.filter(F.col(px) > 0).select(F.lit(0).alias("_k"), ts, F.col(px).alias("_p")), by=["_k"], ts=ts, values=["_p"], split=True)
+    both = x.filter(F.col("_p").isNotNull() & (F.col(eq) > 0))
+    g = both.groupBy(by).agg(F.min(ts).alias("started"), F.max(ts).alias("_t1"), *[f(c, ts).alias(n) for c, f, n in ((eq, F.min_by, "_e0"), (eq, F.max_by, "_e1"), ("_p", F.min_by, "_p0"), ("_p", F.max_by, "_p1"))])
+    own, its = F.round((F.col("_e1") / F.col("_e0") - 1) * 1e2, 2), F.round((F.col("_p1") / F.col("_p0") - 1) * 1e2, 2)
+    return g.filter(F.date_diff("_t1", "started") >= min_days).select(by, "started", own.alias("return_pct"), its.alias("other_pct"), F.round(own - its, 2).alias("edge_pct"))
+
+
 def benchmark_rebased(curves: DataFrame, bench: DataFrame, *, by="spec_id", ts="d", eq="eq", px="c", min_days=365) -> DataFrame:
     """Per curve: own and benchmark return from its first bar, and the edge; the edge needs a year in common."""
     c = curves.groupBy(by).agg(F.min(ts).alias("t0"), F.max(ts).alias("t1"), F.min_by(eq, ts).alias("e0"), F.max_by(eq, ts).alias("e1"))

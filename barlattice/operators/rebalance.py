@@ -113,57 +113,66 @@ def advice_targets(legs: DataFrame, verdict: DataFrame, *, by="acct") -> DataFra
 
 # ---- forward log -----------------------------------------------------------------------------------------------------
 
+def _log_window(by):
+    """One log's rows, one per log date; a single log is one group."""
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+
+
 def effective_book(entries: DataFrame, *, by=(), ts="d") -> DataFrame:
-    """Entries numbered ``eno`` with ``eff``, the date of the last eligible entry up to them (null before the first).
+    """Entries of every log (``by``) numbered ``eno`` with ``eff``, the date of the last eligible entry up to them (null before the first).
 
     One row per log date; the book itself is joined on ``eff`` by the callers.
     """
-    w = Window.partitionBy(*by, F.lit(0)).orderBy(ts)
+    w = _log_window(by).orderBy(ts)
     eff = F.last(F.when(F.col("eligible"), F.col(ts)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return entries.select(*by, ts, "eligible", (F.row_number().over(w) - 1).alias("eno"), eff.alias("eff"))
 
 
-def effective_targets(eff: DataFrame, targets: DataFrame, *, ts="d", key="sym") -> DataFrame:
-    t = targets.select(F.col(ts).alias("eff"), key, "weight")
-    return eff.join(t, "eff").select("eno", ts, key, "weight")
+def effective_targets(eff: DataFrame, targets: DataFrame, *, by=(), ts="d", key="sym") -> DataFrame:
+    t = targets.select(*by, F.col(ts).alias("eff"), key, "weight")
+    return eff.join(t, [*by, "eff"]).select(*by, "eno", ts, key, "weight")
 
 
-def switch_cost(books: DataFrame, buy_rate: float, sell_rate: float, *, key="sym") -> DataFrame:
+def switch_cost(books: DataFrame, buy_rate: float, sell_rate: float, *, by=(), key="sym") -> DataFrame:
     """Cost of moving into entry ``eno`` from the entry before it (from cash for the first)."""
-    new = books.select("eno", key, F.col("weight").alias("w1"))
-    last = books.agg(F.max("eno")).scalar()
-    old = books.select((F.col("eno") + 1).alias("eno"), key, F.col("weight").alias("w0")).filter(F.col("eno") <= last)
-    x = new.join(old, ["eno", key], "full").fillna(0e0, ["w0", "w1"])
+    new = books.select(*by, "eno", key, F.col("weight").alias("w1"))
+    old = books.select(*by, (F.col("eno") + 1).alias("eno"), key, F.col("weight").alias("w0"))
+    if by:
+        old = old.join(books.groupBy(*by).agg(F.max("eno").alias("_last")), list(by))
+    else:
+        old = old.withColumn("_last", books.agg(F.max("eno")).scalar())
+    x = new.join(old.filter("eno <= _last").drop("_last"), [*by, "eno", key], "full").fillna(0e0, ["w0", "w1"])
     d = F.col("w1") - F.col("w0")
-    return x.groupBy("eno").agg(F.sum(F.when(d > 0, d * buy_rate).otherwise(-d * sell_rate)).alias("cost"))
+    return x.groupBy(*by, "eno").agg(F.sum(F.when(d > 0, d * buy_rate).otherwise(-d * sell_rate)).alias("cost"))
 
 
 def score_log(entries: DataFrame, targets: DataFrame, panel: DataFrame, market: DataFrame, buy_rate: float, sell_rate: float,
-              *, ts="d", key="sym") -> DataFrame:
-    """Forward track of the log net of switching costs, against the market and the equal-weight universe.
+              *, by=(), ts="d", key="sym") -> DataFrame:
+    """Forward track of every log (``by``) net of switching costs, against the market and the equal-weight universe.
 
     Entry i's book earns the close-to-close return to entry i+1; a name without both closes counts as cash.
     """
-    eff = pin(effective_book(entries, ts=ts))
-    books = pin(effective_targets(eff, targets, ts=ts, key=key))
-    # prices as intervals, read at the log's dates only
+    on = [*by, "eno"]
+    eff = pin(effective_book(entries, by=by, ts=ts))
+    books = pin(effective_targets(eff, targets, by=by, ts=ts, key=key))
+    # prices as intervals, read at the logs' dates only
     both = panel.select(key, ts, "c").unionByName(market.select(key, ts, "c"))
     master = pin(master_timeline(both, entries, ts=ts))
-    slots = eff.select(ts, "eno").join(master, ts).select("gi", "eno")
-    at = at_slots(align_intervals(both, master, key=key, ts=ts), slots, master).join(slots, "gi").select("eno", key, F.when(F.col("c") > 0, F.col("c")).alias("c"))
-    w = Window.partitionBy(key).orderBy("eno")
-    rel = pin(at.select((F.col("eno") + 1).alias("eno"), key, (F.lead("c").over(w) / F.col("c") - 1).alias("g")).filter("g is not null"))
+    slots = eff.select(*by, ts, "eno").join(master, ts).select(*by, "gi", "eno")
+    at = at_slots(align_intervals(both, master, key=key, ts=ts), slots, master).join(slots, "gi").select(*by, "eno", key, F.when(F.col("c") > 0, F.col("c")).alias("c"))
+    w = Window.partitionBy(*by, key).orderBy("eno")
+    rel = pin(at.select(*by, (F.col("eno") + 1).alias("eno"), key, (F.lead("c").over(w) / F.col("c") - 1).alias("g")).filter("g is not null"))
     mk = market.select(key).distinct()
-    held = books.select((F.col("eno") + 1).alias("eno"), key, "weight").join(rel, ["eno", key])
-    port = held.groupBy("eno").agg(F.sum(F.col("weight") * F.col("g")).alias("r"))
-    uni = rel.join(mk, key, "left_anti").groupBy("eno").agg(F.avg("g").alias("u"))
-    idx = rel.join(mk, key, "left_semi").groupBy("eno").agg(F.max("g").alias("n"))
-    cost = switch_cost(books, buy_rate, sell_rate, key=key)
-    x = eff.select("eno", ts).join(port, "eno", "left").join(uni, "eno", "left").join(idx, "eno", "left").join(cost, "eno", "left") \
+    held = books.select(*by, (F.col("eno") + 1).alias("eno"), key, "weight").join(rel, [*on, key])
+    port = held.groupBy(*on).agg(F.sum(F.col("weight") * F.col("g")).alias("r"))
+    uni = rel.join(mk, key, "left_anti").groupBy(*on).agg(F.avg("g").alias("u"))
+    idx = rel.join(mk, key, "left_semi").groupBy(*on).agg(F.max("g").alias("n"))
+    cost = switch_cost(books, buy_rate, sell_rate, by=by, key=key)
+    x = eff.select(*by, "eno", ts).join(port, on, "left").join(uni, on, "left").join(idx, on, "left").join(cost, on, "left") \
         .fillna(0e0, ["r", "u", "n", "cost"])
-    run = Window.partitionBy(F.lit(0)).orderBy("eno").rowsBetween(Window.unboundedPreceding, 0)  # one row per log date
+    run = _log_window(by).orderBy("eno").rowsBetween(Window.unboundedPreceding, 0)
     grow = lambda e: F.exp(F.sum(F.ln(e)).over(run))
-    y = x.select("eno", ts, grow((1 + F.col("r")) * (1 - F.col("cost"))).alias("adv"), grow(1 + F.col("n")).alias("market"),
+    y = x.select(*by, "eno", ts, grow((1 + F.col("r")) * (1 - F.col("cost"))).alias("adv"), grow(1 + F.col("n")).alias("market"),
                  grow(1 + F.col("u")).alias("universe"), F.sum("cost").over(run).alias("cost_paid"))
     peak = F.greatest(F.max(F.when(F.col("eno") > 0, F.col("adv"))).over(run), F.lit(1e0))
     return y.withColumn("drawdown", F.when(F.col("eno") > 0, 1 - F.col("adv") / peak).otherwise(0e0))

@@ -91,6 +91,25 @@ def benchmark_rebased(t):
     return x.select("spec_id", *[rr(c, 4).alias(c) for c in ("return_pct", "bench_pct", "edge_pct")])
 
 
+@query("benchmark_series", "curves market_daily", """x as (select c.*, b.c p from curves c asof left join (select * from market_daily where day(d) % 5 <> 0) b on c.d >= b.d),
+  f as (select spec_id, min_by(eq, d) e0, first(p order by d) p0 from x group by spec_id)
+  select spec_id, d, eq, round(coalesce(e0*p/p0, e0), 6) + 0e0 bench_eq from x join f using (spec_id)""")
+def benchmark_series(t):
+    """The benchmark lacks every fifth day of the month: gaps are carried."""
+    x = G.benchmark_series(t.curves, t.market_daily.filter(F.dayofmonth("d") % 5 != 0))
+    return x.select("spec_id", "d", "eq", rr("bench_eq", 6).alias("bench_eq"))
+
+
+@query("common_window", "curves market_daily", """o as (select * from market_daily where d >= date '1996-06-01'), x as (select c.*, b.c p from curves c asof join o b on c.d >= b.d where eq > 0),
+  g as (select spec_id, min(d) started, max(d) t1, min_by(eq, d) e0, max_by(eq, d) e1, min_by(p, d) p0, max_by(p, d) p1 from x group by spec_id)
+  select spec_id, started, round((e1/e0 - 1)*1e2, 2) + 0e0 return_pct, round((p1/p0 - 1)*1e2, 2) + 0e0 other_pct, round(round((e1/e0 - 1)*1e2, 2) - round((p1/p0 - 1)*1e2, 2), 2) + 0e0 edge_pct
+  from g where date_diff('day', started, t1) >= 365""")
+def common_window(t):
+    """A second benchmark that starts years after the curves."""
+    x = G.common_window(t.curves, t.market_daily.filter("d >= date '1996-06-01'"))
+    return x.select("spec_id", "started", *[(F.col(c) + F.lit(0e0)).alias(c) for c in ("return_pct", "other_pct", "edge_pct")])
+
+
 @query("track_live_split", "fills", "select acct, ikey, d, ok, ln, pk, qty, side, price, d > date '1999-06-30' live from fills")
 def track_live_split(t):
     return G.track_live_split(t.fills, "1999-06-30")

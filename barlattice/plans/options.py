@@ -10,6 +10,7 @@ from barlattice.operators.align import asof
 from barlattice.operators.returns import cost_model
 from barlattice.plans.indicators import STAGE, W, fr
 from barlattice.plans.registry import ORACLES, query, rr
+from barlattice.session import pin
 
 R = "6.5e-2"
 
@@ -175,6 +176,29 @@ def breakevens(t):
     return x.select("id", "structure", F.explode("breakevens").alias("breakeven"))
 
 
+# long call and short put of one strike and premium, and a straddle bought for nothing: zero exactly at the strike, with and without a change of sign
+KINKS = f"""lg as (select id, spot, s.structure, s.opt_type, s.sg, (floor(spot/step + 5e-1) + 1)*step strike, s.premium, 1e0 lots
+     from spots, (values ('synthetic', 'CE', 1e0, 7e0), ('synthetic', 'PE', -1e0, 7e0), ('free', 'CE', 1e0, 0e0), ('free', 'PE', 1e0, 0e0)) s(structure, opt_type, sg, premium)),
+  fr as (select id, structure, any_value(spot) spot, greatest(any_value(spot), max(strike))*3 + 1e1 far from lg group by 1, 2),
+  bp as (select distinct id, structure, s from (select id, structure, 0e0 s from fr union all select id, structure, spot from fr union all select id, structure, far from fr union all select id, structure, strike from lg) q),
+  nb as (select *, lag(s) over k p, lead(s) over k n from bp window k as (partition by id, structure order by s)),
+  bv as (select b.id, b.structure, b.s, b.p, b.n, sum(sg*({VALB} - premium)*lots) v, sum(sg*({VALB.replace("b.s", "((b.p + b.s)/2)")} - premium)*lots) l, sum(sg*({VALB.replace("b.s", "((b.s + b.n)/2)")} - premium)*lots) r
+         from nb b join lg using (id, structure) group by all),
+  sq as (select *, lead(v) over k v2 from bv window k as (partition by id, structure order by s)),
+  be as (select distinct id, structure, floor(x*1e2 + 5e-1)/1e2 breakeven from (select id, structure, s + (n - s)*(-v)/(v2 - v) x from sq where v*v2 < 0
+         union all select id, structure, s from sq where p is not null and n is not null and abs(v) <= 1e-9 and ((l > 1e-9 and r < -1e-9) or (l < -1e-9 and r > 1e-9))) q)"""
+
+
+@query("breakevens_kinks", "spots", f"{KINKS} select * from be")
+def breakevens_kinks(t):
+    """Zeros exactly at a strike count where the sign changes, and only there."""
+    k = (F.floor(F.col("spot") / F.col("step") + 5e-1) + 1) * F.col("step")
+    leg = lambda typ, side, p: F.struct(F.lit(typ).alias("opt_type"), F.lit(side).alias("side"), k.alias("strike"), F.lit(p).alias("premium"), F.lit(1e0).alias("units"))
+    both = {"synthetic": [("CE", "BUY", 7e0), ("PE", "SELL", 7e0)], "free": [("CE", "BUY", 0e0), ("PE", "BUY", 0e0)]}
+    x = t.spots.select("id", "spot", F.inline(F.array(*[F.struct(F.lit(n).alias("structure"), F.array(*[leg(*g) for g in legs]).alias("legs")) for n, legs in both.items()])))
+    return O.breakevens(x).select("id", "structure", F.explode("breakevens").alias("breakeven"))
+
+
 HZ = bs("opt_type", "s", "strike", "lf", "v")
 
 
@@ -278,8 +302,10 @@ def marks_sql(premiums):
          greatest(xt - et, 1e0)/3.65e2 tt0, greatest(xt - cb.t, 0e0)/3.65e2 tt1 from cy, pm, cb where cb.sym = cy.sym and cb.i between cy.i and least(cy.i + 21, cy.n - 1)),
   bm as (select *, {bs('opt_type', 'c', 'strike', 'tt0', 'v0')} em, greatest({bs('opt_type', 'bc', 'strike', 'tt1', 'v1')}, 5e-2) mk from bx),
   bf as (select *, case when side = 'BUY' then (em + {half})*(1 + {OPT['buy']!r}e0) else greatest((em - {half})*(1 - {OPT['sell']!r}e0), 1e-2) end paid from bm),
-  marks as (select sym, structure, premium, cycle, b, sum(case when side = 'BUY' then 1e0 else -1e0 end*(mk - paid)*lots*75 - 2e1
-       - case when bt >= xt and side = 'BUY' then 1.25e-3*{intr('opt_type', 'bc', 'strike')}*lots*75 else 0e0 end) pnl, bool_or(bt >= xt) settled from bf group by 1, 2, 3, 4, 5)"""
+  bk as (select *, case when bt >= xt and side = 'BUY' then 1.25e-3*{intr('opt_type', 'bc', 'strike')}*lots*75 else 0e0 end stt, bt < xt and b = n - 1 closing,
+     case when side = 'SELL' then (mk + greatest(mk*5e-3, 5e-2))*(1 + {OPT['buy']!r}e0) else greatest((mk - greatest(mk*5e-3, 5e-2))*(1 - {OPT['sell']!r}e0), 1e-2) end bck from bf),
+  marks as (select sym, structure, premium, cycle, b, sum(case when side = 'BUY' then 1e0 else -1e0 end*(mk - paid)*lots*75 - 2e1 - stt) pnl, bool_or(bt >= xt) settled,
+     sum(2e1 + stt + case when closing then 2e1 else 0e0 end) fees, sum(case when closing then case when side = 'BUY' then mk - bck else bck - mk end*lots*75 + 2e1 else 0e0 end) cc from bk group by 1, 2, 3, 4, 5)"""
 
 
 @query("option_cycle_marks", "candles_daily", f"{marks_sql([1.2])} select sym, structure, cycle, b, round(pnl, 4) + 0e0 pnl, settled from marks")
@@ -288,11 +314,25 @@ def option_cycle_marks(t):
     return x.select("sym", "structure", "cycle", "b", rr("pnl", 4).alias("pnl"), "settled")
 
 
-@query("vol_premium_grid", "candles_daily", f"""{marks_sql([1.0, 1.1, 1.2])}, ls as (select sym, structure, premium, cycle, max_by(pnl, b) p from marks group by 1, 2, 3, 4)
-  select sym, structure, premium, round(sum(p), 3) + 0e0 total_pnl, count(*) cycles from ls group by 1, 2, 3""")
+GRID_SQL = f"""{marks_sql([1.0, 1.1, 1.2])}, ls as (select sym, structure, premium, cycle, max_by(pnl - cc, b) p, max_by(fees, b) f from marks group by 1, 2, 3, 4),
+  tl as (select sym, structure, premium, sum(p) tp, count(*) cycles, sum(f) fees from ls group by 1, 2, 3),
+  ds as (select *, pnl - cc - coalesce(lag(pnl - cc) over (partition by sym, structure, premium, cycle order by b), 0e0) s from marks),
+  dt as (select sym, structure, premium, b, sum(s) s from ds group by 1, 2, 3, 4),
+  ln as (select sym, d, row_number() over (partition by sym order by d) - 1 b from candles_daily),
+  cu as (select tl.sym, tl.structure, tl.premium, ln.d, 1e6 + sum(coalesce(s, 0e0)) over (partition by tl.sym, tl.structure, tl.premium order by ln.b rows between unbounded preceding and current row) eq
+         from tl join ln on ln.sym = tl.sym left join dt on dt.sym = tl.sym and dt.structure = tl.structure and dt.premium = tl.premium and dt.b = ln.b),
+  cr as (select *, case when lag(eq) over k > 0 then eq/lag(eq) over k - 1 end r, max(eq) over (partition by sym, structure, premium order by d rows between unbounded preceding and current row) pk
+         from cu window k as (partition by sym, structure, premium order by d)),
+  mt as (select sym, structure, premium, min_by(eq, d) e0, max_by(eq, d) e1, min(eq) lo, date_diff('day', min(d), max(d))/3.6525e2 y, avg(r) m, stddev_samp(r) sd, max(case when pk > 0 then least(1e0, (pk - eq)/pk) else 0e0 end) dd from cr group by 1, 2, 3)"""
+
+
+@query("vol_premium_grid", "candles_daily", f"""{GRID_SQL} select sym, structure, premium, round(tp, 3) + 0e0 total_pnl, cycles, round(fees, 3) + 0e0 fees, round((e1/e0 - 1)*1e2, 2) + 0e0 total_return_pct,
+  round(case when e1 <= 0 then -1e2 else (pow(e1/e0, 1/y) - 1)*1e2 end, 2) + 0e0 cagr_pct,
+  round(case when sd = 0 then 0e0 when lo <= 0 then least(0e0, (m - 6.5e-2/2.52e2)/sd*sqrt(2.52e2)) else (m - 6.5e-2/2.52e2)/sd*sqrt(2.52e2) end, 2) + 0e0 sharpe, round(dd*1e2, 2) + 0e0 max_drawdown_pct from tl join mt using (sym, structure, premium)""")
 def vol_premium_grid(t):
-    x = O.vol_premium_grid(O.option_cycle_marks(t.candles_daily, STEP, premium=[1.0, 1.1, 1.2]))
-    return x.withColumn("total_pnl", rr("total_pnl", 3))
+    bars = t.pin("candles_daily")
+    x = O.vol_premium_grid(pin(O.option_cycle_marks(bars, STEP, premium=[1.0, 1.1, 1.2])), bars)
+    return x.withColumn("total_pnl", rr("total_pnl", 3)).withColumn("fees", rr("fees", 3))
 
 
 @query("remark_positions", "candles_daily", f"""{CYC}, rp as (select sym, cycle, structure, leg, opt_type, strike, date '1970-01-01' + cast(floor(xt) as int) - 5 d, xt - (floor(xt) - 5) dl, greatest(8e-2, rv*1.2e0) iv from cy),

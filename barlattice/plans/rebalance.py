@@ -149,3 +149,43 @@ def score_log(t):
     t.pin("candles_daily")  # the log is derived from the same panel
     x = B.score_log(entries(t), t.pin("advice"), t.pin("candles_daily"), t.pin("market_daily"), DEL["buy"], DEL["sell"])
     return x.select("eno", "d", *[F.round(c, 6).alias(c) for c in ("adv", "market", "universe")], rr("cost_paid", 7).alias("cost_paid"), rr("drawdown").alias("drawdown"))
+
+
+# two logs at once: every entry, and those of quarter ends
+LOGS = """lx as (select 'all' lg, * from advice union all select 'quarter', * from advice where month(d) % 3 = 0),
+  en as (select lg, d, any_value(eligible) eligible, row_number() over (partition by lg order by d) - 1 eno from lx group by lg, d),
+  ef as (select *, last_value(case when eligible then d end ignore nulls) over (partition by lg order by d rows between unbounded preceding and current row) eff from en),
+  bk as (select ef.lg, eno, ef.d, a.sym, a.weight from ef join lx a on a.d = ef.eff and a.lg = ef.lg)"""
+LOG_COST = f"""mx as (select lg, max(eno) m from bk group by lg),
+  sx as (select coalesce(a.lg, b.lg) lg, coalesce(a.eno, b.eno + 1) eno, coalesce(a.weight, 0e0) - coalesce(b.weight, 0e0) dw from bk a full join bk b on a.lg = b.lg and a.eno = b.eno + 1 and a.sym = b.sym),
+  sc as (select lg, eno, sum(case when dw > 0 then dw*{BUY} else -dw*{SELL} end) cost from sx join mx using (lg) where eno <= m group by lg, eno)"""
+
+
+def logs(t):
+    x = t.pin("advice")
+    return pin(x.withColumn("lg", F.lit("all")).unionByName(x.filter(F.month("d") % 3 == 0).withColumn("lg", F.lit("quarter"))))
+
+
+@query("effective_books", "advice", f"{LOGS} select lg, eno, d, sym, weight from bk")
+def effective_books(t):
+    x = logs(t)
+    return B.effective_targets(B.effective_book(x.select("lg", "d", "eligible").distinct(), by=("lg",)), x, by=("lg",))
+
+
+@query("score_logs", "advice candles_daily market_daily", f"""{LOGS}, {LOG_COST},
+  pp as (select sym, d, c from candles_daily union all select sym, d, c from market_daily),
+  ek as (select ef.lg, ef.eno, ef.d, s.sym from ef cross join (select distinct sym from pp) s),
+  at0 as (select ek.lg, ek.eno, ek.sym, pp.c from ek asof left join pp on ek.sym = pp.sym and ek.d >= pp.d),
+  rl as (select a.lg, a.eno + 1 eno, a.sym, b.c/a.c - 1 g from at0 a join at0 b on b.lg = a.lg and b.eno = a.eno + 1 and a.sym = b.sym where a.c > 0 and b.c > 0),
+  po as (select bk.lg, bk.eno + 1 eno, sum(weight*g) r from bk join rl on rl.lg = bk.lg and rl.eno = bk.eno + 1 and rl.sym = bk.sym group by 1, 2),
+  un as (select lg, eno, avg(g) u from rl where sym <> 'MKT' group by lg, eno), ix as (select lg, eno, g n from rl where sym = 'MKT'),
+  jn as (select ef.lg, ef.eno, ef.d, coalesce(r, 0e0) r, coalesce(u, 0e0) u, coalesce(n, 0e0) n, coalesce(cost, 0e0) cost from ef left join po using (lg, eno) left join un using (lg, eno)
+         left join ix using (lg, eno) left join sc using (lg, eno)),
+  gr as (select lg, eno, d, exp(sum(ln((1 + r)*(1 - cost))) over w) adv, exp(sum(ln(1 + n)) over w) mk, exp(sum(ln(1 + u)) over w) un, sum(cost) over w cp from jn
+         window w as (partition by lg order by eno rows between unbounded preceding and current row))
+  select lg, eno, d, round(adv, 6) adv, round(mk, 6) market, round(un, 6) universe, round(cp, 7) + 0e0 cost_paid,
+     round(case when eno > 0 then 1 - adv/greatest(max(case when eno > 0 then adv end) over (partition by lg order by eno rows between unbounded preceding and current row), 1e0) else 0e0 end, 6) + 0e0 drawdown from gr""")
+def score_logs(t):
+    x = logs(t)
+    y = B.score_log(x.select("lg", "d", "eligible").distinct(), x, t.pin("candles_daily"), t.pin("market_daily"), DEL["buy"], DEL["sell"], by=("lg",))
+    return y.select("lg", "eno", "d", *[F.round(c, 6).alias(c) for c in ("adv", "market", "universe")], rr("cost_paid", 7).alias("cost_paid"), rr("drawdown").alias("drawdown"))

@@ -31,8 +31,14 @@ def chart_documents(ohlc):
 def read_chart_json(t):
     src = t.ohlc_daily.withColumn("a", F.when(F.dayofmonth("d") != 5, io.half_up(F.col("c") * 9.5e-1, 4))) \
         .withColumn("c", F.when(F.dayofmonth("d") != 13, F.col("c")))
-    docs = chart_documents(src).select(F.from_json("value", io.CHART_SCHEMA).alias("j")).select("j.*")
-    return io.parse_chart(docs)
+    return io.read_chart_json(t.spark, written(t, chart_documents(src)))
+
+
+def written(t, docs):
+    """The documents as JSON-lines files in the shared folder."""
+    path = f"{shared_dir(t.spark)}/vendor-{uuid.uuid4().hex}"
+    docs.select("value").write.text(path)
+    return path
 
 
 def chain_documents(chain):
@@ -59,8 +65,7 @@ def chain_documents(chain):
          max_by(case when quote_id % 7 = 0 then 0e0 else vol end, quote_id) iv, 0e0 bid, k ask, 1e3 underlying
   from r where e = want group by blk, e, k, opt_type""")
 def read_option_chain_json(t):
-    docs = chain_documents(t.chain).select(F.from_json("value", io.CHAIN_SCHEMA).alias("j")).select("j.*")
-    return io.parse_chain(docs, "21-Jan-2026")
+    return io.read_option_chain_json(t.spark, written(t, chain_documents(t.chain)), "21-Jan-2026")
 
 
 @query("quote_snapshot", "ticks", """dd as (select sym, cast(ts as date) d, max_by(price, (ts, event_id)) p from ticks group by 1, 2),
@@ -148,8 +153,8 @@ def snapshots(orders):
 
 
 _RULES = [
-    ("k % 7 = 0", "cash_fields", "'cash must be a finite number'"),
-    ("k % 17 = 0", "settings", "'settings.shortOptionSpanPct must be a finite number'"),
+    ("k % 7 = 0", "cash_fields", "'cash holds no usable number'"),
+    ("k % 17 = 0", "settings", "'settings.shortOptionSpanPct holds no usable number'"),
     ("k % 11 = 0", "last_price", "'price A'"), ("k % 13 = 0", "equity_curve", "'curve entry'"),
     ("k % 6 = 0", "position_numbers", "'position P1'"), ("k % 5 = 0", "position_instrument", "'position P1'"),
     ("k % 5 <> 0 and k % 3 <> 1 and k % 4 = 0", "position_expiry", "'position P1'"),

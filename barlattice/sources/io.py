@@ -187,9 +187,9 @@ def snapshot_validate(docs: DataFrame, *, id_col="id", json_col="doc") -> DataFr
     pos = F.map_entries("s.positions")
     prices = F.map_entries("s.lastPrices")
     orders = F.filter("s.orders", lambda o: o["status"] == "PENDING")
-    checks = [bad(~yes(finite(F.col(f"s.{f}"))), "cash_fields", F.lit(f"{f} must be a finite number"))
+    checks = [bad(~yes(finite(F.col(f"s.{f}"))), "cash_fields", F.lit(f"{f} holds no usable number"))
               for f in ("cash", "initialCash", "realised")]
-    checks += [bad(~yes(finite(F.col(f"s.settings.{f}"))), "settings", F.lit(f"settings.{f} must be a finite number"))
+    checks += [bad(~yes(finite(F.col(f"s.settings.{f}"))), "settings", F.lit(f"settings.{f} holds no usable number"))
                for f in ("futuresMarginPct", "shortOptionSpanPct", "riskFreeRate")]
 
     def at(e):

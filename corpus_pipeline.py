@@ -21,7 +21,10 @@ KEEP_FROM = 0.7  # least quality score of a document that stays
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored at least ``KEEP_FROM`` by the factorisation machine fitted on the labelled rows."""
+    """Documents scored at least ``KEEP_FROM`` by the factorisation machine fitted on the labelled rows.
+
+    Null and empty texts are scored like others; repeated rows share their fate; long texts are read whole; no documents give none.
+    """
     scored = quality_fm.score(docs.select(*COLUMNS), fit_quality(spark, sf_dir), out="_score")
     return scored.filter(F.col("_score") >= KEEP_FROM).select(*COLUMNS)
 
@@ -38,19 +41,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any word inside a ten-word window of a benchmark item."""
+    """Documents without any word inside a ten-word window of a benchmark item.
+
+    Null and empty texts have no words and stay; rows of one id go together if any of them is hit; a null id is one id; no documents give none.
+    """
     numbered = docs.select(*COLUMNS)
     hit = decontam.scan(numbered, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
     return numbered.join(hit, numbered["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, validated personal values replaced by keyed pseudonyms of the same format."""
+    """All documents, validated personal values replaced by keyed pseudonyms of the same format; null and empty texts stay, equal rows stay equal."""
     return pii_fpe.pseudonymise(docs.select(*COLUMNS), PII_KEY, counts="_pii").select(*COLUMNS)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cost-balanced packing of all documents that are left; one row per piece."""
+    """Cost-balanced packing of all documents that are left; one row per piece, a null or empty text its end id alone, repeated rows each their own pieces."""
     return seqpack.pack(docs, tokenizer())
 
 

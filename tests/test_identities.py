@@ -214,7 +214,7 @@ def test_structures(spark):
 def test_horizon_extremes_equal_dense_brute_force(spark):
     """Calendar spreads: extremes within 1e-6 of the best of a million prices."""
     legs = [("a", "CE", "SELL", 100.0, 3.0, 25.0, 10), ("a", "CE", "BUY", 100.0, 5.0, 25.0, 40), ("b", "PE", "SELL", 95.0, 2.0, 30.0, 7), ("b", "PE", "BUY", 90.0, 2.5, 33.0, 35), ("b", "CE", "BUY", 111.0, 1.0, 20.0, 35),
-            ("b", "CE", "SELL", 130.0, 1.0, 20.0, 35), ("c", "CE", "SELL", 220.0, 0.1, 20.0, 5), ("c", "CE", "BUY", 90.0, 12.0, 25.0, 60), ("c", "CE", "SELL", 103.0, 5.0, 25.0, 60),
+            ("b", "CE", "SELL", 130.0, 1.0, 20.0, 35), ("c", "PE", "SELL", 20.0, 0.1, 20.0, 5), ("c", "CE", "BUY", 90.0, 12.0, 25.0, 60), ("c", "CE", "SELL", 103.0, 5.0, 25.0, 60),
             ("c", "CE", "SELL", 104.0, 5.0, 25.0, 60), ("c", "CE", "BUY", 115.0, 2.0, 25.0, 60)]  # c peaks between two grid points
     rows = spark.createDataFrame([(1, g, o, s, k, p, v, d, 100.0) for g, o, s, k, p, v, d in legs], "id int, structure string, opt_type string, side string, strike double, premium double, iv double, leg_days int, spot double")
     packed = rows.groupBy("id", "structure").agg(F.first("spot").alias("spot"), F.collect_list(F.struct("opt_type", "side", "strike", "premium", F.lit(50e0).alias("units"), "iv", "leg_days")).alias("legs"))
@@ -435,6 +435,55 @@ def test_intervals_read_at_slots_equal_the_grid(spark):
         assert got == sorted((r["gi"], r["sym"], r["px"], r["real_idx"]) for r in grid)
 
 
+def test_boards_are_numbered_over_partitions(spark):
+    """Ties, nulls last in both directions, more rows than one partition."""
+    from barlattice.operators import ranking
+
+    rnd = random.Random(12)
+    rows = [(f"s{i:04d}", None if rnd.random() < .1 else float(rnd.randint(-40, 40))) for i in range(1500)]
+    board = spark.createDataFrame(rows, "spec_id string, v double").repartition(7)
+    for down in (True, False):
+        got = {r["spec_id"]: r["rk"] for r in ranking.sort_nulls_last(board, "v", down).collect()}
+        order = sorted(rows, key=lambda r: (r[1] is None, (-r[1] if down else r[1]) if r[1] is not None else 0, r[0]))
+        assert got == {n: i + 1 for i, (n, _) in enumerate(order)}
+
+
+def test_open_cycle_pays_its_closing(spark):
+    """Only a cycle still open on the last bar pays spread, charges and brokerage of closing; the curve ends at cash plus all net results."""
+    bars = series(spark, walk(20 + 21 * 3 + 9, 5), "X")
+    marks = options.option_cycle_marks(bars, 1.0, premium=[1.0, 1.2]).collect()
+    last = max(r["b"] for r in marks)
+    paying = [r for r in marks if r["close_cost"] > 0]
+    assert paying and all(r["b"] == last and not r["settled"] for r in paying)
+    assert {r["cycle"] for r in paying} == {max(r["cycle"] for r in marks)}
+    net = {}
+    for r in marks:
+        k = r["structure"], r["premium"], r["cycle"]
+        if k not in net or r["b"] > net[k][0]:
+            net[k] = r["b"], r["pnl"] - r["close_cost"], r["fees"]
+    frame = options.option_cycle_marks(bars, 1.0, premium=[1.0, 1.2])
+    for r in options.vol_premium_grid(frame, bars).collect():
+        mine = [v for (s, p, _), v in net.items() if (s, p) == (r["structure"], r["premium"])]
+        assert r["total_pnl"] == pytest.approx(sum(v[1] for v in mine)) and r["fees"] == pytest.approx(sum(v[2] for v in mine)) and r["cycles"] == len(mine)
+        assert r["total_return_pct"] == pytest.approx(r["total_pnl"] / 1e4, abs=6e-3)
+
+
+def test_rebased_benchmarks(spark):
+    from barlattice.operators import ranking
+
+    day = lambda i: D0 + dt.timedelta(days=i)
+    curves = spark.createDataFrame([("a", day(i), 100.0 + i) for i in range(10, 500)] + [("b", day(i), 50.0) for i in range(0, 40)], "spec_id string, d date, eq double")
+    bench = spark.createDataFrame([(day(i), 10.0 + i) for i in range(5, 500) if i not in (12, 13)], "d date, c double")
+    got = {(r["spec_id"], r["d"]): r["bench_eq"] for r in ranking.benchmark_series(curves, bench).collect()}
+    assert got["a", day(10)] == 110 and got["a", day(11)] == pytest.approx(110 * 21 / 20)
+    assert got["a", day(12)] == got["a", day(13)] == got["a", day(11)]  # gaps carry the last price
+    assert got["b", day(0)] == 50  # no price yet
+    late = spark.createDataFrame([(day(i), 20.0 + i) for i in range(100, 500)], "d date, c double")
+    row = ranking.common_window(curves, late).collect()
+    assert [(r["spec_id"], r["started"]) for r in row] == [("a", day(100))]
+    assert row[0]["return_pct"] == pytest.approx(round((599 / 200 - 1) * 100, 2)) and row[0]["other_pct"] == pytest.approx(round((519 / 120 - 1) * 100, 2))
+
+
 def test_gate_flattens_and_reenters(spark):
     """Cash between exit and re-entry, a full rebalance at re-entry and the clock from there."""
     from barlattice.operators import overlays

@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 from barlattice.plans.registry import ORACLES, QUERIES
 from tools.verify import compare, duck
 
-# iterative fits without a SQL counterpart; checked by their own tests
-NO_ORACLE = {"w_meanvar", "w_riskparity", "fit_gbm", "fit_forest", "feature_importance",
+# tree and walk-forward models without a SQL counterpart; checked by their own tests
+NO_ORACLE = {"fit_gbm", "fit_forest", "feature_importance",
              "walk_forward_scores", "walk_forward_gbm", "walk_forward_forest", "walk_forward_logistic"}
 # the smallest tables hold no series of the length asked for
 MAY_BE_EMPTY = {"min_history"}
