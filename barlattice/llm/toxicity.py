@@ -31,13 +31,12 @@ class Model:
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: the hash of the n-gram at every position it is whole, and the positions' documents."""
-    joined = " " + "".join(t.lower() + "  " for t in texts)
+    joined = "".join(f" {t.lower()} " for t in texts)  # the blank before a text's first word is its own
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
     inside = np.ones(len(points), bool)
     low = points < 128
     inside[low] = tx.ALNUM[points[low]]
     document = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t.lower()) + 2 for t in texts])
-    document = np.concatenate((np.zeros(1, np.int32), document))
     letters = np.where(inside, points, 32).astype(np.uint64)
     hashed = tx.mix(letters + np.uint64(1))
     edge = ~inside
