@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barlattice.plans.calendar import STATE, TEST_HOLIDAYS
 from barlattice.plans.ledger import FOLD
-from barlattice.plans.registry import query, rr, tr, tr_sql
+from barlattice.plans.registry import query, tr, tr_sql
 from barlattice.streaming import live as S
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
