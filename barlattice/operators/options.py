@@ -6,9 +6,13 @@ row-wise expressions with a single shuffle (packing) or none (templates).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from barlattice.functions import leg_arrays as A
 from barlattice.functions.indicators import with_indicators
 from barlattice.functions.options_math import GREEKS, RATE, implied_vol, intrinsic, with_option
 from barlattice.operators.metrics import curve_metrics
@@ -38,8 +42,12 @@ def atm(spot: Column, step: Column) -> Column:
     return F.floor(spot / step + 5e-1) * step
 
 
-def structure_templates(spots: DataFrame, lot_size: int = 1, key: str = "id") -> DataFrame:
-    """Every named structure on every (spot, step): one row per leg.
+# structures whose options expire on several days
+SEVERAL_EXPIRIES = tuple(name for name, legs in TEMPLATES if len({extra or 0 for typ, *_, extra in legs if typ != "FUT"}) > 1)
+
+
+def structure_templates(spots: DataFrame, lot_size: int = 1, key: str = "id", names: tuple[str, ...] | None = None) -> DataFrame:
+    """Every named structure (or those in ``names``) on every (spot, step): one row per leg.
 
     The spots are spread by ``key`` before they grow forty-fold, so that packing by (key, structure) moves nothing.
     """
@@ -48,7 +56,7 @@ def structure_templates(spots: DataFrame, lot_size: int = 1, key: str = "id") ->
         f"named_struct('structure', '{name}', 'leg', {i + 1}, 'opt_type', '{typ}', 'side', '{side}', "
         f"'strike', {'0e0' if steps is None else f'cast(_atm + {steps} * step as double)'}, 'lots', {lots}, 'lot_size', {lot_size}, "
         f"'leg_days', cast(hdays + {extra or 0} as bigint))"
-        for name, legs in TEMPLATES for i, (typ, side, steps, lots, extra) in enumerate(legs))
+        for name, legs in TEMPLATES if names is None or name in names for i, (typ, side, steps, lots, extra) in enumerate(legs))
     x = spots.repartition(parts, key).withColumn("_atm", atm(F.col("spot"), F.col("step")))
     return x.select(*spots.columns, F.expr(f"inline(array({rows}))"))
 
@@ -122,6 +130,54 @@ def payoff_curve(packed: DataFrame, points: int = 240, compiled_legs: int = 4) -
     return few.unionByName(many)
 
 
+def payoff_profile(packed: DataFrame, points: int = 240, by=("structure",)) -> DataFrame:
+    """The curves of ``payoff_curve`` summed up per ``by`` and point: (by, point, n, pnl, worst, best).
+
+    Tasks add whole curves as arrays and send one row per group and point, so the points of single curves are never rows.
+    """
+
+    def rows(batches):
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def out():
+            keys = list(held)
+            at = pa.array(np.repeat(np.arange(len(keys)), points + 1))
+            cols = [pa.array([k[i] for k in keys], types[i]).take(at) for i in range(len(by))]
+            nums = [pa.array(np.concatenate([held[k][i] for k in keys]), from_pandas=True) for i in range(5)]
+            batch = pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(np.arange(points + 1), len(keys)), pa.int32()), *nums], names)
+            held.clear()
+            return batch
+
+        for b in batches:
+            types = [b.schema.field(c).type for c in by]
+            legs = A.Legs(b)
+            keys = list(zip(*(b.column(c).to_pylist() for c in by), strict=True))
+            code = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            codes = np.array([code[k] for k in keys], dtype=np.int64)
+            order, groups = np.argsort(codes, kind="stable"), list(code)
+            for cut in A.slices(len(order), points + 1):
+                rows_ = order[cut]
+                v = A.curve(legs.rows(rows_), points)
+                starts = np.flatnonzero(np.r_[True, np.diff(codes[rows_]) != 0])
+                good = ~np.isnan(v)
+                parts = (np.add.reduceat(good, starts, axis=0, dtype=np.int64), np.add.reduceat(np.ones(len(rows_), np.int64), starts),
+                         np.add.reduceat(np.where(good, v, 0e0), starts, axis=0), np.fmin.reduceat(v, starts, axis=0), np.fmax.reduceat(v, starts, axis=0))
+                for i, at in enumerate(starts):
+                    k, valued, n, total, low, high = groups[codes[rows_[at]]], *(p[i] for p in parts)
+                    new = [np.full(points + 1, n), valued, total, low, high]
+                    old = held.get(k)
+                    held[k] = new if old is None else [old[0] + new[0], old[1] + new[1], old[2] + new[2], np.fmin(old[3], low), np.fmax(old[4], high)]
+            if len(held) > 1000:
+                yield out()
+        if held:
+            yield out()
+
+    schema = StructType([*(packed.schema[c] for c in by), *StructType.fromDDL("point int, n bigint, valued bigint, total double, worst double, best double").fields])
+    names = schema.names
+    x = packed.select(*by, *[c for c in ("spot", "legs") if c not in by]).mapInArrow(rows, schema)
+    return x.groupBy(*by, "point").agg(F.sum("n").alias("n"), (F.sum("total") / F.nullif(F.sum("valued"), F.lit(0))).alias("pnl"), F.min("worst").alias("worst"), F.max("best").alias("best"))
+
+
 def right_slope(legs: Column) -> Column:
     return F.aggregate(legs, F.lit(0e0), lambda a, x: a + F.when(x["opt_type"] == "PE", 0e0).otherwise(_sign(x) * x["units"]))
 
@@ -152,81 +208,75 @@ def payoff_extremes(packed: DataFrame) -> DataFrame:
 
 def breakevens(packed: DataFrame) -> DataFrame:
     """Distinct zero crossings (two decimals): inside segments, and at kinks where the sign flips."""
-    x = with_breakpoints(packed)
-    x = x.withColumn("_v", F.transform("pts", lambda p: F.struct(p.alias("s"), payoff_at(F.col("legs"), p).alias("v"))))
-    n = F.size("_v")
 
-    def cross(i):
-        a, b = F.get(F.col("_v"), i), F.get(F.col("_v"), i + 1)
-        return F.when(a["v"] * b["v"] < 0, a["s"] + (b["s"] - a["s"]) * (-a["v"]) / F.nullif(b["v"] - a["v"], F.lit(0e0)))
+    def rows(batches):
+        for b in batches:
+            n, found = A.breakevens(A.Legs(b))
+            at = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(at, pa.array(found))], [*b.schema.names, "breakevens"])
 
-    def sgn(v):
-        return F.when(v > 1e-9, 1).when(v < -1e-9, -1).otherwise(0)
+    return packed.mapInArrow(rows, StructType([*packed.schema.fields, StructField("breakevens", ArrayType(DoubleType()))]))
 
-    def kink(i):
-        p, q, r = F.get(F.col("_v"), i - 1), F.get(F.col("_v"), i), F.get(F.col("_v"), i + 1)
-        left = sgn(payoff_at(F.col("legs"), (p["s"] + q["s"]) / 2))
-        right = sgn(payoff_at(F.col("legs"), (q["s"] + r["s"]) / 2))
-        return F.when((F.abs(q["v"]) <= 1e-9) & (left * right < 0), q["s"])
 
-    inner = F.transform(F.sequence(F.lit(0), n - 2), cross)
-    kinks = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), kink)).otherwise(F.array().cast("array<double>"))
-    found = F.filter(F.concat(inner, kinks), lambda s: s.isNotNull())
-    two = F.array_distinct(F.transform(found, lambda s: F.floor(s * 1e2 + 5e-1) / 1e2))
-    flat = F.forall("_v", lambda e: F.abs(e["v"]) < 1e-9)
-    return x.withColumn("breakevens", F.when(flat, F.array().cast("array<double>")).otherwise(F.array_sort(two))).drop("_v")
+def _several_expiries(packed: DataFrame, by) -> DataFrame:
+    days = F.transform(_options(F.col("legs")), lambda x: x["leg_days"])
+    return packed.filter(F.size(F.array_distinct(days)) > 1).select(*by, "spot", "legs")
 
 
-def _at_horizon(x: DataFrame, by, keep, rate: float) -> DataFrame:
-    """(by, keep, s, pnl) of structures ``legs, horizon`` at prices ``s``; a leg that expires later keeps its model value for the remaining days.
+def _by_batch(x: DataFrame, by, columns: str, width: int, fn) -> DataFrame:
+    """``fn(legs) -> arrays`` over slices of the structures: one row per structure with ``by`` and ``columns``."""
 
-    Rows stay where the packing shuffle put them: grouping by (by, s) needs no further shuffle.
-    """
-    x = x.select(*by, *keep, "s", "horizon", F.inline("legs")).withColumn("_left", (F.col("leg_days") - F.col("horizon")) / 3.65e2)
-    x = with_option(x, F.col("opt_type"), F.col("s"), F.col("strike"), F.col("_left"), F.col("iv") / 1e2, price="_alive", r=rate)
-    val = F.when(F.col("opt_type") == "FUT", F.col("s")).when(F.col("_left") <= 1e-9, intrinsic(F.col("opt_type"), F.col("s"), F.col("strike"))).otherwise(F.col("_alive"))
-    sign = F.when(F.col("side") == "BUY", 1e0).otherwise(-1e0)
-    return x.groupBy(*by, *keep, "s").agg(F.sum(sign * (val - F.col("premium")) * F.col("units")).alias("pnl"))
+    def rows(batches):
+        for b in batches:
+            legs, parts = A.Legs(b), []
+            for cut in A.slices(len(legs.spot), width):
+                parts.append(fn(legs.rows(cut)))
+            if parts:
+                cols = [pa.array(np.concatenate(c), from_pandas=True) for c in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), *cols], names)
 
-
-def _several_expiries(packed: DataFrame) -> DataFrame:
-    days = F.transform(_options(F.col("legs")), lambda x: x["leg_days"])
-    x = with_breakpoints(packed).filter(F.size(F.array_distinct(days)) > 1).withColumn("horizon", F.array_min(days))
-    return x.withColumn("_lo", F.col("far") * 1e-6)
+    schema = StructType([*(x.schema[c] for c in by), *StructType.fromDDL(columns).fields])
+    names = schema.names
+    return x.mapInArrow(rows, schema)
 
 
 def horizon_grid(packed: DataFrame, points: int = 600, rate: float = RATE, by=("id", "structure")) -> DataFrame:
     """P&L of multi-expiry structures at their nearest expiry, on a dense grid plus every strike: (by, s, pnl)."""
-    x = _several_expiries(packed)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: F.col("_lo") + (F.col("far") - F.col("_lo")) * i / float(points))
-    strikes = F.transform(_options(F.col("legs")), lambda g: g["strike"])
-    x = x.withColumn("s", F.explode(F.array_distinct(F.concat(grid, strikes)))).filter(F.col("s") > 0)
-    return _at_horizon(x, by, (), rate)
+    x = _several_expiries(packed, by)
+
+    def rows(batches):
+        for b in batches:
+            legs = A.Legs(b)
+            for cut in A.slices(len(legs.spot), points + 1):
+                h = A.Horizon(legs.rows(cut), points, rate)
+                s = h.grid()
+                there = ~np.isnan(s)
+                at = pa.array(np.repeat(np.arange(cut.start, cut.stop), there.sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in by), pa.array(s[there]), pa.array(h.at(s)[there], from_pandas=True)], [*by, "s", "pnl"])
+
+    return x.mapInArrow(rows, StructType([*(x.schema[c] for c in by), StructField("s", DoubleType()), StructField("pnl", DoubleType())]))
+
+
+def horizon_range(packed: DataFrame, points: int = 600, rate: float = RATE, by=("id", "structure")) -> DataFrame:
+    """Points of ``horizon_grid`` with its highest and lowest P&L: (by, points, max_profit, max_loss); no grid row leaves its task."""
+
+    def one(legs):
+        h = A.Horizon(legs, points, rate)
+        s = h.grid()
+        v = h.at(s)
+        return (~np.isnan(s)).sum(axis=1), np.fmax.reduce(v, axis=1), np.fmin.reduce(v, axis=1)
+
+    return _by_batch(_several_expiries(packed, by), by, "points bigint, max_profit double, max_loss double", points + 1, one)
 
 
 def horizon_extremes(packed: DataFrame, points: int = 600, rate: float = RATE, by=("id", "structure"), stages: int = 5, cuts: int = 16) -> DataFrame:
     """(by, max_profit, at_max, max_loss, at_min): the grid's extremes, refined between its points.
 
-    The best point of the grid and its neighbours bracket an extreme.  Each stage cuts every bracket of all structures, both directions at once,
-    into ``cuts`` parts and keeps the two around the best price; brackets shrink by ``cuts / 2`` a stage.  The best value seen anywhere counts.
+    The best point of the grid and its neighbours bracket an extreme.  Each stage cuts every bracket into ``cuts`` parts and keeps the two
+    around the best price; brackets shrink by ``cuts / 2`` a stage.  The best value seen anywhere counts.
     """
-    base = _several_expiries(packed).select(*by, "legs", "horizon", "far", "_lo")
-    side = F.explode(F.array(F.lit(1), F.lit(-1)))
-    step = (F.col("far") - F.col("_lo")) / float(points)
-    keep = ("dir", "_from", "_upto", "_seen", "_where")
-    best = horizon_grid(packed, points, rate, by).withColumn("dir", side)
-    best = best.groupBy(*by, "dir").agg(F.max_by(F.struct("s", "pnl"), F.struct(F.col("dir") * F.col("pnl"), -F.col("s"))).alias("z"))
-    x = best.join(base, list(by)).select(*by, "dir", F.greatest("_lo", F.col("z.s") - step).alias("_from"), (F.col("z.s") + step).alias("_upto"), F.col("z.pnl").alias("_seen"), F.col("z.s").alias("_where"))
-    for _ in range(stages):
-        y = x.join(base.select(*by, "legs", "horizon"), list(by)).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(cuts))))
-        y = _at_horizon(y.withColumn("s", F.col("_from") + (F.col("_upto") - F.col("_from")) * F.col("_k") / float(cuts)), by, keep, rate)
-        y = y.groupBy(*by, *keep).agg(F.max_by(F.struct("s", "pnl"), F.struct(F.col("dir") * F.col("pnl"), -F.col("s"))).alias("z"))
-        width, better = (F.col("_upto") - F.col("_from")) / float(cuts), F.col("dir") * F.col("z.pnl") > F.col("dir") * F.col("_seen")
-        x = y.select(*by, "dir", F.greatest("_from", F.col("z.s") - width).alias("_from"), F.least("_upto", F.col("z.s") + width).alias("_upto"),
-                     F.when(better, F.col("z.pnl")).otherwise(F.col("_seen")).alias("_seen"), F.when(better, F.col("z.s")).otherwise(F.col("_where")).alias("_where"))
-    up = F.col("dir") == 1
-    return x.groupBy(*by).agg(F.max(F.when(up, F.col("_seen"))).alias("max_profit"), F.max(F.when(up, F.col("_where"))).alias("at_max"),
-                              F.max(F.when(~up, F.col("_seen"))).alias("max_loss"), F.max(F.when(~up, F.col("_where"))).alias("at_min"))
+    return _by_batch(_several_expiries(packed, by), by, "max_profit double, at_max double, max_loss double, at_min double", points + 1,
+                     lambda legs: A.Horizon(legs, points, rate).extremes(stages, cuts))
 
 
 def net_greeks(legs: DataFrame, by=("id", "structure"), rate: float = RATE) -> DataFrame:

@@ -119,12 +119,12 @@ VALB = "case when opt_type = 'FUT' then b.s else " + intr("opt_type", "b.s", "lg
 VAL = "case when opt_type = 'FUT' then s else " + intr("opt_type", "s", "strike") + " end"
 
 
-def legs(t):
-    return O.price_legs(O.structure_templates(t.spots))
+def legs(t, names=None):
+    return O.price_legs(O.structure_templates(t.spots, names=names))
 
 
-def packed(t):
-    return O.pack_legs(legs(t))
+def packed(t, names=None):
+    return O.pack_legs(legs(t, names))
 
 
 @query("structure_templates", "spots", f"{LEGS} select id, structure, leg, opt_type, side, strike, lots, leg_days from lg")
@@ -146,9 +146,8 @@ def leg_payoff(t):
   select structure, point, count(*) n, round(avg(pnl), 3) + 0e0 pnl, round(min(pnl), 3) + 0e0 worst, round(max(pnl), 3) + 0e0 best from pn group by 1, 2""")
 def payoff_curve(t):
     """All curves of all structures, reported per structure and point."""
-    x = O.payoff_curve(packed(t))
-    return x.groupBy("structure", F.col("point").cast("bigint").alias("point")).agg(
-        F.count("*").alias("n"), rr(F.avg("pnl"), 3).alias("pnl"), rr(F.min("pnl"), 3).alias("worst"), rr(F.max("pnl"), 3).alias("best"))
+    x = O.payoff_profile(packed(t))
+    return x.select("structure", F.col("point").cast("bigint").alias("point"), "n", rr("pnl", 3).alias("pnl"), rr("worst", 3).alias("worst"), rr("best", 3).alias("best"))
 
 
 BP = f"""{LEGS}, fr as (select id, structure, any_value(spot) spot, greatest(any_value(spot), max(case when opt_type = 'FUT' then premium else strike end))*3 + 1e1 far from lg group by 1, 2),
@@ -172,8 +171,7 @@ def payoff_unbounded(t):
 @query("breakevens", "spots", f"""{BP}, sq as (select *, lead(s) over w s2, lead(v) over w v2 from bv window w as (partition by id, structure order by s)),
   be as (select distinct id, structure, floor((s + (s2 - s)*(-v)/(v2 - v))*1e2 + 5e-1)/1e2 breakeven from sq where v*v2 < 0) select * from be""")
 def breakevens(t):
-    x = O.breakevens(packed(t))
-    return x.select("id", "structure", F.explode("breakevens").alias("breakeven"))
+    return O.breakevens(packed(t)).select("id", "structure", F.explode("breakevens").alias("breakeven"))
 
 
 # long call and short put of one strike and premium, and a straddle bought for nothing: zero exactly at the strike, with and without a change of sign
@@ -195,7 +193,8 @@ def breakevens_kinks(t):
     k = (F.floor(F.col("spot") / F.col("step") + 5e-1) + 1) * F.col("step")
     leg = lambda typ, side, p: F.struct(F.lit(typ).alias("opt_type"), F.lit(side).alias("side"), k.alias("strike"), F.lit(p).alias("premium"), F.lit(1e0).alias("units"))
     both = {"synthetic": [("CE", "BUY", 7e0), ("PE", "SELL", 7e0)], "free": [("CE", "BUY", 0e0), ("PE", "BUY", 0e0)]}
-    x = t.spots.select("id", "spot", F.inline(F.array(*[F.struct(F.lit(n).alias("structure"), F.array(*[leg(*g) for g in legs]).alias("legs")) for n, legs in both.items()])))
+    # one small file is one task: the spots are spread before they grow
+    x = t.spots.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "id").select("id", "spot", F.inline(F.array(*[F.struct(F.lit(n).alias("structure"), F.array(*[leg(*g) for g in legs]).alias("legs")) for n, legs in both.items()])))
     return O.breakevens(x).select("id", "structure", F.explode("breakevens").alias("breakeven"))
 
 
@@ -209,8 +208,8 @@ HZ = bs("opt_type", "s", "strike", "lf", "v")
   gp as (select id, structure, s, sum(sg*(case when opt_type = 'FUT' then s when lf <= 1e-9 then {intr('opt_type', 's', 'strike')} else {HZ} end - premium)*lots) pnl from gv group by 1, 2, 3)
   select id, structure, count(*) points, round(max(pnl), 3) + 0e0 max_profit, round(min(pnl), 3) + 0e0 max_loss from gp group by 1, 2""")
 def horizon_value(t):
-    x = O.horizon_grid(packed(t))
-    return x.groupBy("id", "structure").agg(F.count("*").alias("points"), rr(F.max("pnl"), 3).alias("max_profit"), rr(F.min("pnl"), 3).alias("max_loss"))
+    x = O.horizon_range(packed(t, O.SEVERAL_EXPIRIES))
+    return x.select("id", "structure", "points", rr("max_profit", 3).alias("max_profit"), rr("max_loss", 3).alias("max_loss"))
 
 
 def _refine_sql(stages: int = 5, cuts: int = 16) -> str:
@@ -235,7 +234,7 @@ HORIZON = HORIZON[:HORIZON.rindex("select id, structure, count(*) points")]
 @query("horizon_extremes", "", None)
 def horizon_extremes(t):
     """Extremes between the grid's points, as a fraction of a paisa."""
-    x = O.horizon_extremes(packed(t))
+    x = O.horizon_extremes(packed(t, O.SEVERAL_EXPIRIES))
     return x.select("id", "structure", rr("max_profit", 3).alias("max_profit"), rr("max_loss", 3).alias("max_loss"))
 
 
