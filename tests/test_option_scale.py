@@ -18,3 +18,9 @@ def plan(df):
 def test_horizon_extremes_need_no_join_and_no_rows_per_price(spark):
     text = plan(options.horizon_extremes(packed(spark)))
     assert "Join" not in text and text.count("Aggregate") == 1  # the packing
+
+
+def test_breakevens_are_not_written_out_per_use(spark):
+    """Exploding them adds a filter on their size, which must not copy the payoffs below the projections."""
+    text = plan(options.breakevens(packed(spark)).select("id", "structure", F.explode("breakevens")))
+    assert text.count("aggregate(") == 0 and len(text) < 50_000
