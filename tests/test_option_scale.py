@@ -24,3 +24,14 @@ def test_breakevens_are_not_written_out_per_use(spark):
     """Exploding them adds a filter on their size, which must not copy the payoffs below the projections."""
     text = plan(options.breakevens(packed(spark)).select("id", "structure", F.explode("breakevens")))
     assert text.count("aggregate(") == 0 and len(text) < 50_000
+
+
+def test_horizon_range_equals_the_grid(spark):
+    p = packed(spark)
+    grid = {(r["id"], r["structure"]): r for r in options.horizon_grid(p).groupBy("id", "structure").agg(F.count("*").alias("n"), F.max("pnl").alias("a"), F.min("pnl").alias("b")).collect()}
+    got = options.horizon_range(p).collect()
+    assert {r["structure"] for r in got} == set(options.SEVERAL_EXPIRIES) and len(got) == len(grid)
+    for r in got:
+        g = grid[r["id"], r["structure"]]
+        assert r["points"] == g["n"] and r["max_profit"] == pytest.approx(g["a"]) and r["max_loss"] == pytest.approx(g["b"])
+    assert "Explode" not in plan(options.horizon_range(p)) and plan(options.horizon_range(p)).count("Aggregate") == 1
