@@ -35,3 +35,14 @@ def test_horizon_range_equals_the_grid(spark):
         g = grid[r["id"], r["structure"]]
         assert r["points"] == g["n"] and r["max_profit"] == pytest.approx(g["a"]) and r["max_loss"] == pytest.approx(g["b"])
     assert "Explode" not in plan(options.horizon_range(p)) and plan(options.horizon_range(p)).count("Aggregate") == 1
+
+
+def test_profile_sums_up_the_curves(spark):
+    p = packed(spark).union(packed(spark).filter("structure = 'collar'").withColumn("spot", F.lit(None).cast("double")))
+    want = {(r["structure"], r["point"]): r for r in options.payoff_curve(p, 24).groupBy("structure", "point").agg(
+        F.count("*").alias("n"), F.avg("pnl").alias("pnl"), F.min("pnl").alias("worst"), F.max("pnl").alias("best")).collect()}
+    got = options.payoff_profile(p, 24).collect()
+    assert len(got) == len(want) == 15 * 25
+    for r in got:
+        w = want[r["structure"], r["point"]]
+        assert r["n"] == w["n"] and all(r[c] == pytest.approx(w[c], abs=1e-9) for c in ("pnl", "worst", "best"))
