@@ -98,7 +98,10 @@ def stream_sliding(ticks: DataFrame, size: str = "12 hours", slide: str = "1 hou
 
 
 def stream_dedupe(ticks: DataFrame, keys=("sym", "ts")) -> DataFrame:
-    """One row per key within the watermark; later repeats and rows behind it are dropped."""
+    """One row per key within the watermark; later repeats and rows behind it are dropped.
+
+    By default a symbol has one tick per time; where several ticks may share it, the event id belongs to ``keys``.
+    """
     return ticks.dropDuplicatesWithinWatermark(list(keys))
 
 

@@ -192,3 +192,12 @@ def test_board_leaves_out_rows_of_closed_days(spark):
     b = [[(1, 0, 1, "A", 10), (2, 5 * day, 1, "A", 10)], [(3, day, 1, "A", 1e6), (4, 4 * day, 1, "A", 20), (5, 6 * day, 1, "A", 15)]]
     got = S.latest_board(S.run_to_table(S.stream_leaderboard(stream(spark, files(spark, b))), "board")).first()
     assert (got["max_drawdown_pct"], got["final_equity"], got["r1d"], got["rmax"]) == (50.0, 15.0, 50.0, 50.0)  # 10, 20, 10, 15
+
+
+def test_dedupe_query_keeps_ticks_that_share_symbol_and_time(spark):
+    from barlattice.plans.registry import QUERIES
+
+    sf = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [(1, 0, 1, "A", 10), (2, 0, 2, "A", 11), (3, 0, 1, "B", 10)]
+    spark.createDataFrame([(e, T0 + dt.timedelta(minutes=m), u, s, float(v), "") for e, m, u, s, v in rows], ROW).write.parquet(f"{sf}/events.parquet")
+    assert sorted(r["event_id"] for r in QUERIES["stream_dedupe"](spark, sf).collect()) == [1, 2, 3]
