@@ -75,11 +75,11 @@ def place(lengths: list[int], size: int, linear: float, quadratic: float) -> lis
 
 
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", size: int = 1024, end_id: int = 0,
-         linear: float = 1.0, quadratic: float = 1.0 / 1024, group_tokens: int = 1 << 20) -> DataFrame:
+         linear: float = 1.0, quadratic: float = 1.0 / 1024, group_tokens: int = 1 << 20, cache_entries: int = 300_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (the piece's token ids).
 
     Null text counts as empty and gives the end id alone.  Documents of equal id are packed separately, a null id stays null;
-    other columns are not read.  An empty table gives no rows.  A text of any length is cut over as many sequences as it needs.
+    other columns are not read.  ``cache_entries`` bounds the pieces a worker keeps encoded (four times as many at most).  An empty table gives no rows.  A text of any length is cut over as many sequences as it needs.
     """
     if size < 1 or group_tokens < size:
         raise ValueError("size must be positive and group_tokens at least size")
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         return pa.record_batch(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer_path)
+        encoder = Encoder.of(tokenizer_path, cache_entries)
         group, held, k = [], 0, 0
         for batch in batches:
             keys = batch.column(0).to_pylist()

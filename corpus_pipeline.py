@@ -57,7 +57,7 @@ def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cost-balanced packing of all documents that are left; one row per piece, a null or empty text its end id alone, repeated rows each their own pieces."""
-    return seqpack.pack(docs, tokenizer())
+    return seqpack.pack(docs, tokenizer(), cache_entries=100_000)  # workers of all stages stay, with their caches
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
