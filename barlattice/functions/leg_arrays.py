@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 from barlattice.functions.options_math import _np_cdf
 
-CELLS = 1 << 19  # (structure, price) cells worked on at once
+CELLS = 1 << 15  # (structure, price) cells worked on at once: arrays stay in the cache
 
 
 def numbers(a) -> np.ndarray:

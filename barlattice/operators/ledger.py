@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barlattice.operators.scan import CHUNK, pin_chunks, prefix
 from barlattice.session import pin
@@ -24,24 +27,74 @@ def signed(side="side", qty="qty") -> Column:
     return F.when(F.col(side) == "BUY", F.col(qty)).otherwise(-F.col(qty))
 
 
-def _steps(fills: DataFrame, key, order) -> DataFrame:
-    """Fills with the quantity before (``q0``) and after (``q1``), and how each changes the average price.
+def _piece(batches, key: list[str]):
+    """A piece's rows, the row where each key starts, and per row the quantity before (0 where unknown) and the change by the fill."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return None
+    t = pa.Table.from_batches(parts).combine_chunks()
+    new = np.zeros(len(t), dtype=bool)
+    new[0] = True
+    for c in key:
+        x = t.column(c)
+        same = pc.or_kleene(pc.equal(x[1:], x[:-1]), pc.and_(pc.is_null(x[1:]), pc.is_null(x[:-1])))
+        new[1:] |= ~pc.fill_null(same, False).to_numpy()
+    s = pc.fill_null(t.column("_s"), 0).to_numpy()
+    starts, run = np.flatnonzero(new), np.cumsum(s)
+    q1 = run - np.repeat((run - s)[starts], np.diff([*starts, len(t)]))
+    held = pc.fill_null(t.column("_q").slice(0, 1), 0)[0].as_py()  # a piece's first key may come from the piece before
+    q1[:starts[1] if len(starts) > 1 else len(t)] += held
+    return t, starts, q1 - s, s
+
+
+def _averages(al: np.ndarray, be: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Compositions of ``avg -> al * avg + be`` from the first step on, in blocks of ``width``; a step with al 0 forgets what was before."""
+    n = len(al)
+    a, b = np.ones(-(-n // width) * width), np.zeros(-(-n // width) * width)
+    a[:n], b[:n] = al, be
+    a, b = a.reshape(-1, width).T.copy(), b.reshape(-1, width).T.copy()
+    for j in range(1, width):
+        b[j] = np.where(a[j] == 0, b[j], a[j] * b[j - 1] + b[j])
+        a[j] = np.where(a[j] == 0, 0e0, a[j] * a[j - 1])
+    x, y, fa, fb = 1e0, 0e0, [], []
+    for u, v in zip(a[-1].tolist(), b[-1].tolist(), strict=True):
+        fa.append(x)
+        fb.append(y)
+        x, y = (0e0, v) if u == 0 else (u * x, u * y + v)
+    ahead, base = np.array(fa), np.array(fb)
+    return np.where(a == 0, 0e0, a * ahead).T.reshape(-1)[:n], np.where(a == 0, b, a * base + b).T.reshape(-1)[:n]
+
+
+def _replay(batches, key: list[str]):
+    """The fills of one piece: ``_piece``, closing, closed quantity, price, and the compositions up to each fill.
 
     avg' = al * avg + be: an opening or a flip sets the price, an addition averages, a reduction leaves it.
-    The realised result is rc + rd * avg: linear in the average before the fill.
     """
-    x = fills.withColumn("_s", signed())
-    x = prefix(pin_chunks(x, list(key), list(order), piece_rows=PIECE_ROWS), list(key), list(order), sums={"q1": F.col("_s")})
-    q0, q1, s, p = F.col("q1") - F.col("_s"), F.col("q1"), F.col("_s"), F.col("price")
-    opens = (q0 == 0) | (F.signum(q0) * F.signum(q1) < 0)
-    adds = (F.signum(q0) == F.signum(s)) & (q0 != 0)
-    closing = (q0 != 0) & (F.signum(q0) != F.signum(s)) & (s != 0)
-    closed = F.when(closing, F.least(F.abs(s), F.abs(q0)) * F.signum(q0)).otherwise(0e0)
-    den = F.nullif(F.abs(q1), F.lit(0)).cast("double")
-    return x.select("*", q0.alias("q0"),
-                    F.when(opens, 0e0).when(adds, F.abs(q0) / den).otherwise(1e0).alias("al"),
-                    F.when(opens, p).when(adds, p * F.abs(s) / den).otherwise(0e0).alias("be"),
-                    closing.alias("closing"), (closed * p).alias("rc"), (-closed).alias("rd"))
+    got = _piece(batches, key)
+    if got is None:
+        return None
+    t, starts, q0, s = got
+    q1, p = q0 + s, pc.fill_null(pc.cast(t.column("price"), pa.float64()), np.nan).to_numpy()
+    idle = pc.is_null(t.column("_s")).to_numpy()
+    opens = ((q0 == 0) | (np.sign(q0) * np.sign(q1) < 0)) & ~idle
+    adds = (np.sign(q0) == np.sign(s)) & (q0 != 0) & ~idle
+    closing = (q0 != 0) & (np.sign(q0) != np.sign(s)) & (s != 0)
+    den = np.where(q1 == 0, 1, np.abs(q1)).astype("float64")
+    al = np.where(opens, 0e0, np.where(adds, np.abs(q0) / den, 1e0))
+    be = np.where(opens, p, np.where(adds, p * np.abs(s) / den, 0e0))
+    al[starts[1:]] = 0e0  # no average comes from another key
+    closed = np.where(closing, np.minimum(np.abs(s), np.abs(q0)) * np.sign(q0), 0)
+    return t, starts, closing, idle, closed, p, *_averages(al, be, FANOUT)
+
+
+def _pinned(fills: DataFrame, key, order) -> DataFrame:
+    """Fills in pieces, sorted, with the change ``_s`` of the quantity and the quantity ``_q`` that a piece's first key brings along, null if none."""
+    x = pin_chunks(fills.withColumn("_s", signed().cast("long")), list(key), list(order), piece_rows=PIECE_ROWS, ordered=True)
+    tot = x.groupBy(*key, CHUNK).agg(F.sum("_s").alias("_t"))
+    w = Window.partitionBy(*key).orderBy(CHUNK)
+    brought = tot.select(CHUNK, F.coalesce(F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q"), F.row_number().over(w).alias("_n"))
+    # at most one row per piece: pieces are ranges of (key, order), only their first key can have begun before
+    return x.join(F.broadcast(brought.filter("_n > 1").select(CHUNK, "_q")), CHUNK, "left").select(*x.columns, "_q")
 
 
 FANOUT = 64  # children of a node in the summaries' trees
@@ -61,21 +114,6 @@ def _entering(seq: str, first: Column) -> Column:
     return F.aggregate(seq, start, lambda x, r: F.struct((x["a"] * r["al"] + r["be"]).alias("a"), F.concat(x["o"], F.array(x["a"])).alias("o")), lambda x: x["o"])
 
 
-def _blocks(steps: DataFrame, key, order, columns) -> DataFrame:
-    """Rows of a (key, piece) in blocks of ``FANOUT``, in order, as ``_z``; the pieces' own partitioning serves."""
-    w = Window.partitionBy(*key, CHUNK).orderBy(*order)
-    x = steps.withColumn("_blk", F.row_number().over(w)).withColumn("_blk", F.expr(f"(_blk - 1) div {FANOUT}"))
-    return x.groupBy(*key, CHUNK, "_blk").agg(F.array_sort(F.collect_list(F.struct(*order, *columns))).alias("_z"))
-
-
-def _pieces(steps: DataFrame, key, order) -> DataFrame:
-    """One row per (key, piece), fixed: quantity traded, its blocks' compositions in order (``_b``) and their own (``m``)."""
-    traded = F.aggregate("_z", F.lit(0).cast(steps.schema["_s"].dataType), lambda a, r: a + r["_s"])
-    x = _blocks(steps, key, order, ("_s", "al", "be", "rc", "rd")).select(*key, CHUNK, "_blk", _fold("_z").alias("m"), traded.alias("dq"))
-    g = x.groupBy(*key, CHUNK).agg(F.array_sort(F.collect_list(F.struct("_blk", "m.al", "m.be", "m.rc", "m.rd"))).alias("_b"), F.sum("dq").alias("dq"))
-    return pin(g.withColumn("m", _fold("_b")))  # a sixty-fourth of the fills' rows
-
-
 def _above(nodes: DataFrame, key) -> DataFrame:
     """One level up: nodes ``key, _at, m`` by their ``_at div FANOUT``, the children in order as ``_b``."""
     g = nodes.groupBy(*key, F.expr(f"_at div {FANOUT}").alias("_up")).agg(F.array_sort(F.collect_list(F.struct("_at", "m.al", "m.be", "m.rc", "m.rd"))).alias("_b"))
@@ -92,36 +130,86 @@ def _levels(pieces: DataFrame, key) -> list[DataFrame]:
     return out
 
 
+def _entered(x: DataFrame, key) -> DataFrame:
+    """``_pinned`` fills with the average ``_a`` that a piece's first key enters with."""
+
+    def ends(batches):
+        got = _replay(batches, key)
+        if got is None:
+            return
+        t, starts, *_, a, b = got
+        first, last = ([*starts[1:], len(t)])[0] - 1, len(t) - 1
+        at = [first] if first == last else [first, last]
+        rows = pa.array(at)
+        yield pa.RecordBatch.from_arrays([*(t.column(c).take(rows).combine_chunks() for c in (*key, CHUNK)), pa.array([r == first for r in at]), pa.array(a[at]), pa.array(b[at], from_pandas=True)], names)
+
+    key = list(key)
+    schema = StructType([*(x.schema[c] for c in (*key, CHUNK)), *StructType.fromDDL("first boolean, al double, be double").fields])
+    names = schema.names
+    pieces = x.select(*key, CHUNK, "_s", "_q", "price").mapInArrow(ends, schema)
+    pieces = pin(pieces.withColumn("m", F.struct("al", "be", F.lit(0e0).alias("rc"), F.lit(0e0).alias("rd"))))  # two rows a piece
+    tree = _levels(pieces, key)
+    enter = tree[-1].select(*key, "_at", F.lit(0e0).alias("_a"))  # the average that a node starts from
+    for parents in tree[:0:-1]:
+        y = parents.select(*key, "_at", "_b").join(enter, [*key, "_at"])
+        enter = y.select(*key, F.inline(F.arrays_zip(F.transform("_b", lambda r: r["_at"]).alias("_at"), _entering("_b", F.col("_a")).alias("_a"))))
+    first = pieces.filter("first").select(*key, CHUNK).join(enter.select(*key, F.col("_at").cast("int").alias(CHUNK), "_a"), [*key, CHUNK])
+    return x.join(F.broadcast(first.select(CHUNK, "_a")), CHUNK, "left").select(*x.columns, "_a")
+
+
+def _results(batches, key):
+    """``_replay`` of a piece with the averages after its fills and the results they locked in."""
+    got = _replay(batches, key)
+    if got is None:
+        return None
+    t, starts, closing, idle, closed, p, a, b = got
+    enter = t.column("_a")[0].as_py()
+    enter = 0e0 if enter is None else enter
+    after = np.where(a == 0, b, a * enter + b)
+    before = np.concatenate([[enter], after[:-1]])
+    return t, starts, closing, idle, after, np.where(closing, closed * (p - before), 0e0)
+
+
 def fold_fills(fills: DataFrame, *, key=KEY, order=ORDER) -> DataFrame:
     """Position per (account, instrument): signed qty, average price (0 when flat) and realised result."""
-    pieces = _pieces(_steps(fills, key, order), key, order)
-    qty = pieces.groupBy(*key).agg(F.sum("dq").alias("qty"))
-    x = qty.join(_levels(pieces, key)[-1].select(*key, "m"), list(key))
-    return x.select(*key, "qty", F.when(F.col("qty") != 0, F.col("m.be")).otherwise(0e0).alias("avg_price"), F.col("m.rc").alias("realised"))
+    x = _entered(_pinned(fills, key, order), key)
+
+    def run(batches):
+        got = _results(batches, list(key))
+        if got is None:
+            return
+        t, starts, _, _, after, realised = got
+        ends, rows = np.array([*starts[1:], len(t)]) - 1, pa.array(starts)
+        qty = np.add.reduceat(pc.fill_null(t.column("_s"), 0).to_numpy(), starts)
+        yield pa.RecordBatch.from_arrays([*(t.column(c).take(rows).combine_chunks() for c in (*key, CHUNK)), pa.array(qty), pa.array(after[ends], from_pandas=True), pa.array(np.add.reduceat(realised, starts), from_pandas=True)], names)
+
+    schema = StructType([*(x.schema[c] for c in (*key, CHUNK)), *StructType.fromDDL("dq bigint, avg double, r double").fields])
+    names = schema.names
+    g = x.select(*key, CHUNK, "_s", "_q", "_a", "price").mapInArrow(run, schema).groupBy(*key)
+    g = g.agg(F.sum("dq").alias("qty"), F.max_by("avg", CHUNK).alias("avg_price"), F.sum("r").alias("realised"))
+    return g.withColumn("avg_price", F.when(F.col("qty") != 0, F.col("avg_price")).otherwise(0e0))
 
 
 def realised_by_fill(fills: DataFrame, *, key=KEY, order=ORDER) -> DataFrame:
     """Every fill with the result it locked in, the average price after it and whether it closed something.
 
-    A scan of affine maps in three tiers: rows in blocks of 64, a piece's blocks, pieces in groups of 64 up to the key.  Compositions go up,
-    entry averages come down, and every array is bounded by 64 or by a piece's blocks.
+    A scan of affine maps over sorted range partitions: a piece's fills are composed in its own task, one or two rows a piece go up a tree per key,
+    and a second pass starts each piece from the quantity and the average it enters with.
     """
-    steps = _steps(fills, key, order)
-    pieces = _pieces(steps, key, order)
-    tree = _levels(pieces, key)
-    enter = tree[-1].select(*key, "_at", F.lit(0e0).alias("_a"))  # the average that a node starts from
-    for parents in tree[:0:-1]:
-        x = parents.select(*key, "_at", "_b").join(enter, [*key, "_at"])
-        x = x.select(*key, F.inline(F.arrays_zip(F.transform("_b", lambda r: r["_at"]).alias("_at"), _entering("_b", F.col("_a")).alias("_a"))))
-        enter = x
-    x = pieces.select(*key, CHUNK, "_b").join(enter.select(*key, F.col("_at").cast("int").alias(CHUNK), "_a"), [*key, CHUNK])
-    starts = x.select(*key, CHUNK, F.inline(F.arrays_zip(F.transform("_b", lambda r: r["_blk"]).alias("_blk"), _entering("_b", F.col("_a")).alias("_a"))))
-    other = [c for c in fills.columns if c not in (*key, *order)]
-    rows = _blocks(steps, key, order, (*other, "closing", "al", "be", "rc", "rd")).join(starts, [*key, CHUNK, "_blk"])
-    flat = rows.select(*key, F.inline(F.arrays_zip(F.col("_z").alias("r"), _entering("_z", F.col("_a")).alias("_before"))))
-    flat = flat.select(*key, "r.*", "_before")
-    before = F.col("_before")
-    return flat.select(*fills.columns, "closing", (F.col("rc") + F.col("rd") * before).alias("realised"), (F.col("al") * before + F.col("be")).alias("avg_after"))
+    x = _entered(_pinned(fills, key, order), key)
+
+    def run(batches):
+        got = _results(batches, list(key))
+        if got is None:
+            return
+        t, _, closing, idle, after, realised = got
+        out = t.select(fills_columns)
+        for name, c in (("closing", pa.array(closing, mask=idle)), ("realised", pa.array(realised, from_pandas=True)), ("avg_after", pa.array(after, from_pandas=True))):
+            out = out.append_column(name, c)
+        yield from out.to_batches(max_chunksize=10_000)
+
+    fills_columns = fills.columns
+    return x.mapInArrow(run, StructType([*(x.schema[c] for c in fills.columns), *StructType.fromDDL("closing boolean, realised double, avg_after double").fields]))
 
 
 def kind(ikey="ikey") -> Column:

@@ -159,12 +159,11 @@ def payoff_profile(packed: DataFrame, points: int = 240, by=("structure",)) -> D
                 rows_ = order[cut]
                 v = A.curve(legs.rows(rows_), points)
                 starts = np.flatnonzero(np.r_[True, np.diff(codes[rows_]) != 0])
-                good = ~np.isnan(v)
-                parts = (np.add.reduceat(good, starts, axis=0, dtype=np.int64), np.add.reduceat(np.ones(len(rows_), np.int64), starts),
-                         np.add.reduceat(np.where(good, v, 0e0), starts, axis=0), np.fmin.reduceat(v, starts, axis=0), np.fmax.reduceat(v, starts, axis=0))
-                for i, at in enumerate(starts):
-                    k, valued, n, total, low, high = groups[codes[rows_[at]]], *(p[i] for p in parts)
-                    new = [np.full(points + 1, n), valued, total, low, high]
+                for a, z in zip(starts, [*starts[1:], len(rows_)], strict=True):
+                    k, w = groups[codes[rows_[a]]], v[a:z]
+                    good = ~np.isnan(w)
+                    low, high = np.fmin.reduce(w, axis=0), np.fmax.reduce(w, axis=0)
+                    new = [np.full(points + 1, z - a), good.sum(axis=0), np.where(good, w, 0e0).sum(axis=0), low, high]
                     old = held.get(k)
                     held[k] = new if old is None else [old[0] + new[0], old[1] + new[1], old[2] + new[2], np.fmin(old[3], low), np.fmax(old[4], high)]
             if len(held) > 1000:

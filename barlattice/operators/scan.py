@@ -15,18 +15,20 @@ from barlattice.session import shared_dir
 CHUNK = "_chunk"
 
 
-def pin_chunks(df: DataFrame, key: list[str], order: list[str], parts: int | None = None, piece_rows: int = 50_000) -> DataFrame:
+def pin_chunks(df: DataFrame, key: list[str], order: list[str], parts: int | None = None, piece_rows: int = 50_000,
+               ordered: bool = False) -> DataFrame:
     """Range-partition by (key, order), tag rows with their partition and fix the result by a reliable checkpoint.
 
     Pieces are sized by rows: their number grows with the table, so one piece stays near ``piece_rows`` rows (range bounds are
     sampled) and what holds a piece in memory is bounded.  A hot key spreads over many pieces.  The checkpoint matters: bounds sampled
-    again after a lost executor could differ.
+    again after a lost executor could differ.  ``ordered`` sorts the rows of a piece.
     """
     spark = df.sparkSession
     shared_dir(spark)
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // piece_rows))
     cols = [F.col(c) for c in [*key, *order]]
-    return df.repartitionByRange(n, *cols).withColumn(CHUNK, F.spark_partition_id()).checkpoint()
+    cut = df.repartitionByRange(n, *cols)
+    return (cut.sortWithinPartitions(*cols) if ordered else cut).withColumn(CHUNK, F.spark_partition_id()).checkpoint()
 
 
 def prefix(pinned: DataFrame, key: list[str], order: list[str], sums: dict[str, Column] | None = None,

@@ -39,7 +39,7 @@ FLOW = f"""{FOLD}, fw as (select acct, ikey, e, case when ikey like 'FUT%' then
 @query("cash_balance", "fills", f"""{FLOW}, rn as (select acct, 1e6 + sum(flow) over (partition by acct order by e.d, ikey, e.ok, e.ln, e.pk rows between unbounded preceding and current row) cash, flow from fw)
   select acct, {tr_sql('min(cash)', 2)} min_cash, {tr_sql('max(cash)', 2)} max_cash, {tr_sql('1e6 + sum(flow)', 2)} final_cash, count(*) fills from rn group by acct""")
 def cash_balance(t):
-    x = L.cash_balance(L.cash_flow(L.realised_by_fill(t.fills)))
+    x = L.cash_balance(L.cash_flow(L.realised_by_fill(t.fills)).select("acct", "d", "ikey", "ok", "ln", "pk", "flow"))
     return x.groupBy("acct").agg(tr(F.min("cash"), 2).alias("min_cash"), tr(F.max("cash"), 2).alias("max_cash"), tr(1e6 + F.sum("flow"), 2).alias("final_cash"), F.count("*").alias("fills"))
 
 
@@ -67,9 +67,11 @@ def margin_estimate(t):
   aa as (select acct, sum(realised) r, sum(unrealised) u, sum(val) h from mm group by acct), cc as (select acct, sum(flow) f from fw group by acct)
   select acct, round(1e6 + f - fee + h, 1) + 0e0 equity, round(r + u - fee, 1) + 0e0 pnl, abs(r + u - fee - (f - fee + h)) > 1e-2 broken from aa join cc using (acct) join fe using (acct)""")
 def pnl_identity(t):
-    by_fill = pin(L.cash_flow(L.realised_by_fill(t.fills)))
+    pos = pin(L.fold_fills(t.fills))
+    traded = t.fills.groupBy("acct", "ikey").agg(F.sum(F.when(F.col("side") == "SELL", 1e0).otherwise(-1e0) * F.col("qty") * F.col("price")).alias("v"))
+    flows = pos.join(traded, ["acct", "ikey"]).withColumn("flow", F.when(L.kind() == "FUT", F.col("realised")).otherwise(F.col("v")))
     fees = t.fills.groupBy("acct").agg((F.sum((F.col("qty") * F.col("price")).cast("decimal(18,2)")).cast("double") * FEE).alias("fee"))
-    x = L.pnl_identity(marked(t), by_fill, fees)
+    x = L.pnl_identity(L.mark_to_market(pos, L.last_prices(t.fills)), flows, fees)
     return x.select("acct", rr("equity", 1).alias("equity"), rr("pnl", 1).alias("pnl"), "broken")
 
 
@@ -82,7 +84,8 @@ def day_pnl(t):
 @query("contributions", "fills", f"""{MTM}, tt as (select acct, sum(abs(val)) tv from mm group by acct), rs as (select acct, ikey, sum(realised) r from rf group by 1, 2)
   select acct, ikey, {tr_sql('r', 2)} realised, round(coalesce(case when tv > 0 then abs(val)/tv*1e2 else 0e0 end, 0e0), 6) + 0e0 weight_pct from rs left join mm using (acct, ikey) left join tt using (acct)""")
 def contributions(t):
-    x = L.contributions(L.realised_by_fill(t.fills), marked(t))
+    pos = pin(L.fold_fills(t.fills))  # a position's realised result is the sum over its fills
+    x = L.contributions(pos, L.mark_to_market(pos, L.last_prices(t.fills)))
     return x.select("acct", "ikey", tr("realised", 2).alias("realised"), rr("weight_pct", 6).alias("weight_pct"))
 
 
