@@ -2,12 +2,19 @@
 
 import pytest
 
+import __spark_entry__ as entry
 from barlattice.operators import ledger
-from barlattice.plans.registry import QUERIES
 from tests.test_identities import fills_fixture
 
 
 def test_realised_by_fill_collects_no_fills(spark):
     _, df = fills_fixture(spark)
     plan = ledger.realised_by_fill(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert "collect_list" not in plan and "Window" not in plan.split("MapInArrow")[0]
+    assert "MapInArrow" in plan and "_blk" not in plan and "struct(d, " not in plan  # arrays hold pieces' summaries only
+
+
+@pytest.mark.parametrize("name", ["contributions", "pnl_identity"])
+def test_fills_are_cut_once(spark, sf, monkeypatch, name):
+    cut, calls = ledger.pin_chunks, []
+    monkeypatch.setattr(ledger, "pin_chunks", lambda *a, **k: calls.append(1) or cut(*a, **k))
+    assert entry.queries()[name](spark, sf).count() and len(calls) == 1
