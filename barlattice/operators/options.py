@@ -49,16 +49,19 @@ SEVERAL_EXPIRIES = tuple(name for name, legs in TEMPLATES if len({extra or 0 for
 def structure_templates(spots: DataFrame, lot_size: int = 1, key: str = "id", names: tuple[str, ...] | None = None) -> DataFrame:
     """Every named structure (or those in ``names``) on every (spot, step): one row per leg.
 
-    The spots are spread by ``key`` before they grow forty-fold, so that packing by (key, structure) moves nothing.
+    The spots are spread by ``key`` before they grow forty-fold, so that packing by (key, structure) moves nothing.  The templates are one
+    constant array, strikes and days come after it: written out per leg they made the stage's method longer than the 8,000 bytes that the JVM
+    compiles, and pricing was interpreted.
     """
     parts = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = ", ".join(
-        f"named_struct('structure', '{name}', 'leg', {i + 1}, 'opt_type', '{typ}', 'side', '{side}', "
-        f"'strike', {'0e0' if steps is None else f'cast(_atm + {steps} * step as double)'}, 'lots', {lots}, 'lot_size', {lot_size}, "
-        f"'leg_days', cast(hdays + {extra or 0} as bigint))"
+        f"named_struct('structure', '{name}', 'leg', {i + 1}, 'opt_type', '{typ}', 'side', '{side}', '_steps', cast({'null' if steps is None else steps} as int), "
+        f"'lots', {lots}, 'lot_size', {lot_size}, '_extra', {extra or 0})"
         for name, legs in TEMPLATES if names is None or name in names for i, (typ, side, steps, lots, extra) in enumerate(legs))
     x = spots.repartition(parts, key).withColumn("_atm", atm(F.col("spot"), F.col("step")))
-    return x.select(*spots.columns, F.expr(f"inline(array({rows}))"))
+    strike = F.when(F.col("_steps").isNull(), 0e0).otherwise((F.col("_atm") + F.col("_steps") * F.col("step")).cast("double"))
+    return x.select("*", F.expr(f"inline(array({rows}))")).select(
+        *spots.columns, "structure", "leg", "opt_type", "side", strike.alias("strike"), "lots", "lot_size", (F.col("hdays") + F.col("_extra")).cast("bigint").alias("leg_days"))
 
 
 def price_legs(legs: DataFrame, rate: float = RATE) -> DataFrame:

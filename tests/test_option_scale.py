@@ -1,5 +1,7 @@
 """Option queries whose work must grow with the structures only: one row per structure, nothing evaluated twice."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +48,16 @@ def test_profile_sums_up_the_curves(spark):
     for r in got:
         w = want[r["structure"], r["point"]]
         assert r["n"] == w["n"] and all(r[c] == pytest.approx(w[c], abs=1e-9) for c in ("pnl", "worst", "best"))
+
+
+@pytest.mark.parametrize("step", [lambda x: x, options.pack_legs, options.net_greeks])
+def test_pricing_stays_below_the_size_the_jvm_compiles(spark, step):
+    """Methods of more than 8,000 bytes are interpreted, a leg then takes ten times as long."""
+    spots = spark.range(4).select("id", (F.col("id") + 900.0).alias("spot"), F.lit(25.0).alias("step"), (F.col("id") + 8).alias("hdays"), F.lit(22.0).alias("iv"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(step(options.price_legs(options.structure_templates(spots)))._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 6000  # more columns of the spots make it larger
