@@ -1,11 +1,14 @@
 """Ledger analytics over fills: positions, realised results, cash, margin and first crossings.
 
-One account may hold a third of all fills, so nothing here folds a whole account in one task.  Rows are cut into range
-partitions of the global order; what travels along an account is one summary row per (key, partition).
+One account may hold a third of all fills, so nothing here folds a long key in one task: its rows are cut into range
+partitions of the global order, and what travels along the key is one summary row per (key, partition).  Short keys, mostly
+all of them, stay whole and are hashed to their task: one shuffle, nothing written.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,12 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barlattice.operators.scan import CHUNK, pin_chunks, prefix
+from barlattice.operators.scan import CHUNK, key_sizes, pin_chunks, prefix
 from barlattice.session import pin
 
 KEY, ORDER = ("acct", "ikey"), ("d", "ok", "ln", "pk")
 INITIAL = 1e6
 PIECE_ROWS = 50_000
+SHORT = 5  # pieces; a key of no more rows is not cut
 FUTURES_MARGIN, SHORT_OPTION_SPAN = 1.2e-1, 1e-1
 
 
@@ -97,6 +101,27 @@ def _pinned(fills: DataFrame, key, order) -> DataFrame:
     return x.join(F.broadcast(brought.filter("_n > 1").select(CHUNK, "_q")), CHUNK, "left").select(*x.columns, "_q")
 
 
+def _sorted_pieces(fills: DataFrame, key, order, sizes=None) -> list[DataFrame]:
+    """Fills in sorted pieces with ``_s`` and what a piece's first key brings along, ``_q`` and the average ``_a``: short keys whole, then long keys cut.
+
+    ``sizes``: ``key_sizes`` where known, of ``key`` or of a part of it.
+    """
+    key, bound = list(key), SHORT * PIECE_ROWS
+    rows, longest = sizes if sizes and sizes[1] <= bound else key_sizes(fills, key)
+
+    def whole(x):
+        parts = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // (4 * PIECE_ROWS)))
+        x = pin_chunks(x.withColumn("_s", signed().cast("long")), key, list(order), parts=parts, ordered=True, whole_keys=True)
+        return x.select("*", F.lit(None).cast("long").alias("_q"), F.lit(None).cast("double").alias("_a"))
+
+    if longest <= bound:
+        return [whole(fills)]
+    long = pin(fills.groupBy(*[F.col(c).alias(f"_k_{c}") for c in key]).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key])
+    # long keys are few: no more than rows / bound
+    return [whole(fills.join(F.broadcast(long), on, "left_anti")), _entered(_pinned(fills.join(F.broadcast(long), on, "left_semi"), key, order), key)]
+
+
 FANOUT = 64  # children of a node in the summaries' trees
 
 
@@ -170,33 +195,42 @@ def _results(batches, key):
     return t, starts, closing, idle, after, np.where(closing, closed * (p - before), 0e0)
 
 
-def fold_fills(fills: DataFrame, *, key=KEY, order=ORDER) -> DataFrame:
-    """Position per (account, instrument): signed qty, average price (0 when flat) and realised result."""
-    x = _entered(_pinned(fills, key, order), key)
+def fold_fills(fills: DataFrame, *, key=KEY, order=ORDER, last=False) -> DataFrame:
+    """Position per (account, instrument): signed qty, average price (0 when flat) and realised result.
+
+    ``last`` adds the order columns and ``price`` of the position's last fill, so that ``last_prices`` can read positions.
+    """
+    key, at_end = list(key), [*order, "price"] if last else []
 
     def run(batches):
-        got = _results(batches, list(key))
+        got = _results(batches, key)
         if got is None:
             return
         t, starts, _, _, after, realised = got
         ends, rows = np.array([*starts[1:], len(t)]) - 1, pa.array(starts)
         qty = np.add.reduceat(pc.fill_null(t.column("_s"), 0).to_numpy(), starts)
-        yield pa.RecordBatch.from_arrays([*(t.column(c).take(rows).combine_chunks() for c in (*key, CHUNK)), pa.array(qty), pa.array(after[ends], from_pandas=True), pa.array(np.add.reduceat(realised, starts), from_pandas=True)], names)
-
-    schema = StructType([*(x.schema[c] for c in (*key, CHUNK)), *StructType.fromDDL("dq bigint, avg double, r double").fields])
-    names = schema.names
-    g = x.select(*key, CHUNK, "_s", "_q", "_a", "price").mapInArrow(run, schema).groupBy(*key)
-    g = g.agg(F.sum("dq").alias("qty"), F.max_by("avg", CHUNK).alias("avg_price"), F.sum("r").alias("realised"))
-    return g.withColumn("avg_price", F.when(F.col("qty") != 0, F.col("avg_price")).otherwise(0e0))
-
-
-def realised_by_fill(fills: DataFrame, *, key=KEY, order=ORDER) -> DataFrame:
+        yield pa.RecordBatch.from_arrays([*(t.column(c).take(rows).combine_chunks() for c in (*key, CHUNK)), pa.array(qty), pa.array(after[ends], from_pandas=True),
+                                          pa.array(np.add.reduceat(realised, starts), from_pandas=True), *(t.column(c).take(pa.array(ends)).combine_chunks() for c in at_end)], names)
+
+    schema = StructType([*(fills.schema[c] for c in key), *StructType.fromDDL(f"{CHUNK} int, dq bigint, avg double, r double").fields, *(fills.schema[c] for c in at_end)])
+    names, out = schema.names, []
+    inputs = list(dict.fromkeys([*key, CHUNK, "_s", "_q", "_a", "price", *at_end]))
+    for x in _sorted_pieces(fills, key, order):
+        g = x.select(*inputs).mapInArrow(run, schema)
+        if not out:  # whole keys
+            g = g.select(*key, F.col("dq").alias("qty"), F.col("avg").alias("avg_price"), F.col("r").alias("realised"), *at_end)
+        else:
+            g = g.groupBy(*key).agg(F.sum("dq").alias("qty"), F.max_by("avg", CHUNK).alias("avg_price"), F.sum("r").alias("realised"), *[F.max_by(c, CHUNK).alias(c) for c in at_end])
+        out.append(g.withColumn("avg_price", F.when(F.col("qty") != 0, F.col("avg_price")).otherwise(0e0)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def realised_by_fill(fills: DataFrame, *, key=KEY, order=ORDER, sizes=None) -> DataFrame:
     """Every fill with the result it locked in, the average price after it and whether it closed something.
 
-    A scan of affine maps over sorted range partitions: a piece's fills are composed in its own task, one or two rows a piece go up a tree per key,
-    and a second pass starts each piece from the quantity and the average it enters with.
+    Short keys are folded whole.  A long key is a scan of affine maps over sorted range partitions: a piece's fills are composed in its own task, one or two
+    rows a piece go up a tree per key, and a second pass starts each piece from the quantity and the average it enters with.
     """
-    x = _entered(_pinned(fills, key, order), key)
 
     def run(batches):
         got = _results(batches, list(key))
@@ -209,7 +243,8 @@ def realised_by_fill(fills: DataFrame, *, key=KEY, order=ORDER) -> DataFrame:
         yield from out.to_batches(max_chunksize=10_000)
 
     fills_columns = fills.columns
-    return x.mapInArrow(run, StructType([*(x.schema[c] for c in fills.columns), *StructType.fromDDL("closing boolean, realised double, avg_after double").fields]))
+    schema = StructType([*fills.schema.fields, *StructType.fromDDL("closing boolean, realised double, avg_after double").fields])
+    return reduce(DataFrame.unionByName, [x.mapInArrow(run, schema) for x in _sorted_pieces(fills, key, order, sizes)])
 
 
 def kind(ikey="ikey") -> Column:

@@ -16,19 +16,28 @@ CHUNK = "_chunk"
 
 
 def pin_chunks(df: DataFrame, key: list[str], order: list[str], parts: int | None = None, piece_rows: int = 50_000,
-               ordered: bool = False) -> DataFrame:
+               ordered: bool = False, whole_keys: bool = False) -> DataFrame:
     """Range-partition by (key, order), tag rows with their partition and fix the result by a reliable checkpoint.
 
     Pieces are sized by rows: their number grows with the table, so one piece stays near ``piece_rows`` rows (range bounds are
     sampled) and what holds a piece in memory is bounded.  A hot key spreads over many pieces.  The checkpoint matters: bounds sampled
-    again after a lost executor could differ.  ``ordered`` sorts the rows of a piece.
+    again after a lost executor could differ.  ``ordered`` sorts the rows of a piece.  ``whole_keys``, for keys that are short enough
+    for one piece, hashes the key instead: every key lies in one piece, and as a hash has no sampled bounds nothing is written.
     """
     spark = df.sparkSession
-    shared_dir(spark)
+    if not whole_keys:
+        shared_dir(spark)
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // piece_rows))
     cols = [F.col(c) for c in [*key, *order]]
-    cut = df.repartitionByRange(n, *cols)
-    return (cut.sortWithinPartitions(*cols) if ordered else cut).withColumn(CHUNK, F.spark_partition_id()).checkpoint()
+    cut = df.repartition(n, *key) if whole_keys else df.repartitionByRange(n, *cols)
+    out = (cut.sortWithinPartitions(*cols) if ordered else cut).withColumn(CHUNK, F.spark_partition_id())
+    return out if whole_keys else out.checkpoint()
+
+
+def key_sizes(df: DataFrame, key) -> tuple[int, int]:
+    """(rows, rows of the longest key)."""
+    r = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("longest")).first()  # one row
+    return r["rows"] or 0, r["longest"] or 0
 
 
 def prefix(pinned: DataFrame, key: list[str], order: list[str], sums: dict[str, Column] | None = None,

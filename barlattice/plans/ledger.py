@@ -49,7 +49,8 @@ MTM = f"""{FLOW}, la as (select ikey, max_by(price, (d, ok, ln, pk, acct)) last
 
 
 def marked(t):
-    return L.mark_to_market(L.fold_fills(t.fills), L.last_prices(t.fills))
+    pos = pin(L.fold_fills(t.fills, last=True))
+    return L.mark_to_market(pos, L.last_prices(pos))
 
 
 @query("mark_to_market", "fills", f"{MTM} select acct, ikey, {tr_sql('unrealised', 2)} unrealised, {tr_sql('val', 2)} as \"value\" from mm")
@@ -84,8 +85,8 @@ def day_pnl(t):
 @query("contributions", "fills", f"""{MTM}, tt as (select acct, sum(abs(val)) tv from mm group by acct), rs as (select acct, ikey, sum(realised) r from rf group by 1, 2)
   select acct, ikey, {tr_sql('r', 2)} realised, round(coalesce(case when tv > 0 then abs(val)/tv*1e2 else 0e0 end, 0e0), 6) + 0e0 weight_pct from rs left join mm using (acct, ikey) left join tt using (acct)""")
 def contributions(t):
-    pos = pin(L.fold_fills(t.fills))  # a position's realised result is the sum over its fills
-    x = L.contributions(pos, L.mark_to_market(pos, L.last_prices(t.fills)))
+    pos = pin(L.fold_fills(t.fills, last=True))  # a position's realised result is the sum over its fills
+    x = L.contributions(pos, L.mark_to_market(pos, L.last_prices(pos)))
     return x.select("acct", "ikey", tr("realised", 2).alias("realised"), rr("weight_pct", 6).alias("weight_pct"))
 
 
