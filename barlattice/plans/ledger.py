@@ -68,11 +68,14 @@ def margin_estimate(t):
   aa as (select acct, sum(realised) r, sum(unrealised) u, sum(val) h from mm group by acct), cc as (select acct, sum(flow) f from fw group by acct)
   select acct, round(1e6 + f - fee + h, 1) + 0e0 equity, round(r + u - fee, 1) + 0e0 pnl, abs(r + u - fee - (f - fee + h)) > 1e-2 broken from aa join cc using (acct) join fe using (acct)""")
 def pnl_identity(t):
-    pos = pin(L.fold_fills(t.fills))
-    traded = t.fills.groupBy("acct", "ikey").agg(F.sum(F.when(F.col("side") == "SELL", 1e0).otherwise(-1e0) * F.col("qty") * F.col("price")).alias("v"))
-    flows = pos.join(traded, ["acct", "ikey"]).withColumn("flow", F.when(L.kind() == "FUT", F.col("realised")).otherwise(F.col("v")))
-    fees = t.fills.groupBy("acct").agg((F.sum((F.col("qty") * F.col("price")).cast("decimal(18,2)")).cast("double") * FEE).alias("fee"))
-    x = L.pnl_identity(L.mark_to_market(pos, L.last_prices(t.fills)), flows, fees)
+    pos = pin(L.fold_fills(t.fills, last=True))
+    amount = F.col("qty") * F.col("price")
+    traded = t.fills.groupBy("acct", "ikey").agg(F.sum(F.when(F.col("side") == "SELL", 1e0).otherwise(-1e0) * amount).alias("v"), F.sum(amount.cast("decimal(18,2)")).alias("amount"))
+    same = [pos[c].eqNullSafe(traded[c]) for c in ("acct", "ikey")]
+    x = pin(pos.join(traded, same).select(pos["acct"], pos["ikey"], "realised", "v", "amount"))
+    flows = x.withColumn("flow", F.when(L.kind() == "FUT", F.col("realised")).otherwise(F.col("v")))
+    fees = x.groupBy("acct").agg((F.sum("amount").cast("double") * FEE).alias("fee"))  # decimals: exact in any order
+    x = L.pnl_identity(L.mark_to_market(pos, L.last_prices(pos)), flows, fees)
     return x.select("acct", rr("equity", 1).alias("equity"), rr("pnl", 1).alias("pnl"), "broken")
 
 

@@ -42,3 +42,9 @@ def test_last_fill_of_positions_gives_last_prices(spark, monkeypatch, piece):
     want = {r["ikey"]: r["last"] for r in ledger.last_prices(df).collect()}
     assert {r["ikey"]: r["last"] for r in ledger.last_prices(ledger.fold_fills(df, last=True)).collect()} == want and len(want) == 3
     assert ledger.realised_by_fill(df).agg(F.sum("realised")).first()[0] == pytest.approx(sum(r["realised"] for r in pos), abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["contributions", "mark_to_market", "pnl_identity"])
+def test_fills_are_not_read_again_for_prices_and_fees(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation [" not in plan  # positions are pinned
