@@ -257,8 +257,19 @@ def cash_flow(fills: DataFrame) -> DataFrame:
     return fills.withColumn("flow", F.when(kind() == "FUT", F.col("realised")).otherwise(v))
 
 
-def cash_balance(flows: DataFrame, *, initial=INITIAL, order=("d", "ikey", "ok", "ln", "pk")) -> DataFrame:
-    """Running cash of every account after each fill, by a split prefix sum."""
+def cash_balance(flows: DataFrame, *, initial=INITIAL, order=("d", "ikey", "ok", "ln", "pk"), sizes=None) -> DataFrame:
+    """Running cash of every account after each fill: a window over short accounts, a split prefix sum if one is long.
+
+    ``sizes``: ``key_sizes`` of the flows by account where known; else the flows are pinned to be counted.
+    """
+    if sizes is None:
+        flows = pin(flows)
+        sizes = key_sizes(flows, ["acct"])
+    rows, longest = sizes
+    if longest <= SHORT * PIECE_ROWS:
+        parts = max(int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // (4 * PIECE_ROWS)))
+        w = Window.partitionBy("acct").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return flows.repartition(parts, "acct").withColumn("cash", initial + F.sum("flow").over(w))
     x = prefix(pin_chunks(pin(flows), ["acct"], list(order)), ["acct"], list(order), sums={"_run": F.col("flow")})
     return x.withColumn("cash", initial + F.col("_run")).drop("_run", CHUNK)
 

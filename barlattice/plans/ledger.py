@@ -39,7 +39,9 @@ FLOW = f"""{FOLD}, fw as (select acct, ikey, e, case when ikey like 'FUT%' then
 @query("cash_balance", "fills", f"""{FLOW}, rn as (select acct, 1e6 + sum(flow) over (partition by acct order by e.d, ikey, e.ok, e.ln, e.pk rows between unbounded preceding and current row) cash, flow from fw)
   select acct, {tr_sql('min(cash)', 2)} min_cash, {tr_sql('max(cash)', 2)} max_cash, {tr_sql('1e6 + sum(flow)', 2)} final_cash, count(*) fills from rn group by acct""")
 def cash_balance(t):
-    x = L.cash_balance(L.cash_flow(L.realised_by_fill(t.fills)).select("acct", "d", "ikey", "ok", "ln", "pk", "flow"))
+    sizes = L.key_sizes(t.fills, ["acct"])
+    flows = L.cash_flow(L.realised_by_fill(t.fills, sizes=sizes)).select("acct", "d", "ikey", "ok", "ln", "pk", "flow")
+    x = L.cash_balance(flows, sizes=sizes)
     return x.groupBy("acct").agg(tr(F.min("cash"), 2).alias("min_cash"), tr(F.max("cash"), 2).alias("max_cash"), tr(1e6 + F.sum("flow"), 2).alias("final_cash"), F.count("*").alias("fills"))
 
 

@@ -48,3 +48,17 @@ def test_last_fill_of_positions_gives_last_prices(spark, monkeypatch, piece):
 def test_fills_are_not_read_again_for_prices_and_fees(spark, sf, name):
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation [" not in plan  # positions are pinned
+
+
+def test_cash_of_short_accounts_is_one_window(spark, sf, monkeypatch):
+    _, df = fills_fixture(spark, seed=34)
+    flows = ledger.cash_flow(ledger.realised_by_fill(df)).select("acct", "d", "ikey", "ok", "ln", "pk", "flow")
+    sizes = ledger.key_sizes(df, ["acct"])
+    assert sizes == (600, df.groupBy("acct").count().agg(F.max("count")).first()[0])
+    short = {r["ok"]: r["cash"] for r in ledger.cash_balance(flows, sizes=sizes).collect()}
+    monkeypatch.setattr(ledger, "PIECE_ROWS", 5)
+    long = {r["ok"]: r["cash"] for r in ledger.cash_balance(flows).collect()}
+    assert len(short) == len(long) == 600 and all(long[k] == pytest.approx(v, abs=1e-6) for k, v in short.items())
+    monkeypatch.undo()
+    plan = entry.queries()["cash_balance"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and "Join" not in plan and "LogicalRDD" not in plan  # by position, by account
