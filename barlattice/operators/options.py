@@ -18,6 +18,7 @@ from barlattice.functions.options_math import GREEKS, RATE, implied_vol, intrins
 from barlattice.operators.metrics import curve_metrics
 from barlattice.operators.returns import cost_model, option_fill_price
 
+SPOTS_PER_TASK = 20_000  # some 700,000 legs: a task packs them in memory, however many spots there are
 # fixed values: named structures as (name, legs); leg = (type, side, steps from the money, lots, days after the near expiry)
 TEMPLATES = (
     ("long_call", (("CE", "BUY", 0, 1, None),)),
@@ -49,11 +50,11 @@ SEVERAL_EXPIRIES = tuple(name for name, legs in TEMPLATES if len({extra or 0 for
 def structure_templates(spots: DataFrame, lot_size: int = 1, key: str = "id", names: tuple[str, ...] | None = None) -> DataFrame:
     """Every named structure (or those in ``names``) on every (spot, step): one row per leg.
 
-    The spots are spread by ``key`` before they grow forty-fold, so that packing by (key, structure) moves nothing.  The templates are one
+    The spots are spread by ``key`` before they grow forty-fold, so that packing by (key, structure) moves nothing; the parts grow with the rows.  The templates are one
     constant array, strikes and days come after it: written out per leg they made the stage's method longer than the 8,000 bytes that the JVM
     compiles, and pricing was interpreted.
     """
-    parts = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spots.count() // SPOTS_PER_TASK))
     rows = ", ".join(
         f"named_struct('structure', '{name}', 'leg', {i + 1}, 'opt_type', '{typ}', 'side', '{side}', '_steps', cast({'null' if steps is None else steps} as int), "
         f"'lots', {lots}, 'lot_size', {lot_size}, '_extra', {extra or 0})"

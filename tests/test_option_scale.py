@@ -61,3 +61,11 @@ def test_pricing_stays_below_the_size_the_jvm_compiles(spark, step):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) < 6000  # more columns of the spots make it larger
+
+
+def test_parts_grow_with_the_spots(spark, monkeypatch):
+    spots = spark.range(120).select("id", (F.col("id") + 900.0).alias("spot"), F.lit(25.0).alias("step"), (F.col("id") + 8).alias("hdays"), F.lit(22.0).alias("iv"))
+    monkeypatch.setattr(options, "SPOTS_PER_TASK", 10)
+    assert options.structure_templates(spots).rdd.getNumPartitions() == 12
+    monkeypatch.undo()
+    assert options.structure_templates(spots).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
